@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Datetime patterns a free-text date may follow.
-DATE_PATTERNS = [
-    "yyyy-M-d",
-    "yyyy-M-d H:m",
-    "yyyy-M-d H:m:s",
-    "yyyy-M-d'T'H:m:s",
-    "yyyy/M/d",
-    "yyyyMMdd",
-    "M/d/yyyy",
-    "d.M.yyyy",
-    "d MMM yyyy",
-    "d MMM yyyy H:m:s",
-    "MMM d, yyyy",
+# Shapes a free-text date may have and the pattern each is read with.
+DATE_SHAPES = [
+    (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$", "yyyy/M/d"),
+    (r"^[0-9]{8}$", "yyyyMMdd"),
+    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "M/d/yyyy"),
+    (r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}$", "d.M.yyyy"),
+    (r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4}( [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2})?$", "d MMM yyyy[ H:m:s]"),
+    (r"^[A-Za-z]{3} [0-9]{1,2}, [0-9]{4}$", "MMM d, yyyy"),
 ]
+ISO_SHAPE = r"^[0-9]{4}(-[0-9]{1,2}(-[0-9]{1,2}([T ][0-9]{1,2}:[0-9]{1,2}(:[0-9]{1,2})?)?)?)?$"
+
+
+def let(c: Column, fn) -> Column:
+    """fn of a value that is computed once, however often fn mentions it."""
+    return F.get(F.transform(F.array(c), lambda x: fn(x)), F.lit(0))
 
 
 def strip(c: Column) -> Column:
@@ -63,17 +64,18 @@ def lenient_datetime(c: Column) -> Column:
 def parse_date(c: Column) -> Column:
     """Timestamp from free text by a fixed list of patterns, null when none fits.
 
-    A weekday in front and a fraction, zone or offset behind are accepted and ignored.
+    A weekday in front and a fraction, zone or offset behind are accepted and ignored. No
+    pattern reads more than 64 characters, so longer text is no date.
     """
     t = F.regexp_replace(strip(c), r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", "")
-    t = F.regexp_replace(
-        t, r"(:[0-9]{1,2})(?:\.[0-9]+)?\s*(?:Z|GMT|UTC|[+-][0-9]{2}:?[0-9]{2})$", "$1"
-    )
-    t = F.regexp_replace(t, r"(:[0-9]{2})\.[0-9]+$", "$1")
-    tries = [F.try_to_timestamp(t, F.lit(p)) for p in DATE_PATTERNS]
-    tries.append(F.when(t.rlike(r"^[0-9]{4}$"), F.try_to_timestamp(t, F.lit("yyyy"))))
-    tries.append(F.when(t.rlike(r"^[0-9]{4}-[0-9]{1,2}$"), F.try_to_timestamp(t, F.lit("yyyy-M"))))
-    return F.coalesce(*tries)
+    t = F.regexp_replace(t, r"(:[0-9]{1,2})(?:\.[0-9]+)?\s*(?:Z|GMT|UTC|[+-][0-9]{2}:?[0-9]{2})?$", "$1")
+    def read(x: Column) -> Column:
+        out = F.when(x.rlike(ISO_SHAPE), x.try_cast("timestamp"))
+        for shape, pattern in DATE_SHAPES:
+            out = out.when(x.rlike(shape), F.try_to_timestamp(x, F.lit(pattern)))
+        return out
+
+    return F.when(F.length(c) <= 64, let(t, read))
 
 
 def is_date(c: Column) -> Column:
@@ -82,7 +84,7 @@ def is_date(c: Column) -> Column:
 
 def iso_or_text(c: Column) -> Column:
     """ISO form of a date that can be read, the text itself otherwise."""
-    return F.coalesce(F.date_format(parse_date(c), "yyyy-MM-dd'T'HH:mm:ss"), c)
+    return let(c, lambda x: F.coalesce(F.date_format(parse_date(x), "yyyy-MM-dd'T'HH:mm:ss"), x))
 
 
 def safe_filename(c: Column) -> Column:

@@ -229,7 +229,7 @@ def markov_quantile(order: int, q: float, limit: int = 10_000) -> Column:
     n = F.when(1 - first > q, 1)
     if order == 2:
         n = n.when(1 - lead > q, 2)
-    n = n.otherwise(order + F.greatest(more, F.lit(1.0)))
+    n = n.otherwise(F.when(more.isNotNull(), order + F.greatest(more, F.lit(1.0))))
     return F.when(n <= limit, n.cast("int"))
 
 

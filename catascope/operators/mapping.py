@@ -112,6 +112,18 @@ CKAN_FIELDS = [
 ]
 
 
+def _ckan_resource(r: Column) -> Column:
+    """Fields of a resource, the first filled one of each group."""
+    at = lambda *ks: _first(*[doc.get(r, k) for k in ks])
+    plain = ["uri", "id", "package_id", "name", "description", "status", "rights", "license", "format", "mimetype", "url", "download_url", "size"]
+    return F.struct(
+        *[at(k).alias(k) for k in plain],
+        at("issued", "created", "metadata-date").alias("issued"),
+        at("modified", "last_modified").alias("modified"),
+        F.concat(F.lit("_:"), F.sha1(F.to_json(r))).alias("hash"),
+    )
+
+
 def ckan(df: DataFrame) -> DataFrame:
     keys = df.columns
     d = _parsed(df).withColumn("_extras", doc.extras_map(F.col("_doc")))
@@ -125,12 +137,25 @@ def ckan(df: DataFrame) -> DataFrame:
         doc.get(F.col("_doc"), "dcat_version").alias("f_dcat_version"),
     )
     f = lambda k: F.col(f"`f_{k}`")
-    value = lambda *ks: doc.unwrap_label(_first(*[f(k) for k in ks]))
-    values = lambda *ks: doc.one(value(*ks))
-    dates = lambda *ks: doc.one(iso_or_text(value(*ks)))
-
+    first = {
+        "title": ("title",), "description": ("notes",), "landing_page": ("url",), "identifier": ("identifier", "guid", "id"),
+        "version": ("version", "dcat_version"), "alternate_identifier": ("alternate_identifier",), "version_notes": ("version_notes",),
+        "frequency": ("frequency", "frequency-of-update"), "repository_name": ("name", "id"), "category": ("categorization",),
+        "issued": ("issued", "metadata_created"), "modified": ("modified", "metadata_modified"),
+        "fn": ("contact_name", "maintainer", "author"), "email": ("contact_email", "maintainer_email", "author_email", "contact-email"),
+    }
     own = F.concat(F.col("_base"), F.lit("/dataset/"), _first(f("id"), F.md5(F.to_json("_doc"))))
-    d = d.withColumn("_uri", _first(f("uri"), own))
+    d = d.withColumns(
+        {
+            **{"v_" + name: _first(*[f(k) for k in ks]) for name, ks in first.items()},
+            "_uri": _first(f("uri"), own),
+            "_name": _first(f("publisher_name"), f("org_title")),
+            "_res": F.transform(doc.elements(F.col("_doc"), "resources"), _ckan_resource),
+        }
+    )
+    value = lambda name: doc.unwrap_label(F.col("v_" + name))
+    values = lambda name: doc.one(value(name))
+    dates = lambda name: doc.one(iso_or_text(F.col("v_" + name)))
     uri = angle(F.col("_uri"))
 
     contact_any = reduce(
@@ -140,10 +165,10 @@ def ckan(df: DataFrame) -> DataFrame:
     contact = _node(
         CONTACT,
         ref=F.coalesce(_some(f("contact_uri")), node_id(uri, F.lit("contactPoint"))),
-        fn=value("contact_name", "maintainer", "author"),
-        email=value("contact_email", "maintainer_email", "author_email", "contact-email"),
+        fn=value("fn"),
+        email=value("email"),
     )
-    name = _first(f("publisher_name"), f("org_title"))
+    name = F.col("_name")
     org_uri = F.concat(F.col("_base"), F.lit("/organization/"), f("org_id"))
     publisher = _node(
         PUBLISHER,
@@ -181,31 +206,28 @@ def ckan(df: DataFrame) -> DataFrame:
     d = d.withColumn("_license", _only(license_any, licence, LICENSE))
 
     def resource(r: Column) -> Column:
-        get = lambda *ks: doc.value(r, None, *ks)
         ref = _first(
-            doc.get(r, "uri"),
-            F.concat(F.col("_base"), F.lit("/dataset/"), _first(f("id"), doc.get(r, "package_id")), F.lit("/resource/"), doc.get(r, "id")),
-            F.concat(F.lit("_:"), F.sha1(F.to_json(r))),
+            r["uri"],
+            F.concat(F.col("_base"), F.lit("/dataset/"), F.coalesce(_some(f("id")), r["package_id"]), F.lit("/resource/"), r["id"]),
+            r["hash"],
         )
-        fmt, mime = _some(doc.get(r, "format")), _some(doc.get(r, "mimetype"))
-        typed = F.coalesce(fmt.contains("/"), F.lit(False))
-        url, download = _some(doc.get(r, "url")), _some(doc.get(r, "download_url"))
-        extra = _only(filled(doc.get(r, "license")), _node(LICENSE, ref=F.trim(get("license"))), LICENSE)
-        fnode = _node(FORMAT, ref=node_id(uri, F.lit("format"), fmt), label=F.trim(fmt), value=mime)
+        typed = F.coalesce(r["format"].contains("/"), F.lit(False))
+        extra = _only(r["license"].isNotNull(), _node(LICENSE, ref=F.trim(r["license"])), LICENSE)
+        fnode = _node(FORMAT, ref=node_id(uri, F.lit("format"), r["format"]), label=F.trim(r["format"]), value=r["mimetype"])
         return _distribution(
             ref=ref,
-            title=doc.one(get("name")),
-            description=doc.one(get("description")),
-            status=doc.one(get("status")),
-            rights=doc.one(get("rights")),
+            title=doc.one(doc.unwrap_label(r["name"])),
+            description=doc.one(doc.unwrap_label(r["description"])),
+            status=doc.one(doc.unwrap_label(r["status"])),
+            rights=doc.one(doc.unwrap_label(r["rights"])),
             license=F.concat(F.col("_license"), extra),
-            access_url=doc.one(F.when(download.isNull() | (url != download), url)),
-            download_url=doc.one(download),
-            media_type=doc.one(F.when(typed, fmt).otherwise(mime)),
-            format=_only(fmt.isNotNull() & ~typed, fnode, FORMAT),
-            issued=doc.one(iso_or_text(get("issued", "created", "metadata-date"))),
-            modified=doc.one(iso_or_text(get("modified", "last_modified"))),
-            byte_size=_size(_some(doc.get(r, "size"))),
+            access_url=doc.one(F.when(r["download_url"].isNull() | (r["url"] != r["download_url"]), r["url"])),
+            download_url=doc.one(r["download_url"]),
+            media_type=doc.one(F.when(typed, r["format"]).otherwise(r["mimetype"])),
+            format=_only(r["format"].isNotNull() & ~typed, fnode, FORMAT),
+            issued=doc.one(iso_or_text(r["issued"])),
+            modified=doc.one(iso_or_text(r["modified"])),
+            byte_size=_size(r["size"]),
         )
 
     tags = F.transform(
@@ -216,19 +238,13 @@ def ckan(df: DataFrame) -> DataFrame:
         d,
         keys,
         uri=F.col("_uri"),
-        title=values("title"),
-        description=values("notes"),
-        landing_page=values("url"),
-        identifier=values("identifier", "guid", "id"),
-        version=values("version", "dcat_version"),
-        alternate_identifier=values("alternate_identifier"),
-        version_notes=values("version_notes"),
-        frequency=values("frequency", "frequency-of-update"),
-        repository_name=values("name", "id"),
-        category=values("categorization"),
+        **{
+            n: values(n)
+            for n in ("title", "description", "landing_page", "identifier", "version", "alternate_identifier", "version_notes", "frequency", "repository_name", "category")
+        },
         keywords=tags,
-        issued=dates("issued", "metadata_created"),
-        modified=dates("modified", "metadata_modified"),
+        issued=dates("issued"),
+        modified=dates("modified"),
         language=list_items(f("language")),
         theme=list_items(f("theme")),
         conforms_to=list_items(f("conforms_to")),
@@ -236,7 +252,7 @@ def ckan(df: DataFrame) -> DataFrame:
         publisher=_only(publisher_any, publisher, PUBLISHER),
         temporal=_only(filled(f("temporal_start")) | filled(f("temporal_end")), temporal, TEMPORAL),
         spatial=_only(filled(f("spatial_uri")) | filled(f("spatial_text")) | filled(f("spatial")), spatial, SPATIAL),
-        distributions=F.transform(doc.elements(F.col("_doc"), "resources"), resource),
+        distributions=F.transform("_res", resource),
     )
 
 
@@ -269,7 +285,7 @@ def socrata(df: DataFrame) -> DataFrame:
     d = d.withColumn("_ds", F.when(filled(F.col("_dcat")), rdf).getField("Dataset"))
     d = d.withColumn("_uri", F.concat(F.col("_base"), F.lit("/dataset/"), F.col("_id")))
     uri, there = angle(F.col("_uri")), F.col("_ds").isNotNull()
-    got = lambda name: F.transform(F.coalesce(F.col(f"_ds.{name}"), _empty("array<string>")), F.trim)
+    got = lambda name: F.transform(F.coalesce(F.col(f"_ds.{name}"), _empty("array<string>")), lambda x: F.trim(x))
     links = lambda c: F.transform(
         F.coalesce(c, _empty(f"array<{_LINK}>")), lambda x: F.trim(F.coalesce(x["_resource"], x["_VALUE"]))
     )
@@ -452,7 +468,7 @@ def data_gouv_fr(df: DataFrame) -> DataFrame:
         description=text("description"),
         landing_page=text("page"),
         frequency=text("frequency"),
-        keywords=F.transform(F.coalesce(doc.get(F.col("_doc"), "tags", "array<string>"), _empty("array<string>")), F.trim),
+        keywords=F.transform(F.coalesce(doc.get(F.col("_doc"), "tags", "array<string>"), _empty("array<string>")), lambda x: F.trim(x)),
         issued=doc.one(iso_or_text(f("created_at"))),
         modified=doc.one(iso_or_text(_first(f("last_modified"), f("last_update")))),
         publisher=_only(

@@ -60,12 +60,6 @@ def share_in(values: Column, wanted: list[str]) -> Column:
     return F.when(F.size(values) > 0, share(values, lambda v: normalise_format(v).isin(wanted)))
 
 
-def _licenses() -> Column:
-    return F.transform(
-        F.col("_licenses"), lambda n: map_license(n["label"], n["identifier"], n["ref"])["conformance"]
-    )
-
-
 _d, _r = a.dataset_values, F.col
 
 EXISTENCE: dict[str, Callable[[], Column]] = {
@@ -83,13 +77,13 @@ CONFORMANCE: dict[str, Callable[[], Column]] = {
     "coce": lambda: any_conform(email_valid, a.contact_values(), a.publisher_values()),
     "cocu": lambda: any_conform(url_valid, a.contact_values(), a.publisher_values()),
     "coda": lambda: mean_conform(is_date, _d("issued"), _d("modified"), _r("_issued"), _r("_modified")),
-    "coli": lambda: F.when(F.size("_licenses") > 0, F.exists(_licenses(), lambda c: c != NOT_FOUND)),
+    "coli": lambda: F.when(F.size("_licenses") > 0, F.exists(_r("_conformance"), lambda c: c != NOT_FOUND)),
     "cofo": lambda: share_in(F.concat(_r("_formats"), _r("_media_type")), common_registry()),
 }
 OPENNESS: dict[str, Callable[[], Column]] = {
     "opfo": lambda: share_in(_r("_formats"), OPEN_FORMATS),
     "opma": lambda: share_in(_r("_formats"), MACHINE_READABLE),
-    "opli": lambda: F.when(F.size("_licenses") > 0, F.get(_licenses(), F.lit(0)) == "approved"),
+    "opli": lambda: F.when(F.size("_licenses") > 0, F.get(_r("_conformance"), F.lit(0)) == "approved"),
 }
 METRICS: dict[str, Callable[[], Column]] = {**EXISTENCE, **CONFORMANCE, **OPENNESS}
 EXTRA: dict[str, Callable[[], Column]] = {
@@ -102,13 +96,15 @@ EXTRA: dict[str, Callable[[], Column]] = {
 def _prepared(dcat: DataFrame) -> DataFrame:
     """Distribution values are pulled out once; the metrics share them."""
     plain = ["access_url", "download_url", "title", "description", "media_type", "byte_size", "issued", "modified"]
-    return dcat.withColumns(
+    rows = dcat.withColumns(
         {
             **{"_" + n: a.distribution_values(n) for n in plain},
             "_formats": a.distribution_formats(),
             "_licenses": a.license_nodes(),
         }
     )
+    mapped = F.transform("_licenses", lambda n: map_license(n["label"], n["identifier"], n["ref"])["conformance"])
+    return rows.withColumn("_conformance", mapped)
 
 
 def quality(dcat: DataFrame, metrics: list[str] | None = None, keys: list[str] | None = None, extra: bool = False) -> DataFrame:
@@ -154,7 +150,7 @@ def as_number(metric: str) -> Column:
 
 
 def portal_quality(datasets: DataFrame, scores: DataFrame, by: tuple[str, ...] = ("portalid", "snapshot")) -> DataFrame:
-    """Mean (2 decimals) and number of values of every metric per portal and snapshot.
+    """Mean (2 decimals, half to even) and number of values of every metric per portal and snapshot.
 
     Occurrences are counted per content before the join, so a content shared by many
     datasets goes through the shuffle once per group.
@@ -165,6 +161,7 @@ def portal_quality(datasets: DataFrame, scores: DataFrame, by: tuple[str, ...] =
     for m in PORTAL_METRICS:
         v = as_number(m)
         n = F.sum(F.when(v.isNotNull(), F.col("w")).otherwise(0))
-        aggs.append(F.bround(F.when(n > 0, F.sum(v * F.col("w")) / n), 2).alias(m))
+        mean = F.when(n > 0, F.sum(v * F.col("w")) / n)
+        aggs.append((F.rint(mean * 100) / 100).alias(m))
         aggs.append(n.cast("int").alias(m + "N"))
     return joined.groupBy(*by).agg(*aggs, F.sum("w").cast("int").alias("datasets"))

@@ -21,9 +21,9 @@ RI = MR + " join v_resourceinfo r on r.uri = m.uri and r.snapshot = d.snapshot"
 P = "v_portal p on p.id = d.portalid"
 
 QUALITY_SQL = "select d.portalid, d.snapshot, " + ", ".join(
-    f"round_even(avg(cast(cast(q.{m} as int) as double)), 2) as {m}, cast(count(q.{m}) as int) as \"{m}N\""
+    f"round_even(avg(cast(cast(q.{m} as int) as double)) * 100, 0) / 100 as {m}, cast(count(q.{m}) as int) as \"{m}N\""
     if m in qu.BOOLEAN_METRICS
-    else f"round_even(avg(q.{m}), 2) as {m}, cast(count(q.{m}) as int) as \"{m}N\""
+    else f"round_even(avg(q.{m}) * 100, 0) / 100 as {m}, cast(count(q.{m}) as int) as \"{m}N\""
     for m in qu.PORTAL_METRICS
 ) + ", cast(count(*) as int) as datasets from v_dataset d join v_datasetquality q on q.md5 = d.md5 group by d.portalid, d.snapshot"
 
@@ -465,9 +465,9 @@ def crawl_wave_totals(c: Catalogue):
 
 @query("unseen_seeds", """
 select regexp_extract(uri, '://([^/?#]+)', 1) as domain, uri from (select distinct uri from v_metaresource) m
-where not exists (select 1 from v_crawllog c where c.uri = m.uri and c.status = 200)""")
+where not exists (select 1 from v_crawllog c where c.uri = m.uri and c.status = 200 and c.snapshot = 2405)""")
 def unseen_seeds(c: Catalogue):
-    return wi.crawl_waves(c.metaresource, c.crawllog.where("status = 200")).select("domain", "uri")
+    return wi.crawl_waves(c.metaresource, c.crawllog.where("status = 200 and snapshot = 2405")).select("domain", "uri")
 
 
 @query("resource_history", "select uri, md5, source, snapshot, modified from v_history order by uri, md5, source, snapshot")

@@ -1 +1,278 @@
+"""Queries over table profiles, CSV files, landed results, registries and stored tables.
 
+Files are written by Spark from the test tables into a new folder below the shared one and
+read back.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catascope.functions.formats import common_registry
+from catascope.operators import profile as pr
+from catascope.operators import stats as sa
+from catascope.operators import triples as tr
+from catascope.plans import rawdocs
+from catascope.plans.registry import query
+from catascope.plans.scalars import CELL_SQL, CELL_TYPE_SQL, LICENSE_SQL, text_cells
+from catascope.plans.views import Catalogue
+from catascope.session import scratch
+from catascope.sources import harvest as ha
+from catascope.sources import lookups as lo
+from catascope.sources import registries as rg
+from catascope.sources import sinks, tables
+
+LABEL_SQL = r"""case when value is null or value = '' then 'empty'
+  when regexp_matches(value, '^\s*[+-]?(([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:nan|inf|infinity))\s*$') then 'number'
+  when regexp_matches(value, '^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}T[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$') then 'datetime' else 'any' end"""
+
+
+@query("column_profile", CELL_SQL + """
+select file, col, count(*) as cells, count(*) filter (where value <> '') as filled, round(count(*) filter (where value <> '') / count(*), 6) as completeness from cells group by all""")
+def column_profile(c: Catalogue):
+    return pr.column_profile(text_cells(c)).withColumn("completeness", F.round("completeness", 6))
+
+
+@query("table_profile", """
+select 'v_doc' as file, count(*) as rows, 4 as columns,
+  round(sum(case when title <> '' then 1 else 0 end + case when license_id <> '' then 1 else 0 end + case when contact_email <> '' then 1 else 0 end + case when modified <> '' then 1 else 0 end) / (count(*) * 4), 6) as cell_completeness,
+  round(avg((case when title <> '' then 1 else 0 end + case when license_id <> '' then 1 else 0 end + case when contact_email <> '' then 1 else 0 end + case when modified <> '' then 1 else 0 end) / 4), 6) as row_completeness
+from v_doc""")
+def table_profile(c: Catalogue):
+    rows = pr.table_profile(c.doc, ["title", "license_id", "contact_email", "modified"], "v_doc")
+    return rows.withColumns({n: F.round(n, 6) for n in ("cell_completeness", "row_completeness")})
+
+
+@query("label_counts", CELL_SQL + f"select file, col, {LABEL_SQL} as label, count(*) as count from cells group by all")
+def label_counts(c: Catalogue):
+    return pr.label_counts(text_cells(c))
+
+
+@query("column_type", CELL_SQL + f"""
+, l as (select file, col, value, {LABEL_SQL} as label from cells),
+k as (select file, col, min(label) as lo, max(label) as hi, count(distinct value) as n, bool_and(not contains(value, ' ')) as single from l where label <> 'empty' group by all)
+select file, col, case when lo = 'number' and hi = 'number' then 'number' when lo = 'datetime' and hi = 'datetime' then 'datetime' when n = 2 and single then 'binary' else 'anyAtomicType' end as datatype from k""")
+def column_type(c: Catalogue):
+    return pr.column_type(text_cells(c))
+
+
+@query("char_dist", CELL_SQL + """
+select file, col, ch as "char", count(*) as count from (select file, col, unnest(string_split(value, '')) as ch from cells) x where ch <> '' group by all""")
+def char_dist(c: Catalogue):
+    return pr.char_dist(text_cells(c))
+
+
+@query("length_dist", CELL_SQL + "select file, col, cast(length(value) as int) as length, count(*) as count from cells where value is not null group by all")
+def length_dist(c: Catalogue):
+    return pr.length_dist(text_cells(c))
+
+
+@query("token_dist", CELL_SQL + """
+select file, col, case when len(string_split(value, ' ')) >= 4 then '4+' else cast(len(string_split(value, ' ')) as varchar) end as tokens, count(*) as count
+from cells where value is not null group by all""")
+def token_dist(c: Catalogue):
+    return pr.token_dist(text_cells(c))
+
+
+@query("common_type", CELL_SQL + f"""
+, t as (select file, col, {CELL_TYPE_SQL} as type, count(*) as n from cells group by all)
+select file, col, type, n as count from t qualify row_number() over (partition by file, col order by n desc, type) = 1""")
+def common_type(c: Catalogue):
+    return pr.common_type(text_cells(c))
+
+
+def _csv_folder(c: Catalogue, sep: str = ",") -> str:
+    path = scratch(c.spark, "csv")
+    orders = c.table("orders").select(
+        "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("o_orderdate"), "o_orderstatus", "o_orderpriority"
+    )
+    orders.write.option("header", True).option("sep", sep).csv(path)
+    return path
+
+
+@query("csvw_description", """
+select distinct 'text/csv' as media_type, ';' as delimiter, true as header, pos, name, datatype from orders,
+(values (0, 'o_orderkey', 'number'), (1, 'o_orderdate', 'datetime'), (2, 'o_orderstatus', 'anyAtomicType'), (3, 'o_orderpriority', 'anyAtomicType')) v(pos, name, datatype)""")
+def csvw_description(c: Catalogue):
+    lines = pr.first_lines(c.spark, _csv_folder(c, ";"))
+    return pr.csvw(lines).select("media_type", "delimiter", "header", "pos", "name", "datatype").distinct()
+
+
+@query("csvw_triples")
+def csvw_triples(c: Catalogue):
+    return pr.csvw_triples(pr.csvw(pr.first_lines(c.spark, _csv_folder(c))), rawdocs.SNAPSHOT)
+
+
+@query("csv_normalise", """
+select value, count(*) as count from (select concat_ws(',', cast(o_orderkey as varchar), strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S'), o_orderstatus, o_orderpriority) as value from orders) x group by all""")
+def csv_normalise(c: Catalogue):
+    rows = pr.normalise_csv(c.spark, _csv_folder(c, ";"))
+    return rows.where("line > 0").groupBy("value").agg(F.count(F.lit(1)).alias("count"))
+
+
+def _landed(c: Catalogue):
+    """Lookup answers as a crawler lands them; a third of the header names in another case."""
+    status = F.col("status")
+    name = F.when(F.col("event_id") % 3 == 0, "Content-Type").otherwise("content-type")
+    header = F.map_concat(
+        F.create_map(name, F.array(F.lit("text/html; charset=utf-8"))),
+        F.create_map(F.lit("Content-Length"), F.array(F.floor(F.col("event_id") * 10).cast("string"))),
+    )
+    return c.crawllog.select(
+        F.when(status == 301, F.concat(F.col("uri"), F.lit("/moved"))).otherwise(F.col("uri")).alias("uri"),
+        F.when(status == 301, F.col("uri")).alias("redirected_from"),
+        "snapshot",
+        F.col("timestamp").cast("timestamp").alias("timestamp"),
+        F.when(status == 301, 200).otherwise(status).alias("status"),
+        F.when(status == 404, "requests.exceptions.HTTPError").alias("exception"),
+        F.when(status == 404, "gone").alias("message"),
+        (status == 602).alias("robots_denied"),
+        header.alias("header"),
+        "event_id",
+    )
+
+
+@query("lookup_rows", """
+select uri, snapshot, timestamp, case status when 602 then 666 when 404 then 705 else 200 end as status, case status when 404 then 'requests.exceptions.HTTPError:gone' end as exc,
+  case when status in (200, 301) then 'text/html' end as mime, case when status in (200, 301) then event_id * 10 end as size from v_crawllog""")
+def lookup_rows(c: Catalogue):
+    path = scratch(c.spark, "lookups")
+    _landed(c).drop("event_id").write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
+    return lo.lookup_rows(lo.read_lookups(c.spark, path)).select("uri", "snapshot", "timestamp", "status", "exc", "mime", "size")
+
+
+@query("newest_lookup", """
+select uri, snapshot, max(timestamp) as timestamp, max_by(case status when 602 then 666 when 404 then 705 else 200 end, timestamp) as status from v_crawllog group by all""")
+def newest_lookup(c: Catalogue):
+    return lo.newest_lookup(lo.lookup_rows(_landed(c))).select("uri", "snapshot", "timestamp", "status")
+
+
+@query("download_rows", """
+select event_id, uri, case status when 602 then 600 when 404 then 606 when 301 then 200 else status end as status, domain,
+  case when status in (200, 301) then md5(domain) end as digest, case when status in (200, 301) then cast(strlen(domain) as bigint) end as size, case when status in (200, 301) then 5 * event_id end as crawltime
+from v_crawllog""")
+def download_rows(c: Catalogue):
+    log = c.crawllog
+    name = F.when(F.col("status") == 404, "twisted.internet.error.DNSLookupError").when(F.col("status") == 602, "some.Error")
+    landed = log.select(
+        "uri", "snapshot", "timestamp", F.when(F.col("status") == 301, 200).otherwise(F.col("status")).alias("status"),
+        name.alias("exception"), F.create_map(F.lit("Content-Type"), F.array(F.lit("text/html"))).alias("header"),
+        (F.col("event_id") * 5).alias("crawltime_ms"), F.col("event_id").cast("string").alias("referrer"), "disklocation",
+        F.encode(F.col("domain"), "UTF-8").alias("content"),
+    )
+    rows = lo.download_rows(landed)
+    return rows.select(F.col("referrer").cast("bigint").alias("event_id"), "uri", "status", "domain", "digest", "size", "crawltime")
+
+
+@query("xml_records", "select 'portal' as portalid, 2401 as snapshot, id, nullif(title, '') as title, lang as keyword, 2 as distributions from v_doc")
+def xml_records(c: Catalogue):
+    """Catalogue files of RDF/XML datasets, read by element and mapped."""
+    path = scratch(c.spark, "rdf")
+    body = F.regexp_extract(rawdocs.rdf_xml(), r"(?s)(<dcat:Dataset>.*</dcat:Dataset>)", 1)
+    body = F.replace(body, F.lit("dcat:Download>"), F.lit("dcat:Distribution>"))
+    docs = rawdocs.with_resources(c).select(F.floor(F.col("doc_id") / 100).alias("part"), body.alias("body"))
+    whole = docs.groupBy("part").agg(F.array_join(F.collect_list("body"), "\n").alias("v"))
+    whole.select("part", F.concat(F.lit(rawdocs.RDF_HEAD), "v", F.lit("</rdf:RDF>")).alias("value")).write.partitionBy("part").text(path)
+    from catascope.operators.mapping import json_ld
+
+    rows = ha.xml_records(ha.read_xml_catalogue(c.spark, path), "portal", rawdocs.SNAPSHOT)
+    dcat = json_ld(rows.withColumn("apiuri", F.lit("")))
+    return dcat.select(
+        "portalid", "snapshot", "id", F.get("title", F.lit(0)).alias("title"), F.get("keywords", F.lit(0)).alias("keyword"), F.size("distributions").alias("distributions")
+    )
+
+
+@query("media_type_registry", f"""
+select token, count(*) as resources from (select lower(trim(format)) as token from v_doc_resource) x
+where token in ({', '.join("'" + t + "'" for t in common_registry())}) group by token""")
+def media_type_registry(c: Catalogue):
+    """Formats of the resources that a landed registry knows."""
+    path = scratch(c.spark, "registry")
+    tokens = c.spark.createDataFrame([(t,) for t in common_registry()], "Name string").withColumn("Template", F.col("Name"))
+    tokens.write.option("header", True).csv(path)
+    registry = rg.read_media_types(c.spark, path)
+    used = c.doc_resource.groupBy(F.lower(F.trim("format")).alias("token")).agg(F.count(F.lit(1)).alias("resources"))
+    return used.join(registry, "token", "left_semi")
+
+
+@query("license_registry", f"""
+with l as ({LICENSE_SQL})
+select license, case when license in ('CC-BY-4.0', 'CC0-1.0', 'ODC-BY-1.0') then 'approved' else 'not reviewed' end as conformance, count(*) as documents
+from l where license in ('CC-BY-4.0', 'CC0-1.0', 'ODC-BY-1.0', 'other-closed') group by all""")
+def license_registry(c: Catalogue):
+    """The registry landed as one JSON object, joined to the licenses in use."""
+    from catascope.functions.licenses import REGISTRY, map_licenses
+
+    path = scratch(c.spark, "licenses")
+    entries = c.spark.createDataFrame(REGISTRY, "id string, title string, url string, od_conformance string").coalesce(1)
+    entries.select(
+        F.concat(F.to_json(F.create_map("id", F.struct("title", "url", "od_conformance")))).alias("value")
+    ).groupBy().agg(F.array_join(F.collect_list(F.expr("substring(value, 2, length(value) - 2)")), ",").alias("v")).select(
+        F.concat(F.lit("{"), "v", F.lit("}")).alias("value")
+    ).write.text(path)
+    registry = rg.read_licenses(c.spark, path)
+    rows = map_licenses(c.doc.select("doc_id", "license_title", "license_id", "license_url"), registry, "license_title", "license_id", "license_url")
+    found = rows.where(F.col("conformance") != "not found")
+    return found.groupBy("license", "conformance").agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query("partitioned_table", "select snapshot, count(*) as datasets, count(distinct id) as ids from v_dataset where snapshot in (2401, 2402) group by snapshot")
+def partitioned_table(c: Catalogue):
+    """Two appends and a repeated week: the week is replaced, not doubled."""
+    path = scratch(c.spark, "dataset")
+    tables.append(c.dataset.where("snapshot = 2401"), path)
+    tables.append(c.dataset.where("snapshot = 2402"), path)
+    tables.replace_partitions(c.dataset.where("snapshot = 2402"), path)
+    rows = tables.read(c.spark, path)
+    return rows.groupBy("snapshot").agg(F.count(F.lit(1)).alias("datasets"), F.countDistinct("id").alias("ids"))
+
+
+@query("stored_result", "select portalid, snapshot, organisation, count(*) as count from v_dataset group by all")
+def stored_result(c: Catalogue):
+    path = scratch(c.spark, "organisation_dist")
+    compute = lambda: sa.organisation_dist(c.dataset, ("portalid", "snapshot"))
+    tables.stored_or_computed(c.spark, path, compute)
+    return tables.stored_or_computed(c.spark, path, compute)
+
+
+@query("json_export", """
+select portalid, snapshot, count(*) as rows, count(organisation) as with_organisation from v_dataset group by all""")
+def json_export(c: Catalogue):
+    path = scratch(c.spark, "json")
+    sinks.write_json(c.dataset.drop("content_no"), path)
+    rows = c.spark.read.schema("id string, portalid string, snapshot int, organisation string").json(path)
+    return rows.groupBy("portalid", "snapshot").agg(F.count(F.lit(1)).alias("rows"), F.count("organisation").alias("with_organisation"))
+
+
+@query("json_rows", """
+select id, snapshot, concat('{"id":"', id, '"', case when title is null then '' else concat(',"title":"', title, '"') end, '}') as value from v_dataset""")
+def json_rows(c: Catalogue):
+    text = F.to_json(F.struct("id", "title"), {"ignoreNullFields": "true"})
+    whole = sinks.json_rows(c.dataset.select("id", "title", "snapshot"))
+    return whole.select(F.from_json("value", "id string, title string, snapshot int").alias("r")).select("r.*").select("id", "snapshot", text.alias("value"))
+
+
+@query("csv_export", "select portalid, snapshot, count(*) as rows, count(distinct id) as ids from v_dataset group by all")
+def csv_export(c: Catalogue):
+    path = scratch(c.spark, "csv_export")
+    sinks.write_csv(c.dataset.select("portalid", "snapshot", "id", "title"), path)
+    rows = c.spark.read.option("header", True).schema("portalid string, snapshot int, id string, title string").csv(path)
+    return rows.groupBy("portalid", "snapshot").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("id").alias("ids"))
+
+
+@query("triples_export", """
+select portalid, cast(count(*) filter (where end_ts is null) * 3 + count(*) filter (where end_ts is not null) * 4 as bigint) as lines from v_portalsnapshot group by portalid""")
+def triples_export(c: Catalogue):
+    path = scratch(c.spark, "triples")
+    sinks.write_triples(tr.harvest_provenance(c.portalsnapshot), path)
+    return c.spark.read.text(path).groupBy("portalid").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query("sitemap_export", "select portalid, count(*) as urls from v_dataset where snapshot = 2403 group by portalid")
+def sitemap_export(c: Catalogue):
+    from catascope.operators.schema_org import sitemap
+
+    path = scratch(c.spark, "sitemap")
+    sinks.write_sitemap(sitemap(c.dataset.where("snapshot = 2403"), c.content, "http://example.org"), path)
+    rows = c.spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string").load(path)
+    return rows.groupBy("portalid").agg(F.count(F.lit(1)).alias("urls"))

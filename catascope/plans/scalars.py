@@ -222,7 +222,7 @@ select file, col, count(*) filter (where regexp_matches(value, '\p{Nd}')) as dig
   count(*) filter (where regexp_matches(value, '\p{Nd}') and regexp_matches(value, '\p{L}')) as alphanumeric,
   count(*) filter (where regexp_matches(value, '\p{Nd}') and regexp_matches(value, '[:,/-]')) as separated,
   count(*) filter (where regexp_matches(value, '^\(?\+?\d+\)?(\s?\d+)+$')) as phones,
-  count_if(regexp_matches(value, '^[1|2][0-9][0-9][0-9][\/-]?[0-3][0-9][\/-]?[0-3][0-9]$') or regexp_matches(value, '^((0[1-9])|(1[0-2]))[\/-]((0[1-9])|(1[0-9])|(2[0-9])|(3[0-1]))[\/-](\d{4})')
+  count(*) filter (where regexp_matches(value, '^[1|2][0-9][0-9][0-9][\/-]?[0-3][0-9][\/-]?[0-3][0-9]$') or regexp_matches(value, '^((0[1-9])|(1[0-2]))[\/-]((0[1-9])|(1[0-9])|(2[0-9])|(3[0-1]))[\/-](\d{4})')
     or regexp_matches(value, '^([0-9]?[0-9][\.\/-])?([0-3]?[0-9][\.\/-])\s?[1-9][0-9]([0-9][0-9])?$')) as strict_dates
 from cells group by file, col""")
 def cell_predicates(c: Catalogue):

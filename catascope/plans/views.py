@@ -35,7 +35,7 @@ select concat(cast(user_id as varchar(20)), '-', event_type) as id, snapshot, n_
   case when user_id % 11 = 0 then null else concat(c_mktsegment, '-', cast(cast(floor(user_id / 20) as bigint) as varchar(20))) end as organisation,
   case when user_id % 13 = 0 then null else c_name end as title,
   md5(concat(cast(cast(floor(user_id / 2) as bigint) as varchar(20)), '-', cast(cast(floor(max(value) / 50) as bigint) as varchar(20)))) as md5,
-  cast(floor(user_id / 2) * 1000 + floor(max(value) / 50) as bigint) as content_no
+  cast(floor(user_id / 2) * 997 + floor(max(value) / 50) as bigint) as content_no
 from v_event_sn join customer on user_id = c_custkey join nation on c_nationkey = n_nationkey
 group by user_id, event_type, snapshot, n_name, c_mktsegment, c_name"""
 
@@ -52,7 +52,7 @@ VIEWS["v_metaresource"] = """
 select distinct url as uri, md5, (url like 'https://%') as valid,
   case page_id % 6 when 0 then 'csv' when 1 then 'json' when 2 then 'pdf' when 3 then 'xlsx' when 4 then 'html' else null end as format,
   case page_id % 6 when 0 then 'text/csv' when 1 then 'application/json' when 2 then 'application/pdf' else null end as media,
-  case when page_id % 5 = 0 then null else length(html) end as size,
+  case when page_id % 5 = 0 then null else cast(length(html) as bigint) end as size,
   cast(date '2023-12-01' + cast(page_id % 60 as int) as timestamp) as modified
 from (
   select md5, content_no % (select count(*) from pages) as pid from v_content
@@ -72,12 +72,12 @@ select md5,
   cast(content_no % 2 as double) as exri,
   cast(content_no % 9 as double) / 8 as expr,
   content_no % 12 > 0 as exac,
-  cast(content_no % 11 as double) / 10 as exdi,
+  cast(content_no % 17 as double) / 16 as exdi,
   cast(0 as double) as exte,
   cast(content_no % 3 as double) / 2 as exsp,
   content_no % 4 > 0 as exco,
-  case content_no % 9 when 0 then null else cast(content_no % 5 as double) / 4 end as opfo,
-  case content_no % 9 when 0 then null else cast(content_no % 6 as double) / 5 end as opma,
+  case content_no % 9 when 0 then null else cast(content_no % 3 as double) / 2 end as opfo,
+  case content_no % 9 when 0 then null else cast(content_no % 5 as double) / 4 end as opma,
   case content_no % 8 when 0 then null when 1 then false when 2 then false else true end as opli
 from v_content"""
 

@@ -93,7 +93,7 @@ XML_DATASET = (
 
 def read_xml_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """Datasets of RDF/XML catalogues; an element is read wherever it stands in a file."""
-    options = {"rowTag": "dcat:Dataset", "ignoreNamespace": "true", "attributePrefix": "_"}
+    options = {"rowTag": "Dataset", "ignoreNamespace": "true", "attributePrefix": "_"}
     return spark.read.format("xml").options(**options).schema(XML_DATASET).load(path)
 
 
