@@ -111,15 +111,15 @@ def resources(dcat: DataFrame) -> DataFrame:
     return rows.select("md5", F.inline(first)).select("uri", "md5", "r.*")
 
 
-def content_rows(dcat: DataFrame, registry=None) -> DataFrame:
+def content_rows(dcat: DataFrame, registry=None, extra: list | None = None) -> DataFrame:
     """One row per document: organisation, mapped license and the two dates."""
     return dcat.select(
         "md5",
-        "raw",
         lenient_datetime(F.get("modified", F.lit(0))).alias("modified"),
         lenient_datetime(F.get("issued", F.lit(0))).alias("created"),
         organisation().alias("organisation"),
         first_license(registry).alias("license"),
+        *(extra or []),
     )
 
 

@@ -88,24 +88,48 @@ def _size(text: Column) -> Column:
     return doc.one(F.coalesce(text.try_cast("double").cast("string"), text))
 
 
-def _finish(df: DataFrame, keys: list[str], **columns: Column) -> DataFrame:
-    out = [F.col(k) for k in keys] + [columns["uri"].alias("uri")]
+def _finish(**columns: Column) -> list[Column]:
+    out = [columns["uri"].alias("uri")]
     for name, kind in DCAT_SCHEMA.items():
         out.append(columns.get(name, _empty(kind)).cast(kind).alias(name))
-    return df.select(*out)
+    return out
 
 
-def _parsed(df: DataFrame) -> DataFrame:
-    return df.withColumn("_doc", F.try_parse_json("raw")).withColumn(
-        "_base", F.rtrim(F.col("apiuri"), F.lit("/"))
-    )
+Stages = tuple[list[dict[str, Column]], list[Column]]
+
+
+def _mapping(build: Callable[[], Stages]) -> Callable[[DataFrame], DataFrame]:
+    """A mapping from its stages of helper columns and its final columns.
+
+    The columns name their inputs and belong to no DataFrame, so they are built once per
+    application and used for every batch of records.
+    """
+    built: dict[str, Stages] = {}
+
+    def apply(df: DataFrame) -> DataFrame:
+        app = df.sparkSession.sparkContext.applicationId
+        if app not in built:
+            built.clear()
+            built[app] = build()
+        stages, final = built[app]
+        d = df
+        for stage in stages:
+            d = d.withColumns(stage)
+        return d.select(*df.columns, *final)
+
+    apply.__name__, apply.__doc__ = build.__name__.lstrip("_"), build.__doc__
+    return apply
+
+
+def _parsed() -> dict[str, Column]:
+    return {"_doc": F.try_parse_json("raw"), "_base": F.rtrim(F.col("apiuri"), F.lit("/"))}
 
 
 CKAN_FIELDS = [
     "title", "notes", "url", "identifier", "guid", "id", "version", "alternate_identifier",
     "version_notes", "frequency", "frequency-of-update", "name", "categorization", "issued",
     "metadata_created", "modified", "metadata_modified", "language", "theme", "conforms_to",
-    "contact_uri", "contact_name", "contact_email", "maintainer", "maintainer_email", "author",
+    "dcat_version", "contact_uri", "contact_name", "contact_email", "maintainer", "maintainer_email", "author",
     "author_email", "contact-email", "publisher_uri", "publisher_name", "publisher_email",
     "publisher_url", "publisher_type", "temporal_start", "temporal_end", "spatial_uri",
     "spatial_text", "spatial", "license_id", "license_url", "license_title", "uri",
@@ -124,18 +148,14 @@ def _ckan_resource(r: Column) -> Column:
     )
 
 
-def ckan(df: DataFrame) -> DataFrame:
-    keys = df.columns
-    d = _parsed(df).withColumn("_extras", doc.extras_map(F.col("_doc")))
-    d = d.select(
-        *keys,
-        "_doc",
-        "_base",
-        *[doc.field(F.col("_doc"), F.col("_extras"), k).alias("f_" + k) for k in CKAN_FIELDS],
-        doc.get(F.col("_doc"), "organization.title").alias("f_org_title"),
-        doc.get(F.col("_doc"), "organization.id").alias("f_org_id"),
-        doc.get(F.col("_doc"), "dcat_version").alias("f_dcat_version"),
-    )
+@_mapping
+def ckan() -> Stages:
+    """Records of CKAN portals."""
+    fields = {
+        **{"f_" + k: doc.field(F.col("_doc"), F.col("_extras"), k) for k in CKAN_FIELDS},
+        "f_org_title": doc.get(F.col("_doc"), "organization.title"),
+        "f_org_id": doc.get(F.col("_doc"), "organization.id"),
+    }
     f = lambda k: F.col(f"`f_{k}`")
     first = {
         "title": ("title",), "description": ("notes",), "landing_page": ("url",), "identifier": ("identifier", "guid", "id"),
@@ -145,14 +165,12 @@ def ckan(df: DataFrame) -> DataFrame:
         "fn": ("contact_name", "maintainer", "author"), "email": ("contact_email", "maintainer_email", "author_email", "contact-email"),
     }
     own = F.concat(F.col("_base"), F.lit("/dataset/"), _first(f("id"), F.md5(F.to_json("_doc"))))
-    d = d.withColumns(
-        {
-            **{"v_" + name: _first(*[f(k) for k in ks]) for name, ks in first.items()},
-            "_uri": _first(f("uri"), own),
-            "_name": _first(f("publisher_name"), f("org_title")),
-            "_res": F.transform(doc.elements(F.col("_doc"), "resources"), _ckan_resource),
-        }
-    )
+    chosen = {
+        **{"v_" + name: _first(*[f(k) for k in ks]) for name, ks in first.items()},
+        "_uri": _first(f("uri"), own),
+        "_name": _first(f("publisher_name"), f("org_title")),
+        "_res": F.transform(doc.elements(F.col("_doc"), "resources"), _ckan_resource),
+    }
     value = lambda name: doc.unwrap_label(F.col("v_" + name))
     values = lambda name: doc.one(value(name))
     dates = lambda name: doc.one(iso_or_text(F.col("v_" + name)))
@@ -203,7 +221,7 @@ def ckan(df: DataFrame) -> DataFrame:
         identifier=_some(f("license_id")),
         comment=F.when(~is_link, _some(f("license_url"))),
     )
-    d = d.withColumn("_license", _only(license_any, licence, LICENSE))
+    nodes = {"_license": _only(license_any, licence, LICENSE)}
 
     def resource(r: Column) -> Column:
         ref = _first(
@@ -234,9 +252,8 @@ def ckan(df: DataFrame) -> DataFrame:
         doc.elements(F.col("_doc"), "tags"),
         lambda t: F.trim(F.coalesce(doc.get(t, "name"), F.try_variant_get(t, "$", "string"))),
     )
-    return _finish(
-        d,
-        keys,
+    extras = {"_extras": doc.extras_map(F.col("_doc"))}
+    return [_parsed(), extras, fields, chosen, nodes], _finish(
         uri=F.col("_uri"),
         **{
             n: values(n)
@@ -268,22 +285,22 @@ _RDF_DATASET = (
 )
 
 
-def socrata(df: DataFrame) -> DataFrame:
-    keys = df.columns
-    d = _parsed(df)
-    d = d.withColumn("_view", F.col("_doc")).select(
-        *keys,
-        "_base",
-        doc.get(F.col("_doc"), "dcat").alias("_dcat"),
-        doc.get(F.col("_doc"), "view.id").alias("_id"),
-        _some(doc.get(F.col("_doc"), "view.owner.displayName")).alias("_owner"),
-        _some(doc.get(F.col("_doc"), "view.tableAuthor.displayName")).alias("_author"),
-    )
+@_mapping
+def socrata() -> Stages:
+    """Views of Socrata portals with their RDF/XML text."""
+    view = {
+        "_dcat": doc.get(F.col("_doc"), "dcat"),
+        "_id": doc.get(F.col("_doc"), "view.id"),
+        "_owner": _some(doc.get(F.col("_doc"), "view.owner.displayName")),
+        "_author": _some(doc.get(F.col("_doc"), "view.tableAuthor.displayName")),
+    }
     rdf = F.from_xml(
         F.col("_dcat"), f"Dataset {_RDF_DATASET}", {"ignoreNamespace": "true", "attributePrefix": "_"}
     )
-    d = d.withColumn("_ds", F.when(filled(F.col("_dcat")), rdf).getField("Dataset"))
-    d = d.withColumn("_uri", F.concat(F.col("_base"), F.lit("/dataset/"), F.col("_id")))
+    graph = {
+        "_ds": F.when(filled(F.col("_dcat")), rdf).getField("Dataset"),
+        "_uri": F.concat(F.col("_base"), F.lit("/dataset/"), F.col("_id")),
+    }
     uri, there = angle(F.col("_uri")), F.col("_ds").isNotNull()
     got = lambda name: F.transform(F.coalesce(F.col(f"_ds.{name}"), _empty("array<string>")), lambda x: F.trim(x))
     links = lambda c: F.transform(
@@ -313,9 +330,7 @@ def socrata(df: DataFrame) -> DataFrame:
         F.col("_ds.distribution"),
         F.array().cast(_RDF_DATASET.split("distribution:", 1)[1].rsplit(">", 1)[0]),
     )
-    return _finish(
-        d,
-        keys,
+    return [_parsed(), view, graph], _finish(
         uri=F.col("_uri"),
         title=got("title"),
         description=got("description"),
@@ -346,22 +361,19 @@ TABLE_EXPORTS = [("csv", "text/csv"), ("json", "application/json"), ("xls", "app
 GEO_EXPORTS = [("geojson", "application/vnd.geo+json"), ("kml", "application/vnd.google-earth.kml+xml")]
 
 
-def opendatasoft(df: DataFrame) -> DataFrame:
-    keys = df.columns
-    d = _parsed(df)
+@_mapping
+def opendatasoft() -> Stages:
+    """Datasets of OpenDataSoft portals: exports of the records and attachments."""
     whole = F.col("_doc")
     metas = ["title", "description", "language", "theme", "keyword", "publisher", "modified", "metadata_processed", "metadata_modified", "references", "license", "data_processed"]
-    d = d.select(
-        *keys,
-        "_doc",
-        "_base",
-        doc.get(whole, "datasetid").alias("_id"),
-        *[_some(doc.get(whole, f"metas.{m}")).alias("m_" + m) for m in metas],
-        F.coalesce(doc.get(whole, "has_records", "boolean"), F.lit(False)).alias("_records"),
-        F.coalesce(F.array_contains(doc.get(whole, "features", "array<string>"), "geo"), F.lit(False)).alias("_geo"),
-    )
     m = lambda k: F.col("m_" + k)
-    d = d.withColumn("_uri", F.concat(F.col("_base"), F.lit("/explore/dataset/"), F.col("_id")))
+    given = {
+        "_id": doc.get(whole, "datasetid"),
+        **{"m_" + n: _some(doc.get(whole, f"metas.{n}")) for n in metas},
+        "_records": F.coalesce(doc.get(whole, "has_records", "boolean"), F.lit(False)),
+        "_geo": F.coalesce(F.array_contains(doc.get(whole, "features", "array<string>"), "geo"), F.lit(False)),
+    }
+    named = {"_uri": F.concat(F.col("_base"), F.lit("/explore/dataset/"), F.col("_id"))}
     uri = angle(F.col("_uri"))
     lic = lambda ref: _only(
         m("license").isNotNull(),
@@ -397,9 +409,7 @@ def opendatasoft(df: DataFrame) -> DataFrame:
     tables = F.array(*[exported(*x) for x in TABLE_EXPORTS])
     maps = F.array(*[exported(*x) for x in GEO_EXPORTS])
     none = F.array().cast(DISTRIBUTIONS)
-    return _finish(
-        d,
-        keys,
+    return [_parsed(), given, named], _finish(
         uri=F.col("_uri"),
         identifier=doc.one(F.col("_id")),
         title=doc.one(doc.unwrap_label(m("title"))),
@@ -422,16 +432,15 @@ def opendatasoft(df: DataFrame) -> DataFrame:
     )
 
 
-def data_gouv_fr(df: DataFrame) -> DataFrame:
-    keys = df.columns
+@_mapping
+def data_gouv_fr() -> Stages:
+    """Datasets of data.gouv.fr portals."""
     whole = F.col("_doc")
     names = ["id", "page", "title", "description", "frequency", "created_at", "last_modified", "last_update", "license"]
-    d = _parsed(df).select(
-        *keys,
-        "_doc",
-        *[_some(doc.get(whole, n)).alias("f_" + n) for n in names],
-        *[_some(doc.get(whole, f"organization.{n}")).alias("o_" + n) for n in ("id", "name", "page")],
-    )
+    given = {
+        **{"f_" + n: _some(doc.get(whole, n)) for n in names},
+        **{"o_" + n: _some(doc.get(whole, f"organization.{n}")) for n in ("id", "name", "page")},
+    }
     f = lambda k: F.col("f_" + k)
     o = lambda k: F.col("o_" + k)
     text = lambda k: doc.one(doc.unwrap_label(f(k)))
@@ -441,8 +450,6 @@ def data_gouv_fr(df: DataFrame) -> DataFrame:
         _node(LICENSE, ref=node_id(uri, F.lit("license"), f("license")), identifier=f("license")),
         LICENSE,
     )
-    d = d.withColumn("_license", lic)
-
     def resource(r: Column) -> Column:
         fmt, mime = _some(doc.get(r, "format")), _some(doc.get(r, "mime"))
         fnode = _node(FORMAT, ref=node_id(uri, F.lit("format"), fmt), label=F.trim(fmt), value=mime)
@@ -459,9 +466,7 @@ def data_gouv_fr(df: DataFrame) -> DataFrame:
             byte_size=_size(_some(doc.get(r, "filesize"))),
         )
 
-    return _finish(
-        d,
-        keys,
+    return [_parsed(), given, {"_license": lic}], _finish(
         uri=f("page"),
         identifier=doc.one(f("id")),
         title=text("title"),
@@ -491,11 +496,11 @@ RDF, RDFS = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/20
 SCHEMA, SKOS = "http://schema.org/", "http://www.w3.org/2004/02/skos/core#"
 
 
-def json_ld(df: DataFrame) -> DataFrame:
+@_mapping
+def json_ld() -> Stages:
     """Documents that are DCAT already, as a list of JSON-LD nodes."""
-    keys = df.columns
     nodes = F.try_variant_get(F.col("_doc"), "$", "array<map<string,variant>>")
-    d = _parsed(df).withColumn("_nodes", F.coalesce(nodes, F.array().cast("array<map<string,variant>>")))
+    listing = {"_nodes": F.coalesce(nodes, F.array().cast("array<map<string,variant>>"))}
 
     def listed(node: Column, iri: str) -> Column:
         items = F.try_variant_get(F.try_element_at(node, F.lit(iri)), "$", "array<variant>")
@@ -515,9 +520,7 @@ def json_ld(df: DataFrame) -> DataFrame:
     def by_id(ref: Column) -> Column:
         return F.get(F.filter(F.col("_nodes"), lambda n: ident(n) == ref), F.lit(0))
 
-    d = d.withColumn("_ds", F.get(of_type(DCAT + "Dataset"), F.lit(0))).withColumn(
-        "_dists", of_type(DCAT + "Distribution")
-    )
+    found = {"_ds": F.get(of_type(DCAT + "Dataset"), F.lit(0)), "_dists": of_type(DCAT + "Distribution")}
     ds = F.col("_ds")
 
     def nodes_of(iri: str, kind: str, **props: str) -> Column:
@@ -555,9 +558,7 @@ def json_ld(df: DataFrame) -> DataFrame:
         "language": DCT + "language", "theme": DCAT + "theme", "conforms_to": DCAT + "conformsTo",
         "see_also": RDFS + "seeAlso",
     }
-    return _finish(
-        d,
-        keys,
+    return [_parsed(), listing, found], _finish(
         uri=ident(ds),
         **{name: listed(ds, iri) for name, iri in plain.items()},
         contact=nodes_of(DCAT + "contactPoint", CONTACT, fn=VCARD + "fn", email=VCARD + "hasEmail"),

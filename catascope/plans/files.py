@@ -276,3 +276,31 @@ def sitemap_export(c: Catalogue):
     sinks.write_sitemap(sitemap(c.dataset.where("snapshot = 2403"), c.content, "http://example.org"), path)
     rows = c.spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string").load(path)
     return rows.groupBy("portalid").agg(F.count(F.lit(1)).alias("urls"))
+
+
+@query("weekly_harvest", """
+with w as (select portalid, 2401 as snapshot, count(*) filter (where source <> 'src1') as added, 0 as deleted, 0 as updated, 0 as static from v_doc group by portalid
+  union all select portalid, 2402, count(*) filter (where source = 'src1'), 0, count(*) filter (where source <> 'src1' and lang = 'de'), count(*) filter (where source <> 'src1' and lang <> 'de') from v_doc group by portalid
+  union all select portalid, 2403, 0, count(*) filter (where source = 'src2'), 0, count(*) filter (where source <> 'src2') from v_doc group by portalid)
+select portalid, snapshot, cast(added as int) as added, cast(deleted as int) as deleted, cast(updated as int) as updated, cast(static as int) as static, cast(added + updated + static as bigint) as datasetsfetched,
+  cast(added + updated + static as int) as scored from w where added + deleted + updated + static > 0""")
+def weekly_harvest(c: Catalogue):
+    """Three weeks of documents through the weekly job, the second one twice."""
+    from catascope.plans.weekly import Warehouse, harvest
+
+    wh = Warehouse(c.spark, scratch(c.spark, "warehouse"))
+    title = F.when(F.col("lang") == "de", F.concat(F.lit("Neu: "), "title")).otherwise(F.col("title"))
+    docs = rawdocs.with_resources(c)
+    weeks = {
+        2401: docs.where("source <> 'src1'"),
+        2402: docs.withColumn("title", title),
+        2403: docs.where("source <> 'src2'").withColumn("title", title),
+    }
+    runs = c.portalsnapshot.select("portalid", "start_ts", "end_ts", F.lit(None).cast("string").alias("exc")).dropDuplicates(["portalid"])
+    for snapshot in (2401, 2402, 2402, 2403):
+        raw = F.coalesce(*[F.when(F.col("software") == s, build()) for s, build in rawdocs.BUILDERS.items()])
+        harvest(wh, weeks[snapshot].select("portalid", "id", raw.alias("raw")), c.portal, runs, snapshot)
+    dynamics = wh.read("dynamics").select("portalid", "snapshot", "added", "deleted", "updated", "static")
+    counts = wh.read("runs").select("portalid", "snapshot", "datasetsfetched")
+    scored = wh.read("portal_quality").select("portalid", "snapshot", F.col("datasets").alias("scored"))
+    return dynamics.join(counts, ["portalid", "snapshot"]).join(scored, ["portalid", "snapshot"])
