@@ -183,38 +183,35 @@ def is_open_license(lid: Column, registry=None) -> Column:
 def map_licenses(df: DataFrame, registry: DataFrame, title: str, lid: str, url: str) -> DataFrame:
     """The same mapping against a registry table (id, title, url, conformance) of any size.
 
-    Four left joins on unique keys; Spark broadcasts a side that is small enough by itself.
+    Only the distinct combinations in use are looked up, so a license that a third of the
+    documents has is mapped once; the answers go back by equality.
     """
-    def first_of(key: str, name: str) -> DataFrame:
-        return registry.where(filled(F.col(key))).groupBy(F.col(key).alias(f"_{name}")).agg(
-            F.min("id").alias(name)
-        )
-
-    aliases = F.try_element_at(_table({k: v for k, v in ID_ALIASES.items() if v}), F.col(lid))
-    titles = F.try_element_at(_table({k: v for k, v in TITLE_ALIASES.items() if v}), F.col(title))
-    out = df.withColumn("_a", F.coalesce(aliases, F.col(lid))).withColumn(
-        "_t", F.coalesce(titles, F.col(title))
-    )
+    kinds = df.select(F.col(title).alias("_kt"), F.col(lid).alias("_ki"), F.col(url).alias("_ku")).distinct()
+    known = _look_up(kinds, registry)
+    on = F.col(title).eqNullSafe(F.col("_kt")) & F.col(lid).eqNullSafe(F.col("_ki")) & F.col(url).eqNullSafe(F.col("_ku"))
+    return df.join(known, on, "left").drop("_kt", "_ki", "_ku")
+
+
+def _look_up(kinds: DataFrame, registry: DataFrame) -> DataFrame:
+    """Five left joins of the distinct licenses on unique keys of the registry."""
+    lid, title, url = F.col("_ki"), F.col("_kt"), F.col("_ku")
+    ids = F.try_element_at(_table({k: v for k, v in ID_ALIASES.items() if v}), lid)
+    titles = F.try_element_at(_table({k: v for k, v in TITLE_ALIASES.items() if v}), title)
+    out = kinds.withColumns({"_a": F.coalesce(ids, lid), "_t": F.coalesce(titles, title)})
     for key, name, on in [
-        ("id", "_by_id", "_a"),
-        ("id", "_by_title_id", "_t"),
-        ("title", "_by_title", "_t"),
-        ("url", "_by_url", url),
+        ("id", "_by_id", "_a"), ("id", "_by_title_id", "_t"), ("title", "_by_title", "_t"), ("url", "_by_url", "_ku"),
     ]:
-        side = first_of(key, name)
-        out = out.join(side, out[on] == side[f"_{name}"], "left").drop(f"_{name}")
+        side = registry.where(filled(F.col(key))).groupBy(F.col(key).alias("_key")).agg(F.min("id").alias(name))
+        out = out.join(side, out[on] == side["_key"], "left").drop("_key")
     mapped = F.coalesce(
-        F.when(filled(F.col(lid)), F.col("_by_id")),
-        F.when(filled(F.col(title)), F.coalesce("_by_title_id", "_by_title")),
-        F.when(filled(F.col(url)), F.col("_by_url")),
-        _some(F.col(lid)),
-        _some(F.col(title)),
-        F.col(url),
-    )
-    out = out.withColumn("license", mapped).drop("_a", "_t", "_by_id", "_by_title_id", "_by_title", "_by_url")
-    conf = registry.select(F.col("id").alias("_id"), "conformance")
-    return (
-        out.join(conf, out["license"] == conf["_id"], "left")
-        .drop("_id")
-        .withColumn("conformance", F.coalesce("conformance", F.lit(NOT_FOUND)))
+        F.when(filled(lid), F.col("_by_id")),
+        F.when(filled(title), F.coalesce("_by_title_id", "_by_title")),
+        F.when(filled(url), F.col("_by_url")),
+        _some(lid),
+        _some(title),
+        url,
     )
+    out = out.select("_kt", "_ki", "_ku", mapped.alias("license"))
+    conf = registry.select(F.col("id").alias("_id"), F.col("conformance").alias("_c"))
+    out = out.join(conf, out["license"] == conf["_id"], "left")
+    return out.select("_kt", "_ki", "_ku", "license", F.coalesce("_c", F.lit(NOT_FOUND)).alias("conformance"))

@@ -108,7 +108,8 @@ def resources(dcat: DataFrame) -> DataFrame:
     )
     rows = dcat.select("md5", F.array_sort(placed).alias("rs"))
     first = F.filter("rs", lambda r, i: (i == 0) | (r["uri"] != F.get(F.col("rs"), i - 1)["uri"]))
-    return rows.select("md5", F.inline(first)).select("uri", "md5", "r.*")
+    # the outer form: Spark would repeat the whole mapping in a filter below the plain one
+    return rows.select("md5", F.inline_outer(first)).where(F.col("uri").isNotNull()).select("uri", "md5", "r.*")
 
 
 def content_rows(dcat: DataFrame, registry=None, extra: list | None = None) -> DataFrame:

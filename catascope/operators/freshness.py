@@ -69,22 +69,31 @@ def accesses(hist: DataFrame, min_history: int = 10) -> DataFrame:
     ).drop("_access", "_modified", "n")
 
 
-def gaps(acc: DataFrame) -> DataFrame:
-    """Days between successive distinct modification dates."""
+def _gap() -> Column:
+    """Days since the next older modification date, null for the first and for repeats."""
     w = W.partitionBy(*KEYS).orderBy("modified")
     days = F.datediff("modified", F.lag("modified").over(w))
-    return acc.select(*KEYS, "modified").withColumn("gap", days).where(F.col("gap") > 0)
+    return F.when(days > 0, days)
 
 
-def last_modified_rates(acc: DataFrame) -> DataFrame:
-    """Changes per day from the ages at the accesses: the plain and the improved estimate."""
+def gaps(acc: DataFrame) -> DataFrame:
+    """Days between successive distinct modification dates."""
+    return acc.select(*KEYS, "modified").withColumn("gap", _gap()).where(F.col("gap").isNotNull())
+
+
+def _rate_aggregates() -> list[Column]:
     hit = F.col("age_days") < F.col("interval_days")
-    base = acc.groupBy(*KEYS).agg(
+    return [
         F.count(F.lit(1)).alias("accesses"),
         F.sum(hit.cast("int")).alias("changes"),
         F.sum(F.least("age_days", "interval_days")).alias("observed"),
         F.max_by("modified", "snapshot").alias("last_modified"),
-    )
+    ]
+
+
+def last_modified_rates(acc: DataFrame) -> DataFrame:
+    """Changes per day from the ages at the accesses: the plain and the improved estimate."""
+    base = acc.groupBy(*KEYS).agg(*_rate_aggregates())
     return base.withColumns({"rate_naive": naive_rate(), "rate_improved": improved_rate()})
 
 
@@ -146,22 +155,26 @@ def gap_distribution(acc: DataFrame, rates: DataFrame, snapshot: int) -> DataFra
 
 def _states(acc: DataFrame) -> DataFrame:
     w = _in_order()
-    return acc.select(*KEYS, "snapshot", "modified", "changed").withColumns(
-        {"c1": F.lag("changed", 1).over(w), "c2": F.lag("changed", 2).over(w)}
-    )
+    return acc.withColumns({"c1": F.lag("changed", 1).over(w), "c2": F.lag("changed", 2).over(w)})
 
 
-def markov_counts(acc: DataFrame) -> DataFrame:
-    """Transition counts of the chains of order 1 and 2 and the last flags."""
+def _markov_aggregates() -> list[Column]:
     c, p, pp = F.col("changed"), F.col("c1"), F.col("c2")
     one = {f"n{a}{b}": F.count_if((p == a) & (c == b)) for a in (0, 1) for b in (0, 1)}
     two = {f"n{a}{b}{d}": F.count_if((pp == a) & (p == b) & (c == d)) for a in (0, 1) for b in (0, 1) for d in (0, 1)}
-    return _states(acc).groupBy(*KEYS).agg(
-        *[v.alias(k) for k, v in (one | two).items()],
-        F.max_by("changed", "snapshot").alias("last1"),
-        F.max_by(F.col("c1"), F.col("snapshot")).alias("last2"),
-        F.max_by("modified", "snapshot").alias("last_modified"),
-    )
+    last = F.max_by(c * 2 + F.coalesce(p, F.lit(0)), F.col("snapshot"))
+    return [v.alias(k) for k, v in (one | two).items()] + [last.alias("_last")]
+
+
+def _with_last(rows: DataFrame) -> DataFrame:
+    """The last two flags, carried as one number so that the sums stay in a hash aggregate."""
+    return rows.withColumns({"last1": F.floor(F.col("_last") / 2).cast("int"), "last2": F.col("_last") % 2}).drop("_last")
+
+
+def markov_counts(acc: DataFrame) -> DataFrame:
+    """Transition counts of the chains of order 1 and 2 and the last flags."""
+    rows = _states(acc).groupBy(*KEYS).agg(*_markov_aggregates(), F.max_by("modified", "snapshot").alias("last_modified"))
+    return _with_last(rows)
 
 
 def _still(state: str) -> Column:
@@ -279,32 +292,46 @@ def smoothing(acc: DataFrame, alpha: float = 0.5) -> DataFrame:
     return g.groupBy(*KEYS).agg(F.sum(weight * gap).alias("smoothed"))
 
 
+def _features(acc: DataFrame) -> DataFrame:
+    """Accesses with everything the estimators add up, on the one partitioning by key."""
+    whole = _in_order().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return _states(acc).withColumn("newest", F.last("modified").over(whole)).withColumn("gap", _gap())
+
+
 def recrawl_interval(acc: DataFrame, q: float = 0.5) -> DataFrame:
     """When to look again at confidence q, by Poisson, by the gaps and by the chains."""
-    rates = last_modified_rates(acc)
-    mu = 1 / F.col("rate_naive")
-    base = rates.select(*KEYS, poisson_quantile(F.lit(q), mu).alias("poisson_days"))
-    emp = gaps(acc).groupBy(*KEYS).agg(F.percentile("gap", q).alias("gap_days"))
-    chain = markov_counts(acc).select(
-        *KEYS, markov_quantile(1, q).alias("markov1_weeks"), markov_quantile(2, q).alias("markov2_weeks")
+    rows = _features(acc).groupBy(*KEYS).agg(
+        *_rate_aggregates(), *_markov_aggregates(), F.percentile("gap", q).alias("gap_days")
+    )
+    rows = _with_last(rows).withColumn("mu", 1 / naive_rate())
+    return rows.select(
+        *KEYS,
+        poisson_quantile(F.lit(q), F.col("mu")).alias("poisson_days"),
+        "gap_days",
+        markov_quantile(1, q).alias("markov1_weeks"),
+        markov_quantile(2, q).alias("markov2_weeks"),
     )
-    return base.join(emp, KEYS, "left").join(chain, KEYS, "left")
 
 
 def scores(hist: DataFrame, snapshot: int, min_history: int = 10) -> DataFrame:
     """Probability that a resource has changed since its last known modification, by five
-    estimates per source."""
-    acc = accesses(hist, min_history)
-    rates = last_modified_rates(acc)
-    age = days_since(F.lit(snapshot))
-    base = rates.select(
+    estimates per source. One shuffle: windows and sums share the partitioning by key."""
+    age = F.datediff(thursday_of(F.lit(snapshot)), F.col("newest"))
+    known = F.count("gap")
+    emp = F.when(known > 0, F.count_if(F.col("gap") <= age) / known)
+    rows = _features(accesses(hist, min_history)).groupBy(*KEYS).agg(
+        *_rate_aggregates(), *_markov_aggregates(), emp.alias("emp_dist")
+    )
+    rows = _with_last(rows).withColumns({"rate_naive": naive_rate(), "rate_improved": improved_rate(), "age": days_since(F.lit(snapshot))})
+    rows = rows.withColumn("weeks", F.greatest(F.round(F.col("age") / 7.0).cast("int"), F.lit(1)))
+    return rows.select(
         *KEYS,
-        poisson_cdf(age, 1 / F.col("rate_naive")).alias("cho_naive"),
-        poisson_cdf(age, 1 / F.col("rate_improved")).alias("cho_impr"),
+        poisson_cdf(F.col("age"), 1 / F.col("rate_naive")).alias("cho_naive"),
+        poisson_cdf(F.col("age"), 1 / F.col("rate_improved")).alias("cho_impr"),
+        "emp_dist",
+        markov_cdf(1, F.col("weeks")).alias("mark1"),
+        markov_cdf(2, F.col("weeks")).alias("mark2"),
     )
-    weeks = F.greatest(F.round(age / 7.0).cast("int"), F.lit(1))
-    chain = markov_counts(acc).select(*KEYS, markov_cdf(1, weeks).alias("mark1"), markov_cdf(2, weeks).alias("mark2"))
-    return base.join(gap_distribution(acc, rates, snapshot), KEYS, "left").join(chain, KEYS)
 
 
 ESTIMATES = ["cho_naive", "cho_impr", "emp_dist", "mark1", "mark2"]

@@ -117,9 +117,10 @@ def quality(dcat: DataFrame, metrics: list[str] | None = None, keys: list[str] |
 
 def registered_format_share(dcat: DataFrame, registry: DataFrame) -> DataFrame:
     """Metric cofo against a media type registry table (column token) of any size."""
+    # the outer form: Spark would repeat the whole mapping in a filter below the plain one
     values = _prepared(dcat).select(
-        "md5", F.explode(F.concat("_formats", "_media_type")).alias("v")
-    )
+        "md5", F.explode_outer(F.concat("_formats", "_media_type")).alias("v")
+    ).where(F.col("v").isNotNull())
     counted = values.groupBy("md5", normalise_format(F.col("v")).alias("token")).count()
     known = registry.select(F.col("token").alias("known")).distinct()
     hits = counted.join(known, F.col("token") == F.col("known"), "left")
@@ -130,7 +131,7 @@ def registered_format_share(dcat: DataFrame, registry: DataFrame) -> DataFrame:
 
 def license_conformance(dcat: DataFrame, registry: DataFrame) -> DataFrame:
     """Metrics coli and opli against a license registry table of any size."""
-    nodes = _prepared(dcat).select("md5", F.posexplode("_licenses").alias("pos", "n"))
+    nodes = _prepared(dcat).select("md5", F.posexplode_outer("_licenses").alias("pos", "n")).where(F.col("n").isNotNull())
     flat = nodes.select("md5", "pos", F.col("n.label").alias("title"), F.col("n.identifier").alias("lid"), F.col("n.ref").alias("url"))
     mapped = map_licenses(flat, registry, "title", "lid", "url")
     return mapped.groupBy("md5").agg(
@@ -141,7 +142,8 @@ def license_conformance(dcat: DataFrame, registry: DataFrame) -> DataFrame:
 
 def element_counts(dcat: DataFrame, values: Column) -> DataFrame:
     """Number of occurrences of every distinct value."""
-    return dcat.select(F.explode(values).alias("value")).groupBy("value").count()
+    each = dcat.select(F.explode_outer(values).alias("value")).where(F.col("value").isNotNull())
+    return each.groupBy("value").count()
 
 
 def as_number(metric: str) -> Column:

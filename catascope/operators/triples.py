@@ -108,7 +108,7 @@ def dcat_triples(dcat: DataFrame, keys: list[str] | None = None, portal_uri: str
     groups.append(F.flatten(F.transform(F.col("distributions"), dist)))
     every = F.concat(*[g.cast(TRIPLE) for g in groups])
     rows = F.array_distinct(F.filter(every, lambda t: t["o"].isNotNull() & t["s"].isNotNull()))
-    return dcat.select(*(keys or []), F.inline(rows))
+    return dcat.select(*(keys or []), F.inline_outer(rows)).where(F.col("s").isNotNull())
 
 
 def _term(kind: Column, value: Column, o_type: Column) -> Column:

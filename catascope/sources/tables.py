@@ -35,13 +35,15 @@ def read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame
 def new_content(records: DataFrame, stored: DataFrame | None) -> DataFrame:
     """One record per content hash that is not stored yet.
 
-    Mapping and scoring run on these rows only. Copies are reduced on the map side.
+    Mapping and scoring run on these rows only. The choice is made on keys alone: copies
+    collapse on the map side, known hashes drop out, and only then are the documents of the
+    chosen records fetched.
     """
-    rest = [c for c in records.columns if c != "md5"]
-    rows = records.where(F.col("md5").isNotNull()).groupBy("md5").agg(
-        F.min_by(F.struct(*rest), F.struct("snapshot", "portalid", "id")).alias("r")
-    ).select("md5", "r.*")
-    return rows if stored is None else rows.join(stored.select("md5"), "md5", "left_anti")
+    key = ["snapshot", "portalid", "id"]
+    first = records.where(F.col("md5").isNotNull()).groupBy("md5").agg(F.min(F.struct(*key)).alias("k"))
+    if stored is not None:
+        first = first.join(stored.select("md5"), "md5", "left_anti")
+    return records.join(first.select("md5", "k.*"), ["md5", *key], "left_semi")
 
 
 def without_partial(table: DataFrame, portals: DataFrame, runs: DataFrame, snapshot: int) -> DataFrame:
