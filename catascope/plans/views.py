@@ -49,15 +49,15 @@ select md5, content_no,
 from (select distinct md5, content_no from v_dataset) c"""
 
 VIEWS["v_metaresource"] = """
-select distinct url as uri, md5, (url like 'https://%') as valid,
+select url as uri, md5, (url like 'https://%') as valid,
   case page_id % 6 when 0 then 'csv' when 1 then 'json' when 2 then 'pdf' when 3 then 'xlsx' when 4 then 'html' else null end as format,
   case page_id % 6 when 0 then 'text/csv' when 1 then 'application/json' when 2 then 'application/pdf' else null end as media,
   case when page_id % 5 = 0 then null else cast(length(html) as bigint) end as size,
   cast(date '2023-12-01' + cast(page_id % 60 as int) as timestamp) as modified
-from (
+from (select distinct md5, pid from (
   select md5, content_no % (select count(*) from pages) as pid from v_content
   union all select md5, (content_no * 7 + 3) % (select count(*) from pages) from v_content
-  union all select md5, (content_no * 13 + 5) % (select count(*) from pages) from v_content) k
+  union all select md5, (content_no * 13 + 5) % (select count(*) from pages) from v_content) k) d
 join pages on page_id = pid"""
 
 VIEWS["v_datasetquality"] = """
