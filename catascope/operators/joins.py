@@ -23,6 +23,33 @@ def scope(df: DataFrame, snapshot: int | None = None, portalid: str | None = Non
     return df
 
 
+def portals(table: DataFrame, software: str | None = None, iso: str | None = None, active: bool | None = None) -> DataFrame:
+    for name, wanted in (("software", software), ("iso", iso), ("active", active)):
+        if wanted is not None:
+            table = table.where(F.col(name) == wanted)
+    return table
+
+
+def snapshots(runs: DataFrame, portalid: str | None = None) -> DataFrame:
+    return scope(runs, portalid=portalid).select("portalid", "snapshot").distinct()
+
+
+def datasets(table: DataFrame, snapshot: int | None = None, portalid: str | None = None) -> DataFrame:
+    """Datasets of a portal and snapshot; a stored table reads only that week."""
+    return scope(table, snapshot, portalid).select("portalid", "snapshot", "id", "organisation", "title", "md5")
+
+
+def id_union(table: DataFrame, *snapshots_: int) -> DataFrame:
+    """Ids that occur in any of the snapshots."""
+    return table.where(F.col("snapshot").isin(*snapshots_)).select("portalid", "id").distinct()
+
+
+def id_difference(table: DataFrame, current: int, previous: int) -> DataFrame:
+    """Ids of one snapshot that the other does not have."""
+    ids = lambda sn: scope(table, sn).select("portalid", "id")
+    return ids(current).join(ids(previous), ["portalid", "id"], "left_anti")
+
+
 def weights(datasets: DataFrame, *by: str) -> DataFrame:
     """Occurrences w of every content per group: the small form of the dataset side.
 

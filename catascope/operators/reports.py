@@ -103,20 +103,20 @@ def organisation_contacts(datasets: DataFrame, contacts: DataFrame) -> DataFrame
     )
 
 
-def _looked_up(resources: DataFrame, lookups: DataFrame) -> DataFrame:
-    """Resources of the contents with the status of their lookup in every snapshot."""
-    return resources.select("md5", "uri").join(lookups.select("uri", "snapshot", "status"), "uri")
-
-
 def organisation_report(datasets: DataFrame, contacts: DataFrame, quality: DataFrame, resources: DataFrame, lookups: DataFrame) -> DataFrame:
     """Per organisation and contact: datasets, failing metrics and lookups by status.
 
-    Statuses are counted per content and snapshot first; only those counts meet the datasets.
+    Statuses are counted once per content and week it was in use; only those counts meet the
+    datasets.
     """
     by = ["portalid", "snapshot", "organisation", "contact_to"]
     per_content = failing_metrics(quality).groupBy("md5").agg(F.count(F.lit(1)).alias("failing"))
+    owned = datasets.join(contacts.where(F.col("contact_to").isNotNull()).select("md5", "contact_to"), "md5")
+    weights = owned.groupBy(*by, "md5").agg(F.count(F.lit(1)).alias("w"))
     status = (
-        _looked_up(resources, lookups)
+        weights.select("md5", "snapshot").distinct()
+        .join(resources.select("md5", "uri"), "md5")
+        .join(lookups.select("uri", "snapshot", "status"), ["uri", "snapshot"])
         .groupBy("md5", "snapshot")
         .agg(
             F.count(F.lit(1)).alias("lookups"),
@@ -124,8 +124,6 @@ def organisation_report(datasets: DataFrame, contacts: DataFrame, quality: DataF
             F.count_if(F.col("status") == 404).alias("missing"),
         )
     )
-    owned = datasets.join(contacts.where(F.col("contact_to").isNotNull()).select("md5", "contact_to"), "md5")
-    weights = owned.groupBy(*by, "md5").agg(F.count(F.lit(1)).alias("w"))
     w = F.col("w")
     rows = (
         weights.join(quality.select("md5"), "md5", "left_semi")

@@ -120,11 +120,10 @@ def previous_value(rows: DataFrame, keys: list[str], order: list[str], value: st
     b = rows.withColumn("_b", bucket)
     inside = W.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     b = b.withColumn("_near", F.last(value, ignorenulls=True).over(inside))
-    known = F.col(value).isNotNull()
-    lasts = b.where(known).groupBy(*keys, "_b").agg(F.max_by(value, F.struct(*order)).alias("_last"))
-    every = b.select(*keys, "_b").distinct().join(lasts, [*keys, "_b"], "left")
+    known = F.when(F.col(value).isNotNull(), F.struct(*order))
+    lasts = b.groupBy(*keys, "_b").agg(F.max_by(value, known).alias("_last"))
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    carried = every.withColumn("_far", F.last("_last", ignorenulls=True).over(before)).drop("_last")
+    carried = lasts.withColumn("_far", F.last("_last", ignorenulls=True).over(before)).drop("_last")
     out = b.join(carried, [*keys, "_b"], "left")
     return out.withColumn(name, F.coalesce("_near", "_far")).drop("_b", "_near", "_far")
 

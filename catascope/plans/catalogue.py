@@ -571,3 +571,57 @@ from v_dataset where organisation is not null""")
 def organisation_links(c: Catalogue):
     return so.organisation_links(c.dataset, "http://example.org")
 
+
+
+@query("portal_list", "select id, uri, iso from v_portal where software = 'CKAN' and active")
+def portal_list(c: Catalogue):
+    return jo.portals(c.portal, software="CKAN", active=True).select("id", "uri", "iso")
+
+
+@query("portal_snapshots", "select distinct portalid, snapshot from v_portalsnapshot")
+def portal_snapshots(c: Catalogue):
+    return jo.snapshots(c.portalsnapshot)
+
+
+@query("dataset_list", "select portalid, snapshot, id, organisation, title, md5 from v_dataset")
+def dataset_list(c: Catalogue):
+    return jo.datasets(c.dataset)
+
+
+@query("id_union", "select distinct portalid, id from v_dataset where snapshot in (2404, 2405)")
+def id_union(c: Catalogue):
+    return jo.id_union(c.dataset, 2404, 2405)
+
+
+@query("id_difference", "select portalid, id from v_dataset where snapshot = 2404 except select portalid, id from v_dataset where snapshot = 2405")
+def id_difference(c: Catalogue):
+    return jo.id_difference(c.dataset, 2404, 2405)
+
+
+@query("largest_organisations", """
+select organisation, count(*) as count from v_dataset where snapshot = 2403 group by organisation order by count desc, organisation asc nulls first limit 10""")
+def largest_organisations(c: Catalogue):
+    rows = sa.organisation_dist(c.dataset, ("snapshot",), snapshot=2403).select("organisation", "count")
+    return rows.orderBy(F.desc("count"), F.asc_nulls_first("organisation")).limit(10)
+
+
+@query("status_dist_ordered", f"select d.snapshot, r.status, count(*) as count from {RI} where d.portalid = 'NATION_3' group by all order by count desc, status")
+def status_dist_ordered(c: Catalogue):
+    return sa.status_dist(c.dataset, c.metaresource, c.resourceinfo, portalid="NATION_3", ordered=True)
+
+
+@query("as_of_quality", """
+with a as (select portalid, id, max(snapshot) as snapshot, max_by(md5, snapshot) as md5 from v_dataset where snapshot <= 2402 group by portalid, id)
+select a.portalid, a.id, a.snapshot, q.* from a join v_datasetquality q on q.md5 = a.md5""")
+def as_of_quality(c: Catalogue):
+    found = tt.as_of(c.dataset, 2402).select("portalid", "id", "snapshot", "md5")
+    return found.join(c.datasetquality, "md5")
+
+
+@query("resources_by_size", """
+select portalid, snapshot, count(*) as resources, count(*) filter (where size > 0 and size <= 5000) as known_small from v_dataset d join v_metaresource m on m.md5 = d.md5 where size <= 5000 or size is null group by all""")
+def resources_by_size(c: Catalogue):
+    rows = jo.meta_resources(c.dataset, c.metaresource, max_size=5000)
+    return rows.groupBy("portalid", "snapshot").agg(
+        F.count(F.lit(1)).alias("resources"), F.count_if((F.col("size") > 0) & (F.col("size") <= 5000)).alias("known_small")
+    )

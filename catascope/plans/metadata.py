@@ -439,7 +439,18 @@ def quality_measures(c: Catalogue):
     return _measures(c).select("dataset", "snapshot", "metric", "value", "measure")
 
 
-@query("measure_triples")
+@query("measure_triples", f"""
+with m as (select dataset, snapshot, metric, value, concat('_:', sha1(concat('<', dataset, '>', cast(snapshot as varchar), '<', metric, '>', coalesce(value, 'None')))) as measure,
+  concat('urn:catascope:harvest/', cast(snapshot as varchar)) as act from ({_measure_sql()}) x)
+select measure as s, '{tr.DQV}isMeasurementOf' as p, metric as o, 'uri' as o_kind, cast(null as varchar) as o_type from m
+union all select measure, '{tr.DQV}value', coalesce(value, 'None'), 'literal', null from m
+union all select dataset, '{tr.DQV}hasQualityMeasurement', measure, 'bnode', null from m
+union all select measure, '{tr.TYPE}', '{tr.DQV}QualityMeasurement', 'uri', null from m
+union all select measure, '{tr.DQV}computedOn', dataset, 'uri', null from m
+union all select measure, '{tr.TYPE}', '{tr.PROV}Entity', 'uri', null from m
+union all select measure, '{tr.PROV}wasDerivedFrom', dataset, 'uri', null from m
+union all select measure, '{tr.PROV}wasGeneratedBy', act, 'uri', null from m
+union all select act, '{tr.PROV}generated', measure, 'bnode', null from m""")
 def measure_triples(c: Catalogue):
     activity = F.concat(F.lit("urn:catascope:harvest/"), F.col("snapshot").cast("string"))
     return tr.measure_triples(_measures(c).withColumn("activity", activity), "activity")
@@ -451,3 +462,19 @@ from (select portalid, snapshot, unnest(case when end_ts is null then [1, 2, 3]
 def harvest_provenance(c: Catalogue):
     rows = tr.harvest_provenance(c.portalsnapshot)
     return rows.groupBy("portalid", "snapshot", "s").agg(F.count(F.lit(1)).alias("triples"))
+
+
+@query("dqv_vocabulary", "select count(*) as measures, count(distinct metric) as metrics from (" + _measure_sql() + ") x")
+def dqv_vocabulary(c: Catalogue):
+    """Every exported measure refers to a metric of the vocabulary."""
+    metrics = tr.vocabulary(c.spark).where(F.col("o") == tr.DQV + "Metric").select(F.col("s").alias("metric"))
+    used = _measures(c).join(metrics, "metric", "left_semi")
+    return used.agg(F.count(F.lit(1)).alias("measures"), F.countDistinct("metric").alias("metrics"))
+
+
+@query("week_provenance", """
+select snapshot, concat('urn:catascope:csvw/', cast(snapshot as varchar)) as s, 'http://www.w3.org/ns/prov#startedAtTime' as p, cast(cast(date_trunc('week', make_date(2000 + snapshot // 100, 1, 4)) as date) + (snapshot % 100 - 1) * 7 as varchar) as o
+from (select distinct snapshot from v_event_sn) w""")
+def week_provenance(c: Catalogue):
+    rows = tr.week_provenance(c.event_sn.select("snapshot").distinct())
+    return rows.where(F.col("p").endswith("startedAtTime")).select("snapshot", "s", "p", "o")
