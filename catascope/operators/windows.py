@@ -110,29 +110,49 @@ def dense_number(rows: DataFrame, keys: list[str], unique: str, buckets: int = 2
     return b.join(offsets, [*keys, "_b"]).withColumn("number", F.col("_before") + F.col("_i")).drop("_b", "_i", "_before")
 
 
-def previous_value(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str, bucket: Column) -> DataFrame:
-    """Latest non-null value before each row of its key, exact and without one task per key.
+HOT_SHARE = 100_000
 
-    bucket is a coarse form of the order (an hour, a week). Inside a bucket a window looks
-    back; what no row of the same bucket knows comes from the last value of the buckets
-    before, of which a key has few.
+
+def hot_keys(rows: DataFrame, keys: list[str], at_least: int) -> DataFrame:
+    """Keys with more than at_least rows and more than 1/HOT_SHARE of all rows.
+
+    There can be at most HOT_SHARE of them whatever the table's size, so they may be broadcast.
     """
-    b = rows.withColumn("_b", bucket)
-    inside = W.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    b = b.withColumn("_near", F.last(value, ignorenulls=True).over(inside))
-    known = F.when(F.col(value).isNotNull(), F.struct(*order))
-    lasts = b.groupBy(*keys, "_b").agg(F.max_by(value, known).alias("_last"))
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    return counts.where((F.col("_n") > at_least) & (F.col("_n") * HOT_SHARE > total)).select(*keys)
+
+
+def previous_value(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str, bucket: Column, hot_rows: int = 100_000) -> DataFrame:
+    """Latest non-null value before each row of its key, exact and without a task per hot key.
+
+    The rows of a hot key are cut into buckets, a coarse form of the order (an hour): inside a
+    bucket a window looks back; what no row of the bucket knows comes from the last value of
+    the buckets before, of which a key has few. The other keys are one group each.
+    """
+    hot = F.broadcast(hot_keys(rows, keys, hot_rows).withColumn("_hot", F.lit(True)))
+    inside = W.partitionBy(*keys, "_b").orderBy(*order)
+    b = rows.join(hot, keys, "left").withColumn("_b", F.when(F.col("_hot"), bucket)).drop("_hot")
+    b = b.withColumns(
+        {
+            "_near": F.last(value, ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, -1)),
+            "_more": F.lead(F.lit(True)).over(inside),
+        }
+    )
+    # the last row of a bucket knows the bucket's last value: no second aggregation
+    lasts = b.where(F.col("_b").isNotNull() & F.col("_more").isNull())
+    lasts = lasts.select(*keys, "_b", F.coalesce(value, "_near").alias("_last"))
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    carried = lasts.withColumn("_far", F.last("_last", ignorenulls=True).over(before)).drop("_last")
+    carried = lasts.select(*keys, "_b", F.last("_last", ignorenulls=True).over(before).alias("_far"))
     out = b.join(carried, [*keys, "_b"], "left")
-    return out.withColumn(name, F.coalesce("_near", "_far")).drop("_b", "_near", "_far")
+    return out.withColumn(name, F.coalesce("_near", "_far")).drop("_b", "_near", "_far", "_more")
 
 
-def content_changed(crawllog: DataFrame, bucket: Column | None = None) -> DataFrame:
+def content_changed(crawllog: DataFrame, order: tuple[str, ...] = ("timestamp", "event_id"), bucket: Column | None = None, hot_rows: int = 100_000) -> DataFrame:
     """-1 without content, 0 same digest as the last success, 1 changed or first."""
     bucket = F.date_trunc("hour", F.col("timestamp")) if bucket is None else bucket
     ok = F.col("status") == 200
     rows = crawllog.withColumn("_ok_digest", F.when(ok, F.col("digest")))
-    rows = previous_value(rows, ["uri"], ["timestamp", "event_id"], "_ok_digest", "last_digest", bucket)
+    rows = previous_value(rows, ["uri"], list(order), "_ok_digest", "last_digest", bucket, hot_rows)
     flag = F.when(~ok, -1).when(F.col("last_digest") == F.col("digest"), 0).otherwise(1)
     return rows.withColumn("contentchanged", flag.cast("int")).drop("_ok_digest")

@@ -101,7 +101,7 @@ def rates_since_start(rates: DataFrame, seconds: int = 3600) -> DataFrame:
     )
 
 
-def changed_flags(log: DataFrame, path: str):
+def changed_flags(log: DataFrame, path: str, hot_rows: int = 100_000):
     """Content-changed flag of every result, against all results before it.
 
     Inside a micro-batch the flags come from the two-level window of the batch form. Only the
@@ -112,18 +112,19 @@ def changed_flags(log: DataFrame, path: str):
     def flag(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         state = _state(spark, path, number)
-        rows = batch.withColumn("_old", F.lit(False))
+        rows = batch.withColumn("_new", F.lit(1))
         if state is not None:
             seeds = state.join(batch.select("uri").distinct(), "uri", "left_semi")
             seeds = seeds.select(
-                "uri", "timestamp", "digest", F.lit(200).alias("status"), F.lit(-1).cast("bigint").alias("event_id"), F.lit(True).alias("_old")
+                "uri", "timestamp", "digest", F.lit(200).alias("status"), F.lit(-1).cast("bigint").alias("event_id"), F.lit(0).alias("_new")
             )
             rows = rows.unionByName(seeds, allowMissingColumns=True)
         # what was seen before sorts before everything in the batch
-        bucket = F.when(F.col("_old"), F.lit("1900-01-01").cast("timestamp")).otherwise(
+        bucket = F.when(F.col("_new") == 0, F.lit("1900-01-01").cast("timestamp")).otherwise(
             F.date_trunc("hour", F.col("timestamp").cast("timestamp"))
         )
-        done = content_changed(rows, bucket).where(~F.col("_old")).drop("_old", "last_digest")
+        flagged = content_changed(rows, ("_new", "timestamp", "event_id"), bucket, hot_rows)
+        done = flagged.where(F.col("_new") == 1).drop("_new", "last_digest")
         done.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
         ok = batch.where(F.col("status") == 200).select("uri", "timestamp", "event_id", "digest")
         if state is not None:

@@ -80,7 +80,8 @@ def test_index_of_known_ratios(spark):
         assert spark.range(1).select(dy.index_of(col)).first()[0] == want
 
 
-def test_previous_value_with_a_hot_key(spark):
+@pytest.mark.parametrize("hot_rows", [100, 100_000])
+def test_previous_value_with_a_hot_key(spark, hot_rows):
     rng = random.Random(5)
     start = dt.datetime(2024, 1, 1)
     rows = []
@@ -90,7 +91,7 @@ def test_previous_value_with_a_hot_key(spark):
         status = rng.choice([200, 200, 404])
         rows.append((uri, when, i, status, f"c{rng.randint(0, 2)}" if status == 200 else None))
     df = spark.createDataFrame(rows, "uri string, timestamp timestamp, event_id bigint, status int, digest string")
-    got = {r.event_id: r.contentchanged for r in wi.content_changed(df).collect()}
+    got = {r.event_id: r.contentchanged for r in wi.content_changed(df, hot_rows=hot_rows).collect()}
     last, want = {}, {}
     for uri, _, i, status, digest in sorted(rows, key=lambda r: (r[1], r[2])):
         want[i] = -1 if status != 200 else int(last.get(uri) != digest)
@@ -99,6 +100,11 @@ def test_previous_value_with_a_hot_key(spark):
     assert got == want
 
 
+def test_hot_keys_are_few(spark):
+    rows = spark.range(1000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
+    assert [r.k for r in wi.hot_keys(rows, ["k"], 10).collect()] == ["hot"]
+
+
 def test_numbers_are_dense_within_a_hot_domain(spark):
     uris = [(f"http://{'hot' if i % 3 else f'd{i % 20}'}.org/{i}",) for i in range(2000)]
     rows = wi.crawl_waves(spark.createDataFrame(uris, "uri string"), delay_seconds=5)

@@ -32,10 +32,11 @@ def stream(spark, path):
     return cl.read_log(spark, path, max_files=1)
 
 
-def test_changed_flags(spark, log):
+@pytest.mark.parametrize("hot_rows", [20, 100_000])
+def test_changed_flags(spark, log, hot_rows):
     path, batch = log
     out = scratch(spark, "flags")
-    query = cl.changed_flags(stream(spark, path), out)
+    query = cl.changed_flags(stream(spark, path), out, hot_rows)
     query.awaitTermination()
     assert len(query.recentProgress) >= 6
     got = {r.event_id: r.contentchanged for r in spark.read.parquet(out + "/data").collect()}
