@@ -225,8 +225,9 @@ def evolution(runs: DataFrame, quality: DataFrame, portalid: str | None = None)
     return scope(runs, portalid=portalid).join(quality, ["portalid", "snapshot"], "left")
 
 
-def lookup_history(lookups: DataFrame, uri: str) -> DataFrame:
-    return lookups.where(F.col("uri") == uri)
+def lookup_history(lookups: DataFrame, uri: str | None = None) -> DataFrame:
+    """Lookups over all snapshots, of one uri or of every one."""
+    return lookups if uri is None else lookups.where(F.col("uri") == uri)
 
 
 def link_check(datasets: DataFrame, resources: DataFrame, lookups: DataFrame, portals: DataFrame, snapshot=None, portalid=None, organisation=None) -> DataFrame:

@@ -93,18 +93,32 @@ EXTRA: dict[str, Callable[[], Column]] = {
 }
 
 
+_BUILT: dict[str, dict[str, Column]] = {}
+
+
+def _columns(dcat: DataFrame, name: str, build: Callable[[], Column]) -> Column:
+    """A column without a DataFrame of its own, built once per application."""
+    app = dcat.sparkSession.sparkContext.applicationId
+    if app not in _BUILT:
+        _BUILT.clear()
+        _BUILT[app] = {}
+    made = _BUILT[app]
+    if name not in made:
+        made[name] = build()
+    return made[name]
+
+
+def _mapped_licenses() -> Column:
+    return F.transform("_licenses", lambda n: map_license(n["label"], n["identifier"], n["ref"])["conformance"])
+
+
 def _prepared(dcat: DataFrame) -> DataFrame:
     """Distribution values are pulled out once; the metrics share them."""
     plain = ["access_url", "download_url", "title", "description", "media_type", "byte_size", "issued", "modified"]
-    rows = dcat.withColumns(
-        {
-            **{"_" + n: a.distribution_values(n) for n in plain},
-            "_formats": a.distribution_formats(),
-            "_licenses": a.license_nodes(),
-        }
-    )
-    mapped = F.transform("_licenses", lambda n: map_license(n["label"], n["identifier"], n["ref"])["conformance"])
-    return rows.withColumn("_conformance", mapped)
+    parts: dict[str, Callable[[], Column]] = {"_" + n: (lambda n=n: a.distribution_values(n)) for n in plain}
+    parts |= {"_formats": a.distribution_formats, "_licenses": a.license_nodes}
+    rows = dcat.withColumns({n: _columns(dcat, n, build) for n, build in parts.items()})
+    return rows.withColumn("_conformance", _columns(dcat, "_conformance", _mapped_licenses))
 
 
 def quality(dcat: DataFrame, metrics: list[str] | None = None, keys: list[str] | None = None, extra: bool = False) -> DataFrame:
@@ -112,7 +126,7 @@ def quality(dcat: DataFrame, metrics: list[str] | None = None, keys: list[str] |
     chosen = {**METRICS, **EXTRA} if extra else METRICS
     names = [m.lower() for m in metrics] if metrics else list(chosen)
     rows = _prepared(dcat)
-    return rows.select(*(keys or ["md5"]), *[chosen[n]().alias(n) for n in names])
+    return rows.select(*(keys or ["md5"]), *[_columns(dcat, "metric " + n, chosen[n]).alias(n) for n in names])
 
 
 def registered_format_share(dcat: DataFrame, registry: DataFrame) -> DataFrame:

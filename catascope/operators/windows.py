@@ -83,20 +83,20 @@ def crawl_waves(seeds: DataFrame, seen: DataFrame | None = None, delay_seconds:
 
     Every uri of a domain needs its own number, so the numbers are dealt in two levels: a uri
     is numbered inside a hash bucket of its domain, and the buckets are laid one after the
-    other. A domain that holds a third of all uris is spread over 256 tasks.
+    other. A domain that holds a third of all uris is spread over 1024 groups.
     """
     todo = seeds.select("uri").distinct()
     if seen is not None:
         todo = todo.join(seen.select("uri").distinct(), "uri", "left_anti")
     rows = todo.select("uri", domain(F.col("uri")).alias("domain"))
-    numbered = dense_number(rows, ["domain"], "uri", buckets=256)
+    numbered = dense_number(rows, ["domain"], "uri")
     return numbered.select(
         "domain", "uri", F.col("number").cast("bigint").alias("wave"),
         ((F.col("number") - 1) * delay_seconds).cast("bigint").alias("earliest_start"),
     )
 
 
-def dense_number(rows: DataFrame, keys: list[str], unique: str, buckets: int = 256) -> DataFrame:
+def dense_number(rows: DataFrame, keys: list[str], unique: str, buckets: int = 1024) -> DataFrame:
     """Numbers 1..n within each key without bringing a key into one task.
 
     The order is by hash bucket, then by the unique column.

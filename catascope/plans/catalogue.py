@@ -268,10 +268,9 @@ def evolution(c: Catalogue):
     return jo.evolution(c.portalsnapshot, portal_quality(c)).select("portalid", "snapshot", "datasetcount", "resourcecount", "exri", "opma")
 
 
-@query("lookup_history", "select uri, snapshot, status, timestamp from v_resourceinfo where uri = (select min(url) from pages)")
+@query("lookup_history", "select uri, snapshot, status, timestamp from v_resourceinfo order by uri, snapshot")
 def lookup_history(c: Catalogue):
-    first = c.table("pages").groupBy().agg(F.min("url").alias("uri"))
-    return c.resourceinfo.join(first, "uri", "left_semi").select("uri", "snapshot", "status", "timestamp")
+    return jo.lookup_history(c.resourceinfo).select("uri", "snapshot", "status", "timestamp").orderBy("uri", "snapshot")
 
 
 LINK_SQL = f"""
@@ -605,9 +604,9 @@ def largest_organisations(c: Catalogue):
     return rows.orderBy(F.desc("count"), F.asc_nulls_first("organisation")).limit(10)
 
 
-@query("status_dist_ordered", f"select d.snapshot, r.status, count(*) as count from {RI} where d.portalid = 'NATION_3' group by all order by count desc, status")
+@query("status_dist_ordered", f"select d.portalid, d.snapshot, r.status, count(*) as count from {RI} group by all order by count desc, portalid, snapshot, status")
 def status_dist_ordered(c: Catalogue):
-    return sa.status_dist(c.dataset, c.metaresource, c.resourceinfo, portalid="NATION_3", ordered=True)
+    return sa.status_dist(c.dataset, c.metaresource, c.resourceinfo, ("portalid", "snapshot"), ordered=True)
 
 
 @query("as_of_quality", """

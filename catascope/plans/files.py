@@ -216,12 +216,11 @@ def license_registry(c: Catalogue):
     return found.groupBy("license", "conformance").agg(F.count(F.lit(1)).alias("documents"))
 
 
-@query("partitioned_table", "select snapshot, count(*) as datasets, count(distinct id) as ids from v_dataset where snapshot in (2401, 2402) group by snapshot")
+@query("partitioned_table", "select snapshot, count(*) as datasets, count(distinct id) as ids from v_dataset group by snapshot")
 def partitioned_table(c: Catalogue):
-    """Two appends and a repeated week: the week is replaced, not doubled."""
+    """All weeks appended and one week repeated: the week is replaced, not doubled."""
     path = scratch(c.spark, "dataset")
-    tables.append(c.dataset.where("snapshot = 2401"), path)
-    tables.append(c.dataset.where("snapshot = 2402"), path)
+    tables.append(c.dataset, path)
     tables.replace_partitions(c.dataset.where("snapshot = 2402"), path)
     rows = tables.read(c.spark, path)
     return rows.groupBy("snapshot").agg(F.count(F.lit(1)).alias("datasets"), F.countDistinct("id").alias("ids"))
@@ -268,12 +267,12 @@ def triples_export(c: Catalogue):
     return c.spark.read.text(path).groupBy("portalid").agg(F.count(F.lit(1)).alias("lines"))
 
 
-@query("sitemap_export", "select portalid, count(*) as urls from v_dataset where snapshot = 2403 group by portalid")
+@query("sitemap_export", "select portalid, count(*) as urls from v_dataset group by portalid")
 def sitemap_export(c: Catalogue):
     from catascope.operators.schema_org import sitemap
 
     path = scratch(c.spark, "sitemap")
-    sinks.write_sitemap(sitemap(c.dataset.where("snapshot = 2403"), c.content, "http://example.org"), path)
+    sinks.write_sitemap(sitemap(c.dataset, c.content, "http://example.org"), path)
     rows = c.spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string").load(path)
     return rows.groupBy("portalid").agg(F.count(F.lit(1)).alias("urls"))
 
@@ -285,7 +284,7 @@ with w as (select portalid, 2401 as snapshot, count(*) filter (where source <> '
 select portalid, snapshot, cast(added as int) as added, cast(deleted as int) as deleted, cast(updated as int) as updated, cast(static as int) as static, cast(added + updated + static as bigint) as datasetsfetched,
   cast(added + updated + static as int) as scored from w where added + deleted + updated + static > 0""")
 def weekly_harvest(c: Catalogue):
-    """Three weeks of documents through the weekly job, the second one twice."""
+    """Three weeks of documents through the weekly job."""
     from catascope.plans.weekly import Warehouse, harvest
 
     wh = Warehouse(c.spark, scratch(c.spark, "warehouse"))
@@ -297,8 +296,8 @@ def weekly_harvest(c: Catalogue):
         2403: docs.where("source <> 'src2'").withColumn("title", title),
     }
     runs = c.portalsnapshot.select("portalid", "start_ts", "end_ts", F.lit(None).cast("string").alias("exc")).dropDuplicates(["portalid"])
-    for snapshot in (2401, 2402, 2402, 2403):
-        raw = F.coalesce(*[F.when(F.col("software") == s, build()) for s, build in rawdocs.BUILDERS.items()])
+    raw = F.coalesce(*[F.when(F.col("software") == s, build()) for s, build in rawdocs.BUILDERS.items()])
+    for snapshot in weeks:
         harvest(wh, weeks[snapshot].select("portalid", "id", raw.alias("raw")), c.portal, runs, snapshot)
     dynamics = wh.read("dynamics").select("portalid", "snapshot", "added", "deleted", "updated", "static")
     counts = wh.read("runs").select("portalid", "snapshot", "datasetsfetched")
