@@ -113,17 +113,17 @@ def top_n(dist: DataFrame, value: str, n: int = 3, by=("portalid", "snapshot"))
     by = list(by)
     key = F.coalesce(F.col(value), F.lit("missing"))
     rank = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("count"), F.asc_nulls_last(value)))
-    top = dist.withColumn("rank", rank).where(F.col("rank") <= n)
+    best = dist.withColumn("rank", rank).where(F.col("rank") <= n)
+    item = F.struct(key.alias("value"), "count", "rank")
+    top = best.groupBy(*by).agg(F.collect_list(item).alias("items"), F.sum("count").alias("t"))  # at most n each
     totals = dist.groupBy(*by).agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("distinct_values"))
-    rest = (
-        top.groupBy(*by).agg(F.sum("count").alias("t"))
-        .join(totals, by)
-        .where(F.col("total") != F.col("t"))
-        .select(*by, F.lit("Others").alias("value"), (F.col("total") - F.col("t")).alias("count"), F.lit(n + 1).alias("rank"))
-    )
-    rows = top.select(*by, key.alias("value"), "count", "rank").unionByName(rest)
+    rows = top.join(totals, by)
+    rest = F.struct(F.lit("Others").alias("value"), (F.col("total") - F.col("t")).alias("count"), F.lit(n + 1).alias("rank"))
+    every = F.when(F.col("total") != F.col("t"), F.concat("items", F.array(rest))).otherwise(F.col("items"))
     share = F.when(F.col("total") > 0, F.col("count") / F.col("total")).otherwise(F.lit(0.0))
-    return rows.join(totals, by).select(*by, "value", "count", share.alias("perc"), "rank", "distinct_values")
+    return rows.select(*by, "total", "distinct_values", F.inline(every)).select(
+        *by, "value", "count", share.alias("perc"), "rank", "distinct_values"
+    )
 
 
 def format_dist_groupings(datasets: DataFrame, resources: DataFrame, portals: DataFrame, snapshot=None) -> DataFrame:
