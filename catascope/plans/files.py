@@ -295,7 +295,10 @@ def weekly_harvest(c: Catalogue):
         2402: docs.withColumn("title", title),
         2403: docs.where("source <> 'src2'").withColumn("title", title),
     }
-    runs = c.portalsnapshot.select("portalid", "start_ts", "end_ts", F.lit(None).cast("string").alias("exc")).dropDuplicates(["portalid"])
+    never = F.lit(None).cast("timestamp")
+    runs = c.portal.select(
+        F.col("id").alias("portalid"), never.alias("start_ts"), never.alias("end_ts"), F.lit(None).cast("string").alias("exc")
+    )
     raw = F.coalesce(*[F.when(F.col("software") == s, build()) for s, build in rawdocs.BUILDERS.items()])
     for snapshot in weeks:
         harvest(wh, weeks[snapshot].select("portalid", "id", raw.alias("raw")), c.portal, runs, snapshot)
