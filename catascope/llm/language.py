@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catascope.llm.common import bounded_batches, ship, stored
 
@@ -44,7 +45,7 @@ def codes(text: str | None) -> np.ndarray:
     return (x >> np.uint32(32 - 15)).astype(np.int64)
 
 
-@F.arrow_udf("array<struct<feature:int,n:int>>")
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("feature", T.IntegerType()), T.StructField("n", T.IntegerType())])))
 def features(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     kind = pa.list_(pa.struct([("feature", pa.int32()), ("n", pa.int32())]))
     for column in texts:

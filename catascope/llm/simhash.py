@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catascope.llm.common import bounded_batches, ship, stored
 
@@ -38,7 +39,7 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(T.LongType())
 def fingerprints(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for column in texts:
         yield pa.array([fingerprint(t) for t in column.to_pylist()], pa.int64())

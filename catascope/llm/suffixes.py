@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catascope.llm.common import bounded_batches, n_bytes, ship, stored, text_key
 
@@ -87,7 +88,7 @@ def runs_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-@F.arrow_udf("array<long>")
+@F.arrow_udf(T.ArrayType(T.LongType()))
 def run_hashes(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for column in texts:
         out = [runs_of((t or "").encode())[1].view(np.int64) for t in column.to_pylist()]
@@ -268,7 +269,12 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-@F.arrow_udf("struct<n_removed:long,n_spans:long,kept_sha256:string,kept:binary>")
+CUT = T.StructType(
+    [T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())]
+)
+
+
+@F.arrow_udf(CUT)
 def cut(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """The text without its spans."""
     kind = pa.struct([("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])

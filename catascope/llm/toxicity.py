@@ -12,6 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catascope.llm.common import bounded_batches, ship, stored
 
@@ -101,7 +102,7 @@ def describer(odds: dict[str, float], starts: dict[str, float]):
     return describe
 
 
-@F.arrow_udf("array<string>")
+@F.arrow_udf(T.ArrayType(T.StringType()))
 def vocabulary(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Distinct words (=word) and beginnings (^word) of each text."""
     for column in texts:
