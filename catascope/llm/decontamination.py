@@ -106,7 +106,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, ra
     spans = spans.withColumnRenamed("key", "span_key")
     texts = docs.select("doc_id", "text", text_key(F.col("text")).alias("key"))
     same = (texts["key"] == spans["span_key"]) & texts["doc_id"].eqNullSafe(spans["first_id"])
-    cut = texts.join(spans, same).select(
+    # windows grow with the documents: texts move once at every size, not only beyond a broadcast's limit
+    cut = texts.join(spans.hint("shuffle_merge"), same).select(
         "key", "width", "n", "start", F.slice(shingles(F.col("text"), F.col("width")), F.col("start") + 1, F.col("m")).alias("own")
     )
     cut = stored(cut.withColumn("own_fp", fingerprint(F.col("own"))), "window-prints")
