@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,14 +32,15 @@ UNKNOWN_SHARE = 0.01
 ACCEPT = 0.5
 
 UNKNOWN = "und"
+NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: Languages of country suffixes.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "ie": "en", "au": "en", "nz": "en"}
 
 
 def codes(text: str | None) -> np.ndarray:
     """Hashed three-byte features of the whole text: lower-cased letters, everything else one space."""
-    kept = "".join(c if c.isalpha() else " " for c in (text or "").lower())
-    data = np.frombuffer((" " + " ".join(kept.split()) + " ").encode(), np.uint8).astype(np.uint32)
+    kept = NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    data = np.frombuffer(f" {kept} ".encode(), np.uint8).astype(np.uint32) if kept else ()
     if len(data) < 3:
         return np.empty(0, np.int64)
     x = (data[:-2] << 16 | data[1:-1] << 8 | data[2:]) * np.uint32(2654435761)
@@ -65,9 +67,12 @@ def fitted(labelled: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], np.nda
     """
     bounded_batches(labelled.sparkSession)
     labelled = labelled.where("text is not null and lang is not null")
-    counts = labelled.groupBy("lang").count().withColumn("share", F.lit(float(rows)) / F.col("count"))
+    counts = labelled.groupBy("lang").count().collect()  # a row per column of the model
+    if not counts:
+        return [], np.zeros((FEATURES, 1), dtype=np.float32)
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], rows / r["count"])])
     draw = F.pmod(F.xxhash64(F.lit("fit"), "text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.select("text", "lang").join(counts, "lang").where(draw < F.col("share"))
+    sample = labelled.select("text", "lang").where(draw < F.try_element_at(share, F.col("lang")))
     found = sample.select("lang", F.explode(features(F.col("text"))).alias("f"))
     found = found.groupBy("lang", "f.feature").agg(F.sum("f.n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique())
@@ -97,7 +102,7 @@ def text_scorer(table: np.ndarray):
                 out.append((total * min(1.0, EVIDENCE / len(found))).tolist())
             yield pa.array(out, pa.list_(pa.float64()))
 
-    return score
+    return score.asNondeterministic()  # else a filter on the scores computes them a second time
 
 
 def normal(logs: Column) -> Column:
