@@ -175,10 +175,13 @@ def reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read(index: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
     """The records that the given rows of an index point to, payloads of responses included.
 
-    Records of a file are brought together by stretches of `run_bytes`, so a task holds one stretch.
+    Records of a file are brought together by stretches of `run_bytes`, and a task holds one stretch
+    at a time. Tasks are counted by the bytes they read: index rows say too little about those.
     """
+    total = index.agg(F.sum("length").alias("n")).first()["n"] or 0
     stretch = F.floor(F.col("offset") / run_bytes).alias("stretch")
     rows = index.groupBy("file", stretch).agg(F.collect_list(F.struct("offset", "length")).alias("records"))
+    rows = rows.repartition(max(1, -(-total // run_bytes)), "file", "stretch")
     return rows.select("file", "records").mapInArrow(reader, RECORDS)
 
 
