@@ -13,9 +13,13 @@ DATE_SHAPES = [
     (r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}$", "d.M.yyyy"),
     (r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4}( [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2})?$", "d MMM yyyy[ H:m:s]"),
     (r"^[A-Za-z]{3} [0-9]{1,2}, [0-9]{4}$", "MMM d, yyyy"),
+    (r"^[0-9]{1,2} [A-Za-z]{4,9} [0-9]{4}( [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2})?$", "d MMMM yyyy[ H:m:s]"),
+    (r"^[A-Za-z]{4,9} [0-9]{1,2}, [0-9]{4}$", "MMMM d, yyyy"),
 ]
 ISO_SHAPE = r"^[0-9]{4}(-[0-9]{1,2}(-[0-9]{1,2}([T ][0-9]{1,2}:[0-9]{1,2}(:[0-9]{1,2})?)?)?)?$"
 
+OFFSET = r":[0-9]{1,2}(?:\.[0-9]+)?\s*([+-])([0-9]{2}):?([0-9]{2})\s*$"
+
 
 def let(c: Column, fn) -> Column:
     """fn of a value that is computed once, however often fn mentions it."""
@@ -44,28 +48,26 @@ def mime_or_missing(content_type: Column) -> Column:
 
 
 def partial_timestamp(c: Column) -> Column:
-    """YYYY[MM[DD[HH[MM[SS]]]]] to a timestamp; an odd last digit is ignored."""
-    used = F.least(F.length(c), F.lit(14)).cast("int")
-    used = used - used % 2
+    """YYYY[MM[DD[HH[MM[SS]]]]] to a timestamp; an odd last digit is ignored, more than 14 are none."""
+    used = (F.length(c) - F.length(c) % 2).cast("int")
     rest = F.substring(F.lit("00000101000000"), used + 1, F.lit(14))
     full = F.concat(F.substring(c, F.lit(1), used), rest)
-    return F.when(c.rlike(r"^[0-9]{4,}$"), F.try_to_timestamp(full, F.lit("yyyyMMddHHmmss")))
+    return F.when(c.rlike(r"^[0-9]{4,14}$"), F.try_to_timestamp(full, F.lit("yyyyMMddHHmmss")))
 
 
 def lenient_datetime(c: Column) -> Column:
-    """The first 19 characters before a dot as a date or date and time, else null."""
-    head = F.substring(F.substring_index(c, ".", 1), 1, 19)
-    return F.coalesce(
-        F.try_to_timestamp(head, F.lit("yyyy-M-d'T'H:m:s")),
-        F.try_to_timestamp(head, F.lit("yyyy-M-d")),
+    """A whole value that is a date or a date and time, else null; fraction and zone are left out."""
+    bare = F.regexp_replace(c, r"^([0-9-]+T[0-9:]+)(?:\.[0-9]*)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?$", "$1")
+    return let(
+        bare,
+        lambda x: F.coalesce(F.try_to_timestamp(x, F.lit("yyyy-M-d'T'H:m:s")), F.try_to_timestamp(x, F.lit("yyyy-M-d"))),
     )
 
 
 def parse_date(c: Column) -> Column:
-    """Timestamp from free text by a fixed list of patterns, null when none fits.
+    """Timestamp (UTC) from free text by a fixed list of patterns, null when none fits.
 
-    A weekday in front and a fraction, zone or offset behind are accepted and ignored. No
-    pattern reads more than 64 characters, so longer text is no date.
+    A weekday in front and a fraction behind are ignored; an offset behind is applied.
     """
     t = F.regexp_replace(strip(c), r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", "")
     t = F.regexp_replace(t, r"(:[0-9]{1,2})(?:\.[0-9]+)?\s*(?:Z|GMT|UTC|[+-][0-9]{2}:?[0-9]{2})?$", "$1")
@@ -75,7 +77,12 @@ def parse_date(c: Column) -> Column:
             out = out.when(x.rlike(shape), F.try_to_timestamp(x, F.lit(pattern)))
         return out
 
-    return F.when(F.length(c) <= 64, let(t, read))
+    found = let(t, read)
+    behind = lambda group: F.regexp_extract(c, OFFSET, group)
+    minutes = behind(2).cast("int") * 60 + behind(3).cast("int")
+    shift = F.when(behind(1) == "-", -minutes).otherwise(minutes)
+    utc = F.timestamp_micros(F.unix_micros(found) - shift * 60_000_000)
+    return F.when(c.rlike(OFFSET), utc).otherwise(found)
 
 
 def is_date(c: Column) -> Column:

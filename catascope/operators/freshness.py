@@ -46,18 +46,17 @@ def _in_order():
     return W.partitionBy(*KEYS).orderBy("snapshot")
 
 
-def accesses(hist: DataFrame, min_history: int = 10) -> DataFrame:
-    """Interval, age and change flag of every access, for histories longer than min_history."""
+def accesses(hist: DataFrame) -> DataFrame:
+    """Interval, age and change flag of every access, for histories of any length."""
     w = _in_order()
     rows = observations(hist).withColumn("access", thursday_of(F.col("snapshot")))
     rows = rows.withColumns(
         {
-            "n": F.count(F.lit(1)).over(W.partitionBy(*KEYS)),
             "position": F.row_number().over(w),
             "_access": F.lag("access").over(w),
             "_modified": F.lag("modified").over(w),
         }
-    ).where(F.col("n") > min_history)
+    )
     interval = F.coalesce(F.datediff("access", "_access"), F.lit(WEEK))
     change = (~F.col("_modified").eqNullSafe(F.col("modified"))).cast("int")
     return rows.withColumns(
@@ -66,7 +65,7 @@ def accesses(hist: DataFrame, min_history: int = 10) -> DataFrame:
             "age_days": F.datediff("access", "modified"),
             "changed": change,
         }
-    ).drop("_access", "_modified", "n")
+    ).drop("_access", "_modified")
 
 
 def _gap() -> Column:
@@ -123,7 +122,12 @@ def poisson_cdf(t: Column, mu: Column) -> Column:
 
 
 def poisson_quantile(q: Column, mu: Column) -> Column:
-    """Smallest t with a Poisson CDF of at least q; the search ends 40 deviations above mu."""
+    """Smallest t with a Poisson CDF of at least q.
+
+    The search ends at mu + x with x = 40 sqrt(mu) + 40. By Bernstein's inequality the tail beyond
+    is below exp(-x^2 / (2 (mu + x / 3))) <= exp(-60) for every mu, so it holds every q that a
+    double can tell from 1.
+    """
     bound = F.ceil(mu + F.sqrt(mu) * 40 + 40).cast("int")
     log_mu = F.log(mu)
     start = F.struct(
@@ -230,8 +234,8 @@ def _seen_last(order: int) -> Column:
     return out
 
 
-def markov_quantile(order: int, q: float, limit: int = 10_000) -> Column:
-    """Weeks until a change is more probable than q, null when it takes more than limit."""
+def markov_quantile(order: int, q: float) -> Column:
+    """Weeks until a change is more probable than q, null where that never happens."""
     first, steady = _first_still(order), _still("0" * order)
     lead = first
     if order == 2:
@@ -243,7 +247,7 @@ def markov_quantile(order: int, q: float, limit: int = 10_000) -> Column:
     if order == 2:
         n = n.when(1 - lead > q, 2)
     n = n.otherwise(F.when(more.isNotNull(), order + F.greatest(more, F.lit(1.0))))
-    return F.when(n <= limit, n.cast("int"))
+    return n.cast("int")
 
 
 def comparison_rates(acc: DataFrame, interval: float = WEEK) -> DataFrame:
@@ -313,32 +317,39 @@ def recrawl_interval(acc: DataFrame, q: float = 0.5) -> DataFrame:
     )
 
 
-def scores(hist: DataFrame, snapshot: int, min_history: int = 10) -> DataFrame:
+#: A history needs more accesses than this for an estimate of freshness; shorter ones have none.
+MIN_HISTORY = 10
+
+
+def scores(hist: DataFrame, snapshot: int, min_history: int = MIN_HISTORY) -> DataFrame:
     """Probability that a resource has changed since its last known modification, by five
-    estimates per source. One shuffle: windows and sums share the partitioning by key."""
+    estimates per source, null for histories of up to min_history accesses. One shuffle:
+    windows and sums share the partitioning by key."""
     age = F.datediff(thursday_of(F.lit(snapshot)), F.col("newest"))
     known = F.count("gap")
     emp = F.when(known > 0, F.count_if(F.col("gap") <= age) / known)
-    rows = _features(accesses(hist, min_history)).groupBy(*KEYS).agg(
+    rows = _features(accesses(hist)).groupBy(*KEYS).agg(
         *_rate_aggregates(), *_markov_aggregates(), emp.alias("emp_dist")
     )
     rows = _with_last(rows).withColumns({"rate_naive": naive_rate(), "rate_improved": improved_rate(), "age": days_since(F.lit(snapshot))})
     rows = rows.withColumn("weeks", F.greatest(F.round(F.col("age") / 7.0).cast("int"), F.lit(1)))
-    return rows.select(
-        *KEYS,
-        poisson_cdf(F.col("age"), 1 / F.col("rate_naive")).alias("cho_naive"),
-        poisson_cdf(F.col("age"), 1 / F.col("rate_improved")).alias("cho_impr"),
-        "emp_dist",
-        markov_cdf(1, F.col("weeks")).alias("mark1"),
-        markov_cdf(2, F.col("weeks")).alias("mark2"),
-    )
+    estimates = {
+        "cho_naive": poisson_cdf(F.col("age"), 1 / F.col("rate_naive")),
+        "cho_impr": poisson_cdf(F.col("age"), 1 / F.col("rate_improved")),
+        "emp_dist": F.col("emp_dist"),
+        "mark1": markov_cdf(1, F.col("weeks")),
+        "mark2": markov_cdf(2, F.col("weeks")),
+    }
+    known = F.col("accesses") > min_history
+    return rows.select(*KEYS, *[F.when(known, x).alias(name) for name, x in estimates.items()])
 
 
 ESTIMATES = ["cho_naive", "cho_impr", "emp_dist", "mark1", "mark2"]
 
 
-def score_rows(hist: DataFrame, snapshot: int, min_history: int = 10) -> DataFrame:
-    """Wide row per resource: every estimate for header and for metadata dates."""
+def score_rows(hist: DataFrame, snapshot: int, min_history: int = MIN_HISTORY) -> DataFrame:
+    """Wide row per resource, those with short histories included: every estimate for header and
+    for metadata dates, null where there is none."""
     long = scores(hist, snapshot, min_history)
     cols = [
         F.max(F.when(F.col("source") == source, F.col(e))).alias(f"{e}_{source}")

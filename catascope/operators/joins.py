@@ -197,19 +197,16 @@ def known(keys: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
 def snapshot_pairs(datasets: DataFrame, current: int, previous: int, portalid: str | None = None) -> DataFrame:
     """Full outer comparison of two snapshots on (portalid, id)."""
     def side(sn: int, name: str) -> DataFrame:
-        return scope(datasets, sn, portalid).select("portalid", "id", F.col("md5").alias(name))
+        return scope(datasets, sn, portalid).select("portalid", "id", F.col("md5").alias(name), F.lit(True).alias(f"_in_{name}"))
 
     rows = side(current, "md5").join(side(previous, "md5_previous"), ["portalid", "id"], "full_outer")
-    return rows.withColumn("change", change_kind(F.col("md5"), F.col("md5_previous")))
-
-
-def change_kind(md5: Column, previous: Column) -> Column:
-    return (
-        F.when(previous.isNull(), "added")
-        .when(md5.isNull(), "deleted")
-        .when(md5 != previous, "updated")
+    kind = (
+        F.when(F.col("_in_md5_previous").isNull(), "added")
+        .when(F.col("_in_md5").isNull(), "deleted")
+        .when(~F.col("md5").eqNullSafe(F.col("md5_previous")), "updated")
         .otherwise("static")
     )
+    return rows.select("portalid", "id", "md5", "md5_previous", kind.alias("change"))
 
 
 def run_pairs(runs: DataFrame, current: int, previous: int) -> DataFrame:

@@ -107,19 +107,25 @@ def portal_stats(runs: DataFrame, portals: DataFrame | None = None, active_only:
 def top_n(dist: DataFrame, value: str, n: int = 3, by=("portalid", "snapshot")) -> DataFrame:
     """The n largest values of a distribution per group, the rest as Others, with shares.
 
-    Only the n best rows per group reach the window (Spark limits each group before the
-    shuffle); the rest is total minus top.
+    One window over the distribution, whose rows are values and not resources, gives rank, total
+    and what the values up to a rank hold; the row of the last rank also brings the rest.
     """
     by = list(by)
     key = F.coalesce(F.col(value), F.lit("missing"))
-    rank = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("count"), F.asc_nulls_last(value)))
-    best = dist.withColumn("rank", rank).where(F.col("rank") <= n)
-    item = F.struct(key.alias("value"), "count", "rank")
-    top = best.groupBy(*by).agg(F.collect_list(item).alias("items"), F.sum("count").alias("t"))  # at most n each
-    totals = dist.groupBy(*by).agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("distinct_values"))
-    rows = top.join(totals, by)
+    whole = W.partitionBy(*by)
+    order = whole.orderBy(F.desc("count"), F.asc_nulls_last(value))
+    rows = dist.withColumns(
+        {
+            "rank": F.row_number().over(order),
+            "t": F.sum("count").over(order.rowsBetween(W.unboundedPreceding, 0)),
+            "total": F.sum("count").over(whole),
+            "distinct_values": F.count(F.lit(1)).over(whole),
+        }
+    ).where(F.col("rank") <= n)
+    item = F.struct(key.alias("value"), F.col("count"), F.col("rank"))
     rest = F.struct(F.lit("Others").alias("value"), (F.col("total") - F.col("t")).alias("count"), F.lit(n + 1).alias("rank"))
-    every = F.when(F.col("total") != F.col("t"), F.concat("items", F.array(rest))).otherwise(F.col("items"))
+    ends = (F.col("rank") == n) & (F.col("total") != F.col("t"))
+    every = F.when(ends, F.array(item, rest)).otherwise(F.array(item))
     share = F.when(F.col("total") > 0, F.col("count") / F.col("total")).otherwise(F.lit(0.0))
     return rows.select(*by, "total", "distinct_values", F.inline(every)).select(
         *by, "value", "count", share.alias("perc"), "rank", "distinct_values"
@@ -132,19 +138,19 @@ def format_dist_groupings(datasets: DataFrame, resources: DataFrame, portals: Da
         datasets, resources, ("portalid", "snapshot", "iso", "software"), snapshot, portals=portals
     ).withColumn("format", F.coalesce("format", F.lit("missing")))
     c = F.col
+    # grouping(x) is 1 where a row is not grouped by x: a null of x itself is a value
+    of = lambda name: F.grouping(name) == 0
     sets = [
         [c("snapshot"), c("format"), c("portalid")],
         [c("snapshot"), c("format"), c("iso")],
         [c("snapshot"), c("format"), c("software")],
     ]
     grouped = base.groupingSets(sets, "snapshot", "format", "portalid", "iso", "software").agg(
-        F.sum("count").cast("bigint").alias("count")
-    )
-    return grouped.select(
-        "format", "snapshot", F.coalesce("portalid", "iso", "software").alias("grouping"),
-        F.when(c("portalid").isNotNull(), "portal").when(c("iso").isNotNull(), "iso").otherwise("software").alias("level"),
-        "count",
+        F.sum("count").cast("bigint").alias("count"),
+        F.when(of("portalid"), "portal").when(of("iso"), "iso").otherwise("software").alias("level"),
     )
+    named = F.when(c("level") == "portal", c("portalid")).when(c("level") == "iso", c("iso")).otherwise(c("software"))
+    return grouped.select("format", "snapshot", named.alias("grouping"), "level", "count")
 
 
 def quality_means(quality: DataFrame, portals: DataFrame, by: str, metrics: list[str], snapshot=None) -> DataFrame:

@@ -1,4 +1,5 @@
-"""Queries over the freshness of resources. v_history has up to 300 weeks per resource."""
+"""Queries over the freshness of resources. v_history has up to 300 weeks per resource, and
+resources with seven at most."""
 
 from __future__ import annotations
 
@@ -17,7 +18,7 @@ with a as (select *, {THURSDAY.format('snapshot')} as access, count(*) over (par
     lag(modified) over w as before, lag({THURSDAY.format('snapshot')}) over w as access_before
   from v_history window w as (partition by {K} order by snapshot)),
 acc as (select {K}, snapshot, modified, cast(position as int) as position, cast(coalesce(access - access_before, 7) as int) as interval_days, cast(access - modified as int) as age_days,
-    cast(case when before = modified then 0 else 1 end as int) as changed from a where n > 10),
+    cast(case when before = modified then 0 else 1 end as int) as changed from a),
 rates as (select {K}, count(*) as accesses, cast(count(*) filter (where age_days < interval_days) as bigint) as changes, cast(sum(least(age_days, interval_days)) as bigint) as observed,
     max_by(modified, snapshot) as last_modified from acc group by {K}),
 r as (select *, case when changes > 0 and observed > 0 then changes / observed end as rate_naive,
@@ -151,11 +152,11 @@ def smoothing(c: Catalogue):
 
 SCORES_SQL = ACC_SQL + f"""
 , e as (select g.uri, g.md5, g.source, count(*) filter (where gap <= age) / count(*) as emp from gaps g join r on r.uri = g.uri and r.md5 = g.md5 and r.source = g.source group by all),
-s as (select r.uri, r.md5, r.source, {POISSON_SQL.format('age', 'rate_naive')} as cho_naive, {POISSON_SQL.format('age', 'rate_improved')} as cho_impr, e.emp as emp_dist,
+s as (select r.uri, r.md5, r.source, r.accesses, {POISSON_SQL.format('age', 'rate_naive')} as cho_naive, {POISSON_SQL.format('age', 'rate_improved')} as cho_impr, e.emp as emp_dist,
   1 - f1 * pow(q0, weeks - 1) as mark1, 1 - case when weeks <= 1 then f2 else f2 * s2 * pow(q00, weeks - 2) end as mark2
   from r join ms on ms.uri = r.uri and ms.md5 = r.md5 and ms.source = r.source left join e on e.uri = r.uri and e.md5 = r.md5 and e.source = r.source)
 select uri, md5, {AS_OF} as snapshot, """ + ", ".join(
-    f"round(max({e}) filter (where source = '{s}'), 6) as {e}_{s}" for e in fr.ESTIMATES for s in ("header", "metadata")
+    f"round(max({e}) filter (where source = '{s}' and accesses > 10), 6) as {e}_{s}" for e in fr.ESTIMATES for s in ("header", "metadata")
 ) + " from s group by uri, md5"
 
 

@@ -119,6 +119,9 @@ select uri, 'content' as md5, source, snapshot, max(modified) as modified from (
     case l_returnflag when 'R' then 'header' else 'metadata' end as source,
     cast((extract({ISOY} from l_shipdate + interval 20 years) % 100) * 100 + extract(week from l_shipdate + interval 20 years) as int) as snapshot,
     cast(case l_linestatus when 'F' then l_shipdate + interval 20 years else date_trunc('month', l_shipdate + interval 20 years) end as date) as modified
+  from lineitem
+  union all select concat('yearly/', cast(l_suppkey as varchar(20))), 'metadata',
+    cast((extract({ISOY} from l_shipdate + interval 20 years) % 100) * 100 + 1 as int), cast(date_trunc('year', l_shipdate + interval 20 years) as date)
   from lineitem) h
 group by uri, source, snapshot"""
 

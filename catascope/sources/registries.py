@@ -25,7 +25,7 @@ def read_media_types(spark: SparkSession, csv_path: str, suffix_path: str | None
         ).select(F.explode("m").alias("suffix", "type"))
         known = types.where(filled(F.col("token"))).distinct()
         suffixes = pairs.join(known, F.col("type") == F.col("token"), "left_semi")
-        out = out.unionByName(suffixes.select(F.substring("suffix", 2, 255).alias("token")))
+        out = out.unionByName(suffixes.select(F.expr("substring(suffix, 2)").alias("token")))
     return out.where(filled(F.col("token"))).distinct()
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catascope.operators import dynamics as dy
+from catascope.operators import joins as jo
 from catascope.operators import stats as sa
 from catascope.operators import timetravel as tt
 from catascope.operators import windows as wi
@@ -151,3 +152,10 @@ def test_version_that_returns(spark):
     df = spark.createDataFrame(rows, "portalid string, id string, snapshot int, md5 string")
     got = [(r.version, r.md5, r.sn_min, r.sn_max) for r in sa.version_islands(df).orderBy("version").collect()]
     assert got == [(1, "a", 1, 2), (2, "b", 3, 3), (3, "a", 4, 4)]
+
+
+def test_snapshot_pairs_with_empty_documents(spark):
+    rows = [("p", "a", 1, None), ("p", "a", 2, None), ("p", "b", 2, None), ("p", "c", 1, None), ("p", "d", 1, None), ("p", "d", 2, "x"), ("p", "e", 1, "x"), ("p", "e", 2, None), ("p", "f", 1, "y"), ("p", "f", 2, "y")]
+    df = spark.createDataFrame(rows, "portalid string, id string, snapshot int, md5 string")
+    got = {r.id: r.change for r in jo.snapshot_pairs(df, 2, 1).collect()}
+    assert got == {"a": "static", "b": "added", "c": "deleted", "d": "updated", "e": "updated", "f": "static"}

@@ -223,3 +223,19 @@ def test_poisson_edges(spark):
         fr.poisson_cdf(F.lit(-1), F.lit(2.0)).alias("c"), fr.poisson_cdf(F.lit(3), F.lit(-2.0)).alias("d"),
     ).first()
     assert abs(row.a - 0.857123) < 1e-6 and abs(row.b - math.exp(-2)) < 1e-12 and row.c == 0.0 and row.d is None
+
+
+def test_short_histories_have_rows_without_estimates(spark):
+    rows = [("u1", "m", "header", 2101 + i, dt.date(2021, 1, 1 + i)) for i in range(5)] + [("u2", "m", "header", 2101 + i, dt.date(2021, 1, 1 + i)) for i in range(14)]
+    hist = spark.createDataFrame(rows, "uri string, md5 string, source string, snapshot int, modified date")
+    got = {r.uri: r for r in fr.score_rows(hist, AS_OF).collect()}
+    assert set(got) == {"u1", "u2"}
+    assert all(got["u1"][f"{e}_header"] is None for e in fr.ESTIMATES) and got["u2"].mark1_header is not None
+    assert fr.accesses(hist).count() == 19
+
+
+def test_poisson_search_ends_beyond_every_quantile():
+    for k in range(-40, 60):
+        mu = 1.5**k
+        x = 40 * math.sqrt(mu) + 40
+        assert x * x / (2 * (mu + x / 3)) >= 60

@@ -43,10 +43,10 @@ def test_week_labels(spark):
 
 
 def test_partial_timestamp(spark):
-    rows = ["2016", "201607", "20161", "20160704123059", "20169901", "201", "abc", None]
+    rows = ["2016", "201607", "20161", "20160704123059", "20169901", "201", "abc", None, "201607041230599"]
     got = values(spark, rows, text.partial_timestamp)
     assert got == [
-        dt.datetime(2016, 1, 1), dt.datetime(2016, 7, 1), dt.datetime(2016, 1, 1), dt.datetime(2016, 7, 4, 12, 30, 59), None, None, None, None,
+        dt.datetime(2016, 1, 1), dt.datetime(2016, 7, 1), dt.datetime(2016, 1, 1), dt.datetime(2016, 7, 4, 12, 30, 59), None, None, None, None, None,
     ]
 
 
@@ -56,14 +56,21 @@ def test_formats_and_media_types(spark):
 
 
 def test_lenient_datetime(spark):
-    rows = ["2011-01-01T00:00:00.123", "2011-01-01", "01/02/2011", "", None]
-    assert values(spark, rows, text.lenient_datetime) == [dt.datetime(2011, 1, 1), dt.datetime(2011, 1, 1), None, None, None]
+    rows = ["2011-01-01T00:00:00.123", "2011-01-01", "2011-01-01T00:00:00Z", "2011-01-01T00:00:00.5+02:00", "01/02/2011", "", None, "2011-01-01T00:00:00 or so", "2011-01-01."]
+    assert values(spark, rows, text.lenient_datetime) == [dt.datetime(2011, 1, 1)] * 4 + [None] * 5
 
 
 def test_free_text_dates(spark):
     rows = {
         "Mon, 04 Jul 2016 10:00:00 GMT": "2016-07-04T10:00:00",
-        "2016-07-04T10:00:00+02:00": "2016-07-04T10:00:00",
+        "2016-07-04T10:00:00+02:00": "2016-07-04T08:00:00",
+        "2016-07-04T23:30:00.25-0130": "2016-07-05T01:00:00",
+        "1 January 2015": "2015-01-01T00:00:00",
+        "Thursday, 01 January 2015 10:00:00 GMT": "2015-01-01T10:00:00",
+        "September 9, 2015": "2015-09-09T00:00:00",
+        " " * 70 + "2015-01-01": "2015-01-01T00:00:00",
+        "x" * 70 + "2015-01-01": "x" * 70 + "2015-01-01",
+        "1 Sometime 2015": "1 Sometime 2015",
         "2016-07-04 10:00": "2016-07-04T10:00:00",
         "20160704": "2016-07-04T00:00:00",
         "4.7.2016": "2016-07-04T00:00:00",
