@@ -79,7 +79,7 @@ def parse_date(c: Column) -> Column:
 
     found = let(t, read)
     behind = lambda group: F.regexp_extract(c, OFFSET, group)
-    minutes = behind(2).cast("int") * 60 + behind(3).cast("int")
+    minutes = behind(2).cast("bigint") * 60 + behind(3).cast("bigint")
     shift = F.when(behind(1) == "-", -minutes).otherwise(minutes)
     utc = F.timestamp_micros(F.unix_micros(found) - shift * 60_000_000)
     return F.when(c.rlike(OFFSET), utc).otherwise(found)

@@ -123,7 +123,8 @@ def close(a, b):
 
 def test_short_histories_have_no_score(data, want):
     got = by_uri(fr.scores(data, AS_OF))
-    assert "short" not in got and "eleven" in got and set(got) == set(want)
+    assert set(got) == set(histories()) and set(want) < set(got)
+    assert all(got[u][e] is None for u in set(got) - set(want) for e in fr.ESTIMATES)
 
 
 def test_rates(data, want):
