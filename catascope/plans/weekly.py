@@ -1,8 +1,9 @@
 """The weekly job: records of all portals to content, quality, resources, runs and change.
 
 Tables live below one folder as Parquet. Content is keyed by hash and partitioned by the
-snapshot it was first seen in, so mapping and scoring touch new content only and a repeated
-week replaces its own partitions. Datasets, runs and aggregates are partitioned by snapshot.
+snapshot it was first seen in, so mapping and scoring touch new content only. Datasets, runs and
+aggregates are partitioned by snapshot. A repeated week replaces its own partitions as a whole;
+content that later weeks refer to stays. Of earlier weeks only the week's contents are read.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from catascope.operators import dynamics as dy
 from catascope.operators import mapping as ma
 from catascope.operators import quality as qu
 from catascope.operators import stats as sa
+from catascope.session import scratch
 from catascope.sources import tables
 
 
@@ -35,11 +37,26 @@ class Warehouse:
         rows = self.read(name)
         return None if rows is None else rows.where(F.col("snapshot") < snapshot)
 
-    def week(self, name: str, snapshot: int) -> DataFrame:
-        return self.read(name).where(F.col("snapshot") == snapshot)
+    def write(self, name: str, rows: DataFrame, snapshot: int, by: tuple[str, ...] = ()) -> DataFrame:
+        """Replace a week of a table; the week as stored."""
+        return tables.replace_week(rows, f"{self.path}/{name}", snapshot, by)
 
-    def write(self, name: str, rows: DataFrame, by: tuple[str, ...] = ("snapshot",)) -> None:
-        tables.replace_partitions(rows, f"{self.path}/{name}", by)
+    def keep(self, name: str, rows: DataFrame, snapshot: int) -> DataFrame:
+        """write() for rows by content: what the week held before and later weeks use is kept."""
+        had, used = self.read(name), self.read("datasets")
+        if had is not None and used is not None:
+            later = used.where(F.col("snapshot") > snapshot).select("md5").distinct()
+            had = had.where(F.col("snapshot") == snapshot).join(later, "md5", "left_semi").join(rows.select("md5"), "md5", "left_anti")
+            both = rows.unionByName(had.select(*rows.columns))
+            staged = scratch(self.spark, "week")  # the partition that is read is the one to be replaced
+            both.write.parquet(staged)
+            rows = self.spark.read.schema(both.schema).parquet(staged)
+        return self.write(name, rows, snapshot)
+
+    def of_content(self, name: str, snapshot: int, week: DataFrame) -> DataFrame:
+        """Rows up to a week of the contents that the week's datasets have."""
+        used = week.select("md5").distinct()
+        return self.read(name).where(F.col("snapshot") <= snapshot).join(used, "md5", "left_semi")
 
 
 def harvest(wh: Warehouse, records: DataFrame, portals: DataFrame, runs: DataFrame, snapshot: int) -> None:
@@ -48,21 +65,17 @@ def harvest(wh: Warehouse, records: DataFrame, portals: DataFrame, runs: DataFra
     rows = records.join(p, "portalid").select(
         "portalid", "id", "software", "apiuri", "raw", F.lit(snapshot).alias("snapshot"), content_hash(F.col("raw")).alias("md5")
     )
-    wh.write("bronze", rows, ("snapshot", "software"))
-    bronze = wh.week("bronze", snapshot)
-
-    stored = wh.before("content", snapshot)
-    fresh = tables.new_content(bronze, stored)
-    wh.write("silver", ma.to_dcat(fresh.drop("portalid", "id")))
-    silver = wh.week("silver", snapshot)
-    wh.write("content", _content(silver))
-    wh.write("quality", qu.quality(silver, keys=["md5", "snapshot"]))
-    wh.write("resources", ac.resources(silver).withColumn("snapshot", F.lit(snapshot)))
-
-    content = wh.read("content").where(F.col("snapshot") <= snapshot).select("md5", "title", "organisation")
+    bronze = wh.write("bronze", rows, snapshot, ("software",))
+
+    fresh = tables.new_content(bronze, wh.before("content", snapshot))
+    silver = wh.write("silver", ma.to_dcat(fresh.drop("portalid", "id")), snapshot)
+    wh.keep("content", _content(silver), snapshot)
+    wh.keep("quality", qu.quality(silver, keys=["md5", "snapshot"]), snapshot)
+    wh.keep("resources", ac.resources(silver).withColumn("snapshot", F.lit(snapshot)), snapshot)
+
+    content = wh.of_content("content", snapshot, bronze).select("md5", "title", "organisation")
     datasets = bronze.select("id", "snapshot", "portalid", "md5").join(content, "md5", "left")
-    wh.write("datasets", datasets)
-    aggregate(wh, runs, snapshot)
+    aggregate(wh, wh.write("datasets", datasets, snapshot), runs, snapshot)
 
 
 def _content(silver: DataFrame) -> DataFrame:
@@ -70,16 +83,15 @@ def _content(silver: DataFrame) -> DataFrame:
     return ac.content_rows(silver, extra=[first("title"), first("repository_name"), F.col("snapshot")])
 
 
-def aggregate(wh: Warehouse, runs: DataFrame, snapshot: int) -> None:
-    """Run rows, portal quality and change rows of a week."""
-    up_to = lambda name: wh.read(name).where(F.col("snapshot") <= snapshot)
-    week = wh.week("datasets", snapshot)
+def aggregate(wh: Warehouse, week: DataFrame, runs: DataFrame, snapshot: int) -> None:
+    """Run rows, portal quality and change rows of a week of datasets."""
+    of_week = lambda name: wh.of_content(name, snapshot, week).drop("snapshot")
     closed = sa.close_runs(
-        runs.withColumns({"snapshot": F.lit(snapshot), "status": harvest_status(F.col("exc"))}), week, up_to("resources").drop("snapshot")
+        runs.withColumns({"snapshot": F.lit(snapshot), "status": harvest_status(F.col("exc"))}), week, of_week("resources")
     )
-    wh.write("runs", closed)
-    wh.write("portal_quality", qu.portal_quality(week, up_to("quality").drop("snapshot")))
-    wh.write("dynamics", change_of_week(wh, snapshot))
+    wh.write("runs", closed, snapshot)
+    wh.write("portal_quality", qu.portal_quality(week, of_week("quality")), snapshot)
+    wh.write("dynamics", change_of_week(wh, snapshot), snapshot)
 
 
 def change_of_week(wh: Warehouse, snapshot: int) -> DataFrame:

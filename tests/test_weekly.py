@@ -57,3 +57,21 @@ def test_supplied_documents(spark, tmp_path):
     docs = ma.read_documents(spark, str(tmp_path)).withColumn("apiuri", F.lit(API))
     row = ma.to_dcat(docs, ["CKAN"]).first()
     assert row.id == "doc-1" and row.title == ["T a"] and row.uri == API + "/dataset/a"
+
+
+def test_weeks_repeated_with_fewer_records_and_without_any(spark, tmp_path):
+    wh = Warehouse(spark, str(tmp_path))
+    portals = spark.createDataFrame([("p", "CKAN", API), ("q", "Socrata", API)], "id string, software string, apiuri string")
+    runs = spark.createDataFrame([("p", None, None, None)], "portalid string, start_ts timestamp, end_ts timestamp, exc string")
+    take = lambda docs, sn: harvest(wh, records(spark, docs), portals, runs, sn)
+    ids = lambda name: sorted((r.snapshot, r.title) for r in wh.read(name).collect())
+    take({}, 1600)
+    take({"a": {"title": "no resources"}}, 1600)
+    take({k: ckan(k) for k in "ab"}, 1601)
+    take({k: ckan(k) for k in "ac"}, 1602)
+    take({"b": ckan("b")}, 1601)
+    assert ids("datasets") == [(1600, "no resources"), (1601, "T b"), (1602, "T a"), (1602, "T c")]
+    assert ids("content") == [(1600, "no resources"), (1601, "T a"), (1601, "T b"), (1602, "T c")]  # week 1602 still uses a
+    take({}, 1602)
+    assert ids("datasets")[-1] == (1601, "T b") and (1602, "T c") not in ids("content")
+    assert wh.read("portal_quality").where("snapshot = 1602").count() == 0
