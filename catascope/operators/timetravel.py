@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from catascope.session import staged
+
 
 def as_of(datasets: DataFrame, snapshot: int, keys=("portalid", "id")) -> DataFrame:
     """The newest row of each key that is not newer than the snapshot."""
@@ -55,10 +57,11 @@ def time_map(flagged: DataFrame, uri: str | None = None, without_content: bool =
     wanted = (-1, 1) if without_content else (1,)
     rows = flagged.where(F.col("contentchanged").isin(*wanted))
     rows = rows if uri is None else rows.where(F.col("uri") == uri)
+    rows = staged(rows.select("uri", "timestamp", "event_id"), "versions")
     ends = rows.groupBy("uri").agg(
         F.min("timestamp").alias("first"), F.max("timestamp").alias("last"), F.count(F.lit(1)).alias("versions")
     )
-    return rows.select("uri", "timestamp", "event_id").join(ends, "uri")
+    return rows.join(ends, "uri")
 
 
 def portal_as_of(runs: DataFrame, snapshot: int) -> DataFrame:

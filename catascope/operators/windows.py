@@ -7,12 +7,13 @@ two levels, see previous_value.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catascope.functions.snapshot import next_snapshot, previous_snapshot
 from catascope.functions.urls import domain
+from catascope.session import staged
 
 
 def run_sequence(runs: DataFrame) -> DataFrame:
@@ -110,49 +111,42 @@ def dense_number(rows: DataFrame, keys: list[str], unique: str, buckets: int = 1
     return b.join(offsets, [*keys, "_b"]).withColumn("number", F.col("_before") + F.col("_i")).drop("_b", "_i", "_before")
 
 
-HOT_SHARE = 100_000
+def ranged(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The rows range-partitioned along (keys, order) and stored, with the partition's number `_p`.
 
-
-def hot_keys(rows: DataFrame, keys: list[str], at_least: int) -> DataFrame:
-    """Keys with more than at_least rows and more than 1/HOT_SHARE of all rows.
-
-    There can be at most HOT_SHARE of them whatever the table's size, so they may be broadcast.
+    Every partition has about as many rows as the others whatever the keys: a key with a third of
+    all rows lies in a third of the partitions, whose numbers follow its order.
     """
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    return counts.where((F.col("_n") > at_least) & (F.col("_n") * HOT_SHARE > total)).select(*keys)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return staged(rows.repartitionByRange(n, *keys, *order).withColumn("_p", F.spark_partition_id()), "ranged")
 
 
-def previous_value(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str, bucket: Column, hot_rows: int = 100_000) -> DataFrame:
-    """Latest non-null value before each row of its key, exact and without a task per hot key.
+def previous_value(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Latest non-null value before each row of its key, exact and without a task per key.
 
-    The rows of a hot key are cut into buckets, a coarse form of the order (an hour): inside a
-    bucket a window looks back; what no row of the bucket knows comes from the last value of
-    the buckets before, of which a key has few. The other keys are one group each.
+    Inside a range partition a window looks back; what no row there knows comes from the last
+    value of the key's partitions before, one row each.
     """
-    hot = F.broadcast(hot_keys(rows, keys, hot_rows).withColumn("_hot", F.lit(True)))
-    inside = W.partitionBy(*keys, "_b").orderBy(*order)
-    b = rows.join(hot, keys, "left").withColumn("_b", F.when(F.col("_hot"), bucket)).drop("_hot")
-    b = b.withColumns(
+    inside = W.partitionBy(*keys, "_p").orderBy(*order)
+    b = ranged(rows, keys, order).withColumns(
         {
             "_near": F.last(value, ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, -1)),
             "_more": F.lead(F.lit(True)).over(inside),
         }
     )
-    # the last row of a bucket knows the bucket's last value: no second aggregation
-    lasts = b.where(F.col("_b").isNotNull() & F.col("_more").isNull())
-    lasts = lasts.select(*keys, "_b", F.coalesce(value, "_near").alias("_last"))
-    before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    carried = lasts.select(*keys, "_b", F.last("_last", ignorenulls=True).over(before).alias("_far"))
-    out = b.join(carried, [*keys, "_b"], "left")
-    return out.withColumn(name, F.coalesce("_near", "_far")).drop("_b", "_near", "_far", "_more")
+    # the last row of a key in a partition knows the last value there: no second aggregation
+    lasts = b.where(F.col("_more").isNull()).select(*keys, "_p", F.coalesce(value, "_near").alias("_last"))
+    before = W.partitionBy(*keys).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    carried = lasts.select(*keys, "_p", F.last("_last", ignorenulls=True).over(before).alias("_far"))
+    carried = carried.where(F.col("_far").isNotNull())
+    out = b.join(carried, [*keys, "_p"], "left")
+    return out.withColumn(name, F.coalesce("_near", "_far")).drop("_p", "_near", "_far", "_more")
 
 
-def content_changed(crawllog: DataFrame, order: tuple[str, ...] = ("timestamp", "event_id"), bucket: Column | None = None, hot_rows: int = 100_000) -> DataFrame:
+def content_changed(crawllog: DataFrame, order: tuple[str, ...] = ("timestamp", "event_id")) -> DataFrame:
     """-1 without content, 0 same digest as the last success, 1 changed or first."""
-    bucket = F.date_trunc("hour", F.col("timestamp")) if bucket is None else bucket
     ok = F.col("status") == 200
     rows = crawllog.withColumn("_ok_digest", F.when(ok, F.col("digest")))
-    rows = previous_value(rows, ["uri"], list(order), "_ok_digest", "last_digest", bucket, hot_rows)
+    rows = previous_value(rows, ["uri"], list(order), "_ok_digest", "last_digest")
     flag = F.when(~ok, -1).when(F.col("last_digest") == F.col("digest"), 0).otherwise(1)
     return rows.withColumn("contentchanged", flag.cast("int")).drop("_ok_digest")

@@ -94,20 +94,20 @@ def _csv_folder(c: Catalogue, sep: str = ",") -> str:
 select distinct 'text/csv' as media_type, ';' as delimiter, true as header, pos, name, datatype from orders,
 (values (0, 'o_orderkey', 'number'), (1, 'o_orderdate', 'datetime'), (2, 'o_orderstatus', 'anyAtomicType'), (3, 'o_orderpriority', 'anyAtomicType')) v(pos, name, datatype)""")
 def csvw_description(c: Catalogue):
-    lines = pr.first_lines(c.spark, _csv_folder(c, ";"))
+    lines = pr.csv_lines(c.spark, _csv_folder(c, ";"))
     return pr.csvw(lines).select("media_type", "delimiter", "header", "pos", "name", "datatype").distinct()
 
 
 @query("csvw_triples")
 def csvw_triples(c: Catalogue):
-    return pr.csvw_triples(pr.csvw(pr.first_lines(c.spark, _csv_folder(c))), rawdocs.SNAPSHOT)
+    return pr.csvw_triples(pr.csvw(pr.csv_lines(c.spark, _csv_folder(c))), rawdocs.SNAPSHOT)
 
 
 @query("csv_normalise", """
 select value, count(*) as count from (select concat_ws(',', cast(o_orderkey as varchar), strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S'), o_orderstatus, o_orderpriority) as value from orders) x group by all""")
 def csv_normalise(c: Catalogue):
     rows = pr.normalise_csv(c.spark, _csv_folder(c, ";"))
-    return rows.where("line > 0").groupBy("value").agg(F.count(F.lit(1)).alias("count"))
+    return rows.where("not header").groupBy("value").agg(F.count(F.lit(1)).alias("count"))
 
 
 def _landed(c: Catalogue):

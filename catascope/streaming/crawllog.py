@@ -101,7 +101,7 @@ def rates_since_start(rates: DataFrame, seconds: int = 3600) -> DataFrame:
     )
 
 
-def changed_flags(log: DataFrame, path: str, hot_rows: int = 100_000):
+def changed_flags(log: DataFrame, path: str):
     """Content-changed flag of every result, against all results before it.
 
     Inside a micro-batch the flags come from the two-level window of the batch form. Only the
@@ -120,10 +120,7 @@ def changed_flags(log: DataFrame, path: str, hot_rows: int = 100_000):
             )
             rows = rows.unionByName(seeds, allowMissingColumns=True)
         # what was seen before sorts before everything in the batch
-        bucket = F.when(F.col("_new") == 0, F.lit("1900-01-01").cast("timestamp")).otherwise(
-            F.date_trunc("hour", F.col("timestamp").cast("timestamp"))
-        )
-        flagged = content_changed(rows, ("_new", "timestamp", "event_id"), bucket, hot_rows)
+        flagged = content_changed(rows, ("_new", "timestamp", "event_id"))
         done = flagged.where(F.col("_new") == 1).drop("_new", "last_digest")
         done.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
         ok = batch.where(F.col("status") == 200).select("uri", "timestamp", "event_id", "digest")

@@ -106,23 +106,48 @@ def csv_files(tmp_path):
 
 
 def test_csvw(spark, csv_files):
-    lines = pr.first_lines(spark, csv_files + "/a.csv")
-    assert lines.count() == 101
+    lines = pr.csv_lines(spark, csv_files + "/a.csv")
+    assert lines.count() == 151 and lines.where("first").count() == 1
     got = pr.csvw(lines).orderBy("pos").collect()
     assert [(r.name, r.datatype, r.delimiter, r.header) for r in got] == [
         ("name", "anyAtomicType", ";", True), ("when", "datetime", ";", True), ("n", "number", ";", True),
     ]
 
 
+def test_csvw_types_need_all_lines(spark, tmp_path):
+    (tmp_path / "late.csv").write_text("a,b\n" + "".join(f"{i},{i}\n" for i in range(20_000)) + "x,1\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = {r.name: r.datatype for r in pr.csvw(pr.csv_lines(spark, str(tmp_path))).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {"a": "anyAtomicType", "b": "number"}
+
+
 def test_csv_normalisation(spark, csv_files):
     rows = pr.normalise_csv(spark, csv_files).collect()
-    b = sorted((r.line, r.value) for r in rows if r.file.endswith("b.csv"))
-    assert b == [(0, "col1,col2"), (1, "1,ä"), (2, "2,b")]
+    b = [(r.header, r.value) for r in sorted(rows, key=lambda r: r.row) if r.file.endswith("b.csv")]
+    assert b == [(True, "col1,col2"), (False, "1,ä"), (False, "2,b")]
     changes = {r.file[-5:]: set(r.modifications) for r in rows}
     assert changes == {"a.csv": {"DefaultDelimiter"}, "b.csv": {"Utf8Encoding", "DropCommentLines", "GenericHeader"}}
     assert sum(r.file.endswith("a.csv") for r in rows) == 151
 
 
+def test_csv_normalisation_keeps_quoted_lines_and_long_fields(spark, tmp_path):
+    import csv
+    import io
+
+    csv.field_size_limit(1 << 20)
+    long = "x" * 200_000
+    given = [["k", "text"], ["a", "two\n#lines"], ["b", 'say "hi", you'], ["c", ""], ["d", long], ["e", "1"]]
+    text = io.StringIO()
+    csv.writer(text, delimiter=";").writerows(given)
+    (tmp_path / "q.csv").write_text(text.getvalue())
+    rows = sorted(pr.normalise_csv(spark, str(tmp_path)).collect(), key=lambda r: r.row)
+    assert [next(csv.reader(io.StringIO(r.value))) for r in rows] == given
+    assert [r.header for r in rows] == [True] + [False] * 5
+
+
 def test_column_types(spark):
     cols = {"n": ["1", "2.5", ""], "b": ["yes", "no", "yes"], "d": ["2020-01-01T00:00:00", "2020-01-02T00:00:00", None], "x": ["1", "a", "b c"]}
     rows = [("f", i, c, v) for c, vs in cols.items() for i, v in enumerate(vs)]
