@@ -47,18 +47,18 @@ def stream_ingest(c: Catalogue):
     return rows.groupBy("snapshot", "status").agg(F.count(F.lit(1)).alias("results"), F.countDistinct("uri").alias("uris"))
 
 
-@query("stream_first_results", "select distinct uri, snapshot from v_crawllog")
+@query("stream_first_results", "select uri, snapshot, arg_min(event_id, (timestamp, event_id)) as event_id from v_crawllog group by all")
 def stream_first_results(c: Catalogue):
     path = scratch(c.spark, "first")
     cl.first_results(stream(c), path).awaitTermination()
-    return c.spark.read.parquet(path + "/data").select("uri", "snapshot")
+    return cl.firsts(c.spark, path).select("uri", "snapshot", "event_id")
 
 
 @query("stream_status_counts", "select date_trunc('hour', timestamp) as window_start, domain, status, count(*) as count from v_crawllog group by all")
 def stream_status_counts(c: Catalogue):
     path = scratch(c.spark, "status")
     cl.status_counts(stream(c), path).awaitTermination()
-    return cl.latest(c.spark, path, ["window_start", "domain", "status"])
+    return cl.counts(c.spark, path, ["window_start", "domain", "status"])
 
 
 @query("stream_crawl_rate", """
@@ -68,7 +68,7 @@ select window_start, count, round(count / 3600, 9) as per_second, cast(sum(count
 def stream_crawl_rate(c: Catalogue):
     path = scratch(c.spark, "rate")
     cl.crawl_rate(stream(c), path).awaitTermination()
-    rows = cl.rates_since_start(cl.latest(c.spark, path, ["window_start"]))
+    rows = cl.rates_since_start(cl.rates(c.spark, path))
     return rows.withColumns({n: F.round(n, 9) for n in ("per_second", "per_second_since_start")})
 
 

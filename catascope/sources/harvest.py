@@ -25,9 +25,45 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _exploded(pages: DataFrame, *paths: str) -> DataFrame:
+#: Where a page has its records, per software; the first place that there is counts.
+PLACES = {
+    "CKAN": ("$.result.results", "$.results", "$.result"),
+    "Socrata": ("$",),
+    "OpenDataSoft": ("$.datasets",),
+    "DataGouvFr": ("$.data",),
+}
+
+
+def _found(software: str) -> Column:
+    return F.coalesce(*[F.try_variant_get("_doc", p, "array<variant>") for p in PLACES[software]])
+
+
+def rejected_pages(pages: DataFrame, software: str) -> DataFrame:
+    """Pages that give no records: (portalid, snapshot, page, reason).
+
+    Reasons are `empty` (no text), `not JSON` (a cut-off page, say) and `no records` (another
+    answer, such as an error message).
+    """
+    rows = pages.withColumn("_doc", F.try_parse_json("body"))
+    reason = (
+        F.when(~filled(F.trim("body")), "empty")
+        .when(F.col("_doc").isNull(), "not JSON")
+        .when(_found(software).isNull(), "no records")
+    )
+    return rows.select(*RUN, "page", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
+def runs_with_rejects(runs: DataFrame, rejects: DataFrame) -> DataFrame:
+    """Runs with the number of rejected pages, and an exception where there was none but a reject."""
+    n = rejects.groupBy(*RUN).agg(F.count(F.lit(1)).alias("rejected"), F.min("reason").alias("_reason"))
+    out = runs.drop("rejected").join(n, RUN, "left")
+    exc = F.coalesce("exc", F.when(F.col("rejected") > 0, F.concat(F.lit("ValueError: "), F.col("_reason"))))
+    return out.withColumns({"exc": exc, "rejected": F.coalesce("rejected", F.lit(0))}).drop("_reason")
+
+
+def _exploded(pages: DataFrame, software: str) -> DataFrame:
     parsed = pages.withColumn("_doc", F.try_parse_json("body"))
-    found = F.coalesce(*[F.try_variant_get("_doc", p, "array<variant>") for p in paths])
+    found = _found(software)
     return parsed.select(*RUN, "page", F.posexplode(found).alias("pos", "item"))
 
 
@@ -39,7 +75,7 @@ def _first_per_id(rows: DataFrame, key: Column, raw: Column) -> DataFrame:
 
 def ckan_records(pages: DataFrame, singles: DataFrame | None = None) -> DataFrame:
     """Search results, completed by single records whose id and name were not in them."""
-    rows = _exploded(pages, "$.result.results", "$.results", "$.result")
+    rows = _exploded(pages, "CKAN")
     out = _first_per_id(rows, doc.get(F.col("item"), "id"), F.to_json("item"))
     if singles is None:
         return out
@@ -56,7 +92,7 @@ def ckan_records(pages: DataFrame, singles: DataFrame | None = None) -> DataFram
 
 def socrata_records(pages: DataFrame, dcat: DataFrame | None = None) -> DataFrame:
     """Tabular views as {view, dcat}; dcat is a table (portalid, snapshot, id, dcat)."""
-    rows = _exploded(pages, "$").where(
+    rows = _exploded(pages, "Socrata").where(
         F.coalesce(doc.get(F.col("item"), "viewType"), F.lit("tabular")) == "tabular"
     )
     out = _first_per_id(rows, doc.get(F.col("item"), "id"), F.to_json("item"))
@@ -71,12 +107,12 @@ def socrata_records(pages: DataFrame, dcat: DataFrame | None = None) -> DataFram
 
 
 def opendatasoft_records(pages: DataFrame) -> DataFrame:
-    rows = _exploded(pages, "$.datasets")
+    rows = _exploded(pages, "OpenDataSoft")
     return _first_per_id(rows, doc.get(F.col("item"), "datasetid"), F.to_json("item"))
 
 
 def data_gouv_fr_records(pages: DataFrame) -> DataFrame:
-    rows = _exploded(pages, "$.data")
+    rows = _exploded(pages, "DataGouvFr")
     return _first_per_id(rows, doc.get(F.col("item"), "id"), F.to_json("item"))
 
 

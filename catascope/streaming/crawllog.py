@@ -7,6 +7,8 @@ the shared folder.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,49 +37,64 @@ def ingest(log: DataFrame, path: str):
     return _run(log.writeStream.format("parquet").partitionBy("snapshot").option("path", path + "/data").outputMode("append"), path)
 
 
-def first_results(log: DataFrame, path: str, delay: str = "8 days"):
-    """One result per uri and snapshot; the watermark outlives the week, so state stays bounded."""
-    once = log.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["uri", "snapshot"])
-    return _run(once.writeStream.format("parquet").option("path", path + "/data").outputMode("append"), path)
-
+def _summaries(log: DataFrame, path: str, summary: Callable[[DataFrame], DataFrame]):
+    """Write the summary of every micro-batch into the batch's own folder.
 
-def _upsert(df: DataFrame, path: str):
-    """Write the groups a micro-batch changed into the batch's own folder."""
+    Summaries of batches are merged when they are read, so a result counts however late it comes,
+    no state is held between batches, and a repeated batch replaces its own folder.
+    """
     def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
+        summary(batch).write.mode("overwrite").parquet(f"{path}/data/batch={number}")
+
+    return _run(log.writeStream.foreachBatch(save), path)
+
+
+def _earliest(rows: DataFrame) -> DataFrame:
+    rest = [c for c in rows.columns if c not in ("uri", "snapshot")]
+    first = F.min_by(F.struct(*rest), F.struct("timestamp", "event_id"))
+    return rows.groupBy("uri", "snapshot").agg(first.alias("r")).select("uri", "snapshot", "r.*")
+
 
-    return _run(df.writeStream.outputMode("update").foreachBatch(save), path)
+def first_results(log: DataFrame, path: str):
+    """The first result per uri and snapshot of every micro-batch; read them with `firsts`."""
+    return _summaries(log, path, _earliest)
 
 
-def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The groups as the newest batch left them."""
-    rows = spark.read.parquet(path + "/data")
-    rest = [c for c in rows.columns if c not in (*keys, "batch")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
+def firsts(spark: SparkSession, path: str) -> DataFrame:
+    """One result per uri and snapshot, the earliest of all batches."""
+    return _earliest(spark.read.parquet(path + "/data").drop("batch"))
 
 
-def status_windows(log: DataFrame, window: str = "1 hour", delay: str = "1 day") -> DataFrame:
+def counts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Counts per group over all batches."""
+    return spark.read.parquet(path + "/data").groupBy(*keys).agg(F.sum("count").alias("count"))
+
+
+def status_windows(log: DataFrame, window: str = "1 hour") -> DataFrame:
     """Results per time window, domain and status."""
-    grouped = log.withWatermark("timestamp", delay).groupBy(F.window("timestamp", window), "domain", "status")
+    grouped = log.groupBy(F.window("timestamp", window).alias("window"), "domain", "status")
     return grouped.agg(F.count(F.lit(1)).alias("count")).select(
         F.col("window.start").alias("window_start"), "domain", "status", "count"
     )
 
 
-def status_counts(log: DataFrame, path: str, window: str = "1 hour", delay: str = "1 day"):
-    return _upsert(status_windows(log, window, delay), path)
+def status_counts(log: DataFrame, path: str, window: str = "1 hour"):
+    return _summaries(log, path, lambda batch: status_windows(batch, window))
 
 
-def crawl_rates(log: DataFrame, window: str = "1 hour", seconds: int = 3600, delay: str = "1 day") -> DataFrame:
-    """Results per second in every window."""
-    grouped = log.withWatermark("timestamp", delay).groupBy(F.window("timestamp", window))
-    return grouped.agg(F.count(F.lit(1)).alias("count")).select(
-        F.col("window.start").alias("window_start"), "count", (F.col("count") / seconds).alias("per_second")
-    )
+def crawl_counts(log: DataFrame, window: str = "1 hour") -> DataFrame:
+    """Results in every window."""
+    grouped = log.groupBy(F.window("timestamp", window).alias("window")).agg(F.count(F.lit(1)).alias("count"))
+    return grouped.select(F.col("window.start").alias("window_start"), "count")
+
+
+def crawl_rate(log: DataFrame, path: str, window: str = "1 hour"):
+    return _summaries(log, path, lambda batch: crawl_counts(batch, window))
 
 
-def crawl_rate(log: DataFrame, path: str, window: str = "1 hour", seconds: int = 3600):
-    return _upsert(crawl_rates(log, window, seconds), path)
+def rates(spark: SparkSession, path: str, seconds: int = 3600) -> DataFrame:
+    """Results per second in every window, over all batches."""
+    return counts(spark, path, ["window_start"]).withColumn("per_second", F.col("count") / seconds)
 
 
 def rates_since_start(rates: DataFrame, seconds: int = 3600) -> DataFrame:

@@ -153,3 +153,12 @@ def test_column_types(spark):
     rows = [("f", i, c, v) for c, vs in cols.items() for i, v in enumerate(vs)]
     df = spark.createDataFrame(rows, "file string, row int, col string, value string")
     assert {r.col: r.datatype for r in pr.column_type(df).collect()} == {"n": "number", "b": "binary", "d": "datetime", "x": "anyAtomicType"}
+
+
+def test_runs_show_rejected_pages(spark):
+    pages = spark.createDataFrame([("p", 1, 0, '{"datasets":[]}'), ("p", 1, 1, '{"datasets":['), ("q", 1, 0, " "), ("r", 1, 0, None), ("s", 1, 0, '{"datasets":[{}]}')], "portalid string, snapshot int, page int, body string")
+    rejects = ha.rejected_pages(pages, "OpenDataSoft")
+    assert sorted((r.portalid, r.page, r.reason) for r in rejects.collect()) == [("p", 1, "not JSON"), ("q", 0, "empty"), ("r", 0, "empty")]
+    runs = spark.createDataFrame([("p", 1, None), ("q", 1, "Timeout: x"), ("s", 1, None)], "portalid string, snapshot int, exc string")
+    got = {r.portalid: (r.rejected, r.exc) for r in ha.runs_with_rejects(runs, rejects).collect()}
+    assert got == {"p": (1, "ValueError: not JSON"), "q": (1, "Timeout: x"), "s": (0, None)}

@@ -47,7 +47,7 @@ def test_status_counts(spark, log):
     path, batch = log
     out = scratch(spark, "counts")
     cl.status_counts(stream(spark, path), out).awaitTermination()
-    got = {tuple(r) for r in cl.latest(spark, out, ["window_start", "domain", "status"]).collect()}
+    got = {tuple(r) for r in cl.counts(spark, out, ["window_start", "domain", "status"]).collect()}
     want = batch.groupBy(F.date_trunc("hour", "timestamp").alias("w"), "domain", "status").count()
     assert got == {tuple(r) for r in want.collect()}
 
@@ -56,15 +56,32 @@ def test_first_results(spark, log):
     path, batch = log
     out = scratch(spark, "first")
     cl.first_results(stream(spark, path), out).awaitTermination()
-    got = sorted((r.uri, r.snapshot) for r in spark.read.parquet(out + "/data").collect())
-    assert got == sorted({(r.uri, r.snapshot) for r in batch.collect()})
+    got = sorted((r.uri, r.snapshot, r.event_id) for r in cl.firsts(spark, out).collect())
+    want = {}
+    for r in sorted(batch.collect(), key=lambda r: r.event_id):
+        want.setdefault((r.uri, r.snapshot), r.event_id)
+    assert got == sorted((*k, v) for k, v in want.items())
+
+
+def test_results_of_files_in_any_order_all_count(spark, log, tmp_path):
+    """Files with the latest results first: the others come weeks late."""
+    _, batch = log
+    path = str(tmp_path / "shuffled")
+    for k in (4, 1, 5, 0, 3, 2):
+        batch.where(f"event_id div 200 = {k}").coalesce(1).write.mode("append").parquet(path)
+    counted, first = scratch(spark, "counts"), scratch(spark, "first")
+    cl.status_counts(stream(spark, path), counted).awaitTermination()
+    cl.first_results(stream(spark, path), first).awaitTermination()
+    assert cl.counts(spark, counted, ["window_start"]).agg(F.sum("count")).first()[0] == batch.count()
+    want = {(r.uri, r.snapshot): r.e for r in batch.groupBy("uri", "snapshot").agg(F.min("event_id").alias("e")).collect()}
+    assert {(r.uri, r.snapshot): r.event_id for r in cl.firsts(spark, first).collect()} == want
 
 
 def test_rates_since_start(spark, log):
     path, batch = log
     out = scratch(spark, "rates")
     cl.crawl_rate(stream(spark, path), out).awaitTermination()
-    rows = sorted(cl.rates_since_start(cl.latest(spark, out, ["window_start"])).collect(), key=lambda r: r.window_start)
+    rows = sorted(cl.rates_since_start(cl.rates(spark, out)).collect(), key=lambda r: r.window_start)
     total = 0
     for r in rows:
         total += r["count"]
