@@ -164,24 +164,38 @@ def download_rows(c: Catalogue):
     return rows.select(F.col("referrer").cast("bigint").alias("event_id"), "uri", "status", "domain", "digest", "size", "crawltime")
 
 
-@query("xml_records", "select 'portal' as portalid, 2401 as snapshot, id, nullif(title, '') as title, lang as keyword, 2 as distributions from v_doc")
+@query("xml_records", "select portalid, 2401 as snapshot, id, nullif(title, '') as title, lang as keyword, 2 as distributions from v_doc")
 def xml_records(c: Catalogue):
-    """Catalogue files of RDF/XML datasets, read by element and mapped."""
-    path = scratch(c.spark, "rdf")
-    body = F.regexp_extract(rawdocs.rdf_xml(), r"(?s)(<dcat:Dataset>.*</dcat:Dataset>)", 1)
-    body = F.replace(body, F.lit("dcat:Download>"), F.lit("dcat:Distribution>"))
-    docs = rawdocs.with_resources(c).select(F.floor(F.col("doc_id") / 100).alias("part"), body.alias("body"))
-    whole = docs.groupBy("part").agg(F.array_join(F.collect_list("body"), "\n").alias("v"))
-    whole.select("part", F.concat(F.lit(rawdocs.RDF_HEAD), "v", F.lit("</rdf:RDF>")).alias("value")).write.partitionBy("part").text(path)
-    from catascope.operators.mapping import json_ld
-
-    rows = ha.xml_records(ha.read_xml_catalogue(c.spark, path), "portal", rawdocs.SNAPSHOT)
-    dcat = json_ld(rows.withColumn("apiuri", F.lit("")))
+    """Catalogue files of all portals, read in one job and mapped."""
+    dcat = _xml_dcat(c)
     return dcat.select(
         "portalid", "snapshot", "id", F.get("title", F.lit(0)).alias("title"), F.get("keywords", F.lit(0)).alias("keyword"), F.size("distributions").alias("distributions")
     )
 
 
+def _xml_dcat(c: Catalogue):
+    from catascope.operators.mapping import json_ld
+
+    rows = ha.xml_records(ha.read_xml_catalogue(c.spark, rawdocs.xml_catalogues(c)))
+    return json_ld(rows.withColumn("apiuri", F.lit("")))
+
+
+@query("xml_to_dcat", """
+select portalid, id, org_title as publisher, contact_name as contact, case when contact_name is not null then contact_email end as email, frequency, spatial_text as spatial,
+  temporal_start as start, coalesce(license_title, license_id) as license, a.url as first_url, b.url as second_url, trim(b.format) as second_format
+from v_doc join v_doc_resource a using (doc_id) join v_doc_resource b using (doc_id) where a.pos = 0 and b.pos = 1""")
+def xml_to_dcat(c: Catalogue):
+    """Everything below a dataset of a catalogue, the distribution that stands apart included."""
+    first = lambda name, field: F.get(name, F.lit(0))[field]
+    dist = lambda i, name: F.get(F.get("distributions", F.lit(i))[name], F.lit(0))
+    return _xml_dcat(c).select(
+        "portalid", "id", first("publisher", "name").alias("publisher"), first("contact", "fn").alias("contact"), first("contact", "email").alias("email"),
+        F.get("frequency", F.lit(0)).alias("frequency"), first("spatial", "label").alias("spatial"), first("temporal", "start").alias("start"),
+        dist(0, "license")["label"].alias("license"), dist(0, "access_url").alias("first_url"), dist(1, "access_url").alias("second_url"),
+        dist(1, "format")["ref"].alias("second_format"),
+    )
+
+
 @query("media_type_registry", f"""
 select token, count(*) as resources from (select lower(trim(format)) as token from v_doc_resource) x
 where token in ({', '.join("'" + t + "'" for t in common_registry())}) group by token""")

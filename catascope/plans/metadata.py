@@ -88,7 +88,7 @@ def rejected_pages(c: Catalogue):
     n = F.col("page") % 4
     broken = F.when(n == 0, F.col("body")).when(n == 1, F.expr("substring(body, 1, length(body) - 1)")).when(n == 2, F.lit('{"success":false,"error":"x"}'))
     out = None
-    for software in ha.RECORDS:
+    for software in ha.PLACES:
         portals = c.portal.where(F.col("software") == software).select(F.col("id").alias("portalid"))
         pages = rawdocs.pages(c, software).join(portals, "portalid", "left_semi").withColumn("body", broken)
         rows = ha.rejected_pages(pages, software).withColumn("software", F.lit(software))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catascope.plans.views import Catalogue
+from catascope.session import scratch
 
 SNAPSHOT = 2401
 KEYS = ["doc_id", "id", "portalid", "software", "apiuri", "portal_uri", "iso"]
@@ -93,6 +94,46 @@ def rdf_xml() -> Column:
     )
 
 
+CATALOGUE_HEAD = RDF_HEAD[:-1] + ' xmlns:foaf="http://xmlns.com/foaf/0.1/" xmlns:vcard="http://www.w3.org/2006/vcard/ns#" xmlns:skos="http://www.w3.org/2004/02/skos/core#" xmlns:schema="http://schema.org/">'
+
+
+def rdf_catalogue() -> Column:
+    """RDF/XML of a dataset in a catalogue; its second resource is only referred to and stands apart."""
+    tag = lambda name, text: F.when(text.isNotNull(), F.concat(F.lit(f"<{name}>"), _xml(text), F.lit(f"</{name}>"))).otherwise("")
+    inside = lambda name, *parts: F.concat(F.lit(f"<{name}>"), *parts, F.lit(f"</{name}>"))
+    given = lambda have, part: F.when(have.isNotNull(), part).otherwise("")
+    name = F.concat(F.lit("urn:dist:"), c("id"))
+    terms = F.coalesce("license_title", "license_id")
+
+    def dist(r: Column, about: str | None) -> Column:
+        head = F.lit("<dcat:Distribution>") if about is None else F.concat(F.lit('<dcat:Distribution rdf:about="'), name, F.lit('">'))
+        link = F.concat(F.lit('<dcat:accessURL rdf:resource="'), _xml(r["url"]), F.lit('"/>'))
+        licence = given(terms, inside("dct:license", inside("dct:LicenseDocument", tag("rdfs:label", terms))))
+        return F.concat(head, link, tag("dct:format", r["format"]), licence, F.lit("</dcat:Distribution>"))
+
+    first, second = (F.get("res", F.lit(i)) for i in (0, 1))
+    dataset = F.concat(
+        F.lit("<dcat:Dataset>"), tag("dct:title", c("title")), tag("dct:identifier", c("id")), tag("dcat:keyword", c("lang")),
+        given(c("org_title"), inside("dct:publisher", inside("foaf:Organization", tag("foaf:name", c("org_title"))))),
+        given(c("contact_name"), inside("dcat:contactPoint", inside("vcard:Kind", tag("vcard:fn", c("contact_name")), tag("vcard:hasEmail", c("contact_email"))))),
+        tag("dct:accrualPeriodicity", c("frequency")),
+        given(c("spatial_text"), inside("dct:spatial", inside("dct:Location", tag("skos:prefLabel", c("spatial_text"))))),
+        given(c("temporal_start"), inside("dct:temporal", inside("dct:PeriodOfTime", tag("schema:startDate", c("temporal_start"))))),
+        inside("dcat:distribution", dist(first, None)), F.lit('<dcat:distribution rdf:resource="'), name, F.lit('"/></dcat:Dataset>'),
+    )
+    return F.concat(dataset, dist(second, "apart"))
+
+
+def xml_catalogues(cat: Catalogue) -> str:
+    """Catalogue files of all portals, below portalid=/snapshot= folders."""
+    path = scratch(cat.spark, "rdf")
+    docs = with_resources(cat).select("portalid", F.lit(SNAPSHOT).alias("snapshot"), F.floor(c("doc_id") / 1000).alias("part"), rdf_catalogue().alias("body"))
+    whole = docs.groupBy("portalid", "snapshot", "part").agg(F.array_join(F.collect_list("body"), "").alias("v"))
+    whole = whole.select("portalid", "snapshot", F.concat(F.lit(CATALOGUE_HEAD), "v", F.lit("</rdf:RDF>")).alias("value"))
+    whole.write.option("maxRecordsPerFile", 1).partitionBy("portalid", "snapshot").text(path)
+    return path
+
+
 def socrata_json() -> Column:
     return F.to_json(F.struct(socrata_view().alias("view"), rdf_xml().alias("dcat")))
 
