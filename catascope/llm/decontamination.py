@@ -139,4 +139,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The documents in which no item is found, with their columns."""
     found = stored(matches(docs, benchmark, least).select("key").distinct(), "contaminated").toDF("__key")
-    return docs.join(found, text_key(docs["text"]) == found["__key"], "left_anti")
+    return docs.join(found.hint("shuffle_merge"), text_key(docs["text"]) == found["__key"], "left_anti")

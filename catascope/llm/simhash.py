@@ -228,7 +228,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     out = near_groups(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "probe").distinct()
     out = stored(out, "near-copies").toDF("__doc_id", "__probe")
     same = docs["doc_id"].eqNullSafe(out["__doc_id"]) & (F.xxhash64(docs["text"]) == out["__probe"])
-    return docs.join(out, same, "left_anti")
+    # copies grow with the documents: texts move once at every size, not only beyond a broadcast's limit
+    return docs.join(out.hint("shuffle_merge"), same, "left_anti")
 
 
 ship(__name__)
