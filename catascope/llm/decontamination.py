@@ -95,7 +95,8 @@ def windows(docs: DataFrame, items: DataFrame, widths: list[int], least: float)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """(key, item_id, start, similarity): for each text (by SHA-256) and item the best window.
+    """(key, item_id, start, similarity): for each text (by SHA-256) and item the best window, the
+    last one of equal ones.
 
     Contaminated means: some window of the item's size has weighted similarity `least` or more to
     the item on shingles of five words, and a fingerprint within the radius.
@@ -120,8 +121,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, ra
     pairs = pairs.where(F.bit_count(F.col("own_fp").bitwiseXOR(F.col("fp"))) <= radius)
     pairs = pairs.dropDuplicates(["key", "start", "item_id"])
     pairs = pairs.withColumn("similarity", similarity(F.col("own"), F.col("hashes"))).where(F.col("similarity") >= least - 1e-9)
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("back")))
-    return pairs.groupBy("key", "item_id").agg(best.alias("best")).select("key", "item_id", (-F.col("best.back")).alias("start"), F.col("best.similarity").alias("similarity"))
+    return pairs.groupBy("key", "item_id").agg(F.max(F.struct("similarity", "start")).alias("best")).select("key", "item_id", "best.start", "best.similarity")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -140,3 +140,34 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> D
     """The documents in which no item is found, with their columns."""
     found = stored(matches(docs, benchmark, least).select("key").distinct(), "contaminated").toDF("__key")
     return docs.join(found.hint("shuffle_merge"), text_key(docs["text"]) == found["__key"], "left_anti")
+
+
+#: Every window of every document that shares a shingle with an item, without fingerprints.
+ORACLE = r"""
+with di as (
+  select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as ws from documents
+), ii as (
+  select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as ws from benchmark
+), i as (
+  select item_id, k, list_transform(range(1, len(ws) - k + 2), lambda j: array_to_string(ws[j:j + k - 1], ' ')) as b
+  from (select *, least(5, len(ws)) as k from ii where len(ws) > 0) x
+), d as (
+  select doc_id, k, list_transform(range(1, len(ws) - k + 2), lambda j: array_to_string(ws[j:j + k - 1], ' ')) as a
+  from di cross join (select distinct k from i) ks where len(ws) >= k
+), pairs as (
+  select distinct x.doc_id, y.item_id from (select doc_id, k, unnest(a) as s from d) x join (select item_id, k, unnest(b) as s from i) y on x.k = y.k and x.s = y.s
+), spans as (
+  select doc_id, item_id, b, least(len(a), len(b)) as m, a, unnest(range(0, len(a) - least(len(a), len(b)) + 1)) as start
+  from pairs join i using (item_id) join d using (doc_id, k)
+), shared as (
+  select doc_id, item_id, start, m, len(b) as n,
+    list_sum(list_transform(list_distinct(b), lambda x: least(len(list_filter(a[start + 1:start + m], lambda y: y = x)), len(list_filter(b, lambda y: y = x))))) as common
+  from spans
+), scored as (
+  select doc_id, item_id, start, common / (n + m - common) as similarity from shared
+)
+select doc_id, item_id, cast(max(start) as int) as start, similarity from scored
+where similarity >= 0.8 - 1e-9
+group by doc_id, item_id, similarity
+qualify row_number() over (partition by doc_id, item_id order by similarity desc) = 1
+"""

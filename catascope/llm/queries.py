@@ -86,4 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {"op2_warc": warc.ORACLE, "op10_exact_dedup": exact.ORACLE}
+SQL: dict[str, str] = {
+    "op2_warc": warc.ORACLE,
+    "op4_suffix_dedup": suffixes.ORACLE,
+    "op5_decontamination": decontamination.ORACLE,
+    "op10_exact_dedup": exact.ORACLE,
+}

@@ -348,4 +348,30 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     )
 
 
+#: Every string of 400 bytes by its digest, over hexadecimal texts; runs of starts that touch are spans.
+ORACLE = """
+with t as (
+  select row_number() over () as no, doc_id, hex(encode(coalesce(text, ''))) as x from documents
+), s as (
+  select no, unnest(range(0, len(x) // 2 - 399)) as pos, x from t where len(x) >= 800
+), k as (
+  select no, pos, md5(substring(x, 2 * pos + 1, 800)) as string from s
+), again as (
+  select no, pos from k qualify count(*) over (partition by string) > 1
+), cuts as (
+  select no, pos, case when pos - lag(pos) over (partition by no order by pos) <= 400 then 0 else 1 end as first from again
+), runs as (
+  select no, run, min(pos) as a, max(pos) + 400 as b from (select *, sum(first) over (partition by no order by pos) as run from cuts) c group by no, run
+), gaps as (
+  select no, run, a, b, coalesce(lag(b) over (partition by no order by a), 0) as before from runs
+), kept as (
+  select no, string_agg(substring(x, 2 * before + 1, 2 * (a - before)), '' order by a) || substring(any_value(x), 2 * max(b) + 1) as y,
+    sum(b - a) as n_removed, count(*) as n_spans
+  from gaps join t using (no) group by no
+)
+select doc_id, cast(len(x) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans,
+  sha256(unhex(coalesce(y, x))) as kept_sha256
+from t left join kept using (no)
+"""
+
 ship(__name__)

@@ -32,7 +32,8 @@ RECORDS = "page_id long, url string, payload_bytes long, payload_digest string,
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a folder in the shared store and the path there."""
-    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+    uri = re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", uri))  # names that only Hadoop knows
+    return fs.FileSystem.from_uri(uri)
 
 
 def record_id(page_id: int | None) -> str:
