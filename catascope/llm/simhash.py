@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,22 +134,35 @@ def compared(radius: int):
     return run
 
 
+def keys(radius: int) -> Column:
+    """(block, value) for every two of radius + 2 blocks of bits.
+
+    Two fingerprints within the radius agree in at least two of the blocks, and a value of two
+    blocks (25 bits at radius 3) is shared by few others even among billions.
+    """
+    n = radius + 2
+    cuts = [64 * i // n for i in range(n + 1)]
+    part = lambda i: F.shiftrightunsigned("fp", cuts[i]).bitwiseAND((1 << (cuts[i + 1] - cuts[i])) - 1)
+    two = lambda i, j: F.shiftleft(part(i), cuts[j + 1] - cuts[j]).bitwiseOR(part(j))
+    pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
+    return F.array(*[F.struct(F.lit(k).alias("block"), two(i, j).alias("value")) for k, (i, j) in enumerate(pairs)])
+
+
 def tile_pairs(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """(tile, fp): the fingerprints that one comparison needs together.
 
-    With radius + 1 blocks of bits, two fingerprints within the radius have a block in common.
-    Inside a block value, fingerprints are tiled by population count in bands of radius + 1,
-    and only a band and its neighbour are paired: other counts differ beyond the radius. A band
-    with more than `tile` fingerprints is salted into several tiles, each paired with the others.
+    Fingerprints with a key in common are one tile. Where these are more than `tile`, they are
+    tiled by population count in bands of radius + 1, and only a band and its neighbour are paired:
+    other counts differ beyond the radius. A band with more than `tile` fingerprints is salted into
+    several tiles, each paired with the others.
     """
-    blocks, width = radius + 1, 64 // (radius + 1)
-    mask = (1 << width) - 1
-    cut = F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", i * width).bitwiseAND(mask).alias("value")) for i in range(blocks)])
-    rows = fps.select("fp", F.explode(cut).alias("at")).select("fp", "at.block", "at.value")
+    rows = fps.select("fp", F.explode(keys(radius)).alias("at")).select("fp", "at.block", "at.value")
     rows = rows.withColumn("band", F.floor(F.bit_count("fp") / (radius + 1)).cast("int"))
-    hot = rows.groupBy("block", "value", "band").count().where(F.col("count") > tile)
+    hot = rows.groupBy("block", "value").count().where(F.col("count") > tile).select("block", "value")
+    hot = stored(hot, "hot-keys")
+    bands = rows.join(hot, ["block", "value"], "left_semi").groupBy("block", "value", "band").count()
     salts = F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("count") / tile).cast("int"))))
-    hot = stored(hot.groupBy("block", "value").agg(salts.alias("salts")), "hot-tiles")
+    hot = stored(bands.groupBy("block", "value").agg(salts.alias("salts")), "hot-tiles")
     rows = rows.join(hot, ["block", "value"], "left")
     of = lambda band: F.coalesce(F.try_element_at("salts", band), F.lit(1))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("fp"), of(F.col("band"))).cast("int"))
@@ -161,6 +174,7 @@ def tile_pairs(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
         each(of(band + 1), lambda s: pair(band, 1, salt, s)),
         each(of(band - 1), lambda s: pair(band - 1, 1, s, salt)),
     )
+    tiles = F.when(F.col("salts").isNull(), F.array(F.xxhash64("block", "value"))).otherwise(tiles)
     return rows.select(F.explode(tiles).alias("tile"), "fp")
 
 
