@@ -16,6 +16,7 @@ from catascope.plans.catalogue import QUALITY_SQL, portal_quality
 from catascope.plans.registry import query
 from catascope.plans.scalars import LICENSE_SQL
 from catascope.plans.views import Catalogue
+from catascope.session import scratch
 from catascope.sources import harvest as ha
 from catascope.sources import registries as rg
 
@@ -36,7 +37,7 @@ d as (select v.*, a.url as url0, b.url as url1, a.format as f0, b.format as f1,
 @query("ckan_records", """
 select portalid, 2401 as snapshot, id, concat('record-', cast(doc_id as varchar)) as name, title, length(notes) as note_length from v_doc""")
 def ckan_records(c: Catalogue):
-    rows = ha.ckan_records(rawdocs.pages(c, "CKAN"))
+    rows = ha.ckan_records(_landed(c, "CKAN"))
     json = lambda k: F.get_json_object("raw", f"$.{k}")
     return rows.select("portalid", "snapshot", "id", json("name").alias("name"), json("title").alias("title"), F.length(json("notes")).cast("bigint").alias("note_length"))
 
@@ -56,7 +57,7 @@ def socrata_records(c: Catalogue):
     text = rawdocs.with_resources(c).where("lang <> 'de'").select(
         "portalid", F.lit(rawdocs.SNAPSHOT).alias("snapshot"), "id", rawdocs.rdf_xml().alias("dcat")
     )
-    rows = ha.socrata_records(rawdocs.pages(c, "Socrata"), text)
+    rows = ha.socrata_records(_landed(c, "Socrata"), text)
     return rows.select(
         "portalid", "snapshot", "id", F.get_json_object("raw", "$.view.viewType").alias("view_type"),
         F.get_json_object("raw", "$.dcat").isNotNull().alias("has_dcat"),
@@ -65,16 +66,23 @@ def socrata_records(c: Catalogue):
 
 @query("opendatasoft_records", "select portalid, 2401 as snapshot, id, title from v_doc")
 def opendatasoft_records(c: Catalogue):
-    rows = ha.opendatasoft_records(rawdocs.pages(c, "OpenDataSoft"))
+    rows = ha.opendatasoft_records(_landed(c, "OpenDataSoft"))
     return rows.select("portalid", "snapshot", "id", F.get_json_object("raw", "$.metas.title").alias("title"))
 
 
 @query("data_gouv_fr_records", "select portalid, 2401 as snapshot, id, title from v_doc")
 def data_gouv_fr_records(c: Catalogue):
-    rows = ha.data_gouv_fr_records(rawdocs.pages(c, "DataGouvFr"))
+    rows = ha.data_gouv_fr_records(_landed(c, "DataGouvFr"))
     return rows.select("portalid", "snapshot", "id", F.get_json_object("raw", "$.title").alias("title"))
 
 
+def _landed(c: Catalogue, software: str):
+    """The pages of a software written as a crawler lands them, one file each, and read back."""
+    path = scratch(c.spark, "pages")
+    rawdocs.pages(c, software).select("portalid", "snapshot", "page", F.col("body").alias("value")).write.partitionBy("portalid", "snapshot", "page").text(path)
+    return ha.read_pages(c.spark, path)
+
+
 PAGES_SQL = """
 with pages as (select distinct portalid, software, page from (select portalid, software, doc_id // 100 as page from v_doc
   union all select portalid, software, doc_id // 100 + 1 from v_doc where doc_id % 100 = 99) x)"""

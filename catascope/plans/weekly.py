@@ -17,6 +17,7 @@ from catascope.functions.ratios import content_hash, safe_ratio
 from catascope.functions.status import harvest_status
 from catascope.operators import access as ac
 from catascope.operators import dynamics as dy
+from catascope.operators import freshness as fr
 from catascope.operators import mapping as ma
 from catascope.operators import quality as qu
 from catascope.operators import stats as sa
@@ -59,8 +60,9 @@ class Warehouse:
         return self.read(name).where(F.col("snapshot") <= snapshot).join(used, "md5", "left_semi")
 
 
-def harvest(wh: Warehouse, records: DataFrame, portals: DataFrame, runs: DataFrame, snapshot: int) -> None:
-    """Take in one week: records (portalid, id, raw) and runs (portalid, start_ts, end_ts, exc)."""
+def harvest(wh: Warehouse, records: DataFrame, portals: DataFrame, runs: DataFrame, snapshot: int, lookups: DataFrame | None = None) -> None:
+    """Take in one week: records (portalid, id, raw), runs (portalid, start_ts, end_ts, exc), and the
+    results of the resource checks (uri, snapshot, header), if there were any."""
     p = portals.select(F.col("id").alias("portalid"), "software", "apiuri")
     rows = records.join(p, "portalid").select(
         "portalid", "id", "software", "apiuri", "raw", F.lit(snapshot).alias("snapshot"), content_hash(F.col("raw")).alias("md5")
@@ -75,7 +77,18 @@ def harvest(wh: Warehouse, records: DataFrame, portals: DataFrame, runs: DataFra
 
     content = wh.of_content("content", snapshot, bronze).select("md5", "title", "organisation")
     datasets = bronze.select("id", "snapshot", "portalid", "md5").join(content, "md5", "left")
-    aggregate(wh, wh.write("datasets", datasets, snapshot), runs, snapshot)
+    week = wh.write("datasets", datasets, snapshot)
+    aggregate(wh, week, runs, snapshot)
+    resources = wh.of_content("resources", snapshot, week).drop("snapshot")
+    placed = portals if "iso" in portals.columns else portals.withColumn("iso", F.lit(None).cast("string"))
+    wh.write("format_dist", sa.format_dist_groupings(week, resources, placed, snapshot), snapshot)
+    if lookups is None:
+        lookups = wh.spark.createDataFrame([], "uri string, snapshot int, header map<string,array<string>>")
+    wh.write("history", fr.history(week, resources, lookups.where(F.col("snapshot") == snapshot)), snapshot)
+    # every earlier week of the resources that are there now
+    now = resources.select("uri", "md5").distinct()
+    history = wh.read("history").where(F.col("snapshot") <= snapshot).join(now, ["uri", "md5"], "left_semi")
+    wh.write("freshness", fr.score_rows(history, snapshot), snapshot)
 
 
 def _content(silver: DataFrame) -> DataFrame:

@@ -16,11 +16,13 @@ RUN = ["portalid", "snapshot"]
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Responses below portalid=<id>/snapshot=<YYWW>/<page>.json."""
+    """Responses below portalid=<id>/snapshot=<YYWW>/, as <page>.json or in page=<page> folders."""
+    file = F.input_file_name()
+    number = F.coalesce(F.nullif(F.regexp_extract(file, "/page=([0-9]+)/", 1), F.lit("")), F.regexp_extract(file, r"([0-9]+)\.[^./]*$", 1))
     return spark.read.text(path, wholetext=True).select(
         "portalid",
         F.col("snapshot").cast("int").alias("snapshot"),
-        F.regexp_extract(F.input_file_name(), r"([0-9]+)\.[^./]*$", 1).cast("int").alias("page"),
+        number.cast("int").alias("page"),
         F.col("value").alias("body"),
     )
 

@@ -47,6 +47,25 @@ def test_datasets_and_runs(wh):
     assert {(r.snapshot, r.datasets) for r in wh.read("portal_quality").collect()} == {(1601, 4), (1602, 4)}
 
 
+def test_formats_and_freshness(wh):
+    formats = {(r.snapshot, r.level, r.grouping, r.format): r["count"] for r in wh.read("format_dist").collect()}
+    assert formats[1601, "portal", "p", "csv"] == 4 and formats[1602, "software", "CKAN", "csv"] == 4
+    assert wh.read("freshness").where("snapshot = 1602").count() == wh.read("history").where("snapshot = 1602").select("uri", "md5").distinct().count()
+
+
+def test_freshness_of_checked_resources(spark, tmp_path):
+    wh = Warehouse(spark, str(tmp_path))
+    portals = spark.createDataFrame([("p", "CKAN", API)], "id string, software string, apiuri string")
+    runs = spark.createDataFrame([("p", None, None, None)], "portalid string, start_ts timestamp, end_ts timestamp, exc string")
+    for i in range(2):
+        header = {"Last-Modified": [f"0{i + 1} Jan 2016 10:00:00 GMT"]}
+        lookups = spark.createDataFrame([("http://x.org/a", 1601 + i, header)], "uri string, snapshot int, header map<string,array<string>>")
+        harvest(wh, records(spark, {"a": ckan("a")}), portals, runs, 1601 + i, lookups)
+    assert sorted((r.snapshot, str(r.modified)) for r in wh.read("history").where("source = 'header'").collect()) == [(1601, "2016-01-01"), (1602, "2016-01-02")]
+    row = wh.read("freshness").where("snapshot = 1602").first()
+    assert row.uri == "http://x.org/a" and row.mark1_header is None  # too short a history for an estimate
+
+
 def test_supplied_documents(spark, tmp_path):
     from catascope.operators import mapping as ma
     from pyspark.sql import functions as F
