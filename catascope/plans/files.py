@@ -248,13 +248,11 @@ def stored_result(c: Catalogue):
     return tables.stored_or_computed(c.spark, path, compute)
 
 
-@query("json_export", """
-select portalid, snapshot, count(*) as rows, count(organisation) as with_organisation from v_dataset group by all""")
+@query("json_export", "select id, portalid, snapshot, organisation, title from v_dataset")
 def json_export(c: Catalogue):
     path = scratch(c.spark, "json")
     sinks.write_json(c.dataset.drop("content_no"), path)
-    rows = c.spark.read.schema("id string, portalid string, snapshot int, organisation string").json(path)
-    return rows.groupBy("portalid", "snapshot").agg(F.count(F.lit(1)).alias("rows"), F.count("organisation").alias("with_organisation"))
+    return c.spark.read.schema("id string, portalid string, snapshot int, organisation string, title string").json(path)
 
 
 @query("json_rows", """
@@ -265,30 +263,46 @@ def json_rows(c: Catalogue):
     return whole.select(F.from_json("value", "id string, title string, snapshot int").alias("r")).select("r.*").select("id", "snapshot", text.alias("value"))
 
 
-@query("csv_export", "select portalid, snapshot, count(*) as rows, count(distinct id) as ids from v_dataset group by all")
+@query("csv_export", "select portalid, snapshot, id, title from v_dataset")
 def csv_export(c: Catalogue):
     path = scratch(c.spark, "csv_export")
     sinks.write_csv(c.dataset.select("portalid", "snapshot", "id", "title"), path)
-    rows = c.spark.read.option("header", True).schema("portalid string, snapshot int, id string, title string").csv(path)
-    return rows.groupBy("portalid", "snapshot").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("id").alias("ids"))
+    return c.spark.read.option("header", True).schema("portalid string, snapshot int, id string, title string").csv(path)
 
 
-@query("triples_export", """
-select portalid, cast(count(*) filter (where end_ts is null) * 3 + count(*) filter (where end_ts is not null) * 4 as bigint) as lines from v_portalsnapshot group by portalid""")
+RUN_TRIPLES = """
+with r as (select *, concat('urn:catascope:portal/', portalid, '/', cast(snapshot as varchar)) as s from v_portalsnapshot),
+t as (select portalid, snapshot, s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' as p, 'http://www.w3.org/ns/prov#Activity' as o, true as link from r
+  union all select portalid, snapshot, s, 'http://www.w3.org/ns/prov#startedAtTime', cast(start_ts as varchar), false from r
+  union all select portalid, snapshot, s, 'http://www.w3.org/ns/prov#endedAtTime', cast(end_ts as varchar), false from r where end_ts is not null
+  union all select portalid, snapshot, s, 'http://www.w3.org/ns/prov#wasAssociatedWith', 'urn:catascope:agent', true from r)
+"""
+
+
+@query("harvest_provenance", RUN_TRIPLES + "select portalid, snapshot, s, p, o from t")
+def harvest_provenance(c: Catalogue):
+    return tr.harvest_provenance(c.portalsnapshot).select("portalid", "snapshot", "s", "p", "o")
+
+
+@query("triples_export", RUN_TRIPLES + """
+select portalid, concat('<', s, '> <', p, '> ', case when link then concat('<', o, '>') else concat('"', o, '"') end, ' .') as value from t""")
 def triples_export(c: Catalogue):
     path = scratch(c.spark, "triples")
     sinks.write_triples(tr.harvest_provenance(c.portalsnapshot), path)
-    return c.spark.read.text(path).groupBy("portalid").agg(F.count(F.lit(1)).alias("lines"))
+    return c.spark.read.text(path).select("portalid", "value")
 
 
-@query("sitemap_export", "select portalid, count(*) as urls from v_dataset group by portalid")
+@query("sitemap_export", """
+select d.portalid, concat('http://example.org/', d.portalid, '/', replace(replace(to_base64(encode(d.id)), '+', '-'), '/', '_')) as loc,
+  case when c.modified >= timestamp '1980-01-01' then strftime(c.modified, '%Y-%m-%d') end as lastmod
+from v_dataset d left join v_content c on c.md5 = d.md5""")
 def sitemap_export(c: Catalogue):
     from catascope.operators.schema_org import sitemap
 
     path = scratch(c.spark, "sitemap")
     sinks.write_sitemap(sitemap(c.dataset, c.content, "http://example.org"), path)
     rows = c.spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string").load(path)
-    return rows.groupBy("portalid").agg(F.count(F.lit(1)).alias("urls"))
+    return rows.select("portalid", "loc", "lastmod")
 
 
 @query("weekly_harvest", """

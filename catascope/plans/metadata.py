@@ -283,9 +283,18 @@ def schema_org(c: Catalogue):
     )
 
 
-@query("schema_org_pages")
+@query("schema_org_pages", """
+select portalid, replace(replace(to_base64(encode(id)), '+', '-'), '/', '_') as file, 'Dataset' as kind, nullif(title, '') as name, 'http://schema.org' as context from v_doc""")
 def schema_org_pages(c: Catalogue):
-    return so.pages(so.schema_org(ma.to_dcat(rawdocs.records(c)), ["portalid", "id"]))
+    """The pages of all documents written, read back and parsed."""
+    from catascope.sources import sinks
+
+    path = scratch(c.spark, "html")
+    sinks.write_pages(so.schema_org(ma.to_dcat(rawdocs.records(c)), ["portalid", "id"]), path)
+    rows = c.spark.read.schema("portalid string, file string, value string").json(path)
+    doc = F.regexp_extract("value", r"(?s)^<!DOCTYPE html><html><script type=.application/ld.json.>(.*)</script></html>$", 1)
+    at = lambda path: F.get_json_object(doc, path)
+    return rows.select("portalid", "file", at("$['@type']").alias("kind"), at("$.name").alias("name"), at("$['@context']").alias("context"))
 
 
 FILLED = "case when {0} is null or {0} = '' then 0.0::double else 1.0::double end"
@@ -489,14 +498,6 @@ def measure_triples(c: Catalogue):
     return tr.measure_triples(_measures(c).withColumn("activity", activity), "activity")
 
 
-@query("harvest_provenance", """
-select portalid, snapshot, concat('urn:catascope:portal/', portalid, '/', cast(snapshot as varchar)) as s, count(*) as triples
-from (select portalid, snapshot, unnest(case when end_ts is null then [1, 2, 3] else [1, 2, 3, 4] end) from v_portalsnapshot) x group by all""")
-def harvest_provenance(c: Catalogue):
-    rows = tr.harvest_provenance(c.portalsnapshot)
-    return rows.groupBy("portalid", "snapshot", "s").agg(F.count(F.lit(1)).alias("triples"))
-
-
 @query("dqv_vocabulary", "select count(*) as measures, count(distinct metric) as metrics from (" + _measure_sql() + ") x")
 def dqv_vocabulary(c: Catalogue):
     """Every exported measure refers to a metric of the vocabulary."""

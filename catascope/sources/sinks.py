@@ -33,9 +33,9 @@ def write_json_ld(triples: DataFrame, path: str, document: str = "md5") -> None:
     nodes.select("portalid", F.col("node").alias("value")).write.mode("overwrite").partitionBy("portalid").text(path)
 
 
-def write_pages(docs: DataFrame, path: str, portals: tuple[str, ...] = ("portalid", "file")) -> None:
-    """A page per dataset: the folder names portal and file."""
-    pages(docs).write.mode("overwrite").partitionBy(*portals).text(path)
+def write_pages(docs: DataFrame, path: str) -> None:
+    """Pages as rows (file, value) of large files, a folder per portal; they are unpacked where they are served."""
+    pages(docs).write.mode("overwrite").partitionBy("portalid").json(path)
 
 
 def write_sitemap(entries: DataFrame, path: str, index: bool = False) -> None:
