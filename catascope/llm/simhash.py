@@ -21,17 +21,37 @@ TILE = 2048
 #: Rows of small tile pairs that are compared in one go.
 BATCH = 1 << 16
 
-
-def fingerprint(text: str | None, width: int = SHINGLE) -> int:
-    """A bit is set if it is set in over half of the hashes of the shingles. No words: zero."""
+#: Similar texts: Jaccard similarity of their sets of five-word shingles.
+WIDE = 5
+SIMILARITY = 0.8
+#: Fingerprints of similar texts differ in at most so many bits (8,999 pairs of the 0.1 GB check
+#: table: one differs in more).
+SIMILAR_RADIUS = 18
+#: Least shingles per text, each by an order of its own. Two texts of similarity s have none in
+#: common with probability (1 - s) ** LEAST: 3 in a million at 0.8.
+LEAST = 8
+#: Nearest fingerprints that the first round verifies per row of a tile; each next round eight times as many.
+NEAREST = 4
+
+
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of every run of `width` words, repeats included; fewer words are one run, none give none."""
     words = (text or "").encode().lower().split()  # bytes: A-Z only, and ASCII white space only
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     line = b" ".join(words)
     at = np.cumsum([0, *map(len, words)]) + np.arange(len(words) + 1)
     starts = at[: max(1, len(words) - width + 1)].tolist()
     ends = (at[min(width, len(words)) :] - 1).tolist()
-    hashes = np.fromiter((xxhash.xxh64_intdigest(line[i:j], SEED) for i, j in zip(starts, ends)), np.uint64, len(starts))
+    return np.fromiter((xxhash.xxh64_intdigest(line[i:j], SEED) for i, j in zip(starts, ends)), np.uint64, len(starts))
+
+
+def fingerprint(text: str | None, width: int = SHINGLE) -> int:
+    """A bit is set if it is set in over half of the hashes of the shingles. No words: zero."""
+    return majority(shingle_hashes(text, width))
+
+
+def majority(hashes: np.ndarray) -> int:
     votes = np.zeros(64, dtype=np.int64)
     for k in range(0, len(hashes), 4096):
         votes += np.unpackbits(hashes[k : k + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -39,6 +59,46 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
 
 
+def least_shingles(hashes: np.ndarray) -> np.ndarray:
+    """For each of LEAST orders the first of the five-word shingles, from the hashes of three-word ones.
+
+    A run of five words is three runs of three, so their hashes together stand for it.
+    """
+    if len(hashes) > 2:
+        odd = np.uint64(0x9E3779B97F4A7C15)
+        hashes = (hashes[:-2] * odd + hashes[1:-1]) * odd + hashes[2:]
+    mixed = hashes ^ (hashes >> np.uint64(31))
+    turns = [np.uint64(xxhash.xxh64_intdigest(b"order", k) | 1) for k in range(LEAST)]
+    return np.array([(mixed * t).min() for t in turns], np.uint64) if len(hashes) else np.zeros(LEAST, np.uint64)
+
+
+@F.arrow_udf(T.StructType().add("fp", T.LongType()).add("least", T.ArrayType(T.LongType())))
+def sketches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The fingerprint and the least shingles of each text."""
+    for column in texts:
+        fps, least = [], []
+        for text in column.to_pylist():
+            hashes = shingle_hashes(text, SHINGLE)
+            fps.append(majority(hashes))
+            least.append(least_shingles(hashes).view(np.int64))
+        offsets = pa.array(np.arange(len(fps) + 1, dtype=np.int32) * LEAST)
+        flat = pa.array(np.concatenate(least) if least else np.empty(0, np.int64))
+        yield pa.StructArray.from_arrays([pa.array(fps, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], ["fp", "least"])
+
+
+def jaccard(a: str | None, b: str | None) -> float:
+    """Similarity of the sets of five-word shingles; two texts without words are equal."""
+    x, y = np.unique(shingle_hashes(a, WIDE)), np.unique(shingle_hashes(b, WIDE))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+@F.arrow_udf(T.DoubleType())
+def similarities(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for left, right in pairs:
+        yield pa.array([jaccard(a.as_py(), b.as_py()) for a, b in zip(left, right)], pa.float64())
+
+
 @F.arrow_udf(T.LongType())
 def fingerprints(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for column in texts:
@@ -157,6 +217,11 @@ def tile_pairs(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     several tiles, each paired with the others.
     """
     rows = fps.select("fp", F.explode(keys(radius)).alias("at")).select("fp", "at.block", "at.value")
+    return tiled(rows, radius, tile)
+
+
+def tiled(rows: DataFrame, radius: int, tile: int) -> DataFrame:
+    """(tile, fp) of rows (fp, block, value); see tile_pairs."""
     rows = rows.withColumn("band", F.floor(F.bit_count("fp") / (radius + 1)).cast("int"))
     hot = rows.groupBy("block", "value").count().where(F.col("count") > tile).select("block", "value")
     hot = stored(hot, "hot-keys")
@@ -180,7 +245,11 @@ def tile_pairs(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
 
 def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """(src, dst): links between distinct fingerprints that connect exactly what the radius connects."""
-    rows = tile_pairs(fps, radius, tile).repartition("tile").sortWithinPartitions("tile", "fp")
+    return linked(tile_pairs(fps, radius, tile), radius)
+
+
+def linked(tiles: DataFrame, radius: int) -> DataFrame:
+    rows = tiles.repartition("tile").sortWithinPartitions("tile", "fp")
     return rows.mapInArrow(compared(radius), "src long, dst long").distinct()
 
 
@@ -220,7 +289,11 @@ def near_groups(docs: DataFrame, text: str = "text", radius: int = RADIUS, width
     bounded_batches(docs.sparkSession)
     rows = stored(docs.select("doc_id", F.xxhash64("text").alias("probe"), fingerprints(F.col("text")).alias("fp")), "fingerprints")
     fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    roots = reached(links(fps.select("fp"), radius))
+    return components_of(rows, fps, reached(links(fps.select("fp"), radius)))
+
+
+def components_of(rows: DataFrame, fps: DataFrame, roots: DataFrame) -> DataFrame:
+    """doc_id, probe, fp, component_id of rows, by the roots of their fingerprints."""
     fps = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     fps = stored(fps, "rooted")
     least = stored(fps.groupBy("root").agg(F.min("first_id").alias("component_id")), "components")
@@ -239,11 +312,117 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Columns stay as they are. Rows without doc_id in a component with ids go; rows that repeat
     the staying id and text all stay.
     """
-    out = near_groups(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "probe").distinct()
+    return without_later(docs, near_groups(docs))
+
+
+def without_later(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    out = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "probe").distinct()
     out = stored(out, "near-copies").toDF("__doc_id", "__probe")
     same = docs["doc_id"].eqNullSafe(out["__doc_id"]) & (F.xxhash64(docs["text"]) == out["__probe"])
     # copies grow with the documents: texts move once at every size, not only beyond a broadcast's limit
     return docs.join(out.hint("shuffle_merge"), same, "left_anti")
 
 
+def nearest(radius: int, first: int, last: int):
+    """Rows (tile, fp, root), sorted by tile, to pairs (src, dst, later) of different roots to verify.
+
+    A row's neighbours in a tile are ranked by distance, whatever their roots, so that rounds of
+    rising ranks meet every pair. Ranks `first` to `last` are given out; a row with `later` only
+    says that the tile has pairs of higher ranks.
+    """
+
+    def of_tile(fp: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        for i in range(0, len(fp), 1024):
+            far = np.bitwise_count(fp[i : i + 1024, None] ^ fp[None, :])
+            far[np.arange(len(far)), np.arange(i, i + len(far))] = 255
+            order = np.argsort(far, axis=1, kind="stable")
+            near = np.take_along_axis(far, order, 1) <= radius
+            near &= root[order] != root[i : i + 1024, None]
+            a, k = np.nonzero(near[:, first:last])
+            yield fp[a + i], fp[order[a, k + first]], int(near[:, last:].any())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(tile: np.ndarray, fp: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+            cut = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1], [True])))
+            mixed = np.minimum.reduceat(root, cut[:-1]) != np.maximum.reduceat(root, cut[:-1])
+            src, dst, later = [], [], []
+            for k in np.flatnonzero(mixed):
+                own = slice(cut[k], cut[k + 1])
+                for a, b, more in of_tile(fp[own].view(np.uint64), root[own]):
+                    src += [np.minimum(a.view(np.int64), b.view(np.int64)), np.zeros(more, np.int64)]
+                    dst += [np.maximum(a.view(np.int64), b.view(np.int64)), np.zeros(more, np.int64)]
+                    later += [np.zeros(len(a), bool), np.ones(more, bool)]
+            none = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
+            columns = [pa.array(np.concatenate(z or n)) for z, n in zip((src, dst, later), none)]
+            return pa.RecordBatch.from_arrays(columns, ["src", "dst", "later"])
+
+        kept = [np.empty(0, np.int64)] * 3
+        for batch in batches:
+            kept = [np.concatenate((x, batch.column(k).to_numpy())) for k, x in enumerate(kept)]
+            last_tile = np.searchsorted(kept[0] == kept[0][-1], True) if len(kept[0]) else 0  # it may go on
+            if last_tile >= BATCH:
+                yield pairs(*(x[:last_tile] for x in kept))
+                kept = [x[last_tile:] for x in kept]
+        if len(kept[0]):
+            yield pairs(*kept)
+
+    return run
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, known: DataFrame, similarity: float, radius: int, tile: int) -> DataFrame:
+    """(src, dst): links that connect all fingerprints whose texts are similar, `known` ones included.
+
+    Fingerprints with a least shingle in common share a tile and are compared by exclusive-or and
+    bit counts. Pairs within the radius are verified on the whole texts, nearest ones first; what
+    verified links already connect is not verified again, so that large groups need few pairs.
+    """
+    at = rows.select("fp", F.posexplode("least").alias("block", "value")).distinct()
+    tiles = stored(tiled(at, radius, tile), "similar-tiles")
+    nodes = stored(linked(tiles, radius), "similar-forest")
+    nodes = stored(nodes.select(F.explode(F.array("src", "dst")).alias("fp")).distinct(), "similar-nodes")
+    tiles = stored(tiles.join(nodes, "fp", "left_semi").select("tile", "fp"), "similar-tiles")
+    first = rows.join(nodes, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "probe")).alias("at"))
+    first = first.select("fp", F.col("at.doc_id").alias("first_id"), F.col("at.probe").alias("first_probe"))
+    docs = docs.select("doc_id", "text")
+    same = docs["doc_id"].eqNullSafe(first["first_id"]) & (F.xxhash64(docs["text"]) == first["first_probe"])
+    # texts move once at every size, as in one_of_each
+    texts = docs.join(first.hint("shuffle_merge"), same).select("fp", "text")
+    texts = stored(texts.dropDuplicates(["fp"]), "similar-texts")
+    low, high, found = 0, NEAREST, known
+    while True:
+        roots = reached(found)
+        step = tiles.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("tile", "fp", F.coalesce("root", "fp").alias("root"))
+        step = step.repartition("tile").sortWithinPartitions("tile", "fp")
+        step = stored(step.mapInArrow(nearest(radius, low, high), "src long, dst long, later boolean").distinct(), "similar-pairs")
+        pairs = step.where("not later").select("src", "dst")
+        pairs = pairs.join(texts.toDF("src", "a"), "src").join(texts.toDF("dst", "b"), "dst")
+        good = pairs.where(similarities("a", "b") >= similarity - 1e-9).select("src", "dst")
+        found = stored(found.union(good), "similar-links")
+        if not step.where("later").limit(1).count():
+            return found
+        low, high = high, high * 8
+
+
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, radius: int = SIMILAR_RADIUS, tile: int = TILE) -> DataFrame:
+    """doc_id, probe, component_id per row of documents, for groups of similar texts.
+
+    Two texts are linked if their fingerprints differ in at most RADIUS bits, or if their sets of
+    five-word shingles have a similarity of `similarity` or more; a group is what links reach.
+    Texts of one fingerprint are linked, and compared with others by the one of smallest doc_id.
+    Null and empty texts are equal; rows without doc_id take part; a group of such rows only has
+    a null id. Repeated rows give repeated rows, an empty table none; other columns are not read.
+    """
+    bounded_batches(docs.sparkSession)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("probe"), sketches(F.col("text")).alias("sketch"))
+    rows = stored(rows.select("doc_id", "probe", "sketch.fp", "sketch.least"), "sketches")
+    fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
+    known = stored(links(fps.select("fp")), "close-links")
+    return components_of(rows, fps, reached(similar_links(docs, rows, known, similarity, radius, tile)))
+
+
+def one_of_similar(docs: DataFrame) -> DataFrame:
+    """The documents without those that are in a group of similar texts with a smaller doc_id; else as one_of_each."""
+    return without_later(docs, similar_groups(docs))
+
+
 ship(__name__)

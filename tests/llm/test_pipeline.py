@@ -2,7 +2,7 @@ from collections import Counter
 
 import pytest
 from test_decontamination import plain as plain_leaks
-from test_simhash import plain as plain_groups
+from test_simhash import plain_similar
 
 import corpus_pipeline
 from catascope.llm import mixing
@@ -27,7 +27,7 @@ def test_each_stage_against_its_own_input(spark, sf, stages):
     assert all(df.columns == docs.columns for df in (known, single, clean, mix))
     assert ids(known) == ids(docs)  # all test documents are in a known language
     rows = [(r["doc_id"], r["text"]) for r in known.collect()]
-    assert ids(single) == Counter(i for i, _, c in plain_groups(rows) if i == c)
+    assert ids(single) == Counter(i for i, c in plain_similar(rows) if i == c)
     items = [tuple(r) for r in table(spark, sf, "benchmark").select("item_id", "text").collect()]
     leaks = {d for d, _ in plain_leaks([(r["doc_id"], r["text"]) for r in single.collect()], items)}
     assert leaks and ids(clean) == Counter(i for i in ids(single) if i not in leaks)

@@ -28,6 +28,35 @@ def plain_components(fps, radius=3):
     return {f: find(f) for f in keys}
 
 
+def plain_shingles(text):
+    words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if w]
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_similar(rows):
+    """Smallest ids reachable by links of at most 3 bits or of similarity 0.8 on five words, by all pairs."""
+    texts = sorted({t or "" for _, t in rows})
+    fps, sets = [plain_fingerprint(t) for t in texts], [plain_shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if (fps[i] ^ fps[j]).bit_count() <= 3 or (5 * len(a & b) >= 4 * len(a | b)):
+                root[find(i)] = find(j)
+    of = {t: find(i) for i, t in enumerate(texts)}
+    first = {}
+    for i, t in rows:
+        if i is not None:
+            first[of[t or ""]] = min(i, first.get(of[t or ""], i))
+    return sorted([(i, first.get(of[t or ""])) for i, t in rows], key=str)
+
+
 def plain(rows):
     fps = [plain_fingerprint(t) for _, t in rows]
     root = plain_components(fps)
@@ -95,3 +124,59 @@ def test_one_of_each_keeps_columns_and_smallest(odd, none):
     want = [i for i, _, c in plain([(r["doc_id"], r["text"]) for r in odd.collect()]) if i == c]
     assert got == sorted(want, key=str)
     assert simhash.one_of_each(none).count() == 0
+
+
+def edited(rng, words, share):
+    out = list(words)
+    for k in np.flatnonzero(rng.random(len(out)) < share):
+        out[k] = f"new{rng.integers(1 << 30)}"
+    return " ".join(out)
+
+
+@pytest.fixture(scope="module")
+def copies(spark):
+    """Texts edited at every rate, a large group among them, and a passage that many texts share."""
+    rng = np.random.default_rng(5)
+    draw = lambda n: [f"w{k}" for k in rng.integers(0, 3000, n)]
+    passage, texts = draw(60), []
+    for share in (0.002, 0.01, 0.02, 0.03, 0.05, 0.1):
+        for _ in range(8):
+            base = draw(int(rng.integers(20, 400)))
+            texts += [" ".join(base)] + [edited(rng, base, share) for _ in range(3)]
+    base = draw(300)
+    texts += [edited(rng, base, 0.015) for _ in range(120)]
+    texts += [" ".join(draw(int(rng.integers(5, 60))) + passage) for _ in range(60)]
+    return [(i, t) for i, t in enumerate(rng.permutation(texts).tolist())]
+
+
+@pytest.mark.parametrize("tile", [40, 2048])
+def test_similar_groups_equal_all_pairs(spark, copies, tile):
+    df = spark.createDataFrame(copies, "doc_id long, text string")
+    got = [(r["doc_id"], r["component_id"]) for r in simhash.similar_groups(df, tile=tile).collect()]
+    assert sorted(got, key=str) == plain_similar(copies)
+
+
+def test_similar_groups_of_tables(documents, odd, none):
+    for df in (documents, odd):
+        rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+        got = [(r["doc_id"], r["component_id"]) for r in simhash.similar_groups(df).collect()]
+        assert sorted(got, key=str) == plain_similar(rows)
+        assert simhash.one_of_similar(df).columns == df.columns
+    assert simhash.one_of_similar(none).count() == 0
+
+
+def test_every_pair_is_met_in_some_round():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    fp = np.unique(rng.integers(0, 1 << 6, 50)).astype(np.int64)
+    columns = [pa.array(np.zeros(len(fp), np.int64)), pa.array(fp), pa.array(fp)]
+    batch = pa.RecordBatch.from_arrays(columns, ["tile", "fp", "root"])
+    seen, low, high = set(), 0, 1
+    while True:
+        rows = [r for out in simhash.nearest(2, low, high)(iter([batch])) for r in out.to_pylist()]
+        seen |= {(r["src"], r["dst"]) for r in rows if not r["later"]}
+        if not any(r["later"] for r in rows):
+            break
+        low, high = high, high * 8
+    assert seen == {(a, b) for a in fp.tolist() for b in fp.tolist() if a < b and (a ^ b).bit_count() <= 2}
