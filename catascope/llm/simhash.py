@@ -86,9 +86,15 @@ def sketches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.StructArray.from_arrays([pa.array(fps, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], ["fp", "least"])
 
 
-def jaccard(a: str | None, b: str | None) -> float:
-    """Similarity of the sets of five-word shingles; two texts without words are equal."""
-    x, y = np.unique(shingle_hashes(a, WIDE)), np.unique(shingle_hashes(b, WIDE))
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def shingle_sets(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The set of five-word shingles of each text, as sorted hashes."""
+    for column in texts:
+        yield pa.array([np.unique(shingle_hashes(t, WIDE)).view(np.int64) for t in column.to_pylist()], pa.list_(pa.int64()))
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Similarity of two sets; empty ones are equal."""
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
@@ -96,7 +102,7 @@ def jaccard(a: str | None, b: str | None) -> float:
 @F.arrow_udf(T.DoubleType())
 def similarities(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for left, right in pairs:
-        yield pa.array([jaccard(a.as_py(), b.as_py()) for a, b in zip(left, right)], pa.float64())
+        yield pa.array([jaccard(a.values.to_numpy(), b.values.to_numpy()) for a, b in zip(left, right)], pa.float64())
 
 
 @F.arrow_udf(T.LongType())
@@ -386,8 +392,9 @@ def similar_links(docs: DataFrame, rows: DataFrame, known: DataFrame, similarity
     docs = docs.select("doc_id", "text")
     same = docs["doc_id"].eqNullSafe(first["first_id"]) & (F.xxhash64(docs["text"]) == first["first_probe"])
     # texts move once at every size, as in one_of_each
-    texts = docs.join(first.hint("shuffle_merge"), same).select("fp", "text")
-    texts = stored(texts.dropDuplicates(["fp"]), "similar-texts")
+    sets = docs.join(first.hint("shuffle_merge"), same).select("fp", "text").dropDuplicates(["fp"])
+    sets = stored(sets.select("fp", shingle_sets("text").alias("shingles")), "similar-sets")
+    sizes = stored(sets.select("fp", F.size("shingles")), "similar-sizes")
     low, high, found = 0, NEAREST, known
     while True:
         roots = reached(found)
@@ -395,7 +402,12 @@ def similar_links(docs: DataFrame, rows: DataFrame, known: DataFrame, similarity
         step = step.repartition("tile").sortWithinPartitions("tile", "fp")
         step = stored(step.mapInArrow(nearest(radius, low, high), "src long, dst long, later boolean").distinct(), "similar-pairs")
         pairs = step.where("not later").select("src", "dst")
-        pairs = pairs.join(texts.toDF("src", "a"), "src").join(texts.toDF("dst", "b"), "dst")
+        # sets whose sizes differ too much cannot be similar: such pairs go before sets are moved
+        size = sizes.toDF("src", "n"), sizes.toDF("dst", "m")
+        pairs = pairs.join(size[0], "src").join(size[1], "dst")
+        pairs = pairs.where(F.least("n", "m") >= F.greatest("n", "m") * (similarity - 1e-9)).select("src", "dst")
+        pairs = stored(pairs, "similar-sized")
+        pairs = pairs.join(sets.toDF("src", "a"), "src").join(sets.toDF("dst", "b"), "dst")
         good = pairs.where(similarities("a", "b") >= similarity - 1e-9).select("src", "dst")
         found = stored(found.union(good), "similar-links")
         if not step.where("later").limit(1).count():
