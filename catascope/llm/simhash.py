@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +25,10 @@ BATCH = 1 << 16
 #: Similar texts: Jaccard similarity of their sets of five-word shingles.
 WIDE = 5
 SIMILARITY = 0.8
-#: Fingerprints of similar texts differ in at most so many bits (8,999 pairs of the 0.1 GB check
-#: table: one differs in more).
-SIMILAR_RADIUS = 18
+#: Bits of the parity map of a set: two per shingle or more, up to so many.
+MAP_BITS = 64, 8192
+#: A distance beyond all others: such pairs are not verified.
+NEVER = (1 << 31) - 1
 #: Least shingles per text, each by an order of its own. Two texts of similarity s have none in
 #: common with probability (1 - s) ** LEAST: 3 in a million at 0.8.
 LEAST = 8
@@ -59,31 +61,55 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
 
 
-def least_shingles(hashes: np.ndarray) -> np.ndarray:
-    """For each of LEAST orders the first of the five-word shingles, from the hashes of three-word ones.
+def wide_hashes(hashes: np.ndarray) -> np.ndarray:
+    """Distinct hashes of the five-word shingles, from the hashes of three-word ones.
 
-    A run of five words is three runs of three, so their hashes together stand for it.
+    A run of five words is three runs of three, so their hashes together stand for it. A text of
+    fewer words is one shingle.
     """
+    odd = np.uint64(0x9E3779B97F4A7C15)
     if len(hashes) > 2:
-        odd = np.uint64(0x9E3779B97F4A7C15)
         hashes = (hashes[:-2] * odd + hashes[1:-1]) * odd + hashes[2:]
-    mixed = hashes ^ (hashes >> np.uint64(31))
+    elif len(hashes) == 2:
+        hashes = hashes[:1] * odd + hashes[1:]
+    return np.unique(hashes)
+
+
+def least_shingles(wide: np.ndarray) -> np.ndarray:
+    """For each of LEAST orders the first of the five-word shingles."""
+    mixed = wide ^ (wide >> np.uint64(31))
     turns = [np.uint64(xxhash.xxh64_intdigest(b"order", k) | 1) for k in range(LEAST)]
-    return np.array([(mixed * t).min() for t in turns], np.uint64) if len(hashes) else np.zeros(LEAST, np.uint64)
+    return np.array([(mixed * t).min() for t in turns], np.uint64) if len(wide) else np.zeros(LEAST, np.uint64)
+
 
+def parity_map(wide: np.ndarray) -> bytes:
+    """Which of the places that hashes are dealt to have an odd number of them.
+
+    Two maps of one size differ in at most as many places as their sets differ in shingles: what
+    both sets have goes out in the exclusive-or.
+    """
+    bits = min(MAP_BITS[1], max(MAP_BITS[0], 1 << max(0, 2 * len(wide) - 1).bit_length()))
+    at = ((wide * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)) & np.uint64(bits - 1)
+    odd = np.bincount(at.astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
-@F.arrow_udf(T.StructType().add("fp", T.LongType()).add("least", T.ArrayType(T.LongType())))
+
+@F.arrow_udf(T.StructType().add("fp", T.LongType()).add("least", T.ArrayType(T.LongType())).add("n", T.LongType()).add("map", T.BinaryType()))
 def sketches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """The fingerprint and the least shingles of each text."""
+    """Of each text the fingerprint; of its set of five-word shingles the least ones, the size and the parity map."""
     for column in texts:
-        fps, least = [], []
+        fps, least, sizes, maps = [], [], [], []
         for text in column.to_pylist():
             hashes = shingle_hashes(text, SHINGLE)
+            wide = wide_hashes(hashes)
             fps.append(majority(hashes))
-            least.append(least_shingles(hashes).view(np.int64))
+            least.append(least_shingles(wide).view(np.int64))
+            sizes.append(len(wide))
+            maps.append(parity_map(wide))
         offsets = pa.array(np.arange(len(fps) + 1, dtype=np.int32) * LEAST)
         flat = pa.array(np.concatenate(least) if least else np.empty(0, np.int64))
-        yield pa.StructArray.from_arrays([pa.array(fps, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], ["fp", "least"])
+        columns = [pa.array(fps, pa.int64()), pa.ListArray.from_arrays(offsets, flat), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary())]
+        yield pa.StructArray.from_arrays(columns, ["fp", "least", "n", "map"])
 
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
@@ -223,12 +249,12 @@ def tile_pairs(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     several tiles, each paired with the others.
     """
     rows = fps.select("fp", F.explode(keys(radius)).alias("at")).select("fp", "at.block", "at.value")
-    return tiled(rows, radius, tile)
+    return tiled(rows, "fp", F.floor(F.bit_count("fp") / (radius + 1)), tile)
 
 
-def tiled(rows: DataFrame, radius: int, tile: int) -> DataFrame:
-    """(tile, fp) of rows (fp, block, value); see tile_pairs."""
-    rows = rows.withColumn("band", F.floor(F.bit_count("fp") / (radius + 1)).cast("int"))
+def tiled(rows: DataFrame, node: str, band: Column, tile: int) -> DataFrame:
+    """(tile, node) of rows (node, block, value); nodes to compare are in one band or in bands next to each other."""
+    rows = rows.withColumn("band", band.cast("int"))
     hot = rows.groupBy("block", "value").count().where(F.col("count") > tile).select("block", "value")
     hot = stored(hot, "hot-keys")
     bands = rows.join(hot, ["block", "value"], "left_semi").groupBy("block", "value", "band").count()
@@ -236,7 +262,7 @@ def tiled(rows: DataFrame, radius: int, tile: int) -> DataFrame:
     hot = stored(bands.groupBy("block", "value").agg(salts.alias("salts")), "hot-tiles")
     rows = rows.join(hot, ["block", "value"], "left")
     of = lambda band: F.coalesce(F.try_element_at("salts", band), F.lit(1))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("fp"), of(F.col("band"))).cast("int"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(node), of(F.col("band"))).cast("int"))
     pair = lambda band, kind, s, t: F.xxhash64("block", "value", band, F.lit(kind), s, t)
     each = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
     band, salt = F.col("band"), F.col("salt")
@@ -246,7 +272,7 @@ def tiled(rows: DataFrame, radius: int, tile: int) -> DataFrame:
         each(of(band - 1), lambda s: pair(band - 1, 1, s, salt)),
     )
     tiles = F.when(F.col("salts").isNull(), F.array(F.xxhash64("block", "value"))).otherwise(tiles)
-    return rows.select(F.explode(tiles).alias("tile"), "fp")
+    return rows.select(F.explode(tiles).alias("tile"), node)
 
 
 def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
@@ -329,84 +355,160 @@ def without_later(docs: DataFrame, groups: DataFrame) -> DataFrame:
     return docs.join(out.hint("shuffle_merge"), same, "left_anti")
 
 
-def nearest(radius: int, first: int, last: int):
-    """Rows (tile, fp, root), sorted by tile, to pairs (src, dst, later) of different roots to verify.
+def bits_apart(fp: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Bits in which each row's fingerprint differs from all others of a tile: first row, matrix."""
+    for i in range(0, len(fp), 1024):
+        yield i, np.bitwise_count(fp.view(np.uint64)[i : i + 1024, None] ^ fp.view(np.uint64)[None, :]).astype(np.int32)
 
-    A row's neighbours in a tile are ranked by distance, whatever their roots, so that rounds of
-    rising ranks meet every pair. Ranks `first` to `last` are given out; a row with `later` only
-    says that the tile has pairs of higher ranks.
+
+def map_apart(similarity: float):
+    """The least number of shingles in which sets differ, by their parity maps, where these leave a similarity open.
+
+    Sets of n and m shingles that differ in d have a similarity of (n + m - d) / (n + m + d), so
+    that d is bounded; no similar pair has more. Of two maps the larger one is folded.
     """
+    share = (1 - similarity) / (1 + similarity) + 1e-9
+
+    def run(node: np.ndarray, n: np.ndarray, maps: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        width = np.array([len(m) for m in maps])
+        levels = {}
+        for w in np.unique(width).tolist():
+            rows = np.flatnonzero(width == w)
+            own = np.frombuffer(b"".join(maps[rows]), np.uint64).reshape(len(rows), -1)
+            levels[w] = rows, own
+        n = n.astype(np.float64)
+        step = max(1, min(1024, (1 << 21) // max(1, len(node))))
+        for i in range(0, len(node), step):
+            here = np.arange(i, min(len(node), i + step))
+            far = np.full((len(here), len(node)), NEVER, np.int32)
+            for w in np.unique(width[here]).tolist():
+                mine = here[width[here] == w]
+                x = levels[w][1][np.searchsorted(levels[w][0], mine)]
+                for rows, y in levels.values():
+                    p, q = n[mine], n[rows]
+                    if min(p.max(), q.max()) < similarity * max(p.min(), q.min()) - 1e-6:
+                        continue  # sizes rule all of them out
+                    words = min(x.shape[1], y.shape[1])
+                    a, b = folded(x, words), folded(y, words)
+                    d = np.zeros((len(a), len(b)), np.int32)
+                    for k in range(a.shape[1]):
+                        d += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
+                    d = np.maximum(d, np.abs(p[:, None] - q[None, :])).astype(np.int32)
+                    far[np.ix_(mine - i, rows)] = np.where(d <= share * (p[:, None] + q[None, :]) + 1e-6, d, NEVER)
+            yield i, far
 
-    def of_tile(fp: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-        for i in range(0, len(fp), 1024):
-            far = np.bitwise_count(fp[i : i + 1024, None] ^ fp[None, :])
-            far[np.arange(len(far)), np.arange(i, i + len(far))] = 255
-            order = np.argsort(far, axis=1, kind="stable")
-            near = np.take_along_axis(far, order, 1) <= radius
-            near &= root[order] != root[i : i + 1024, None]
-            a, k = np.nonzero(near[:, first:last])
-            yield fp[a + i], fp[order[a, k + first]], int(near[:, last:].any())
+    return run
+
+
+def folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Smaller parity maps: places are the lower bits of hashes, so the parts of a map lie on each other."""
+    return np.bitwise_xor.reduce(maps.reshape(len(maps), -1, words), axis=1)
+
+
+def whole_tiles(rows_of, schema: list[str]):
+    """Runs rows_of(tile columns) for every tile of rows that are sorted by tile; yields batches of its columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(tile: np.ndarray, fp: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+        def done(columns: list[np.ndarray]) -> pa.RecordBatch:
+            tile = columns[0]
             cut = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1], [True])))
-            mixed = np.minimum.reduceat(root, cut[:-1]) != np.maximum.reduceat(root, cut[:-1])
-            src, dst, later = [], [], []
-            for k in np.flatnonzero(mixed):
-                own = slice(cut[k], cut[k + 1])
-                for a, b, more in of_tile(fp[own].view(np.uint64), root[own]):
-                    src += [np.minimum(a.view(np.int64), b.view(np.int64)), np.zeros(more, np.int64)]
-                    dst += [np.maximum(a.view(np.int64), b.view(np.int64)), np.zeros(more, np.int64)]
-                    later += [np.zeros(len(a), bool), np.ones(more, bool)]
-            none = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
-            columns = [pa.array(np.concatenate(z or n)) for z, n in zip((src, dst, later), none)]
-            return pa.RecordBatch.from_arrays(columns, ["src", "dst", "later"])
-
-        kept = [np.empty(0, np.int64)] * 3
+            out = [rows_of(*(c[cut[k] : cut[k + 1]] for c in columns[1:])) for k in np.flatnonzero(np.diff(cut) > 1)]
+            none = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)]
+            parts = list(zip(*(x for x in out if x is not None))) or [()] * len(schema)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none[k], *parts[k]])) for k in range(len(schema))], schema)
+
+        kept = None
         for batch in batches:
-            kept = [np.concatenate((x, batch.column(k).to_numpy())) for k, x in enumerate(kept)]
-            last_tile = np.searchsorted(kept[0] == kept[0][-1], True) if len(kept[0]) else 0  # it may go on
-            if last_tile >= BATCH:
-                yield pairs(*(x[:last_tile] for x in kept))
-                kept = [x[last_tile:] for x in kept]
-        if len(kept[0]):
-            yield pairs(*kept)
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            kept = new if kept is None else [np.concatenate(z) for z in zip(kept, new)]
+            last = np.searchsorted(kept[0] == kept[0][-1], True) if len(kept[0]) else 0  # the last tile may go on
+            if last >= BATCH // 8:
+                yield done([c[:last] for c in kept])
+                kept = [c[last:] for c in kept]
+        if kept is not None and len(kept[0]):
+            yield done(kept)
 
     return run
 
 
-def similar_links(docs: DataFrame, rows: DataFrame, known: DataFrame, similarity: float, radius: int, tile: int) -> DataFrame:
-    """(src, dst): links that connect all fingerprints whose texts are similar, `known` ones included.
+def neighbours(apart):
+    """Rows (tile, node, ...), sorted by tile, to links (src, dst) that join what `apart` leaves open."""
+
+    def of_tile(node: np.ndarray, *more: np.ndarray):
+        label = np.arange(len(node))
+        for i, far in apart(node, *more):
+            a, b = np.nonzero(far < NEVER)
+            a, b = label[a + i], label[b]
+            off = a != b
+            if off.any():
+                label = components(len(node), a[off], b[off])[label]
+        far = np.flatnonzero(label != np.arange(len(node)))
+        return node[far], node[label[far]]
+
+    return whole_tiles(of_tile, ["src", "dst"])
+
+
+def nearest(radius: int, first: int, last: int, apart=bits_apart):
+    """Rows (tile, node, root, ...), sorted by tile, to pairs (src, dst, later) of different roots to verify.
+
+    A row's neighbours in a tile are ranked by distance, whatever their roots, so that rounds of
+    rising ranks meet every pair up to `radius`. Ranks `first` to `last` are given out; a row with
+    `later` only says that the tile has pairs of higher ranks.
+    """
+
+    def of_tile(node: np.ndarray, root: np.ndarray, *more: np.ndarray):
+        if root.min() == root.max():
+            return None
+        src, dst, later = [], [], []
+        for i, far in apart(node, *more):
+            far[np.arange(len(far)), np.arange(i, i + len(far))] = NEVER
+            order = np.argsort(far, axis=1, kind="stable")
+            near = np.take_along_axis(far, order, 1) <= radius
+            near &= root[order] != root[i : i + len(far), None]
+            a, k = np.nonzero(near[:, first:last])
+            a, b, rest = node[a + i], node[order[a, k + first]], int(near[:, last:].any())
+            src += [np.minimum(a, b), np.zeros(rest, np.int64)]
+            dst += [np.maximum(a, b), np.zeros(rest, np.int64)]
+            later += [np.zeros(len(a), bool), np.ones(rest, bool)]
+        return np.concatenate(src), np.concatenate(dst), np.concatenate(later)
+
+    return whole_tiles(of_tile, ["src", "dst", "later"])
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, known: DataFrame, similarity: float, tile: int) -> DataFrame:
+    """(src, dst): links that connect all nodes whose texts are similar, `known` ones included.
 
-    Fingerprints with a least shingle in common share a tile and are compared by exclusive-or and
-    bit counts. Pairs within the radius are verified on the whole texts, nearest ones first; what
-    verified links already connect is not verified again, so that large groups need few pairs.
+    Nodes with a least shingle in common share a tile. Pairs there are left out only where sizes
+    and parity maps rule the similarity out. All others are verified on the whole sets, nearest
+    ones first; what verified links already connect is not verified again, so that large groups
+    need few pairs.
     """
-    at = rows.select("fp", F.posexplode("least").alias("block", "value")).distinct()
-    tiles = stored(tiled(at, radius, tile), "similar-tiles")
-    nodes = stored(linked(tiles, radius), "similar-forest")
-    nodes = stored(nodes.select(F.explode(F.array("src", "dst")).alias("fp")).distinct(), "similar-nodes")
-    tiles = stored(tiles.join(nodes, "fp", "left_semi").select("tile", "fp"), "similar-tiles")
-    first = rows.join(nodes, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "probe")).alias("at"))
-    first = first.select("fp", F.col("at.doc_id").alias("first_id"), F.col("at.probe").alias("first_probe"))
+    first = rows.groupBy("node").agg(F.min(F.struct("doc_id", "probe", "n", "map", "least")).alias("at"))
+    first = stored(first.select("node", "at.*"), "similar-first")
+    at = first.select("node", "n", F.posexplode("least").alias("block", "value"))
+    # sizes of similar sets differ by a factor of at most 1 / similarity
+    band = F.floor(F.log(F.greatest("n", F.lit(1))) / (1e-6 - math.log(similarity)))
+    tiles = stored(tiled(at, "node", band, tile).distinct(), "similar-tiles")
+    shared = tiles.groupBy("tile").count().where("count > 1").select("tile")
+    apart, sketch = map_apart(similarity), first.select("node", "n", "map")
+    tiles = stored(tiles.join(shared, "tile", "left_semi").join(sketch, "node").select("tile", "node", "n", "map"), "similar-tiles")
+    dealt = tiles.repartition("tile").sortWithinPartitions("tile", "node")
+    nodes = stored(dealt.mapInArrow(neighbours(apart), "src long, dst long"), "similar-forest")
+    nodes = stored(nodes.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "similar-nodes")
+    tiles = stored(tiles.join(nodes, "node", "left_semi").select("tile", "node", "n", "map"), "similar-tiles")
+    first = first.join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("first_id"), F.col("probe").alias("first_probe"))
     docs = docs.select("doc_id", "text")
     same = docs["doc_id"].eqNullSafe(first["first_id"]) & (F.xxhash64(docs["text"]) == first["first_probe"])
     # texts move once at every size, as in one_of_each
-    sets = docs.join(first.hint("shuffle_merge"), same).select("fp", "text").dropDuplicates(["fp"])
-    sets = stored(sets.select("fp", shingle_sets("text").alias("shingles")), "similar-sets")
-    sizes = stored(sets.select("fp", F.size("shingles")), "similar-sizes")
+    sets = docs.join(first.hint("shuffle_merge"), same).select("node", "text").dropDuplicates(["node"])
+    sets = stored(sets.select("node", shingle_sets("text").alias("shingles")), "similar-sets")
     low, high, found = 0, NEAREST, known
     while True:
         roots = reached(found)
-        step = tiles.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("tile", "fp", F.coalesce("root", "fp").alias("root"))
-        step = step.repartition("tile").sortWithinPartitions("tile", "fp")
-        step = stored(step.mapInArrow(nearest(radius, low, high), "src long, dst long, later boolean").distinct(), "similar-pairs")
+        step = tiles.join(roots, "node", "left").select("tile", "node", F.coalesce("root", "node").alias("root"), "n", "map")
+        step = step.repartition("tile").sortWithinPartitions("tile", "node")
+        step = stored(step.mapInArrow(nearest(NEVER - 1, low, high, apart), "src long, dst long, later boolean").distinct(), "similar-pairs")
         pairs = step.where("not later").select("src", "dst")
-        # sets whose sizes differ too much cannot be similar: such pairs go before sets are moved
-        size = sizes.toDF("src", "n"), sizes.toDF("dst", "m")
-        pairs = pairs.join(size[0], "src").join(size[1], "dst")
-        pairs = pairs.where(F.least("n", "m") >= F.greatest("n", "m") * (similarity - 1e-9)).select("src", "dst")
-        pairs = stored(pairs, "similar-sized")
         pairs = pairs.join(sets.toDF("src", "a"), "src").join(sets.toDF("dst", "b"), "dst")
         good = pairs.where(similarities("a", "b") >= similarity - 1e-9).select("src", "dst")
         found = stored(found.union(good), "similar-links")
@@ -415,7 +517,7 @@ def similar_links(docs: DataFrame, rows: DataFrame, known: DataFrame, similarity
         low, high = high, high * 8
 
 
-def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, radius: int = SIMILAR_RADIUS, tile: int = TILE) -> DataFrame:
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
     """doc_id, probe, component_id per row of documents, for groups of similar texts.
 
     Two texts are linked if their fingerprints differ in at most RADIUS bits, or if their sets of
@@ -426,10 +528,11 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, radius: int
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.xxhash64("text").alias("probe"), sketches(F.col("text")).alias("sketch"))
-    rows = stored(rows.select("doc_id", "probe", "sketch.fp", "sketch.least"), "sketches")
+    rows = stored(rows.select("doc_id", "probe", "sketch.*"), "sketches")
     fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     known = stored(links(fps.select("fp")), "close-links")
-    return components_of(rows, fps, reached(similar_links(docs, rows, known, similarity, radius, tile)))
+    found = similar_links(docs, rows.withColumnRenamed("fp", "node"), known, similarity, tile)
+    return components_of(rows, fps, reached(found))
 
 
 def one_of_similar(docs: DataFrame) -> DataFrame:

@@ -180,3 +180,38 @@ def test_every_pair_is_met_in_some_round():
             break
         low, high = high, high * 8
     assert seen == {(a, b) for a in fp.tolist() for b in fp.tolist() if a < b and (a ^ b).bit_count() <= 2}
+
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    """A line once in one copy and 30 to 60 times in the other: sets are alike, fingerprints are not."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(40):
+        body = [f"u{k}x{i}" for i in range(int(rng.integers(100, 400)))]
+        line = [f"l{k}x{i}" for i in range(12)]
+        rows += [(2 * k, " ".join(body + line)), (2 * k + 1, " ".join(body + line * int(rng.integers(30, 61))))]
+    return rows
+
+
+def test_similar_groups_with_a_repeated_line(spark, repeated):
+    far = [(plain_fingerprint(a) ^ plain_fingerprint(b)).bit_count() for (_, a), (_, b) in zip(repeated[::2], repeated[1::2])]
+    assert sum(d > 18 for d in far) > 10
+    df = spark.createDataFrame(repeated, "doc_id long, text string")
+    got = [(r["doc_id"], r["component_id"]) for r in simhash.similar_groups(df).collect()]
+    assert sorted(got, key=str) == plain_similar(repeated)
+    assert simhash.one_of_similar(df).count() == len(repeated) // 2
+
+
+def test_parity_maps_rule_out_no_similar_pair():
+    rng = np.random.default_rng(13)
+    apart = simhash.map_apart(0.8)
+    for n in (1, 5, 9, 30, 33, 400, 3000, 9000):
+        base = rng.integers(0, 1 << 63, 2 * n).astype(np.uint64)
+        sets = [np.unique(np.concatenate((base[: n - cut], base[n : n + more]))) for cut in {0, n // 20, n // 9, n // 5} for more in {0, n // 9, n // 8, n // 4}]
+        maps = np.array([simhash.parity_map(x) for x in sets], object)
+        (_, far), = apart(np.arange(len(sets)), np.array([len(x) for x in sets]), maps)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                assert far[i, j] < simhash.NEVER or simhash.jaccard(a, b) < 0.8
+                assert far[i, j] == simhash.NEVER or far[i, j] <= len(np.setxor1d(a, b))
