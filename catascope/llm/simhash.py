@@ -32,7 +32,7 @@ NEVER = (1 << 31) - 1
 #: Least shingles per text, each by an order of its own. Two texts of similarity s have none in
 #: common with probability (1 - s) ** LEAST: 3 in a million at 0.8.
 LEAST = 8
-#: Nearest fingerprints that the first round verifies per row of a tile; each next round eight times as many.
+#: Nearest fingerprints that the first round verifies per row of a tile; each next round 64 times as many.
 NEAREST = 4
 
 
@@ -94,22 +94,29 @@ def parity_map(wide: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-@F.arrow_udf(T.StructType().add("fp", T.LongType()).add("least", T.ArrayType(T.LongType())).add("n", T.LongType()).add("map", T.BinaryType()))
+@F.arrow_udf(T.StructType().add("fp", T.LongType()).add("least", T.ArrayType(T.LongType())).add("node", T.LongType()).add("n", T.LongType()).add("map", T.BinaryType()))
 def sketches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Of each text the fingerprint; of its set of five-word shingles the least ones, the size and the parity map."""
+    """Of each text the fingerprint; of its set of five-word shingles the least ones, a hash (node), the size and the parity map."""
     for column in texts:
-        fps, least, sizes, maps = [], [], [], []
+        fps, least, nodes, sizes, maps = [], [], [], [], []
         for text in column.to_pylist():
             hashes = shingle_hashes(text, SHINGLE)
             wide = wide_hashes(hashes)
             fps.append(majority(hashes))
             least.append(least_shingles(wide).view(np.int64))
+            nodes.append(np.uint64(xxhash.xxh64_intdigest(wide.tobytes(), SEED)))
             sizes.append(len(wide))
             maps.append(parity_map(wide))
         offsets = pa.array(np.arange(len(fps) + 1, dtype=np.int32) * LEAST)
         flat = pa.array(np.concatenate(least) if least else np.empty(0, np.int64))
-        columns = [pa.array(fps, pa.int64()), pa.ListArray.from_arrays(offsets, flat), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary())]
-        yield pa.StructArray.from_arrays(columns, ["fp", "least", "n", "map"])
+        columns = [
+            pa.array(fps, pa.int64()),
+            pa.ListArray.from_arrays(offsets, flat),
+            pa.array(np.array(nodes, np.uint64).view(np.int64)),
+            pa.array(sizes, pa.int64()),
+            pa.array(maps, pa.binary()),
+        ]
+        yield pa.StructArray.from_arrays(columns, ["fp", "least", "node", "n", "map"])
 
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
@@ -321,16 +328,16 @@ def near_groups(docs: DataFrame, text: str = "text", radius: int = RADIUS, width
     bounded_batches(docs.sparkSession)
     rows = stored(docs.select("doc_id", F.xxhash64("text").alias("probe"), fingerprints(F.col("text")).alias("fp")), "fingerprints")
     fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    return components_of(rows, fps, reached(links(fps.select("fp"), radius)))
+    return components_of(rows, fps, reached(links(fps.select("fp"), radius)), "fp")
 
 
-def components_of(rows: DataFrame, fps: DataFrame, roots: DataFrame) -> DataFrame:
-    """doc_id, probe, fp, component_id of rows, by the roots of their fingerprints."""
-    fps = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    fps = stored(fps, "rooted")
-    least = stored(fps.groupBy("root").agg(F.min("first_id").alias("component_id")), "components")
-    named = stored(fps.join(least, "root").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select("doc_id", "probe", "fp", "component_id")
+def components_of(rows: DataFrame, nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """doc_id, probe, node, component_id of rows, by the roots of their nodes."""
+    nodes = nodes.join(roots.withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node))
+    nodes = stored(nodes, "rooted")
+    least = stored(nodes.groupBy("root").agg(F.min("first_id").alias("component_id")), "components")
+    named = stored(nodes.join(least, "root").select(node, "component_id"), "named")
+    return rows.join(named, node).select("doc_id", "probe", node, "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -483,8 +490,9 @@ def similar_links(docs: DataFrame, rows: DataFrame, known: DataFrame, similarity
     ones first; what verified links already connect is not verified again, so that large groups
     need few pairs.
     """
-    first = rows.groupBy("node").agg(F.min(F.struct("doc_id", "probe", "n", "map", "least")).alias("at"))
-    first = stored(first.select("node", "at.*"), "similar-first")
+    own = [F.first(c).alias(c) for c in ("n", "map", "least")]  # alike for all texts of a node
+    first = rows.groupBy("node").agg(F.min(F.struct("doc_id", "probe")).alias("at"), *own)
+    first = stored(first.select("node", "at.*", "n", "map", "least"), "similar-first")
     at = first.select("node", "n", F.posexplode("least").alias("block", "value"))
     # sizes of similar sets differ by a factor of at most 1 / similarity
     band = F.floor(F.log(F.greatest("n", F.lit(1))) / (1e-6 - math.log(similarity)))
@@ -514,7 +522,7 @@ def similar_links(docs: DataFrame, rows: DataFrame, known: DataFrame, similarity
         found = stored(found.union(good), "similar-links")
         if not step.where("later").limit(1).count():
             return found
-        low, high = high, high * 8
+        low, high = high, high * 64
 
 
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
@@ -522,17 +530,25 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, tile: int =
 
     Two texts are linked if their fingerprints differ in at most RADIUS bits, or if their sets of
     five-word shingles have a similarity of `similarity` or more; a group is what links reach.
-    Texts of one fingerprint are linked, and compared with others by the one of smallest doc_id.
+    Every different set of shingles is a node and is compared with others itself.
     Null and empty texts are equal; rows without doc_id take part; a group of such rows only has
     a null id. Repeated rows give repeated rows, an empty table none; other columns are not read.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.xxhash64("text").alias("probe"), sketches(F.col("text")).alias("sketch"))
     rows = stored(rows.select("doc_id", "probe", "sketch.*"), "sketches")
-    fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    known = stored(links(fps.select("fp")), "close-links")
-    found = similar_links(docs, rows.withColumnRenamed("fp", "node"), known, similarity, tile)
-    return components_of(rows, fps, reached(found))
+    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("first_id")), "distinct-sets")
+    known = stored(close_links(rows), "close-links")
+    return components_of(rows, nodes, reached(similar_links(docs, rows, known, similarity, tile)), "node")
+
+
+def close_links(rows: DataFrame) -> DataFrame:
+    """(src, dst): links between nodes by fingerprints of at most RADIUS bits apart, equal ones included."""
+    pairs = stored(rows.select("node", "fp").distinct(), "fingerprints")
+    named = stored(pairs.groupBy("fp").agg(F.min("node").alias("name")), "distinct-fingerprints")
+    equal = pairs.join(named, "fp").where("node != name").select(F.col("node").alias("src"), F.col("name").alias("dst"))
+    near = links(named.select("fp")).join(named.toDF("src", "a"), "src").join(named.toDF("dst", "b"), "dst")
+    return equal.union(near.select("a", "b").where("a != b"))
 
 
 def one_of_similar(docs: DataFrame) -> DataFrame:

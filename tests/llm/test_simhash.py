@@ -215,3 +215,21 @@ def test_parity_maps_rule_out_no_similar_pair():
             for j, b in enumerate(sets):
                 assert far[i, j] < simhash.NEVER or simhash.jaccard(a, b) < 0.8
                 assert far[i, j] == simhash.NEVER or far[i, j] <= len(np.setxor1d(a, b))
+
+
+def test_texts_of_one_fingerprint_are_verified_themselves(spark):
+    """The third text of each three is similar to the second, which has the first one's fingerprint, and not to the first."""
+    rng, rows = np.random.default_rng(17), []
+    while len(rows) < 12:
+        base = [f"w{k}" for k in rng.integers(0, 1 << 30, 600)]
+        second = base[:310] + ["other"] + base[311:]
+        third = [f"new{i}" if i % 40 == 20 and i < 520 else w for i, w in enumerate(second)]
+        texts = [" ".join(x) for x in (base, second, third)]
+        fps = [simhash.fingerprint(x) % (1 << 64) for x in texts]
+        if fps[0] == fps[1] and (fps[0] ^ fps[2]).bit_count() > 3:
+            a, b, c = (plain_shingles(x) for x in texts)
+            assert len(b & c) / len(b | c) >= 0.8 > len(a & c) / len(a | c)
+            rows += [(len(rows) + k, x) for k, x in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["component_id"]) for r in simhash.similar_groups(df).collect()]
+    assert sorted(got, key=str) == plain_similar(rows) and simhash.one_of_similar(df).count() == 4
