@@ -327,17 +327,27 @@ def near_groups(docs: DataFrame, text: str = "text", radius: int = RADIUS, width
         raise ValueError("fingerprints are defined on three words of the text")
     bounded_batches(docs.sparkSession)
     rows = stored(docs.select("doc_id", F.xxhash64("text").alias("probe"), fingerprints(F.col("text")).alias("fp")), "fingerprints")
-    fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
+    fps = stored(rows.groupBy("fp").agg(first_row()), "distinct-fingerprints")
     return components_of(rows, fps, reached(links(fps.select("fp"), radius)), "fp")
 
 
 def components_of(rows: DataFrame, nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
-    """doc_id, probe, node, component_id of rows, by the roots of their nodes."""
+    """doc_id, probe, node, component_id, staying of rows, by the roots of their nodes.
+
+    `nodes` has the `first` of each node; staying is true for the doc_id and text of the first in
+    the component, repeated rows of it included.
+    """
     nodes = nodes.join(roots.withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node))
     nodes = stored(nodes, "rooted")
-    least = stored(nodes.groupBy("root").agg(F.min("first_id").alias("component_id")), "components")
-    named = stored(nodes.join(least, "root").select(node, "component_id"), "named")
-    return rows.join(named, node).select("doc_id", "probe", node, "component_id")
+    least = stored(nodes.groupBy("root").agg(F.min("first").alias("stay")), "components")
+    named = stored(nodes.join(least, "root").select(node, "stay"), "named")
+    staying = F.col("doc_id").eqNullSafe(F.col("stay.doc_id")) & (F.col("probe") == F.col("stay.probe"))
+    return rows.join(named, node).select("doc_id", "probe", node, F.col("stay.doc_id").alias("component_id"), staying.alias("staying"))
+
+
+def first_row() -> Column:
+    """The row with the smallest doc_id and, of those, text; rows without doc_id come last."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "probe")).alias("first")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -348,18 +358,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without those that have a near duplicate with a smaller doc_id.
 
-    Columns stay as they are. Rows without doc_id in a component with ids go; rows that repeat
-    the staying id and text all stay.
+    Columns stay as they are. One row of each component stays: rows without doc_id go where there
+    are ids, and else one text of the component stays; of rows that repeat the staying id and text
+    one stays, and which one is left open if other columns differ.
     """
     return without_later(docs, near_groups(docs))
 
 
 def without_later(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    out = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "probe").distinct()
-    out = stored(out, "near-copies").toDF("__doc_id", "__probe")
-    same = docs["doc_id"].eqNullSafe(out["__doc_id"]) & (F.xxhash64(docs["text"]) == out["__probe"])
+    # one row per doc_id and text: whether it goes, or stays and is repeated
+    state = groups.groupBy("doc_id", "probe").agg(F.bool_and("staying").alias("stays"), F.count("*").alias("n"))
+    state = stored(state.where("not stays or n > 1"), "near-copies")
+    key = {"__id": F.coalesce("doc_id", F.lit(0)), "__none": F.col("doc_id").isNull()}
+    state = state.withColumns(key).withColumnRenamed("probe", "__probe").drop("doc_id", "n")
+    out, repeated = (state.where(w).drop("stays") for w in ("not stays", "stays"))
+    rows = docs.withColumns(key | {"__probe": F.xxhash64("text")})
+    keys = ["__id", "__none", "__probe"]
     # copies grow with the documents: texts move once at every size, not only beyond a broadcast's limit
-    return docs.join(out.hint("shuffle_merge"), same, "left_anti")
+    rows = rows.join(out.hint("shuffle_merge"), keys, "left_anti")
+    rows = rows.join(repeated.withColumn("__more", F.lit(True)).hint("shuffle_merge"), keys, "left")
+    # the rows of a key are together; rows that are not repeated each get a number of their own
+    rows = rows.withColumn("__row", F.when(F.col("__more"), F.lit(-1)).otherwise(F.monotonically_increasing_id()))
+    return rows.dropDuplicates([*keys, "__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def bits_apart(fp: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -537,7 +557,7 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, tile: int =
     bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.xxhash64("text").alias("probe"), sketches(F.col("text")).alias("sketch"))
     rows = stored(rows.select("doc_id", "probe", "sketch.*"), "sketches")
-    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("first_id")), "distinct-sets")
+    nodes = stored(rows.groupBy("node").agg(first_row()), "distinct-sets")
     known = stored(close_links(rows), "close-links")
     return components_of(rows, nodes, reached(similar_links(docs, rows, known, similarity, tile)), "node")
 

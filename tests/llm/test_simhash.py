@@ -233,3 +233,15 @@ def test_texts_of_one_fingerprint_are_verified_themselves(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = [(r["doc_id"], r["component_id"]) for r in simhash.similar_groups(df).collect()]
     assert sorted(got, key=str) == plain_similar(rows) and simhash.one_of_similar(df).count() == 4
+
+
+def test_one_row_of_a_group_stays_without_ids_and_with_repeats(spark):
+    words = [f"w{i}" for i in range(200)]
+    copy = " ".join(words).replace("w100 ", "W100 ")
+    rows = [(None, " ".join(words)), (None, copy), (None, copy), (3, "two words"), (3, "two words"), (None, "two words")]
+    rows += [(7, "alone here"), (None, "one more text"), (None, "quite another text than that")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for f in (simhash.one_of_similar, simhash.one_of_each):
+        got = [tuple(r) for r in f(df).collect()]
+        assert len(got) == 5 and sum(i is None and "w1 w2" in t for i, t in got) == 1
+        assert sorted(g for g in got if g[0]) == [(3, "two words"), (7, "alone here")]
