@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catascope.llm import decontamination, exact, language, mixing, sharding, simhash, suffixes, tokens, toxicity, warc
+from catascope.llm import decontamination, exact, language, mixing, packing, sharding, simhash, suffixes, tokens, toxicity, warc
 from catascope.llm.common import table
 
 #: Where the vocabulary of the token counts lies; None: the installed public file.
@@ -69,6 +69,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.piece_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mixture,
         op9_shards,
         op10_exact_dedup,
+        op11_packing,
     )
 }
 
