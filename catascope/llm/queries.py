@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catascope.llm import decontamination, exact, language, mixing, packing, sharding, simhash, suffixes, tokens, toxicity, warc
+from catascope.llm import decontamination, exact, language, mixing, packing, phrases, sharding, simhash, spelling, suffixes, tokens, toxicity, warc
 from catascope.llm.common import table
 
 #: Where the vocabulary of the token counts lies; None: the installed public file.
@@ -73,6 +73,14 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -88,6 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_shards,
         op10_exact_dedup,
         op11_packing,
+        op12_spelling_variants,
+        op13_collocations,
     )
 }
 
@@ -96,4 +106,5 @@ SQL: dict[str, str] = {
     "op4_suffix_dedup": suffixes.ORACLE,
     "op5_decontamination": decontamination.ORACLE,
     "op10_exact_dedup": exact.ORACLE,
+    "op13_collocations": phrases.ORACLE,
 }
