@@ -518,9 +518,15 @@ def json_ld() -> Stages:
         return F.filter(F.col("_nodes"), lambda n: F.coalesce(F.array_contains(kinds(n), iri), F.lit(False)))
 
     def by_id(ref: Column) -> Column:
-        return F.get(F.filter(F.col("_nodes"), lambda n: ident(n) == ref), F.lit(0))
-
-    found = {"_ds": F.get(of_type(DCAT + "Dataset"), F.lit(0)), "_dists": of_type(DCAT + "Distribution")}
+        return F.try_element_at(F.col("_by_id"), ref)
+
+    # the last of several nodes of a name would win: the list is turned round, so that it is the first
+    named = F.filter(F.reverse("_nodes"), lambda n: ident(n).isNotNull())
+    found = {
+        "_ds": F.get(of_type(DCAT + "Dataset"), F.lit(0)),
+        "_dists": of_type(DCAT + "Distribution"),
+        "_by_id": F.map_from_entries(F.transform(named, lambda n: F.struct(ident(n).alias("key"), n.alias("value")))),
+    }
     ds = F.col("_ds")
 
     def nodes_of(iri: str, kind: str, **props: str) -> Column:
@@ -591,10 +597,12 @@ def to_dcat(records: DataFrame, softwares: list[str] | None = None) -> DataFrame
     return reduce(DataFrame.unionByName, parts)
 
 
-def read_documents(spark, path: str) -> DataFrame:
-    """Supplied documents, one JSON file each, below software=<name>/ folders."""
-    return (
-        spark.read.text(path, wholetext=True)
-        .withColumnRenamed("value", "raw")
-        .withColumn("id", F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1))
-    )
+def read_documents(spark, path: str, lines: bool = False) -> DataFrame:
+    """Supplied documents below software=<name>/ folders: one JSON file each, or one per line of large files.
+
+    The id is the file's name, or that and the number of the line's block and place.
+    """
+    file = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1)
+    rows = spark.read.text(path, wholetext=not lines)
+    name = F.concat_ws("-", file, F.col("_metadata.file_block_start").cast("string"), F.monotonically_increasing_id().cast("string")) if lines else file
+    return rows.select(*[c for c in rows.columns if c != "value"], F.col("value").alias("raw"), name.alias("id"))

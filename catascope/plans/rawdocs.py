@@ -134,6 +134,67 @@ def xml_catalogues(cat: Catalogue) -> str:
     return path
 
 
+EX = "urn:ex#"
+REFERENCE_HEAD = CATALOGUE_HEAD[:-1] + f' xmlns:ex="{EX}">'
+
+
+def rdf_by_reference(turned: bool = False) -> Column:
+    """RDF/XML of a dataset that gives everything by reference; turned: in another order, with other blank names."""
+    text = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"<{name}>"), _xml(value), F.lit(f"</{name}>"))).otherwise("")
+    given = lambda have, part: F.when(have.isNotNull(), part).otherwise("")
+    blank = lambda place: F.concat(F.lit(("z" if turned else "b") + place), c("doc_id").cast("string"))
+    to = lambda name, kind, ref: F.concat(F.lit(f'<{name} rdf:{kind}="'), ref, F.lit('"/>'))
+
+    def node(tag: str, kind: str, name: Column, *parts: Column) -> Column:
+        return F.concat(F.lit(f'<{tag} rdf:{kind}="'), name, F.lit('">'), *(reversed(parts) if turned else parts), F.lit(f"</{tag}>"))
+
+    org, person = F.concat(F.lit("urn:org:"), c("source")), F.concat(F.lit("urn:person:"), c("lang"))
+    place, desk = F.concat(F.lit("urn:place:"), c("lang")), F.concat(F.lit("urn:desk:"), c("lang"), F.lit("-"), c("source"))
+    dist = lambda i: F.concat(F.lit("urn:dist:"), c("id"), F.lit(f"-{i}"))
+    terms = F.coalesce("license_title", "license_id")
+    dataset = node(
+        "dcat:Dataset", "about", F.concat(F.lit("urn:dataset:"), c("id")), text("dct:title", c("title")), text("dct:identifier", c("id")), text("dcat:keyword", c("lang")),
+        given(c("org_title"), to("dct:publisher", "resource", org)), given(c("contact_name"), to("dcat:contactPoint", "nodeID", blank("contact"))),
+        text("dct:accrualPeriodicity", c("frequency")), given(c("spatial_text"), to("dct:spatial", "resource", place)),
+        given(c("temporal_start"), to("dct:temporal", "nodeID", blank("period"))), to("ex:steward", "resource", person),
+        *[to("dcat:distribution", "resource", dist(i)) for i in (0, 1)],
+    )
+    nodes = [
+        given(c("org_title"), node("foaf:Organization", "about", org, text("foaf:name", c("org_title")))),
+        given(c("contact_name"), node("vcard:Kind", "nodeID", blank("contact"), text("vcard:fn", c("contact_name")), text("vcard:hasEmail", c("contact_email")))),
+        given(c("spatial_text"), node("dct:Location", "about", place, text("skos:prefLabel", c("spatial_text")))),
+        given(c("temporal_start"), node("dct:PeriodOfTime", "nodeID", blank("period"), text("schema:startDate", c("temporal_start")))),
+        node("foaf:Person", "about", person, text("ex:grade", c("lang")), to("ex:desk", "resource", F.concat(F.lit("urn:desk:"), c("lang")))),
+        node("rdf:Description", "about", F.concat(F.lit("urn:desk:"), c("lang")), text("ex:room", F.concat(F.lit("room "), c("lang")))),
+        given(terms, node("dct:LicenseDocument", "nodeID", blank("terms"), text("rdfs:label", terms), to("ex:signed", "resource", desk))),
+        given(terms, node("rdf:Description", "about", desk, text("ex:by", c("source")))),
+    ]
+    for i in (0, 1):
+        r = F.get("res", F.lit(i))
+        form = blank(f"format{i}-")
+        nodes.append(
+            node(
+                "dcat:Distribution", "about", dist(i), to("dcat:accessURL", "resource", _xml(r["url"])),
+                given(r["format"], to("dct:format", "nodeID", form)), given(terms, to("dct:license", "nodeID", blank("terms"))),
+            )
+        )
+        nodes.append(given(r["format"], node("rdf:Description", "nodeID", form, text("rdfs:label", r["format"]), text("rdf:value", r["mimetype"]))))
+    every = [dataset, *nodes]
+    return F.concat(*(reversed(every) if turned else every))
+
+
+def reference_catalogues(cat: Catalogue, path: str | None = None, turned: bool = False) -> str:
+    """Catalogue files by reference; turned: the next week's, with the same content written in another way."""
+    path = path or scratch(cat.spark, "rdf")
+    docs = with_resources(cat).withColumn("part", F.floor(c("doc_id") / 1000))
+    order = F.struct((-F.col("doc_id") if turned else F.col("doc_id")).alias("at"), rdf_by_reference(turned).alias("body"))
+    whole = docs.groupBy("portalid", "part").agg(F.array_sort(F.collect_list(order)).alias("v"))
+    body = F.concat(F.lit(REFERENCE_HEAD), F.array_join(F.col("v.body"), ""), F.lit("</rdf:RDF>"))
+    whole = whole.select("portalid", F.lit(SNAPSHOT + turned).alias("snapshot"), body.alias("value"))
+    whole.write.mode("append").option("maxRecordsPerFile", 1).partitionBy("portalid", "snapshot").text(path)
+    return path
+
+
 def socrata_json() -> Column:
     return F.to_json(F.struct(socrata_view().alias("view"), rdf_xml().alias("dcat")))
 

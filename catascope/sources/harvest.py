@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from catascope.functions import documents as doc
 from catascope.functions.text import filled
+from catascope.operators import graphs
+from catascope.session import staged
 
 RUN = ["portalid", "snapshot"]
 
@@ -70,9 +72,14 @@ def _exploded(pages: DataFrame, software: str) -> DataFrame:
 
 
 def _first_per_id(rows: DataFrame, key: Column, raw: Column) -> DataFrame:
-    """The first record of every id; reduced on the map side, so repeats do not travel."""
-    named = rows.select(*RUN, key.alias("id"), F.struct("page", "pos").alias("_at"), raw.alias("raw"))
-    return named.where(filled(F.col("id"))).groupBy(*RUN, "id").agg(F.min_by("raw", "_at").alias("raw"))
+    """The first record of every id. Ids are counted without their documents; only of ids that come
+    again are records compared."""
+    named = rows.select(*RUN, key.alias("id"), F.struct("page", "pos").alias("_at"), raw.alias("raw")).where(filled(F.col("id")))
+    again = named.groupBy(*RUN, "id").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_first")).where("n > 1").drop("n")
+    again = staged(again, "repeated-ids")
+    once = named.join(again.select(*RUN, "id"), [*RUN, "id"], "left_anti").select(*RUN, "id", "raw")
+    first = named.join(again, [*RUN, "id"]).where(F.col("_at") == F.col("_first")).select(*RUN, "id", "raw")
+    return once.unionByName(first)
 
 
 def ckan_records(pages: DataFrame, singles: DataFrame | None = None) -> DataFrame:
@@ -118,170 +125,14 @@ def data_gouv_fr_records(pages: DataFrame) -> DataFrame:
     return _first_per_id(rows, doc.get(F.col("item"), "id"), F.to_json("item"))
 
 
-_TEXTS = "array<string>"
-_LINKS = "array<struct<_resource:string,_VALUE:string>>"
-_AGENT = f"struct<_about:string,identifier:{_TEXTS},name:{_TEXTS},mbox:{_LINKS},homepage:{_LINKS}>"
-_CARD = f"struct<_about:string,fn:{_TEXTS},hasEmail:{_LINKS}>"
-_PLACE = f"struct<_about:string,prefLabel:{_TEXTS}>"
-_PERIOD = f"struct<_about:string,startDate:{_TEXTS},endDate:{_TEXTS}>"
-_TERMS = f"struct<_about:string,label:{_TEXTS},identifier:{_TEXTS}>"
-_FORMAT = f"struct<_about:string,label:{_TEXTS},value:{_TEXTS}>"
-
-
-def _either(*elements: str) -> str:
-    """A property that is text, a reference or one of the elements."""
-    return f"array<struct<_resource:string,_VALUE:string,{','.join(elements)}>>"
-
-
-_DIST = (
-    f"_about:string,title:{_TEXTS},description:{_TEXTS},rights:{_LINKS},accessURL:{_LINKS},downloadURL:{_LINKS},mediaType:{_TEXTS},"
-    f"format:{_either('Description:' + _FORMAT, 'IMT:' + _FORMAT)},license:{_either('LicenseDocument:' + _TERMS, 'Description:' + _TERMS)},"
-    f"byteSize:{_TEXTS},issued:{_TEXTS},modified:{_TEXTS}"
-)
-XML_DATASET = (
-    f"_about string, title {_TEXTS}, description {_TEXTS}, identifier {_TEXTS}, keyword {_TEXTS}, "
-    f"theme {_LINKS}, issued {_TEXTS}, modified {_TEXTS}, language {_LINKS}, landingPage {_LINKS}, "
-    f"accrualPeriodicity {_LINKS}, conformsTo {_LINKS}, seeAlso {_LINKS}, "
-    f"publisher {_either('Organization:' + _AGENT, 'Agent:' + _AGENT, 'Person:' + _AGENT)}, "
-    f"contactPoint {_either('Organization:' + _CARD, 'Kind:' + _CARD, 'Individual:' + _CARD, 'VCard:' + _CARD)}, "
-    f"spatial {_either('Location:' + _PLACE)}, temporal {_either('PeriodOfTime:' + _PERIOD)}, "
-    f"distribution array<struct<_resource:string,Distribution:struct<{_DIST}>>>"
-)
-
-
-def _elements(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
-    """Elements of a name in RDF/XML files, wherever they stand in a file, with their file."""
-    options = {"rowTag": tag, "ignoreNamespace": "true", "attributePrefix": "_"}
-    return spark.read.format("xml").options(**options).schema(schema).load(path).withColumn("file", F.input_file_name())
-
-
 def read_xml_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """Datasets of RDF/XML catalogues below portalid=/snapshot= folders.
-
-    Distributions that a dataset only refers to are looked up among those of its file.
-    """
-    rows = _elements(spark, path, "Dataset", XML_DATASET).withColumn("row", F.monotonically_increasing_id())
-    apart = _elements(spark, path, "Distribution", ",".join(c.replace(":", " ", 1) for c in _columns(_DIST))).where("_about is not null")
-    apart = apart.select("file", F.col("_about").alias("ref"), F.struct(*[c.split(":")[0] for c in _columns(_DIST)]).alias("found"))
-    apart = apart.groupBy("file", "ref").agg(F.first("found").alias("found"))
-    refs = rows.select("file", "row", F.explode("distribution").alias("d")).select("file", "row", F.col("d._resource").alias("ref")).where("ref is not null")
-    found = refs.join(apart, ["file", "ref"]).groupBy("file", "row").agg(F.map_from_entries(F.collect_set(F.struct("ref", "found"))).alias("apart"))
-    return rows.join(found, ["file", "row"], "left")
-
-
-def _columns(fields: str) -> list[str]:
-    """The top-level fields of a struct's text."""
-    out, depth, start = [], 0, 0
-    for i, ch in enumerate(fields):
-        depth += (ch == "<") - (ch == ">")
-        if ch == "," and depth == 0:
-            out.append(fields[start:i])
-            start = i + 1
-    return [*out, fields[start:]]
+    """Triples of RDF/XML catalogues below portalid=/snapshot= folders."""
+    return graphs.read_catalogues(spark, path)
 
 
 def xml_records(catalogue: DataFrame) -> DataFrame:
-    """One JSON-LD document per dataset, the first of an id by file and place; without identifier
-    the id is a hash of the document."""
-    from catascope.operators import mapping as m
-
-    known = [c for c in catalogue.columns if c not in ("portalid", "snapshot", "file", "row")]
-    key = F.sha1(F.to_json(F.struct(*known)))
-
-    def lit_values(c: Column) -> Column:
-        return F.to_json(F.transform(c, lambda v: F.struct(F.trim(v).alias("@value"))))
-
-    def links(c: Column) -> Column:
-        """References as such, text as values."""
-        one = lambda v: F.struct(F.trim(v["_resource"]).alias("@id"), F.when(v["_resource"].isNull(), F.trim(v["_VALUE"])).alias("@value"))
-        return F.to_json(F.transform(c, one))
-
-    def node(ident: Column, kind: str, props: list[tuple[str, Column]]) -> Column:
-        parts = [F.concat(F.lit(f'"{iri}":'), text) for iri, text in props]
-        quoted = F.regexp_replace(F.to_json(F.array(ident)), r"^\[|\]$", "")
-        head = F.concat(F.lit('{"@id":'), quoted, F.lit(f',"@type":["{kind}"]'))
-        return F.concat(F.concat_ws(",", head, *parts), F.lit("}"))
-
-    def name(place: str, v: Column, i: Column, *elements: str) -> Column:
-        about = F.coalesce(*[v[e]["_about"] for e in elements], v["_resource"])
-        return F.coalesce(about, F.concat(F.lit("_:"), key, F.lit(f"-{place}"), i.cast("string")))
-
-    def refs(place: str, c: Column, *elements: str) -> Column:
-        """Plain text stays a value; an element or a reference becomes a link."""
-        has = lambda v: F.coalesce(*[F.to_json(v[e]) for e in elements], v["_resource"]).isNotNull()
-        one = lambda v, i: F.struct(F.when(has(v), name(place, v, i, *elements)).alias("@id"), F.when(~has(v), F.trim(v["_VALUE"])).alias("@value"))
-        return F.to_json(F.transform(c, one))
-
-    def children(place: str, c: Column, kind: str, elements: list[str], props: list[tuple[str, str, bool]]) -> Column:
-        def build(v: Column, i: Column) -> Column:
-            at = lambda f: F.coalesce(*[v[e][f] for e in elements])
-            there = F.coalesce(*[F.to_json(v[e]) for e in elements]).isNotNull()
-            return F.when(there, node(name(place, v, i, *elements), kind, [(iri, links(at(f)) if link else lit_values(at(f))) for f, iri, link in props]))
-
-        inner = F.filter(F.transform(c, build), lambda x: x.isNotNull())
-        return F.coalesce(inner, F.array().cast("array<string>"))
-
-    terms = (["LicenseDocument", "Description"], [("label", m.RDFS + "label", False), ("identifier", m.DCT + "identifier", False)])
-    forms = (["Description", "IMT"], [("label", m.RDFS + "label", False), ("value", m.RDF + "value", False)])
-
-    def full(d: Column) -> Column:
-        return F.coalesce(d["Distribution"], F.try_element_at(F.col("apart"), d["_resource"]))
-
-    def dist_id(d: Column, i: Column) -> Column:
-        return F.coalesce(full(d)["_about"], d["_resource"], F.concat(F.lit("_:"), key, F.lit("-"), i.cast("string")))
-
-    def dist(d: Column, i: Column) -> Column:
-        x = full(d)
-        return F.concat(
-            F.array(
-                node(
-                    dist_id(d, i),
-                    m.DCAT + "Distribution",
-                    [
-                        *[(m.DCT + n, lit_values(x[n])) for n in ("title", "description", "issued", "modified")],
-                        *[(m.DCAT + n, links(x[n])) for n in ("accessURL", "downloadURL")],
-                        *[(m.DCAT + n, lit_values(x[n])) for n in ("mediaType", "byteSize")],
-                        (m.DCT + "rights", links(x["rights"])),
-                        (m.DCT + "format", refs("format", x["format"], *forms[0])),
-                        (m.DCT + "license", refs("license", x["license"], *terms[0])),
-                    ],
-                )
-            ),
-            children("format", x["format"], m.DCT + "MediaTypeOrExtent", *forms),
-            children("license", x["license"], m.DCT + "LicenseDocument", *terms),
-        )
-
-    agents, cards = ["Organization", "Agent", "Person"], ["Organization", "Kind", "Individual", "VCard"]
-    places, periods = ["Location"], ["PeriodOfTime"]
-    c = F.col
-    dataset = node(
-        F.coalesce(c("_about"), F.concat(F.lit("_:"), key)),
-        m.DCAT + "Dataset",
-        [
-            *[(m.DCT + n, lit_values(c(n))) for n in ("title", "description", "identifier", "issued", "modified")],
-            (m.DCAT + "keyword", lit_values(c("keyword"))),
-            *[(m.DCT + n, links(c(n))) for n in ("language", "accrualPeriodicity")],
-            *[(m.DCAT + n, links(c(n))) for n in ("theme", "landingPage", "conformsTo")],
-            (m.RDFS + "seeAlso", links(c("seeAlso"))),
-            (m.DCT + "publisher", refs("publisher", c("publisher"), *agents)),
-            (m.DCAT + "contactPoint", refs("contact", c("contactPoint"), *cards)),
-            (m.DCT + "spatial", refs("spatial", c("spatial"), *places)),
-            (m.DCT + "temporal", refs("temporal", c("temporal"), *periods)),
-            (m.DCAT + "distribution", F.to_json(F.transform("distribution", lambda d, i: F.struct(dist_id(d, i).alias("@id"))))),
-        ],
-    )
-    nodes = F.concat(
-        F.array(dataset),
-        children("publisher", c("publisher"), m.FOAF + "Agent", agents, [("identifier", m.DCT + "identifier", False), ("name", m.FOAF + "name", False), ("mbox", m.FOAF + "mbox", True), ("homepage", m.FOAF + "homepage", True)]),
-        children("contact", c("contactPoint"), m.VCARD + "Kind", cards, [("fn", m.VCARD + "fn", False), ("hasEmail", m.VCARD + "hasEmail", True)]),
-        children("spatial", c("spatial"), m.DCT + "Location", places, [("prefLabel", m.SKOS + "prefLabel", False)]),
-        children("temporal", c("temporal"), m.DCT + "PeriodOfTime", periods, [("startDate", m.SCHEMA + "startDate", False), ("endDate", m.SCHEMA + "endDate", False)]),
-        F.coalesce(F.flatten(F.transform("distribution", dist)), F.array().cast("array<string>")),
-    )
-    raw = F.concat(F.lit("["), F.array_join(nodes, ","), F.lit("]"))
-    first_id = F.get("identifier", F.lit(0))
-    rows = catalogue.select(*RUN, F.coalesce(F.when(filled(first_id), F.trim(first_id)), F.md5(raw)).alias("id"), F.struct("file", "row").alias("_at"), raw.alias("raw"))
-    return rows.groupBy(*RUN, "id").agg(F.min_by("raw", "_at").alias("raw"))
+    """One JSON-LD document per dataset of the catalogues' triples, with all that it reaches."""
+    return graphs.documents(catalogue)
 
 
 RECORDS = {

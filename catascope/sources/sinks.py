@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catascope.operators import graphs
+from catascope.operators.mapping import DCAT
 from catascope.operators.schema_org import pages
-from catascope.operators.triples import json_ld_nodes, n_triples
+from catascope.operators.triples import n_triples
+from catascope.session import staged
 
 
 def write_json(df: DataFrame, path: str, drop_empty: bool = True) -> None:
@@ -28,9 +31,12 @@ def write_triples(triples: DataFrame, path: str, keys: tuple[str, ...] = ("porta
 
 
 def write_json_ld(triples: DataFrame, path: str, document: str = "md5") -> None:
-    """JSON-LD nodes, one per line, a folder per portal; nodes are built per document."""
-    nodes = json_ld_nodes(triples, ["portalid", document])
-    nodes.select("portalid", F.col("node").alias("value")).write.mode("overwrite").partitionBy("portalid").text(path)
+    """JSON-LD documents, one tree per line, a folder per portal. `document` tells the documents of a portal apart."""
+    keys = ["portalid", document]
+    graph = triples if "o_lang" in triples.columns else triples.withColumn("o_lang", F.lit(None).cast("string"))
+    graph = staged(graph.select(*keys, *graphs.TERMS), "json-ld")
+    docs = graphs.trees(graph, graphs.of_type(graph, keys, DCAT + "Dataset"), keys)
+    docs.select("portalid", "value").write.mode("overwrite").partitionBy("portalid").text(path)
 
 
 def write_pages(docs: DataFrame, path: str) -> None:
