@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catascope.functions.cells import cell_label, cell_type
 from catascope.functions.ratios import node_id
+from catascope.sources.csvfiles import csv_fields, csv_heads
 
 # Local names of the column types.
 TYPE_NAMES = {"number": "number", "datetime": "datetime", "binary": "binary", "any": "anyAtomicType"}
@@ -100,67 +100,24 @@ def common_type(cell_rows: DataFrame) -> DataFrame:
     )
 
 
-# Delimiters a file is tried with.
-DELIMITERS = [",", ";", "\t", "|"]
+def csvw(records: DataFrame, media: str = "text/csv") -> DataFrame:
+    """Dialect and typed columns of CSV files (`csvfiles.csv_records`), one row per column.
 
-
-def _count_of(text: Column, ch: str) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(ch), F.lit("")))
-
-
-def csv_lines(spark, path: str) -> DataFrame:
-    """All lines of every file below a path but comments and empty ones: (file, size, first, value).
-
-    first marks the first such line of a file. Blocks of a file are read by different tasks; the
-    block's offset and the number of a line in it tell which line is the first.
+    Delimiter, names and header come from the first record, types from all records.
     """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_size").alias("size"),
-        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_at"),
-        "value",
-    ).where((F.col("value") != "") & ~F.col("value").startswith("#"))
-    heads = lines.groupBy("file").agg(F.min("_at").alias("_first"))
-    return lines.join(heads, "file").select("file", "size", (F.col("_at") == F.col("_first")).alias("first"), "value")
-
-
-def _delimiter(head: Column) -> Column:
-    """The candidate that occurs most in a first line, the earlier one if two do."""
-    counts = [F.struct(_count_of(head, d).alias("n"), F.lit(-i).alias("i"), F.lit(d).alias("d")) for i, d in enumerate(DELIMITERS)]
-    return F.array_max(F.array(*counts))["d"]
-
-
-def _split(text: Column, delimiter: Column) -> Column:
-    """Values between the delimiters outside of quotes, without quotes around them."""
-    pattern = F.concat(delimiter, F.lit('(?=(?:[^"]*"[^"]*")*[^"]*$)'))
-    pattern = F.when(delimiter == "|", F.concat(F.lit("\\"), pattern)).otherwise(pattern)
-    return F.transform(F.split(text, pattern), lambda v: F.regexp_replace(v, r'^"|"$', ""))
-
-
-def _names_columns(values: Column) -> Column:
-    """A first line is a header if no value in it is a number or a date."""
-    return ~F.exists(values, lambda v: cell_label(v).isin("number", "datetime"))
-
-
-def csvw(lines: DataFrame, media: str = "text/csv") -> DataFrame:
-    """Dialect and typed columns of CSV files, one row per column.
-
-    Delimiter, names and header come from the first line, types from all lines.
-    """
-    head = lines.where("first").select("file", "size", "value", _delimiter(F.col("value")).alias("delimiter"))
-    head = head.withColumn("vs", _split(F.col("value"), F.col("delimiter")))
-    head = head.withColumn("header", _names_columns(F.col("vs"))).drop("value")
-    body = lines.select("file", "first", "value").join(head.select("file", "delimiter", "header"), "file")
-    body = body.where(~(F.col("first") & F.col("header")))
-    cells_ = body.select("file", F.posexplode(_split(F.col("value"), F.col("delimiter"))).alias("pos", "value"))
+    head = csv_heads(records)
+    told = records.groupBy("file").agg(F.count_if("comment").alias("comment_lines"))
+    body = records.where("not comment").join(head.select("file", F.col("row").alias("head"), "header"), "file")
+    body = body.where(~(F.col("header") & (F.col("row") == F.col("head"))))
+    cells_ = body.select("file", F.posexplode(csv_fields(F.col("value"), F.col("delimiter"))).alias("pos", "value"))
     types = column_type(cells_.select("file", F.col("pos").cast("string").alias("col"), "value"))
-    named = head.select("file", "size", "delimiter", "header", F.posexplode("vs").alias("pos", "value")).withColumn(
+    named = head.join(told, "file").select("file", "size", "encoding", "delimiter", "header", "comment_lines", F.posexplode("fields").alias("pos", "value")).withColumn(
         "name", F.when(F.col("header"), F.col("value")).otherwise(F.concat(F.lit("col"), (F.col("pos") + 1).cast("string")))
     )
     typed = types.select("file", F.col("col").cast("int").alias("pos"), "datatype")
     return named.join(typed, ["file", "pos"], "left").select(
-        F.col("file").alias("url"), F.lit(media).alias("media_type"), F.col("size").alias("byte_size"),
-        "delimiter", "header", F.col("header").cast("int").alias("header_rows"), "pos", "name",
+        F.col("file").alias("url"), F.lit(media).alias("media_type"), F.col("size").alias("byte_size"), "encoding",
+        "delimiter", "header", F.col("header").cast("int").alias("header_rows"), "comment_lines", "pos", "name",
         F.coalesce("datatype", F.lit(TYPE_NAMES["any"])).alias("datatype"),
     )
 
@@ -182,7 +139,9 @@ def csvw_triples(description: DataFrame, snapshot: int) -> DataFrame:
         _t(table, DCAT + "mediaType", F.col("media_type")),
         _t(table, DCAT + "byteSize", F.col("byte_size").cast("string")),
         _t(table, CSVW + "dialect", dialect, "bnode"),
+        _t(dialect, CSVW + "encoding", F.col("encoding")),
         _t(dialect, CSVW + "delimiter", F.col("delimiter")),
+        _t(dialect, CSVW + "skipBlankRows", F.when(F.col("comment_lines") > 0, F.col("comment_lines")).cast("string")),
         _t(dialect, CSVW + "header", F.col("header").cast("string")),
         _t(dialect, CSVW + "headerRowCount", F.col("header_rows").cast("string")),
         _t(table, CSVW + "tableSchema", schema, "bnode"),
@@ -194,52 +153,4 @@ def csvw_triples(description: DataFrame, snapshot: int) -> DataFrame:
     ]
     none = F.array().cast(TRIPLE)
     rows = F.concat(F.when(F.col("pos") == 0, F.array(*of_table).cast(TRIPLE)).otherwise(none), F.array(*of_column).cast(TRIPLE))
-    return description.select(F.inline(rows))
-
-
-def normalise_csv(spark, path: str) -> DataFrame:
-    """CSV files as (file, row, header, value, modifications): comma delimited, UTF-8, without
-    comment lines, with a header. row grows along a file; a header that had to be made is row -1.
-
-    Delimiter and encoding are found per file; then Spark's reader parses the files of each of the
-    few combinations, quoted line ends included. Records of more fields than any first line are kept
-    as they stand.
-    """
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    found = raw.groupBy("file").agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(F.col("value").startswith("#")).alias("comments")
-    )
-    head = csv_lines(spark, path).where("first").select("file", "value", _delimiter(F.col("value")).alias("delimiter"))
-    files = head.join(found, "file").withColumn("vs", _split(F.col("value"), F.col("delimiter")))
-    files = files.withColumns({"width": F.size("vs"), "named": _names_columns(F.col("vs"))}).drop("value", "vs")
-    kinds = files.groupBy("delimiter", "utf8").agg(F.max("width").alias("width")).collect()  # eight at most
-    change = lambda when, name: F.when(when, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
-    modifications = F.concat(
-        change(~F.col("utf8"), "Utf8Encoding"), change(F.col("comments"), "DropCommentLines"),
-        change(F.col("delimiter") != ",", "DefaultDelimiter"), change(~F.col("named"), "GenericHeader"),
-    )
-    files = files.withColumn("modifications", modifications)
-    out = files.where(~F.col("named")).select(
-        "file", F.lit(-1).cast("bigint").alias("row"), F.lit(True).alias("header"),
-        F.array_join(F.transform(F.sequence(F.lit(1), F.col("width")), lambda i: F.concat(F.lit("col"), i.cast("string"))), ",").alias("value"),
-        "modifications",
-    )
-    for kind in kinds:
-        out = out.unionByName(_parsed(spark, path, files, kind["delimiter"], kind["utf8"], kind["width"]))
-    return out
-
-
-def _parsed(spark, path: str, files: DataFrame, delimiter: str, utf8: bool, width: int) -> DataFrame:
-    columns = [f"c{i}" for i in range(width)]
-    reader = spark.read.schema(", ".join(f"{c} string" for c in columns) + ", whole string")
-    reader = reader.options(sep=delimiter, multiLine=True, quote='"', escape='"', comment="#", encoding="UTF-8" if utf8 else "ISO-8859-1", columnNameOfCorruptRecord="whole")
-    rows = reader.csv(path).select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.join(files.where((F.col("delimiter") == delimiter) & (F.col("utf8") == utf8)).drop("delimiter"), "file")
-    quoted = lambda v: F.when(v.rlike('[,"\\r\\n]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
-    every = F.array(*columns)
-    used = F.greatest(F.col("width"), F.array_max(F.transform(every, lambda v, i: F.when(v.isNotNull(), i + 1))))
-    fields = F.transform(F.slice(every, 1, used), lambda v: F.coalesce(quoted(v), F.lit("")))
-    first = F.min("row").over(W.partitionBy("file"))
-    longer = F.col("whole").isNotNull() & F.element_at(every, -1).isNotNull()
-    value = F.when(longer, F.col("whole")).otherwise(F.array_join(fields, ","))
-    return rows.select("file", "row", (F.col("named") & (F.col("row") == first)).alias("header"), value.alias("value"), "modifications")
+    return description.select(F.inline(F.filter(rows, lambda t: t["o"].isNotNull())))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catascope.functions.formats import common_registry
+from catascope.operators import graphs as gr
 from catascope.operators import profile as pr
 from catascope.operators import stats as sa
 from catascope.operators import triples as tr
@@ -17,6 +18,7 @@ from catascope.plans.registry import query
 from catascope.plans.scalars import CELL_SQL, CELL_TYPE_SQL, LICENSE_SQL, text_cells
 from catascope.plans.views import Catalogue
 from catascope.session import scratch
+from catascope.sources import csvfiles as cf
 from catascope.sources import harvest as ha
 from catascope.sources import lookups as lo
 from catascope.sources import registries as rg
@@ -94,22 +96,101 @@ def _csv_folder(c: Catalogue, sep: str = ",") -> str:
 select distinct 'text/csv' as media_type, ';' as delimiter, true as header, pos, name, datatype from orders,
 (values (0, 'o_orderkey', 'number'), (1, 'o_orderdate', 'datetime'), (2, 'o_orderstatus', 'anyAtomicType'), (3, 'o_orderpriority', 'anyAtomicType')) v(pos, name, datatype)""")
 def csvw_description(c: Catalogue):
-    lines = pr.csv_lines(c.spark, _csv_folder(c, ";"))
-    return pr.csvw(lines).select("media_type", "delimiter", "header", "pos", "name", "datatype").distinct()
-
-
-@query("csvw_triples")
-def csvw_triples(c: Catalogue):
-    return pr.csvw_triples(pr.csvw(pr.csv_lines(c.spark, _csv_folder(c))), rawdocs.SNAPSHOT)
+    records = cf.csv_records(c.spark, _csv_folder(c, ";"))
+    return pr.csvw(records).select("media_type", "delimiter", "header", "pos", "name", "datatype").distinct()
 
 
 @query("csv_normalise", """
 select value, count(*) as count from (select concat_ws(',', cast(o_orderkey as varchar), strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S'), o_orderstatus, o_orderpriority) as value from orders) x group by all""")
 def csv_normalise(c: Catalogue):
-    rows = pr.normalise_csv(c.spark, _csv_folder(c, ";"))
+    rows = cf.normalise_csv(c.spark, _csv_folder(c, ";"))
     return rows.where("not header").groupBy("value").agg(F.count(F.lit(1)).alias("count"))
 
 
+# Orders as files of four kinds: quoted line ends; comments and Latin letters; no header, another
+# code page and tabs; two bytes a letter. `code` is a number in some of the files only.
+FILES_SQL = """
+with o as (select o_orderkey as k, o_orderkey % 4 as kind, cast(floor(o_orderkey / 20000) as bigint) as part, o_orderstatus as status, o_orderpriority as priority,
+  case when o_orderkey % 9973 = 7 then 'none' else cast(o_custkey as varchar(20)) end as code from orders),
+n as (select *, concat('kind', cast(kind as varchar(20)), '-', cast(part as varchar(20))) as file,
+  case kind when 0 then concat(status, chr(10), priority, '; "', status, '", x') when 1 then concat('Größe ', priority, ', ', status) when 2 then concat('€ ', priority) else concat(status, ' Ω ', priority) end as note from o)
+"""
+
+
+def _files(c: Catalogue) -> str:
+    """The files of FILES_SQL, one for each kind and part, written as bytes."""
+    rows = c.sql(FILES_SQL + "select file, kind, k, status, code, note from n")
+    quoted = lambda v: F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))
+    kind, key = F.col("kind"), F.col("k").cast("string")
+    sep = F.element_at(F.array(F.lit(";"), F.lit(","), F.lit("\t"), F.lit("|")), (kind + 1).cast("int"))
+    note = F.when(kind <= 1, quoted(F.col("note"))).otherwise(F.col("note"))
+    joined = lambda *values: F.call_function("concat_ws", sep, *values)
+    lines = rows.select("file", "kind", "k", joined(key, F.col("status"), F.col("code"), note).alias("line"))
+    names = joined(F.lit("key"), F.lit("status"), F.lit("code"), F.lit("note"))
+    heads = rows.select("file", "kind").distinct()
+    head = heads.where("kind <> 2").select("file", "kind", F.lit(-1).cast("bigint").alias("k"), names.alias("line"))
+    notes = heads.where("kind = 1").select("file", "kind", F.explode(F.array(F.lit(-3).cast("bigint"), F.lit(-2).cast("bigint"))).alias("k"), F.lit('# "as given').alias("line"))
+    lines = lines.unionByName(head).unionByName(notes)
+    latin = F.encode(F.translate("line", cf.WINDOWS, cf.CONTROLS), "ISO-8859-1")
+    wide = F.concat(F.when(F.col("k") == -1, F.unhex(F.lit("FEFF"))).otherwise(F.unhex(F.lit(""))), F.encode("line", "UTF-16BE"), F.unhex(F.lit("00")))
+    data = F.when(kind == 3, wide).when(kind == 0, F.encode("line", "UTF-8")).otherwise(latin)
+    path = scratch(c.spark, "csv-files")
+    out = lines.withColumn("data", data.cast("string")).repartition("file").sortWithinPartitions("file", "k")
+    out.select("file", "data").write.partitionBy("file").text(path)
+    return path
+
+
+def _named(rows, column: str = "file"):
+    return rows.withColumn(column, F.regexp_extract(column, "/file=([^/]+)/", 1))
+
+
+@query("csvw_files", FILES_SQL + """
+, f as (select file, kind, max(case when code = 'none' then 1 else 0 end) as words from n group by all)
+select file, case kind when 0 then 'UTF-8' when 1 then 'ISO-8859-1' when 2 then 'Windows-1252' else 'UTF-16BE' end as encoding,
+  case kind when 0 then ';' when 1 then ',' when 2 then chr(9) else '|' end as delimiter, kind <> 2 as header, case kind when 1 then 2 else 0 end as comment_lines, pos,
+  case when kind = 2 then concat('col', pos + 1) else name end as name, case when pos = 0 or (pos = 2 and words = 0) then 'number' else 'anyAtomicType' end as datatype
+from f, (values (0, 'key'), (1, 'status'), (2, 'code'), (3, 'note')) v(pos, name)""")
+def csvw_files(c: Catalogue):
+    """Every file's encoding, dialect, columns and types, quoted line ends and comments included."""
+    rows = _named(pr.csvw(cf.csv_records(c.spark, _files(c))), "url")
+    return rows.select(F.col("url").alias("file"), "encoding", "delimiter", "header", F.col("comment_lines").cast("int").alias("comment_lines"), "pos", "name", "datatype")
+
+
+@query("csv_files_normalised", FILES_SQL + """
+, f as (select file, kind from n group by all),
+r as (select file, kind, row_number() over (partition by file order by k) - 1 + case kind when 0 then 1 when 1 then 3 when 2 then 0 else 1 end as row,
+  concat_ws(',', cast(k as varchar), status, code, case when contains(note, ',') or contains(note, '"') or contains(note, chr(10)) then concat('"', replace(note, '"', '""'), '"') else note end) as value from n)
+select file, row, false as header, value, case kind when 0 then 'DefaultDelimiter' when 1 then 'Utf8Encoding DropCommentLines' when 2 then 'Utf8Encoding DefaultDelimiter GenericHeader' else 'Utf8Encoding DefaultDelimiter' end as modifications from r
+union all select file, case kind when 0 then 0 when 1 then 2 when 2 then -1 else 0 end, true, case kind when 2 then 'col1,col2,col3,col4' else 'key,status,code,note' end,
+  case kind when 0 then 'DefaultDelimiter' when 1 then 'Utf8Encoding DropCommentLines' when 2 then 'Utf8Encoding DefaultDelimiter GenericHeader' else 'Utf8Encoding DefaultDelimiter' end from f""")
+def csv_files_normalised(c: Catalogue):
+    """Every record of every file, comma delimited in UTF-8, with what was changed."""
+    rows = _named(cf.normalise_csv(c.spark, _files(c)))
+    return rows.select("file", "row", "header", "value", F.array_join("modifications", " ").alias("modifications"))
+
+
+@query("csv_comments", FILES_SQL + "select distinct file, cast(row as bigint) as row, '\"as given' as text from n, (values (0), (1)) v(row) where kind = 1")
+def csv_comments(c: Catalogue):
+    return _named(cf.csv_comments(cf.csv_records(c.spark, _files(c))))
+
+
+@query("csvw_triples", """
+select p, o, count(*) as triples from (select distinct cast(floor(o_orderkey / 20000) as bigint) as part from orders) x,
+(values ('http://www.w3.org/ns/dcat#mediaType', 'text/csv'), ('http://www.w3.org/ns/csvw#encoding', 'UTF-8'), ('http://www.w3.org/ns/csvw#delimiter', ','), ('http://www.w3.org/ns/csvw#header', 'true'),
+  ('http://www.w3.org/ns/csvw#headerRowCount', '1'), ('http://www.w3.org/ns/csvw#name', 'o_orderkey'), ('http://www.w3.org/ns/csvw#name', 'o_orderstatus'),
+  ('http://www.w3.org/ns/csvw#datatype', 'http://www.w3.org/2001/XMLSchema#number'), ('http://www.w3.org/ns/csvw#datatype', 'http://www.w3.org/2001/XMLSchema#anyAtomicType')) v(p, o) group by all""")
+def csvw_triples(c: Catalogue):
+    """What the triples of plain files say, each with the number of files that say so."""
+    path = scratch(c.spark, "csv")
+    orders = c.table("orders").select(F.floor(F.col("o_orderkey") / 20000).alias("part"), F.col("o_orderkey").cast("string").alias("k"), F.col("o_orderstatus").alias("s"))
+    heads = orders.select("part").distinct().select("part", F.lit("").alias("k"), F.lit("o_orderkey,o_orderstatus").alias("value"))
+    rows = heads.unionByName(orders.select("part", "k", F.concat_ws(",", "k", "s").alias("value"))).repartition("part").sortWithinPartitions("part", "k")
+    rows.select("part", "value").write.partitionBy("part").text(path)
+    triples = pr.csvw_triples(pr.csvw(cf.csv_records(c.spark, path)), rawdocs.SNAPSHOT)
+    wanted = F.col("p").isin("http://www.w3.org/ns/dcat#mediaType", *[pr.CSVW + n for n in ("encoding", "delimiter", "header", "headerRowCount", "name", "datatype")])
+    return triples.where(wanted).groupBy("p", "o").agg(F.count(F.lit(1)).alias("triples"))
+
+
 def _landed(c: Catalogue):
     """Lookup answers as a crawler lands them; a third of the header names in another case."""
     status = F.col("status")
@@ -196,6 +277,93 @@ def xml_to_dcat(c: Catalogue):
     )
 
 
+@query("xml_by_reference", """
+select portalid, id, org_title as publisher, contact_name as contact, case when contact_name is not null then contact_email end as email, frequency, spatial_text as spatial,
+  temporal_start as start, coalesce(license_title, license_id) as license, a.url as first_url, b.url as second_url, trim(b.format) as second_format, b.mimetype as second_type
+from v_doc join v_doc_resource a using (doc_id) join v_doc_resource b using (doc_id) where a.pos = 0 and b.pos = 1""")
+def xml_by_reference(c: Catalogue):
+    """Catalogues that give publishers, contacts, places, licenses and formats by reference, mapped."""
+    from catascope.operators.mapping import json_ld
+
+    rows = ha.xml_records(ha.read_xml_catalogue(c.spark, rawdocs.reference_catalogues(c)))
+    first = lambda name, field: F.get(name, F.lit(0))[field]
+    dist = lambda i, name: F.get(F.get("distributions", F.lit(i))[name], F.lit(0))
+    form = dist(1, "format")
+    return json_ld(rows.withColumn("apiuri", F.lit(""))).select(
+        "portalid", "id", first("publisher", "name").alias("publisher"), first("contact", "fn").alias("contact"), first("contact", "email").alias("email"),
+        F.get("frequency", F.lit(0)).alias("frequency"), first("spatial", "label").alias("spatial"), first("temporal", "start").alias("start"),
+        dist(0, "license")["label"].alias("license"), dist(0, "access_url").alias("first_url"), dist(1, "access_url").alias("second_url"),
+        form["label"].alias("second_format"), form["value"].alias("second_type"),
+    )
+
+
+@query("catalogue_triples", """
+with t as (select portalid, id, lang, source, org_title, coalesce(license_title, license_id) as terms from v_doc)
+select portalid, id, 'urn:ex#grade' as p, lang as o from t
+union all select portalid, id, 'urn:ex#room', concat('room ', lang) from t
+union all select portalid, id, 'urn:ex#by', source from t where terms is not null
+union all select portalid, id, 'http://xmlns.com/foaf/0.1/name', org_title from t where org_title is not null""")
+def catalogue_triples(c: Catalogue):
+    """Properties that no mapping knows, one to three steps away from the dataset, and names beside them."""
+    rows = ha.xml_records(ha.read_xml_catalogue(c.spark, rawdocs.reference_catalogues(c)))
+    triples = gr.document_triples(rows, ["portalid", "id"])
+    wanted = F.col("p").isin(*[rawdocs.EX + n for n in ("grade", "room", "by")], "http://xmlns.com/foaf/0.1/name")
+    return triples.where(wanted).select("portalid", "id", "p", "o")
+
+
+@query("graph_ids", "select portalid, id, 2 as versions, 1 as hashes from v_doc")
+def graph_ids(c: Catalogue):
+    """Two weeks of catalogues with the same content in another order, with other blank names and files."""
+    path = rawdocs.reference_catalogues(c)
+    rawdocs.reference_catalogues(c, path, turned=True)
+    parts = gr.datasets(ha.read_xml_catalogue(c.spark, path))
+    keys = [*gr.RUN, "root"]
+    rows = gr.graph_hash(parts.drop("depth"), keys).join(gr.identifiers(parts), keys)
+    return rows.groupBy("portalid", F.col("own").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("versions"), F.countDistinct("hash").cast("int").alias("hashes"))
+
+
+@query("json_ld_export", """
+select portalid, id, nullif(title, '') as title, org_title as publisher, contact_name as contact, list_sort([a.url, b.url]) as urls
+from v_doc join v_doc_resource a using (doc_id) join v_doc_resource b using (doc_id) where a.pos = 0 and b.pos = 1""")
+def json_ld_export(c: Catalogue):
+    """Documents written as JSON-LD trees, a folder per portal, and read back."""
+    from catascope.operators import mapping as ma
+
+    path = scratch(c.spark, "json-ld")
+    sinks.write_json_ld(tr.dcat_triples(ma.to_dcat(rawdocs.records(c, "CKAN"), ["CKAN"]), ["portalid", "md5"]), path)
+    rows = c.spark.read.text(path).withColumn("v", F.try_parse_json("value"))
+    at = lambda path, kind="string": F.try_variant_get("v", "$" + path, kind)
+    dists = at(f"['{ma.DCAT}distribution']", "array<variant>")
+    url = lambda d: F.coalesce(*[F.try_variant_get(d, f"$['{ma.DCAT}{p}'][0]['{k}']", "string") for p in ("accessURL", "downloadURL") for k in ("@id", "@value")])
+    return rows.select(
+        "portalid", at(f"['{ma.DCT}identifier'][0]['@value']").alias("id"), at(f"['{ma.DCT}title'][0]['@value']").alias("title"),
+        at(f"['{ma.DCT}publisher'][0]['{ma.FOAF}name'][0]['@value']").alias("publisher"), at(f"['{ma.DCAT}contactPoint'][0]['{ma.VCARD}fn'][0]['@value']").alias("contact"),
+        F.array_sort(F.transform(dists, url)).alias("urls"),
+    )
+
+
+@query("socrata_graph", """
+with d as (select *, concat(rtrim(apiuri, '/'), '/dataset/', id) as s from v_doc)
+select s, 'http://purl.org/dc/terms/title' as p, title as o from d where title is not null
+union all select s, 'http://purl.org/dc/terms/description', concat(lang, ' ', source) from d
+union all select s, 'http://purl.org/dc/terms/identifier', id from d
+union all select s, 'http://www.w3.org/ns/dcat#keyword', lang from d
+union all select s, 'http://www.w3.org/ns/dcat#keyword', source from d
+union all select s, 'urn:ods#created', created from d where created is not null
+union all select s, 'urn:ods#last_modified', modified from d where modified is not null
+union all select distinct s, 'http://www.w3.org/ns/dcat#mediaType', mimetype from d join v_doc_resource using (doc_id) where format is not null and mimetype is not null
+union all select s, 'http://xmlns.com/foaf/0.1/name', org_title from d where org_title is not null
+union all select s, 'http://www.w3.org/2006/vcard/ns#fn', contact_name from d where contact_name is not null""")
+def socrata_graph(c: Catalogue):
+    """All literals of the Socrata records' graphs, with the dataset that they belong to."""
+    graph = gr.socrata_triples(rawdocs.records(c, "Socrata"), ["portalid", "md5"])
+    sets = gr.of_type(graph, ["portalid", "md5"], "http://www.w3.org/ns/dcat#Dataset")
+    rows = graph.where("o_kind = 'literal'").join(sets, ["portalid", "md5"]).select(F.col("root").alias("s"), "p", "o")
+    media = F.col("p") == "http://www.w3.org/ns/dcat#mediaType"
+    told = F.col("p").isin("http://www.w3.org/2000/01/rdf-schema#label", "http://www.w3.org/1999/02/22-rdf-syntax-ns#value")
+    return rows.where(~media & ~told).unionByName(rows.where(media).distinct())
+
+
 @query("media_type_registry", f"""
 select token, count(*) as resources from (select lower(trim(format)) as token from v_doc_resource) x
 where token in ({', '.join("'" + t + "'" for t in common_registry())}) group by token""")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catascope.operators import profile as pr
+from catascope.sources import csvfiles as cf
 from catascope.sources import harvest as ha
 from catascope.sources import lookups as lo
 from catascope.sources import portals as po
@@ -106,9 +107,9 @@ def csv_files(tmp_path):
 
 
 def test_csvw(spark, csv_files):
-    lines = pr.csv_lines(spark, csv_files + "/a.csv")
-    assert lines.count() == 151 and lines.where("first").count() == 1
-    got = pr.csvw(lines).orderBy("pos").collect()
+    records = cf.csv_records(spark, csv_files + "/a.csv")
+    assert sorted(r.row for r in records.collect()) == list(range(151))
+    got = pr.csvw(records).orderBy("pos").collect()
     assert [(r.name, r.datatype, r.delimiter, r.header) for r in got] == [
         ("name", "anyAtomicType", ";", True), ("when", "datetime", ";", True), ("n", "number", ";", True),
     ]
@@ -118,14 +119,14 @@ def test_csvw_types_need_all_lines(spark, tmp_path):
     (tmp_path / "late.csv").write_text("a,b\n" + "".join(f"{i},{i}\n" for i in range(20_000)) + "x,1\n")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:
-        got = {r.name: r.datatype for r in pr.csvw(pr.csv_lines(spark, str(tmp_path))).collect()}
+        got = {r.name: r.datatype for r in pr.csvw(cf.csv_records(spark, str(tmp_path))).collect()}
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == {"a": "anyAtomicType", "b": "number"}
 
 
 def test_csv_normalisation(spark, csv_files):
-    rows = pr.normalise_csv(spark, csv_files).collect()
+    rows = cf.normalise_csv(spark, csv_files).collect()
     b = [(r.header, r.value) for r in sorted(rows, key=lambda r: r.row) if r.file.endswith("b.csv")]
     assert b == [(True, "col1,col2"), (False, "1,ä"), (False, "2,b")]
     changes = {r.file[-5:]: set(r.modifications) for r in rows}
@@ -143,11 +144,88 @@ def test_csv_normalisation_keeps_quoted_lines_and_long_fields(spark, tmp_path):
     text = io.StringIO()
     csv.writer(text, delimiter=";").writerows(given)
     (tmp_path / "q.csv").write_text(text.getvalue())
-    rows = sorted(pr.normalise_csv(spark, str(tmp_path)).collect(), key=lambda r: r.row)
+    rows = sorted(cf.normalise_csv(spark, str(tmp_path)).collect(), key=lambda r: r.row)
     assert [next(csv.reader(io.StringIO(r.value))) for r in rows] == given
     assert [r.header for r in rows] == [True] + [False] * 5
 
 
+@pytest.fixture
+def small_blocks(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def parsed(text, delimiter):
+    import csv
+    import io
+
+    csv.field_size_limit(1 << 24)
+    return [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=delimiter) if r and not r[0].startswith("#")]
+
+
+def test_records_go_on_across_blocks(spark, tmp_path, small_blocks):
+    """Quoted line ends, doubled quotes, stray quotes and comments, in blocks much smaller than a record."""
+    import random
+
+    rng, files = random.Random(3), {}
+    cells = ["a", "", "7", '"x\ny"', '"say ""hi"", you"', '"#no comment"', '5" pipe', '"' + "long\n" * 60 + '"', '"p;q,r|s"', "it's"]
+    for k in range(6):
+        delimiter = ",;|\t"[k % 4]
+        lines = [delimiter.join(("k", "text", "more"))]
+        for _ in range(60):
+            if rng.random() < 0.1:
+                lines.append('# a "comment')
+            lines.append(delimiter.join(c if delimiter not in c or c[0] == '"' else "b" for c in ("id", rng.choice(cells), rng.choice(cells))))
+        files[f"f{k}.csv"] = ("\n".join(lines) + "\n", delimiter)
+        (tmp_path / f"f{k}.csv").write_text(files[f"f{k}.csv"][0])
+    records = cf.csv_records(spark, str(tmp_path)).where("not comment")
+    fields = records.select("file", "row", cf.csv_fields(F.col("value"), F.col("delimiter")).alias("v")).collect()
+    for name, (text, delimiter) in files.items():
+        got = [r.v for r in sorted(fields, key=lambda r: r.row) if r.file.endswith(name)]
+        assert got == parsed(text, delimiter), name
+    rows = sorted(cf.normalise_csv(spark, str(tmp_path)).collect(), key=lambda r: r.row)
+    for name, (text, delimiter) in files.items():
+        assert [parsed(r.value, ",")[0] for r in rows if r.file.endswith(name)] == parsed(text, delimiter)
+
+
+def test_many_quotes_in_a_line_and_a_quote_that_never_ends(spark, tmp_path):
+    many = ",".join(['"a,""b"'] * 20_000)
+    (tmp_path / "many.csv").write_text("x,y\n" + many + "\n1,2\n")
+    (tmp_path / "open.csv").write_text('k,v\n1,a\n2,"b\n3,c\n')
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "notes.csv").write_text("# only\n# notes\n")
+    rows = cf.csv_records(spark, str(tmp_path)).where("not comment")
+    sizes = rows.select(F.regexp_extract("file", "([a-z]+).csv", 1).alias("f"), "row", F.size(cf.csv_fields(F.col("value"), F.col("delimiter"))).alias("n")).collect()
+    assert sorted((r.row, r.n) for r in sizes if r.f == "many") == [(0, 2), (1, 20_000), (2, 2)]
+    assert sorted(r.row for r in sizes if r.f == "open") == [0, 1, 2, 3] and {r.f for r in sizes} == {"many", "open"}
+    assert cf.normalise_csv(spark, str(tmp_path / "empty.csv")).count() == 0
+
+
+def test_column_types_of_records_with_line_ends(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('id,note\n1,"two\nlines, 3"\n2,plain\n')
+    assert {r.name: r.datatype for r in pr.csvw(cf.csv_records(spark, str(tmp_path))).collect()} == {"id": "number", "note": "anyAtomicType"}
+
+
+def test_encodings(spark, tmp_path, small_blocks):
+    text = "name;n\n" + "".join(f"Zoë {i};{i}\n" for i in range(60))
+    given = {
+        "UTF-8": text.encode(), "ISO-8859-1": text.encode("latin-1"), "Windows-1252": text.replace("name", "€ “name”").encode("cp1252"),
+        "UTF-16LE": b"\xff\xfe" + text.replace("ë", "ਊ").encode("utf-16-le"), "UTF-16BE": text.encode("utf-16-be"), "UTF-8 marked": b"\xef\xbb\xbf" + text.encode(),
+        "UTF-16LE broken": text.encode("utf-16-le") + b"\x00",
+    }
+    for name, data in given.items():
+        (tmp_path / f"{name}.csv").write_bytes(data)
+    rows = cf.csv_records(spark, str(tmp_path)).collect()
+    for name in given:
+        own = sorted((r.row, r.value, r.encoding) for r in rows if r.file.endswith(f"/{name.replace(' ', '%20')}.csv"))
+        assert {e for _, _, e in own} == {name.split()[0]}, name
+        want = text.replace("name", "€ “name”") if name == "Windows-1252" else text.replace("ë", "ਊ") if name == "UTF-16LE" else text
+        assert [v for _, v, _ in own][:61] == want.splitlines(), name
+
+
 def test_column_types(spark):
     cols = {"n": ["1", "2.5", ""], "b": ["yes", "no", "yes"], "d": ["2020-01-01T00:00:00", "2020-01-02T00:00:00", None], "x": ["1", "a", "b c"]}
     rows = [("f", i, c, v) for c, vs in cols.items() for i, v in enumerate(vs)]
