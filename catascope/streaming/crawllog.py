@@ -1,19 +1,20 @@
 """The crawl log as a stream.
 
-Sinks are Parquet folders written once per micro-batch under the batch's number, so a batch
-that is repeated after a failure replaces its own output. Checkpoints lie beside the sinks in
-the shared folder.
+Results are Parquet folders written once per micro-batch under the batch's number, so a batch
+that is repeated after a failure replaces its own output. Summaries and state lie in tiers that are
+merged as they fill. Checkpoints lie beside the sinks in the shared folder.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catascope.operators.windows import content_changed
+from catascope.streaming import tiers
 
 LOG = (
     "uri string, snapshot int, timestamp timestamp, status int, digest string, domain string, "
@@ -37,14 +38,14 @@ def ingest(log: DataFrame, path: str):
     return _run(log.writeStream.format("parquet").partitionBy("snapshot").option("path", path + "/data").outputMode("append"), path)
 
 
-def _summaries(log: DataFrame, path: str, summary: Callable[[DataFrame], DataFrame]):
-    """Write the summary of every micro-batch into the batch's own folder.
+def _summaries(log: DataFrame, path: str, summary: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame]):
+    """Keep the summary of every micro-batch, merged in tiers.
 
-    Summaries of batches are merged when they are read, so a result counts however late it comes,
-    no state is held between batches, and a repeated batch replaces its own folder.
+    A result counts however late it comes, no state is held between batches, and a repeated batch
+    counts once.
     """
     def save(batch: DataFrame, number: int) -> None:
-        summary(batch).write.mode("overwrite").parquet(f"{path}/data/batch={number}")
+        tiers.add(path + "/data", number, summary(batch), merge)
 
     return _run(log.writeStream.foreachBatch(save), path)
 
@@ -57,17 +58,22 @@ def _earliest(rows: DataFrame) -> DataFrame:
 
 def first_results(log: DataFrame, path: str):
     """The first result per uri and snapshot of every micro-batch; read them with `firsts`."""
-    return _summaries(log, path, _earliest)
+    return _summaries(log, path, _earliest, _earliest)
 
 
 def firsts(spark: SparkSession, path: str) -> DataFrame:
     """One result per uri and snapshot, the earliest of all batches."""
-    return _earliest(spark.read.parquet(path + "/data").drop("batch"))
+    return _earliest(tiers.read(spark, path + "/data"))
 
 
 def counts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Counts per group over all batches."""
-    return spark.read.parquet(path + "/data").groupBy(*keys).agg(F.sum("count").alias("count"))
+    return tiers.read(spark, path + "/data").groupBy(*keys).agg(F.sum("count").alias("count"))
+
+
+def _added(rows: DataFrame) -> DataFrame:
+    """Counts of several batches, added up."""
+    return rows.groupBy(*[c for c in rows.columns if c != "count"]).agg(F.sum("count").alias("count"))
 
 
 def status_windows(log: DataFrame, window: str = "1 hour") -> DataFrame:
@@ -79,7 +85,7 @@ def status_windows(log: DataFrame, window: str = "1 hour") -> DataFrame:
 
 
 def status_counts(log: DataFrame, path: str, window: str = "1 hour"):
-    return _summaries(log, path, lambda batch: status_windows(batch, window))
+    return _summaries(log, path, lambda batch: status_windows(batch, window), _added)
 
 
 def crawl_counts(log: DataFrame, window: str = "1 hour") -> DataFrame:
@@ -89,7 +95,7 @@ def crawl_counts(log: DataFrame, window: str = "1 hour") -> DataFrame:
 
 
 def crawl_rate(log: DataFrame, path: str, window: str = "1 hour"):
-    return _summaries(log, path, lambda batch: crawl_counts(batch, window))
+    return _summaries(log, path, lambda batch: crawl_counts(batch, window), _added)
 
 
 def rates(spark: SparkSession, path: str, seconds: int = 3600) -> DataFrame:
@@ -118,20 +124,39 @@ def rates_since_start(rates: DataFrame, seconds: int = 3600) -> DataFrame:
     )
 
 
+#: Folders that the last digests of all uris are dealt to.
+BUCKETS = 64
+STATE = "uri string, timestamp timestamp, event_id bigint, digest string, bucket int"
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("uri"), F.lit(BUCKETS)).cast("int")
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    last = F.max_by(F.struct("timestamp", "event_id", "digest"), F.struct("timestamp", "event_id"))
+    return rows.groupBy("uri", "bucket").agg(last.alias("r")).select("uri", "r.*", "bucket")
+
+
 def changed_flags(log: DataFrame, path: str):
     """Content-changed flag of every result, against all results before it.
 
     Inside a micro-batch the flags come from the two-level window of the batch form. Only the
-    first success of a uri needs what earlier batches saw: the last digest per uri, kept as a
-    table with a version per batch. No uri is bound to one task, and state lives in the shared
-    folder, not on an executor.
+    first success of a uri needs what earlier batches saw: its last digest. Digests are dealt to
+    buckets by uri; a batch reads the buckets of its own uris and adds what is new there, and tiers
+    of batches are merged as they fill. No uri is bound to one task, a batch costs what it touches,
+    and the state lives in the shared folder, not on an executor.
     """
     def flag(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        state = _state(spark, path, number)
+        if tiers.has(spark, path + "/state", number):
+            return  # its results were written before its state
         rows = batch.withColumn("_new", F.lit(1))
+        state = tiers.read(spark, path + "/state", STATE)
         if state is not None:
-            seeds = state.join(batch.select("uri").distinct(), "uri", "left_semi")
+            uris = batch.select("uri", _bucket().alias("bucket")).distinct()
+            touched = [r["bucket"] for r in uris.select("bucket").distinct().collect()]  # BUCKETS at most
+            seeds = _latest(state.where(F.col("bucket").isin(touched)).join(uris, ["uri", "bucket"], "left_semi"))
             seeds = seeds.select(
                 "uri", "timestamp", "digest", F.lit(200).alias("status"), F.lit(-1).cast("bigint").alias("event_id"), F.lit(0).alias("_new")
             )
@@ -140,20 +165,7 @@ def changed_flags(log: DataFrame, path: str):
         flagged = content_changed(rows, ("_new", "timestamp", "event_id"))
         done = flagged.where(F.col("_new") == 1).drop("_new", "last_digest")
         done.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
-        ok = batch.where(F.col("status") == 200).select("uri", "timestamp", "event_id", "digest")
-        if state is not None:
-            ok = ok.unionByName(state.select("uri", "timestamp", "event_id", "digest"))
-        order = F.struct("timestamp", "event_id")
-        new = ok.groupBy("uri").agg(F.max_by(F.struct("timestamp", "event_id", "digest"), order).alias("r"))
-        new.select("uri", "r.*").write.mode("overwrite").parquet(f"{path}/state/version={number}")
+        ok = batch.where(F.col("status") == 200).select("uri", "timestamp", "event_id", "digest", _bucket().alias("bucket"))
+        tiers.add(path + "/state", number, _latest(ok), _latest, ("bucket",))
 
     return _run(log.writeStream.foreachBatch(flag), path)
-
-
-def _state(spark: SparkSession, path: str, number: int) -> DataFrame | None:
-    """The newest state version before a batch; batches are numbered without holes."""
-    if number == 0:
-        return None
-    return spark.read.parquet(f"{path}/state/version={number - 1}")
-
-

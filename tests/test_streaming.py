@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from catascope.operators.windows import content_changed
 from catascope.session import scratch
+from catascope.sources import folders
 from catascope.streaming import crawllog as cl
+from catascope.streaming import tiers
 
 
 @pytest.fixture(scope="module")
@@ -98,3 +100,38 @@ def test_ingest_is_partitioned(spark, log):
     assert rows.count() == batch.count()
     plan = rows.where("snapshot = 2401")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(snapshot" in plan
+
+
+def test_tiers_have_few_folders_and_count_batches_once(spark, tmp_path):
+    path = str(tmp_path / "tiers")
+    merge = lambda rows: rows.groupBy("k").agg(F.sum("count").alias("count"))
+    batch = lambda n: spark.createDataFrame([(n % 3, 1), (9, n)], "k int, count long").coalesce(1)
+    for n in range(23):
+        tiers.add(path, n, batch(n), merge, fan=3)
+        tiers.add(path, n, batch(n), merge, fan=3)  # the batch comes again
+        assert len(tiers.live(spark, path, 3)) <= 2 * 3
+    assert tiers.live(spark, path, 3) == [(2, 0), (2, 1), (1, 6), (0, 21), (0, 22)]
+    got = {r["k"]: r["n"] for r in tiers.read(spark, path, fan=3).groupBy("k").agg(F.sum("count").alias("n")).collect()}
+    assert got == {0: 8, 1: 8, 2: 7, 9: sum(range(23))}
+    # a folder whose job did not end does not count, and one that a merged folder covers neither
+    batch(0).write.parquet(path + "/level=0/at=3")
+    batch(0).write.parquet(path + "/level=0/at=23")
+    folders.remove(spark, path + "/level=0/at=23/_SUCCESS")
+    assert tiers.live(spark, path, 3) == [(2, 0), (2, 1), (1, 6), (0, 21), (0, 22)]
+    tiers.add(path, 23, batch(23), merge, fan=3)
+    assert tiers.live(spark, path, 3) == [(2, 0), (2, 1), (1, 6), (1, 7)]
+
+
+def test_state_of_other_uris_is_not_written_again(spark, log, tmp_path):
+    path, batch = log
+    first, second = str(tmp_path / "log"), scratch(spark, "buckets")
+    batch.where("event_id < 600").coalesce(1).write.parquet(first)
+    cl.changed_flags(cl.read_log(spark, first), second).awaitTermination()
+    batch.where("event_id >= 600 and uri = 'http://hot.org/x'").coalesce(1).write.mode("append").parquet(first)
+    cl.changed_flags(cl.read_log(spark, first), second).awaitTermination()
+    state = second + "/state/level=0/at="
+    assert len(folders.names(spark, state + "0")) > 10
+    assert [n for n in folders.names(spark, state + "1")] == [r["b"] for r in batch.where("uri = 'http://hot.org/x'").select(F.concat(F.lit("bucket="), cl._bucket()).alias("b")).distinct().collect()]
+    rows = batch.where("event_id < 600 or uri = 'http://hot.org/x'")
+    got = {r.event_id: r.contentchanged for r in spark.read.parquet(second + "/data").collect()}
+    assert got == {r.event_id: r.contentchanged for r in content_changed(rows).collect()}
