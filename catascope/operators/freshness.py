@@ -331,7 +331,11 @@ def scores(hist: DataFrame, snapshot: int, min_history: int = MIN_HISTORY) -> Da
     rows = _features(accesses(hist)).groupBy(*KEYS).agg(
         *_rate_aggregates(), *_markov_aggregates(), emp.alias("emp_dist")
     )
-    rows = _with_last(rows).withColumns({"rate_naive": naive_rate(), "rate_improved": improved_rate(), "age": days_since(F.lit(snapshot))})
+    return _estimates(_with_last(rows), snapshot, min_history)
+
+
+def _estimates(rows: DataFrame, snapshot: int, min_history: int) -> DataFrame:
+    rows = rows.withColumns({"rate_naive": naive_rate(), "rate_improved": improved_rate(), "age": days_since(F.lit(snapshot))})
     rows = rows.withColumn("weeks", F.greatest(F.round(F.col("age") / 7.0).cast("int"), F.lit(1)))
     estimates = {
         "cho_naive": poisson_cdf(F.col("age"), 1 / F.col("rate_naive")),
@@ -344,13 +348,79 @@ def scores(hist: DataFrame, snapshot: int, min_history: int = MIN_HISTORY) -> Da
     return rows.select(*KEYS, *[F.when(known, x).alias(name) for name, x in estimates.items()])
 
 
+#: Sums of a summary, which later weeks add to.
+SUMS = ["accesses", "changes", "observed", *[f"n{a}{b}" for a in (0, 1) for b in (0, 1)], *[f"n{a}{b}{c}" for a in (0, 1) for b in (0, 1) for c in (0, 1)]]
+
+
+def fold(summary: DataFrame | None, hist: DataFrame) -> DataFrame:
+    """One row per resource and source that stands for its whole history: the summary of the weeks so
+    far and the later weeks of `hist`, however many.
+
+    It holds the sums of the estimators, the last two change flags, the last access and date, and the
+    distinct dates (one per week at most), from which gaps follow. Earlier weeks are not read again.
+    """
+    w = _in_order()
+    rows = observations(hist).withColumn("access", thursday_of(F.col("snapshot")))
+    before = ["last_access", "last_modified", "flag1", "flag2"]
+    if summary is None:
+        kinds = ("date", "date", "int", "int")
+        rows = rows.withColumns({f"_{c}": F.lit(None).cast(kind) for c, kind in zip(before, kinds)})
+    else:
+        rows = rows.join(summary.select(*KEYS, *[F.col(c).alias(f"_{c}") for c in before]), KEYS, "left")
+    rows = rows.withColumn("nr", F.row_number().over(w))
+    earlier = lambda c, known: F.when(F.col("nr") == 1, F.col(known)).otherwise(F.lag(c).over(w))
+    rows = rows.withColumns({"_access": earlier("access", "_last_access"), "_modified": earlier("modified", "_last_modified")})
+    rows = rows.withColumns(
+        {
+            "interval_days": F.coalesce(F.datediff("access", "_access"), F.lit(WEEK)),
+            "age_days": F.datediff("access", "modified"),
+            "changed": (~F.col("_modified").eqNullSafe(F.col("modified"))).cast("int"),
+        }
+    )
+    second = F.when(F.col("nr") == 1, F.col("_flag2")).when(F.col("nr") == 2, F.col("_flag1")).otherwise(F.lag("changed", 2).over(w))
+    rows = rows.withColumns({"c1": earlier("changed", "_flag1"), "c2": second})
+    last = F.max(F.struct("snapshot", "access", "modified", "changed", "c1"))
+    counts = _markov_aggregates()[:-1]
+    new = rows.groupBy(*KEYS).agg(*_rate_aggregates()[:-1], *counts, last.alias("last"), F.collect_set("modified").alias("dates"))
+    new = new.select(
+        *KEYS, *SUMS, F.col("last.access").alias("last_access"), F.col("last.modified").alias("last_modified"),
+        F.col("last.changed").alias("flag1"), F.col("last.c1").alias("flag2"), F.array_sort("dates").alias("dates"),
+    )
+    if summary is None:
+        return new
+    old = summary.select(*KEYS, *[F.col(c).alias(f"_{c}") for c in (*SUMS, *before, "dates")])
+    both = old.join(new, KEYS, "full")
+    total = lambda c: (F.coalesce(F.col(f"_{c}"), F.lit(0)) + F.coalesce(F.col(c), F.lit(0))).alias(c)
+    seen = F.col("last_access").isNotNull()
+    none = F.array().cast("array<date>")
+    dates = F.array_sort(F.array_union(F.coalesce("_dates", none), F.coalesce("dates", none)))
+    return both.select(*KEYS, *[total(c) for c in SUMS], *[F.when(seen, F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in before], dates.alias("dates"))
+
+
+def folded_scores(summary: DataFrame, snapshot: int, min_history: int = MIN_HISTORY) -> DataFrame:
+    """The scores of whole histories from their summaries; nothing is shuffled."""
+    age = days_since(F.lit(snapshot))
+    steps = F.transform(F.slice("dates", 2, F.greatest(F.size("dates") - 1, F.lit(0))), lambda d, i: F.datediff(d, F.get("dates", i)))
+    rows = summary.withColumns({"gaps": steps, "last1": F.col("flag1"), "last2": F.coalesce("flag2", F.lit(0))})
+    emp = F.when(F.size("gaps") > 0, F.size(F.filter("gaps", lambda g: g <= age)) / F.size("gaps"))
+    return _estimates(rows.withColumn("emp_dist", emp), snapshot, min_history)
+
+
 ESTIMATES = ["cho_naive", "cho_impr", "emp_dist", "mark1", "mark2"]
 
 
 def score_rows(hist: DataFrame, snapshot: int, min_history: int = MIN_HISTORY) -> DataFrame:
     """Wide row per resource, those with short histories included: every estimate for header and
     for metadata dates, null where there is none."""
-    long = scores(hist, snapshot, min_history)
+    return _wide(scores(hist, snapshot, min_history), snapshot)
+
+
+def folded_rows(summary: DataFrame, snapshot: int, min_history: int = MIN_HISTORY) -> DataFrame:
+    """score_rows() from summaries."""
+    return _wide(folded_scores(summary, snapshot, min_history), snapshot)
+
+
+def _wide(long: DataFrame, snapshot: int) -> DataFrame:
     cols = [
         F.max(F.when(F.col("source") == source, F.col(e))).alias(f"{e}_{source}")
         for e in ESTIMATES

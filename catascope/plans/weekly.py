@@ -2,14 +2,19 @@
 
 Tables live below one folder as Parquet. Content is keyed by hash and partitioned by the
 snapshot it was first seen in, so mapping and scoring touch new content only. Datasets, runs and
-aggregates are partitioned by snapshot. A repeated week replaces its own partitions as a whole;
-content that later weeks refer to stays. Of earlier weeks only the week's contents are read.
+aggregates are partitioned by snapshot. A repeated week replaces its own tables as a whole and in one
+step; content that later weeks refer to stays. Of earlier weeks only the week's contents are read.
+Summaries of histories go on from the week before: after an older week has been repeated, the weeks
+that follow it are repeated too.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+import uuid
+from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,26 +26,70 @@ from catascope.operators import freshness as fr
 from catascope.operators import mapping as ma
 from catascope.operators import quality as qu
 from catascope.operators import stats as sa
-from catascope.session import scratch
-from catascope.sources import tables
+from catascope.sources import folders, tables
 
 
 @dataclass
 class Warehouse:
+    """Tables of weeks below a folder. Every write of a week goes to a folder of its own, and one small
+    file says which folders count: `commit` replaces it last, so readers see a week's tables all as
+    they were or all as they are. A job that ends before leaves the old weeks; what it wrote is
+    removed when its week is committed the next time. One job writes at a time.
+    """
+
     spark: SparkSession
     path: str
+    pending: dict[str, dict[str, str]] = field(default_factory=dict)
+
+    def _weeks(self) -> dict[str, dict[str, str]]:
+        return json.loads(folders.get(self.spark, f"{self.path}/_weeks.json") or "{}")
+
+    def _place(self, name: str, week: str, version: str) -> str:
+        return f"{self.path}/{name}/snapshot={week}/version={version}"
 
     def read(self, name: str) -> DataFrame | None:
-        return tables.read(self.spark, f"{self.path}/{name}")
+        """All weeks of a table, those written since the last commit included."""
+        weeks = self._weeks().get(name, {}) | self.pending.get(name, {})
+        if not weeks:
+            return None
+        places = [self._place(name, *w) for w in sorted(weeks.items())]
+        try:
+            return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(*places).drop("version")
+        except AnalysisException as e:
+            if e.getCondition() == "UNABLE_TO_INFER_SCHEMA":  # empty weeks only
+                return None
+            raise
 
     def before(self, name: str, snapshot: int) -> DataFrame | None:
         """Rows of earlier weeks only, so that a repeated week starts from the same state."""
         rows = self.read(name)
         return None if rows is None else rows.where(F.col("snapshot") < snapshot)
 
+    def last(self, name: str, snapshot: int) -> DataFrame | None:
+        """The newest week before one."""
+        weeks = [int(w) for w in self._weeks().get(name, {}) | self.pending.get(name, {}) if int(w) < snapshot]
+        rows = self.read(name)
+        return None if rows is None or not weeks else rows.where(F.col("snapshot") == max(weeks)).drop("snapshot")
+
     def write(self, name: str, rows: DataFrame, snapshot: int, by: tuple[str, ...] = ()) -> DataFrame:
-        """Replace a week of a table; the week as stored."""
-        return tables.replace_week(rows, f"{self.path}/{name}", snapshot, by)
+        """Make the rows the whole of a week, which is empty without any; the week as stored."""
+        version, rows = "v" + uuid.uuid4().hex, rows.drop("snapshot")
+        rows.write.partitionBy(*by).parquet(self._place(name, str(snapshot), version))
+        self.pending.setdefault(name, {})[str(snapshot)] = version
+        return self.spark.read.schema(rows.schema).parquet(self._place(name, str(snapshot), version)).withColumn("snapshot", F.lit(snapshot))
+
+    def commit(self) -> None:
+        """Make everything written since the last commit what readers see, in one step."""
+        weeks = self._weeks()
+        for name, new in self.pending.items():
+            weeks[name] = weeks.get(name, {}) | new
+        folders.put(self.spark, f"{self.path}/_weeks.json", json.dumps(weeks))
+        for name, new in self.pending.items():
+            for week, version in new.items():
+                for other in folders.names(self.spark, f"{self.path}/{name}/snapshot={week}"):
+                    if other != f"version={version}":
+                        folders.remove(self.spark, f"{self.path}/{name}/snapshot={week}/{other}")
+        self.pending = {}
 
     def keep(self, name: str, rows: DataFrame, snapshot: int) -> DataFrame:
         """write() for rows by content: what the week held before and later weeks use is kept."""
@@ -48,10 +97,7 @@ class Warehouse:
         if had is not None and used is not None:
             later = used.where(F.col("snapshot") > snapshot).select("md5").distinct()
             had = had.where(F.col("snapshot") == snapshot).join(later, "md5", "left_semi").join(rows.select("md5"), "md5", "left_anti")
-            both = rows.unionByName(had.select(*rows.columns))
-            staged = scratch(self.spark, "week")  # the partition that is read is the one to be replaced
-            both.write.parquet(staged)
-            rows = self.spark.read.schema(both.schema).parquet(staged)
+            rows = rows.unionByName(had.select(*rows.columns))
         return self.write(name, rows, snapshot)
 
     def of_content(self, name: str, snapshot: int, week: DataFrame) -> DataFrame:
@@ -84,11 +130,12 @@ def harvest(wh: Warehouse, records: DataFrame, portals: DataFrame, runs: DataFra
     wh.write("format_dist", sa.format_dist_groupings(week, resources, placed, snapshot), snapshot)
     if lookups is None:
         lookups = wh.spark.createDataFrame([], "uri string, snapshot int, header map<string,array<string>>")
-    wh.write("history", fr.history(week, resources, lookups.where(F.col("snapshot") == snapshot)), snapshot)
-    # every earlier week of the resources that are there now
+    history = wh.write("history", fr.history(week, resources, lookups.where(F.col("snapshot") == snapshot)), snapshot)
+    # the week is added to the summary of all weeks before; scores are for the resources that are there now
+    summary = wh.write("summary", fr.fold(wh.last("summary", snapshot), history), snapshot)
     now = resources.select("uri", "md5").distinct()
-    history = wh.read("history").where(F.col("snapshot") <= snapshot).join(now, ["uri", "md5"], "left_semi")
-    wh.write("freshness", fr.score_rows(history, snapshot), snapshot)
+    wh.write("freshness", fr.folded_rows(summary.join(now, ["uri", "md5"], "left_semi"), snapshot), snapshot)
+    wh.commit()
 
 
 def _content(silver: DataFrame) -> DataFrame:

@@ -21,16 +21,6 @@ def replace_partitions(df: DataFrame, path: str, by: tuple[str, ...] = ("snapsho
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def replace_week(df: DataFrame, path: str, snapshot: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """Make the rows the whole of a week, sub-partitions that no longer occur and empty weeks
-    included; the week as stored."""
-    place = f"{path}/snapshot={snapshot}"
-    rows = df.drop("snapshot")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*by).parquet(place)
-    reader = df.sparkSession.read.schema(rows.schema)
-    return reader.parquet(place).withColumn("snapshot", F.lit(snapshot))
-
-
 def read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
     """A table, or None where nothing has been written yet."""
     try:

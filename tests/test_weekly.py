@@ -94,3 +94,28 @@ def test_weeks_repeated_with_fewer_records_and_without_any(spark, tmp_path):
     take({}, 1602)
     assert ids("datasets")[-1] == (1601, "T b") and (1602, "T c") not in ids("content")
     assert wh.read("portal_quality").where("snapshot = 1602").count() == 0
+
+
+def test_a_job_that_ends_between_two_tables_leaves_the_old_week(spark, tmp_path, monkeypatch):
+    from catascope.plans import weekly
+    from catascope.sources import folders
+
+    portals = spark.createDataFrame([("p", "CKAN", API)], "id string, software string, apiuri string")
+    runs = spark.createDataFrame([("p", None, None, None)], "portalid string, start_ts timestamp, end_ts timestamp, exc string")
+    wh = lambda: Warehouse(spark, str(tmp_path))
+    harvest(wh(), records(spark, {k: ckan(k) for k in "ab"}), portals, runs, 1601)
+    tables = ["bronze", "content", "datasets", "quality", "resources", "runs", "dynamics", "freshness", "summary"]
+    state = lambda: {n: sorted(map(str, wh().read(n).collect())) for n in tables}
+    before = state()
+
+    def broken(*args):
+        raise RuntimeError("the cluster is gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(weekly, "aggregate", broken)
+        with pytest.raises(RuntimeError):
+            harvest(wh(), records(spark, {"c": ckan("c")}), portals, runs, 1601)
+    assert state() == before
+    harvest(wh(), records(spark, {"c": ckan("c")}), portals, runs, 1601)
+    assert [r.id for r in wh().read("datasets").collect()] == ["c"]
+    assert all(len(folders.names(spark, f"{tmp_path}/{n}/snapshot=1601")) == 1 for n in tables)
