@@ -100,9 +100,10 @@ def crawl_waves(seeds: DataFrame, seen: DataFrame | None = None, delay_seconds:
 def dense_number(rows: DataFrame, keys: list[str], unique: str, buckets: int = 1024) -> DataFrame:
     """Numbers 1..n within each key without bringing a key into one task.
 
-    The order is by hash bucket, then by the unique column.
+    The order is by hash bucket (the first bits of the MD5), then by the unique column. The rows are
+    stored once; numbers and sizes of buckets are read from there.
     """
-    b = rows.withColumn("_b", F.pmod(F.xxhash64(*keys, unique), F.lit(buckets)).cast("int"))
+    b = staged(rows.withColumn("_b", F.conv(F.substring(F.md5(unique), 1, 4), 16, 10).cast("int") % buckets), "numbered")
     sizes = b.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

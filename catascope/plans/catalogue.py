@@ -14,6 +14,8 @@ from catascope.operators import timetravel as tt
 from catascope.operators import windows as wi
 from catascope.plans.registry import query
 from catascope.plans.views import Catalogue
+from catascope.session import scratch
+from catascope.sources.clustered import read_key, write_clustered
 from catascope.sources import tables
 
 MR = "v_dataset d join v_metaresource m on m.md5 = d.md5"
@@ -448,7 +450,10 @@ def last_digest(c: Catalogue):
     return wi.last_digest(c.crawllog)
 
 
-@query("crawl_waves")
+@query("crawl_waves", """
+with u as (select distinct uri, regexp_extract(uri, '://([^/?#]+)', 1) as domain, cast('0x' || substr(md5(uri), 1, 4) as int) % 1024 as b from v_metaresource where valid),
+w as (select domain, uri, row_number() over (partition by domain order by b, uri) as wave from u)
+select domain, uri, wave, (wave - 1) * 5 as earliest_start from w""")
 def crawl_waves(c: Catalogue):
     return wi.crawl_waves(c.metaresource.where("valid"))
 
@@ -629,3 +634,29 @@ def resources_by_size(c: Catalogue):
     return rows.groupBy("portalid", "snapshot").agg(
         F.count(F.lit(1)).alias("resources"), F.count_if((F.col("size") > 0) & (F.col("size") <= 5000)).alias("known_small")
     )
+
+
+POINT_SQL = "select uri, timestamp, event_id, status from v_crawllog where uri = (select min(uri) from v_crawllog where status = 404)"
+
+
+@query("lookup_history_of_uri", POINT_SQL + " and event_type <> 'view'")
+def lookup_history_of_uri(c: Catalogue):
+    """One resource's lookups, read from files in the order of the resources."""
+    path = _clustered_log(c)
+    uri = c.crawllog.where("status = 404").agg(F.min("uri")).first()[0]
+    rows = read_key(c.spark, path, "uri", uri)
+    return rows.where("event_type <> 'view'").select("uri", "timestamp", "event_id", "status")
+
+
+@query("stored_versions_of_uri", "select uri, timestamp, event_id, digest from v_crawllog where status = 200 and uri = (select min(uri) from v_crawllog where status = 404)")
+def stored_versions_of_uri(c: Catalogue):
+    """One resource's downloads from the same files."""
+    path = _clustered_log(c)
+    uri = c.crawllog.where("status = 404").agg(F.min("uri")).first()[0]
+    return read_key(c.spark, path, "uri", uri).where("status = 200").select("uri", "timestamp", "event_id", "digest")
+
+
+def _clustered_log(c: Catalogue) -> str:
+    path = scratch(c.spark, "clustered")
+    write_clustered(c.crawllog, path, ["uri", "timestamp"], files=16)
+    return path

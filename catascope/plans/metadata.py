@@ -356,9 +356,31 @@ def quality_openness(c: Catalogue):
     return rows.select("doc_id", F.round("opfo", 6).alias("opfo"), F.round("opma", 6).alias("opma"), "opli")
 
 
-@query("quality_extra", "select doc_id, 1.0::double as identifier, 0.0::double as theme, 1.0::double as language from v_doc")
+@query("quality_extra", """
+select doc_id, case when lang = 'en' then 0.0::double else 1.0::double end as identifier, case when source in ('src1', 'src2') then 1.0::double else 0.0::double end as theme,
+  case when source = 'src3' then 0.0::double else 1.0::double end as language from v_doc""")
 def quality_extra(c: Catalogue):
-    return qu.quality(ckan_dcat(c), ["identifier", "theme", "language"], ["doc_id"], extra=True)
+    """Documents of which some have no identifier, some a theme, and some no language."""
+    docs = rawdocs.with_resources(c)
+    some = lambda when, name, value: F.when(when, F.create_map(F.lit(name), value)).otherwise(F.create_map().cast("map<string,string>"))
+    extras = F.map_concat(
+        some(F.col("source").isin("src1", "src2"), "theme", F.col("lang")), some(F.col("source") != "src3", "language", F.col("lang"))
+    )
+    raw = F.to_json(F.struct("title", F.when(F.col("lang") != "en", F.col("id")).alias("id"), extras.alias("extras")))
+    rows = docs.select("doc_id", "apiuri", raw.alias("raw"))
+    return qu.quality(ma.ckan(rows), ["identifier", "theme", "language"], ["doc_id"], extra=True)
+
+
+@query("supplied_documents", "select software, id, nullif(title, '') as title from v_doc")
+def supplied_documents(c: Catalogue):
+    """Documents of all softwares, supplied as files of one document per line, and mapped."""
+    path = scratch(c.spark, "documents")
+    rows = rawdocs.records(c).select("software", F.col("raw").alias("value"))
+    rows.write.partitionBy("software").text(path)
+    read = ma.read_documents(c.spark, path, lines=True).withColumn("apiuri", F.lit("http://example.org/api"))
+    dcat = ma.to_dcat(read)
+    first = lambda name: F.get(name, F.lit(0))
+    return dcat.select("software", first("identifier").alias("id"), first("title").alias("title"))
 
 
 @query("quality_all_softwares")

@@ -221,9 +221,7 @@ select file, col, count(*) filter (where regexp_matches(value, '\p{Nd}')) as dig
   count(*) filter (where regexp_matches(value, '[+ ;\[/\]\\-]')) as specials, count(*) filter (where regexp_matches(value, '[,.]')) as commas,
   count(*) filter (where regexp_matches(value, '\p{Nd}') and regexp_matches(value, '\p{L}')) as alphanumeric,
   count(*) filter (where regexp_matches(value, '\p{Nd}') and regexp_matches(value, '[:,/-]')) as separated,
-  count(*) filter (where regexp_matches(value, '^\(?\+?\d+\)?(\s?\d+)+$')) as phones,
-  count(*) filter (where regexp_matches(value, '^[1|2][0-9][0-9][0-9][\/-]?[0-3][0-9][\/-]?[0-3][0-9]$') or regexp_matches(value, '^((0[1-9])|(1[0-2]))[\/-]((0[1-9])|(1[0-9])|(2[0-9])|(3[0-1]))[\/-](\d{4})')
-    or regexp_matches(value, '^([0-9]?[0-9][\.\/-])?([0-3]?[0-9][\.\/-])\s?[1-9][0-9]([0-9][0-9])?$')) as strict_dates
+  count(*) filter (where regexp_matches(value, '^\(?\+?\d+\)?(\s?\d+)+$')) as phones
 from cells group by file, col""")
 def cell_predicates(c: Catalogue):
     v = F.col("value")
@@ -235,7 +233,6 @@ def cell_predicates(c: Catalogue):
         F.count_if(ce.is_alphanumeric(v)).alias("alphanumeric"),
         F.count_if(ce.is_digits_separated(v)).alias("separated"),
         F.count_if(ce.is_phone(v)).alias("phones"),
-        F.count_if(ce.is_strict_date(v)).alias("strict_dates"),
     )
 
 
@@ -389,6 +386,20 @@ def flat_rows(c: Catalogue):
     return joined.select(*ra.flat_row(("d", d), ("k", k)))
 
 
+@query("portal_urls", """
+select replace(regexp_extract(url, '://([^/?#]+)', 1), '.', '_') as id, url as uri, url as apiuri, 'CKAN' as software, true as active
+from (select distinct concat('http://', regexp_extract(url, '://([^/?#]+)', 1)) as url from pages) x""")
+def portal_urls(c: Catalogue):
+    """A plain list of the pages' servers as portals of one software."""
+    from catascope.session import scratch
+    from catascope.sources.portals import read_portal_urls
+
+    path = scratch(c.spark, "urls")
+    server = F.regexp_extract("url", "://([^/?#]+)", 1)
+    c.table("pages").select(F.concat(F.lit("http://"), server).alias("url")).write.csv(path)
+    return read_portal_urls(c.spark, path, "CKAN").select("id", "uri", "apiuri", "software", "active")
+
+
 @query("portal_registry", """
 select n_name as id_given, replace(concat(lower(n_name), '.example.org'), '.', '_') as id, uri, apiuri, software, iso, true as active
 from v_portal join nation on n_name = id""")

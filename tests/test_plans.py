@@ -61,3 +61,28 @@ def test_every_sql_has_a_query():
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["snapshot", "format", "count"] and df.count() > 0
+
+
+def test_point_reads_open_few_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from catascope.sources import clustered
+
+    rows = spark.range(20_000).select(F.concat(F.lit("u"), F.lpad((F.col("id") % 997).cast("string"), 4, "0")).alias("uri"), "id")
+    hot = spark.range(10_000).select(F.lit("u0500").alias("uri"), "id")
+    path = str(tmp_path / "log")
+    clustered.write_clustered(rows.unionByName(hot), path, ["uri", "id"], files=20)
+    found = clustered.read_key(spark, path, "uri", "u0003")
+    assert found.count() == 21 and len(found.inputFiles()) <= 2
+    assert "PushedFilters: [IsNotNull(uri), EqualTo(uri,u0003)]" in plan(found)
+    assert clustered.read_key(spark, path, "uri", "u0500").count() == 10_020
+    assert clustered.read_key(spark, path, "uri", "v").count() == 0
+
+
+def test_records_are_not_aggregated_as_texts(spark):
+    from catascope.plans import rawdocs
+    from catascope.session import staged
+    from catascope.sources import harvest as ha
+
+    pages = staged(rawdocs.pages(Catalogue(spark, SF), "OpenDataSoft"), "pages")
+    assert "SortAggregate" not in plan(ha.opendatasoft_records(pages))
