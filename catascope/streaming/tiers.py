@@ -9,8 +9,10 @@ higher level covers it: whatever a failure leaves behind, each batch counts once
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from catascope.sources import folders
 
@@ -47,8 +49,17 @@ def read(spark: SparkSession, path: str, schema: str | None = None, fan: int = F
     paths = [_name(path, *f) for f in live(spark, path, fan)]
     if not paths:
         return None
+    return _union(spark, paths, schema)
+
+
+def _union(spark: SparkSession, paths: list[str], schema: str | StructType | None) -> DataFrame:
     reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(*paths)
+    return reduce(DataFrame.unionByName, [reader.parquet(p) for p in paths])  # each has partitions of its own
+
+
+def _write(rows: DataFrame, path: str, by: tuple[str, ...]) -> None:
+    # a folder is replaced as a whole; partition by partition it would get no mark of its end
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*by).parquet(path)
 
 
 def add(
@@ -61,14 +72,14 @@ def add(
     spark = rows.sparkSession
     if has(spark, path, number, fan):
         return
-    rows.write.mode("overwrite").partitionBy(*by).parquet(_name(path, 0, number))
+    _write(rows, _name(path, 0, number), by)
     level, at = 0, number
     while (at + 1) % fan == 0:
         parts = [_name(path, level, i) for i in range(at - fan + 1, at + 1)]
         if not all(folders.complete(spark, p) for p in parts):
             return
-        merged = merge(spark.read.schema(rows.schema).parquet(*parts))
-        merged.select(*rows.columns).write.mode("overwrite").partitionBy(*by).parquet(_name(path, level + 1, at // fan))
+        merged = merge(_union(spark, parts, rows.schema))
+        _write(merged.select(*rows.columns), _name(path, level + 1, at // fan), by)
         for p in parts:
             folders.remove(spark, p)
         level, at = level + 1, at // fan
