@@ -11,8 +11,12 @@ carries the rest on. Windows go on across slices: a slice knows how many tokens
 from __future__ import annotations
 
 import bisect
+import itertools
+import os
+import re
+import sys
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,20 +34,51 @@ SLICE = 1 << 18
 #: The id behind every document.
 END = 2
 VOCABULARY = "word_bpe_49k.json"
-#: Encoded words that a task remembers, and their longest length in bytes.
-REMEMBERED, WORD_BYTES = 1 << 18, 64
+#: Encoded parts that a worker remembers as new, letters of texts that are encoded together, and words.
+REMEMBERED, AT_ONCE, TOGETHER = 1 << 18, 1 << 20, 2000
+
+
+#: Letters and digits of Latin-1 as the vocabulary's pattern has them, on text in lower case.
+LETTER, DIGIT, SPACE = rb"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", rb"0-9\xb2\xb3\xb9\xbc-\xbe", rb" \t-\r\x85\xa0"
+#: The pattern that the vocabulary cuts texts with.
+UNIT = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[" + LETTER + rb"]+|[" + DIGIT + rb"]|[^" + SPACE + LETTER + DIGIT + rb"]+")
+LOWER = bytes(c + 32 if 65 <= c <= 90 or 0xC0 <= c <= 0xDE and c != 0xD7 else 32 if c in (0x85, 0xA0) else c for c in range(256))
+WORD = re.compile(rb"[" + LETTER + rb"]+")
+
+
+class Known:
+    """Encoded texts, of which those that were asked for lately are remembered."""
+
+    def __init__(self):
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def missing(self, keys: Iterable[bytes]) -> list[bytes]:
+        """The different keys that are not known; what is asked for again counts as new."""
+        out = []
+        for k in set(keys).difference(self.new):
+            if k in self.old:
+                self.new[k] = self.old[k]
+            else:
+                out.append(k)
+        return out
+
+    def forget(self) -> None:
+        if len(self.new) > REMEMBERED:
+            self.old, self.new = self.new, {}
 
 
 class Encoder:
     """Ids of texts by a vocabulary file of the tokenizers library, as bytes of little-endian unsigned integers.
 
-    The vocabulary drops white space and no token reaches across it, so a text's ids are those of
-    its words one after the other, and a word is encoded once.
+    The vocabulary puts texts into lower case, cuts them by a pattern and drops white space, and no
+    token reaches across a cut. So a text's ids are those of its parts between white space one after
+    the other, these are those of their units, and the library encodes a unit once, many in one
+    call. Texts with letters beyond Latin-1, or with what may be a special token, are cut at white
+    space only.
     """
 
     def __init__(self, path: str | None):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -51,36 +86,86 @@ class Encoder:
         self.library = Tokenizer.from_file(str(path or public_tokenizers.path(VOCABULARY)))
         self.library.no_truncation()
         self.library.no_padding()
-        self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[bytes, bytes] = {}
-
-    def ids(self, text: str | None) -> bytes:
-        words = (text or "").encode().split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({w for w in words if w not in self.known})
-        found = self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        own = {w: np.array(e.ids, self.kind).tobytes() for w, e in zip(new, found)}
-        out = b"".join([self.known.get(w) or own.get(w, b"") for w in words])
-        self.known.update((w, x) for w, x in own.items() if len(w) <= WORD_BYTES)
-        return out
+        size = self.library.get_vocab_size()
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.ends = np.zeros(size, bool)  # tokens that end a word
+        self.ends[[i for token, i in self.library.get_vocab().items() if token.endswith("</w>")]] = True
+        self.parts, self.units, self.others = Known(), Known(), Known()
+
+    @staticmethod
+    def of_task(path: str | None) -> Encoder:
+        """The encoder of this worker process, which serves one task after the other."""
+        held = sys.__dict__.setdefault("_catascope_encoders", {})
+        if path not in held:
+            held[path] = Encoder(path)
+        return held[path]
+
+    def many(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text; texts are taken together until they have AT_ONCE letters."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text or "")
+            size += len(held[-1])
+            if size >= AT_ONCE:
+                yield from self.some(held)
+                held, size = [], 0
+        yield from self.some(held)
+
+    def some(self, texts: list[str]) -> list[bytes]:
+        cut = []
+        for text in texts:
+            try:
+                if "<|" in text:
+                    raise UnicodeError
+                cut.append((self.parts, text.encode("latin-1").translate(LOWER).split()))
+            except UnicodeError:
+                cut.append((self.others, text.encode().split()))
+        for known, learn in ((self.parts, self.learn_parts), (self.others, self.learn_others)):
+            known.forget()
+            learn(known.missing(itertools.chain.from_iterable(p for k, p in cut if k is known)))
+        return [b"".join(map(known.new.__getitem__, p)) for known, p in cut]
+
+    def learn_parts(self, new: list[bytes]) -> None:
+        cut = list(map(UNIT.findall, new))
+        self.units.forget()
+        self.learn_units(self.units.missing(itertools.chain.from_iterable(cut)))
+        ids = self.units.new.__getitem__
+        self.parts.new.update((part, b"".join(map(ids, units))) for part, units in zip(new, cut))
+
+    def learn_units(self, new: list[bytes]) -> None:
+        """Words are encoded as one text, in which their last tokens tell them apart; other units one by one."""
+        words = [w for w in new if WORD.fullmatch(w)]
+        rest = set(new).difference(words)
+        for k in range(0, len(words), TOGETHER):
+            own = words[k : k + TOGETHER]
+            ids = np.array(self.library.encode_batch_fast([b" ".join(own).decode("latin-1")], add_special_tokens=False)[0].ids, self.kind)
+            cut = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1))
+            if len(cut) == len(own) + 1 and cut[-1] == len(ids):
+                data, at = ids.tobytes(), (cut * self.kind.itemsize).tolist()
+                self.units.new.update(zip(own, [data[i:j] for i, j in zip(at, at[1:])]))
+            else:
+                rest.update(own)
+        self.learn(self.units, list(rest), "latin-1")
+
+    def learn_others(self, new: list[bytes]) -> None:
+        self.learn(self.others, new, "utf-8")
+
+    def learn(self, known: Known, new: list[bytes], code: str) -> None:
+        found = self.library.encode_batch_fast([w.decode(code) for w in new], add_special_tokens=False)
+        known.new.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(new, found))
 
 
 def encoded(path: str | None, schema: pa.Schema):
     """Rows (doc_id, source, text) to (doc_id, queue, part, before, n, ids): tokens, and their place in the part's queue."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before, encoder = TaskContext.get().partitionId(), defaultdict(int), Encoder(path)
+        part, before, encoder = TaskContext.get().partitionId(), defaultdict(int), Encoder.of_task(path)
         end = np.array([END], encoder.kind).tobytes()
         for batch in batches:
             doc, queue, text = batch.columns
             starts, lengths, ids = [], [], []
-            for q, t in zip(queue.to_pylist(), text.to_pylist()):
-                own = encoder.ids(t) + end
+            for q, own in zip(queue.to_pylist(), encoder.many(text.to_pylist())):
+                own += end
                 ids.append(own)
                 lengths.append(len(own) // encoder.kind.itemsize)
                 starts.append(before[q])
