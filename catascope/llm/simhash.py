@@ -165,13 +165,14 @@ def close_pairs(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.nd
     return np.nonzero(found)
 
 
-def forest(fps: np.ndarray, band: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what the rows of one tile pair link; at most one per row."""
-    order = np.argsort(band, kind="stable")
-    x = fps[order].view(np.uint64)
-    pop = np.bitwise_count(x).astype(np.int64)
-    label = np.arange(len(x))
-    step = 1024
+def forest(fps: np.ndarray, root: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links, as places of rows, that join what the rows of one tile pair link; rows of one root are joined already."""
+    pop = np.bitwise_count(fps.view(np.uint64)).astype(np.int64)
+    order = np.argsort(pop, kind="stable")
+    x, pop = fps[order].view(np.uint64), pop[order]
+    label = np.unique(root[order], return_index=True, return_inverse=True)
+    label = label[1][label[2]]
+    begin, step = label.copy(), 1024
     for i in range(0, len(x), step):
         for j in range(i, len(x), step):
             p, q = pop[i : i + step], pop[j : j + step]
@@ -183,12 +184,12 @@ def forest(fps: np.ndarray, band: np.ndarray, radius: int) -> tuple[np.ndarray,
             off = a != b
             if off.any():
                 label = components(len(x), a[off], b[off])[label]
-    far = np.flatnonzero(label != np.arange(len(x)))
-    return x[far].view(np.int64), x[label[far]].view(np.int64)
+    far = np.flatnonzero(label != begin)
+    return order[far], order[label[far]]
 
 
 def near(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within groups of few rows each, all groups at once; rows are sorted by group."""
+    """Links, as places of rows, within groups of few rows each, all groups at once; rows are sorted by group."""
     x, found = fps.view(np.uint64), []
     for d in range(1, len(x)):
         same = np.flatnonzero(group[d:] == group[:-d])
@@ -197,38 +198,63 @@ def near(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, n
         hit = same[np.bitwise_count(x[same] ^ x[same + d]) <= radius]
         found.append((hit + d, hit))
     if not found:
-        return fps[:0], fps[:0]
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     a, b = (np.concatenate(z) for z in zip(*found))
     label = components(len(x), a, b)
     far = np.flatnonzero(label != np.arange(len(x)))
-    return fps[far], fps[label[far]]
+    return far, label[far]
+
+
+class Merged:
+    """What the links of a task have joined so far, so that only links that join more go on."""
+
+    def __init__(self):
+        self.node, self.label = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """New links that join the same as these, at most one for each group that is joined to another."""
+        new = np.setdiff1d(np.concatenate((src, dst)), self.node)
+        node, label = np.concatenate((self.node, new)), np.concatenate((self.label, new))
+        order = np.argsort(node, kind="stable")
+        self.node, self.label = node[order], label[order]
+        a, b = (self.label[np.searchsorted(self.node, x)] for x in (src, dst))
+        ends = np.unique(np.concatenate((a, b)))
+        to = ends[components(len(ends), np.searchsorted(ends, a), np.searchsorted(ends, b))]
+        at = np.minimum(np.searchsorted(ends, self.label), max(0, len(ends) - 1))
+        if len(ends):
+            self.label = np.where(ends[at] == self.label, to[at], self.label)
+        off = to != ends
+        return ends[off], to[off]
 
 
 def compared(radius: int):
-    """Rows (tile, fp), sorted by tile, to links (src, dst) that join the same fingerprints."""
+    """Rows (tile, fp, root), sorted by tile, to links (src, dst) between roots that join what the fingerprints do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(tile: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        merged = Merged()
+
+        def links(tile: np.ndarray, fp: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
             cut = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1], [True])))
             size = np.diff(cut)
-            small = np.repeat(size <= 64, size)
-            out = [near(fp[small], np.repeat(np.arange(len(size)), size)[small], radius)]
+            few = np.flatnonzero(np.repeat(size <= 64, size))
+            a, b = near(fp[few], np.repeat(np.arange(len(size)), size)[few], radius)
+            out = [(few[a], few[b])]
             for k in np.flatnonzero(size > 64):
-                own = np.unique(fp[cut[k] : cut[k + 1]])
-                out.append(forest(own, np.bitwise_count(own.view(np.uint64)), radius))
-            a, b = (np.concatenate(z) for z in zip(*out))
+                a, b = forest(fp[cut[k] : cut[k + 1]], root[cut[k] : cut[k + 1]], radius)
+                out.append((a + cut[k], b + cut[k]))
+            a, b = (root[np.concatenate(z)] for z in zip(*out))
+            a, b = merged.add(a[a != b], b[a != b])
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["src", "dst"])
 
-        tile, fp = np.empty(0, np.int64), np.empty(0, np.int64)
+        held = [np.empty(0, np.int64)] * 3
         for batch in batches:
-            tile = np.concatenate((tile, batch.column(0).to_numpy()))
-            fp = np.concatenate((fp, batch.column(1).to_numpy()))
-            last = np.searchsorted(tile == tile[-1], True) if len(tile) else 0  # the last tile may go on
+            held = [np.concatenate((h, c.to_numpy())) for h, c in zip(held, batch.columns)]
+            last = np.searchsorted(held[0] == held[0][-1], True) if len(held[0]) else 0  # the last tile may go on
             if last >= BATCH:
-                yield links(tile[:last], fp[:last])
-                tile, fp = tile[last:], fp[last:]
-        if len(tile):
-            yield links(tile, fp)
+                yield links(*(h[:last] for h in held))
+                held = [h[last:] for h in held]
+        if len(held[0]):
+            yield links(*held)
 
     return run
 
@@ -248,7 +274,7 @@ def keys(radius: int) -> Column:
 
 
 def tile_pairs(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """(tile, fp): the fingerprints that one comparison needs together.
+    """(block, tile, fp): the fingerprints that one comparison needs together.
 
     Fingerprints with a key in common are one tile. Where these are more than `tile`, they are
     tiled by population count in bands of radius + 1, and only a band and its neighbour are paired:
@@ -260,7 +286,7 @@ def tile_pairs(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
 
 
 def tiled(rows: DataFrame, node: str, band: Column, tile: int) -> DataFrame:
-    """(tile, node) of rows (node, block, value); nodes to compare are in one band or in bands next to each other."""
+    """(block, tile, node) of rows (node, block, value); nodes to compare are in one band or in bands next to each other."""
     rows = rows.withColumn("band", band.cast("int"))
     hot = rows.groupBy("block", "value").count().where(F.col("count") > tile).select("block", "value")
     hot = stored(hot, "hot-keys")
@@ -279,39 +305,60 @@ def tiled(rows: DataFrame, node: str, band: Column, tile: int) -> DataFrame:
         each(of(band - 1), lambda s: pair(band - 1, 1, s, salt)),
     )
     tiles = F.when(F.col("salts").isNull(), F.array(F.xxhash64("block", "value"))).otherwise(tiles)
-    return rows.select(F.explode(tiles).alias("tile"), node)
+    return rows.select("block", F.explode(tiles).alias("tile"), node)
+
 
+#: Keys whose tiles are compared one after the other: what the first ones join is not linked again.
+PHASES = (lambda k: k == 0, lambda k: (k == 1) | (k == 2), lambda k: k > 2)
 
-def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """(src, dst): links between distinct fingerprints that connect exactly what the radius connects."""
-    return linked(tile_pairs(fps, radius, tile), radius)
 
+def joined(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """(node, root): what distinct fingerprints reach by steps of at most `radius` bits, all that have a step.
+
+    Tiles are compared in phases. Each gives links between the roots of those before, so that their
+    number stays below that of the fingerprints, however many tiles a group is in.
+    """
+    tiles = stored(tile_pairs(fps, radius, tile), "tiles")
+    roots = fps.select(F.col("fp").alias("node"), F.col("fp").alias("root")).limit(0)
+    for phase in PHASES:
+        rows = tiles.where(phase(F.col("block"))).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+        rows = rows.select("tile", "fp", F.coalesce("root", "fp").alias("root"))
+        open_ = rows.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("tile")
+        rows = rows.join(open_, "tile", "left_semi")
+        found = rows.repartition("tile").sortWithinPartitions("tile", "fp").mapInArrow(compared(radius), "src long, dst long")
+        roots = rejoined(roots, reached(found))
+    return roots
 
-def linked(tiles: DataFrame, radius: int) -> DataFrame:
-    rows = tiles.repartition("tile").sortWithinPartitions("tile", "fp")
-    return rows.mapInArrow(compared(radius), "src long, dst long").distinct()
+
+def rejoined(roots: DataFrame, new: DataFrame) -> DataFrame:
+    """(node, root) after the roots have been joined as (node, root) in `new` says."""
+    moved = roots.join(new.toDF("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return stored(moved.unionByName(new.join(roots.select("node"), "node", "left_anti")), "roots")
 
 
 def reached(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that each node of the links reaches.
+    """(node, root): the smallest node that each node of the links reaches, by rounds of contraction.
 
-    Rounds of taking the smallest root among the neighbours, then the root of the root, each
-    written to the shared folder. Only sums come to the driver. A node with very many links is
-    reduced on the map side, and the join on it reads files on both sides, so it can be split.
+    In a round every end of a link points to the smallest end beside it, and what it points to points on;
+    then links are drawn between what their ends point to, each once. All is written to the shared
+    folder; only whether links are left comes to the driver.
+    A node with very many links is reduced on the map side, and the joins read files on both sides, so
+    that they can be split.
     """
-    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    both = stored(both.union(both.select("b", "a")), "links")
-    roots = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "roots")
-    while True:
-        near_root = both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("least"))
-        new = roots.join(near_root, "node").select("node", F.least("root", "least").alias("root"), F.col("root").alias("was"))
-        new = stored(new, "roots")
-        jump = new.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        new = stored(new.join(jump, "root", "left").select("node", F.least("root", "next").alias("root"), "was"), "roots")
-        changed = new.where("root != was").limit(1).count()
-        roots = new.select("node", "root")
-        if not changed:
-            return roots
+    low, high = F.least("src", "dst"), F.greatest("src", "dst")
+    edges = stored(edges.where("src <> dst").select(low.alias("src"), high.alias("dst")).distinct(), "links")
+    roots = edges.select(F.col("src").alias("node"), F.col("src").alias("root")).limit(0)
+    while not edges.isEmpty():
+        end = lambda c: F.struct(F.col(c).alias("node"), F.col("src").alias("root"))
+        step = edges.select(F.inline(F.array(end("src"), end("dst")))).groupBy("node").agg(F.min("root").alias("root"))
+        step = stored(step, "steps")
+        for _ in range(2):  # where the one that a node points to points
+            on = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            step = stored(step.join(on, "root").select("node", F.col("next").alias("root")), "steps")
+        roots = rejoined(roots, step)
+        edges = edges.join(step.toDF("src", "a"), "src").join(step.toDF("dst", "b"), "dst").where("a <> b")
+        edges = stored(edges.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "links")
+    return roots
 
 
 def near_groups(docs: DataFrame, text: str = "text", radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
@@ -328,7 +375,7 @@ def near_groups(docs: DataFrame, text: str = "text", radius: int = RADIUS, width
     bounded_batches(docs.sparkSession)
     rows = stored(docs.select("doc_id", F.xxhash64("text").alias("probe"), fingerprints(F.col("text")).alias("fp")), "fingerprints")
     fps = stored(rows.groupBy("fp").agg(first_row()), "distinct-fingerprints")
-    return components_of(rows, fps, reached(links(fps.select("fp"), radius)), "fp")
+    return components_of(rows, fps, joined(fps.select("fp"), radius), "fp")
 
 
 def components_of(rows: DataFrame, nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
@@ -440,7 +487,7 @@ def whole_tiles(rows_of, schema: list[str]):
             tile = columns[0]
             cut = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1], [True])))
             out = [rows_of(*(c[cut[k] : cut[k + 1]] for c in columns[1:])) for k in np.flatnonzero(np.diff(cut) > 1)]
-            none = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)]
+            none = [np.empty(0, bool if name == "later" else np.int64) for name in schema]
             parts = list(zip(*(x for x in out if x is not None))) or [()] * len(schema)
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none[k], *parts[k]])) for k in range(len(schema))], schema)
 
@@ -459,20 +506,42 @@ def whole_tiles(rows_of, schema: list[str]):
 
 
 def neighbours(apart):
-    """Rows (tile, node, ...), sorted by tile, to links (src, dst) that join what `apart` leaves open."""
+    """Rows (tile, node, ...), sorted by tile, to the nodes that `apart` leaves a pair open for."""
 
     def of_tile(node: np.ndarray, *more: np.ndarray):
-        label = np.arange(len(node))
+        some = np.zeros(len(node), bool)
         for i, far in apart(node, *more):
-            a, b = np.nonzero(far < NEVER)
-            a, b = label[a + i], label[b]
-            off = a != b
-            if off.any():
-                label = components(len(node), a[off], b[off])[label]
-        far = np.flatnonzero(label != np.arange(len(node)))
-        return node[far], node[label[far]]
+            far[np.arange(len(far)), np.arange(i, i + len(far))] = NEVER
+            some[i : i + len(far)] = (far < NEVER).any(1)
+        return (node[some],)
+
+    return whole_tiles(of_tile, ["node"])
 
-    return whole_tiles(of_tile, ["src", "dst"])
+
+def hubs(apart):
+    """Rows (tile, node, root, ...), sorted by tile, to pairs (src, dst, later) of each tile's hub with nodes of other roots.
+
+    The hub is the row that most pairs are open with: where a group of similar texts shares a tile,
+    one pair for each of them joins it.
+    """
+
+    def of_tile(node: np.ndarray, root: np.ndarray, *more: np.ndarray):
+        if root.min() == root.max():
+            return None
+        best, hub, row = 0, 0, None
+        for i, far in apart(node, *more):
+            far[np.arange(len(far)), np.arange(i, i + len(far))] = NEVER
+            count = (far < NEVER).sum(1)
+            if count.max() > best:
+                k = int(count.argmax())
+                best, hub, row = int(count[k]), i + k, far[k].copy()
+        if row is None:
+            return None
+        to = np.flatnonzero((row < NEVER) & (root != root[hub]))
+        own = np.full(len(to), node[hub])
+        return np.minimum(node[to], own), np.maximum(node[to], own), np.zeros(len(to), bool)
+
+    return whole_tiles(of_tile, ["src", "dst", "later"])
 
 
 def nearest(radius: int, first: int, last: int, apart=bits_apart):
@@ -502,13 +571,13 @@ def nearest(radius: int, first: int, last: int, apart=bits_apart):
     return whole_tiles(of_tile, ["src", "dst", "later"])
 
 
-def similar_links(docs: DataFrame, rows: DataFrame, known: DataFrame, similarity: float, tile: int) -> DataFrame:
-    """(src, dst): links that connect all nodes whose texts are similar, `known` ones included.
+def similar_roots(docs: DataFrame, rows: DataFrame, known: DataFrame, similarity: float, tile: int) -> DataFrame:
+    """(node, root): what nodes reach by similar texts, and by `known` (node, root).
 
     Nodes with a least shingle in common share a tile. Pairs there are left out only where sizes
-    and parity maps rule the similarity out. All others are verified on the whole sets, nearest
-    ones first; what verified links already connect is not verified again, so that large groups
-    need few pairs.
+    and parity maps rule the similarity out. All others are verified on the whole sets: first each
+    tile's hub with the others, then neighbours by rising ranks. What verified pairs already join is
+    not verified again, and of the pairs between two roots the nearest one goes first.
     """
     own = [F.first(c).alias(c) for c in ("n", "map", "least")]  # alike for all texts of a node
     first = rows.groupBy("node").agg(F.min(F.struct("doc_id", "probe")).alias("at"), *own)
@@ -519,30 +588,55 @@ def similar_links(docs: DataFrame, rows: DataFrame, known: DataFrame, similarity
     tiles = stored(tiled(at, "node", band, tile).distinct(), "similar-tiles")
     shared = tiles.groupBy("tile").count().where("count > 1").select("tile")
     apart, sketch = map_apart(similarity), first.select("node", "n", "map")
-    tiles = stored(tiles.join(shared, "tile", "left_semi").join(sketch, "node").select("tile", "node", "n", "map"), "similar-tiles")
-    dealt = tiles.repartition("tile").sortWithinPartitions("tile", "node")
-    nodes = stored(dealt.mapInArrow(neighbours(apart), "src long, dst long"), "similar-forest")
-    nodes = stored(nodes.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "similar-nodes")
-    tiles = stored(tiles.join(nodes, "node", "left_semi").select("tile", "node", "n", "map"), "similar-tiles")
+    tiles = stored(tiles.join(shared, "tile", "left_semi").join(sketch, "node").select("block", "tile", "node", "n", "map"), "similar-tiles")
+    dealt = tiles.select("tile", "node", "n", "map").repartition("tile").sortWithinPartitions("tile", "node")
+    nodes = stored(dealt.mapInArrow(neighbours(apart), "node long").distinct(), "similar-nodes")
+    tiles = stored(tiles.join(nodes, "node", "left_semi").select("block", "tile", "node", "n", "map"), "similar-tiles")
     first = first.join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("first_id"), F.col("probe").alias("first_probe"))
     docs = docs.select("doc_id", "text")
     same = docs["doc_id"].eqNullSafe(first["first_id"]) & (F.xxhash64(docs["text"]) == first["first_probe"])
     # texts move once at every size, as in one_of_each
     sets = docs.join(first.hint("shuffle_merge"), same).select("node", "text").dropDuplicates(["node"])
     sets = stored(sets.select("node", shingle_sets("text").alias("shingles")), "similar-sets")
-    low, high, found = 0, NEAREST, known
-    while True:
-        roots = reached(found)
-        step = tiles.join(roots, "node", "left").select("tile", "node", F.coalesce("root", "node").alias("root"), "n", "map")
-        step = step.repartition("tile").sortWithinPartitions("tile", "node")
-        step = stored(step.mapInArrow(nearest(NEVER - 1, low, high, apart), "src long, dst long, later boolean").distinct(), "similar-pairs")
-        pairs = step.where("not later").select("src", "dst")
-        pairs = pairs.join(sets.toDF("src", "a"), "src").join(sets.toDF("dst", "b"), "dst")
-        good = pairs.where(similarities("a", "b") >= similarity - 1e-9).select("src", "dst")
-        found = stored(found.union(good), "similar-links")
-        if not step.where("later").limit(1).count():
-            return found
+
+    def rooted(found: DataFrame, *names: str) -> DataFrame:
+        for name in names:
+            found = found.join(roots.toDF(name, f"{name}_root"), name, "left").withColumn(f"{name}_root", F.coalesce(f"{name}_root", name))
+        return found
+
+    def good(pairs: DataFrame) -> DataFrame:
+        """Links between the roots of similar pairs (src, dst, src_root, dst_root)."""
+        both = pairs.join(sets.toDF("src", "a"), "src").join(sets.toDF("dst", "b"), "dst")
+        return both.where(similarities("a", "b") >= similarity - 1e-9).select(F.col("src_root").alias("src"), F.col("dst_root").alias("dst"))
+
+    def verified(step: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The roots after one pair of a step for each two roots, and the other pairs (src, dst)."""
+        pairs = stored(rooted(step.where("not later").select("src", "dst").distinct(), "src", "dst"), "similar-pairs")
+        ends = F.least("src_root", "dst_root"), F.greatest("src_root", "dst_root")
+        one = pairs.groupBy(ends[0].alias("low"), ends[1].alias("high")).agg(F.min(F.struct("src", "dst", "src_root", "dst_root")).alias("p"))
+        now = rejoined(roots, reached(good(one.select("p.*"))))
+        rest = stored(pairs.join(one.select("p.src", "p.dst"), ["src", "dst"], "left_anti").select("src", "dst"), "similar-pairs")
+        return now, rest
+
+    def dealt_rows(rows: DataFrame) -> DataFrame:
+        rows = rooted(rows, "node").select("tile", "node", F.col("node_root").alias("root"), "n", "map")
+        return rows.repartition("tile").sortWithinPartitions("tile", "node")
+
+    def advance(rows: DataFrame, search) -> bool:
+        nonlocal roots
+        step = stored(dealt_rows(rows).mapInArrow(search, "src long, dst long, later boolean").distinct(), "similar-steps")
+        roots, rest = verified(step)
+        rest = rooted(rest, "src", "dst").where("src_root <> dst_root")
+        roots = rejoined(roots, reached(good(rest)))
+        return step.where("later").limit(1).count() > 0
+
+    roots = known
+    advance(tiles.where("block = 0"), hubs(apart))
+    advance(tiles.where("block > 0"), hubs(apart))
+    low, high = 0, NEAREST
+    while advance(tiles, nearest(NEVER - 1, low, high, apart)):
         low, high = high, high * 64
+    return roots
 
 
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
@@ -558,17 +652,17 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, tile: int =
     rows = docs.select("doc_id", F.xxhash64("text").alias("probe"), sketches(F.col("text")).alias("sketch"))
     rows = stored(rows.select("doc_id", "probe", "sketch.*"), "sketches")
     nodes = stored(rows.groupBy("node").agg(first_row()), "distinct-sets")
-    known = stored(close_links(rows), "close-links")
-    return components_of(rows, nodes, reached(similar_links(docs, rows, known, similarity, tile)), "node")
+    return components_of(rows, nodes, similar_roots(docs, rows, close_roots(rows), similarity, tile), "node")
 
 
-def close_links(rows: DataFrame) -> DataFrame:
-    """(src, dst): links between nodes by fingerprints of at most RADIUS bits apart, equal ones included."""
+def close_roots(rows: DataFrame) -> DataFrame:
+    """(node, root): what nodes reach by fingerprints of at most RADIUS bits apart, equal ones included."""
     pairs = stored(rows.select("node", "fp").distinct(), "fingerprints")
-    named = stored(pairs.groupBy("fp").agg(F.min("node").alias("name")), "distinct-fingerprints")
-    equal = pairs.join(named, "fp").where("node != name").select(F.col("node").alias("src"), F.col("name").alias("dst"))
-    near = links(named.select("fp")).join(named.toDF("src", "a"), "src").join(named.toDF("dst", "b"), "dst")
-    return equal.union(near.select("a", "b").where("a != b"))
+    steps = joined(pairs.select("fp").distinct()).withColumnRenamed("node", "fp")
+    pairs = pairs.join(steps, "fp", "left").select("node", F.coalesce("root", "fp").alias("group"))
+    # a node is a set of five-word shingles and has one fingerprint but for repeats, so a few groups at most
+    named = stored(pairs.groupBy("group").agg(F.min("node").alias("name")), "named-groups")
+    return reached(pairs.join(named, "group").select(F.col("node").alias("src"), F.col("name").alias("dst")))
 
 
 def one_of_similar(docs: DataFrame) -> DataFrame:

@@ -92,9 +92,7 @@ def crowd():
 def test_components_of_a_crowd(spark, crowd, tile):
     """With small tiles every hot block value is salted into many."""
     fps = spark.createDataFrame([(x,) for x in crowd], "fp long")
-    edges = simhash.links(fps, tile=tile)
-    assert edges.count() < 30 * len(crowd)
-    got = {r["node"]: r["root"] for r in simhash.reached(edges).collect()}
+    got = {r["node"]: r["root"] for r in simhash.joined(fps, tile=tile).collect()}
     want = plain_components([x % (1 << 64) for x in crowd])
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     same = lambda of: {frozenset(g) for g in groups(of).values()}
@@ -113,7 +111,7 @@ def test_long_chain_of_links(spark):
     for b in range(63):
         x |= 1 << b
         chain.append(x)
-    got = simhash.reached(simhash.links(spark.createDataFrame([(c,) for c in chain], "fp long")))
+    got = simhash.joined(spark.createDataFrame([(c,) for c in chain], "fp long"))
     assert {r["root"] for r in got.collect()} == {0} and got.count() == 64
 
 
