@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ GRAM = 128
 #: Starts of strings before a run that contain it: 0 to REACH bytes before.
 REACH = LENGTH - GRAM
 FRAME = REACH + LENGTH
-#: Distinct surroundings of one run that are sorted together; more are dealt over several sorts.
+#: Distinct surroundings of one run that are sorted together; more are dealt by longer runs.
 TOGETHER = 1024
 CHUNK = 1 << 20
 PLACE = (1 << 21) - 1
@@ -214,44 +215,32 @@ class Suffixes:
         return order, np.cumsum(np.concatenate(([True], both[1:] != both[:-1]))) - 1
 
 
-FOUND = "surrounding binary, low int, high int, string binary, again boolean"
+FOUND = "surrounding binary, low int, high int"
 
 
 def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct surroundings, sorted by (gram, salt), to the string starts in them that occur again.
-
-    Where a run has more than one salt, every distinct string of a sort is also returned by its
-    digest, so that those found once only can be looked for in the other sorts.
-    """
-    schema = pa.schema([("surrounding", pa.binary()), ("low", pa.int32()), ("high", pa.int32()), ("string", pa.binary()), ("again", pa.bool_())])
+    """Distinct surroundings (run, surrounding, copies, low, high, frame), sorted by run, to the string starts in them that occur again."""
+    schema = pa.schema([("surrounding", pa.binary()), ("low", pa.int32()), ("high", pa.int32())])
 
     def solved(rows: list[tuple]) -> pa.RecordBatch:
-        gram, salt, salts, mark, copies, low, high, frame = zip(*rows)
+        name, mark, copies, low, high, frame = zip(*rows)
         frames = np.frombuffer(b"".join(frame), np.uint8).reshape(-1, FRAME)
-        key = np.array(list(zip(gram, salt)), dtype=np.int64)
-        run = np.cumsum(np.concatenate(([False], (key[1:] != key[:-1]).any(1))))
+        run = np.cumsum([False, *(a != b for a, b in zip(name[1:], name))])
         found = Suffixes(frames, run, np.array(low), np.array(high))
         order, number = found.classes()
         row, at = found.row[order], found.at[order]
-        many = np.bincount(number, np.array(copies, dtype=np.float64)[row])[number] > 1
-        spread = np.array(salts)[row] > 1
-        out = []
-        again = np.flatnonzero(many)
+        again = np.flatnonzero(np.bincount(number, np.array(copies, dtype=np.float64)[row])[number] > 1)
         back = again[np.lexsort((at[again], row[again]))]
         r, a = row[back], at[back]
         cut = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (a[1:] != a[:-1] + 1)))) if len(r) else r
         ends = np.concatenate((cut[1:] - 1, [len(r) - 1])) if len(r) else r
-        out += [(mark[i], x, y, None, True) for i, x, y in zip(r[cut].tolist(), a[cut].tolist(), a[ends].tolist())]
-        first = np.flatnonzero(spread & np.concatenate(([True], number[1:] != number[:-1])))
-        for i, x, seen in zip(row[first].tolist(), at[first].tolist(), many[first].tolist()):
-            out.append((mark[i], x, x, hashlib.blake2b(frame[i][x : x + LENGTH], digest_size=16).digest(), seen))
-        columns = list(zip(*out)) or [()] * 5
+        columns = [mark[i] for i in r[cut].tolist()], a[cut].tolist(), a[ends].tolist()
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     held: list[tuple] = []
     for batch in batches:
         for r in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
-            if len(held) >= TOGETHER and held[-1][:2] != r[:2]:
+            if len(held) >= TOGETHER and held[-1][0] != r[0]:
                 yield solved(held)
                 held = []
             held.append(r)
@@ -259,6 +248,32 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solved(held)
 
 
+KINDS = "run binary, surrounding binary, copies long, low int, high int, frame binary, first int, last int, whole binary"
+
+
+def halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Surroundings (run, surrounding, copies, low, high, frame, first, last) to those of both halves of their starts.
+
+    The strings that start from `first` to `last` all hold the bytes from the last start to the end
+    of the first string, so equal ones agree there: these bytes make a longer run. What none of the
+    half's strings holds is blanked, and surroundings that differ there only become one.
+    """
+    schema = pa.schema([("run", pa.binary()), ("surrounding", pa.binary()), ("copies", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("frame", pa.binary()), ("first", pa.int32()), ("last", pa.int32()), ("whole", pa.binary())])
+    for batch in batches:
+        rows = []
+        for run, mark, copies, low, high, frame, first, last in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
+            middle = (first + last) // 2
+            for a, b in ((first, middle), (middle + 1, last)):
+                x, y = max(low, a), min(high, b)
+                if x > y:
+                    continue
+                longer = xxhash.xxh3_128_digest(run + bytes([a // 256, a % 256]) + frame[b : a + LENGTH])
+                part = b"\0" * x + frame[x : y + LENGTH] + b"\0" * (FRAME - y - LENGTH)
+                own = xxhash.xxh3_128_digest(longer + part + bytes([x // 256, x % 256, y // 256, y % 256]))
+                rows.append((longer, own, copies, x, y, part, a, b, mark))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -305,18 +320,32 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = stored(rows.join(hits, same).select("key", "text", "grams", "copies"), "texts")
     frames = stored(texts.mapInArrow(framed, SURROUNDINGS), "frames")
 
-    kinds = frames.groupBy("gram", "surrounding", "low", "high").agg(F.sum("copies").alias("copies"), F.first("frame").alias("frame"))
-    kinds = stored(kinds, "surroundings")
-    hot = kinds.groupBy("gram").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("salts")).where("salts > 1")
-    kinds = kinds.join(stored(hot, "hot-runs"), "gram", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-    kinds = kinds.withColumn("salt", F.pmod(F.xxhash64("surrounding"), F.col("salts")).cast("int"))
-    kinds = kinds.repartition("gram", "salt").sortWithinPartitions("gram", "salt")
-    found = stored(kinds.select("gram", "salt", "salts", "surrounding", "copies", "low", "high", "frame").mapInArrow(compared, FOUND), "strings")
-    strings = found.where("string is not null")
-    across = stored(strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string"), "strings-across")
-    late = strings.where("not again").join(across, "string", "left_semi")
-    settled = found.where("string is null").select("surrounding", "low", "high").unionByName(late.select("surrounding", "low", "high"))
-    settled = stored(settled, "settled")
+    of_run = ["run", "surrounding", "low", "high", "first", "last"]
+    one = F.sum("copies").alias("copies"), F.first("frame").alias("frame")
+    kinds = frames.withColumns({"run": F.to_binary(F.hex("gram"), F.lit("hex")), "first": F.lit(0), "last": F.lit(REACH)}).groupBy(*of_run).agg(*one)
+    # surroundings, what they are parts of, and what is found in them, per level
+    names, settled = None, []
+    while True:
+        kinds = stored(kinds, "surroundings")
+        sizes = stored(kinds.groupBy("run").agg(F.count("*").alias("n"), F.sum("copies").alias("copies")).where("copies > 1"), "run-sizes")
+        few = kinds.join(sizes.where(F.col("n") <= TOGETHER).select("run"), "run", "left_semi")
+        few = few.select("run", "surrounding", "copies", "low", "high", "frame").repartition("run").sortWithinPartitions("run")
+        found = few.mapInArrow(compared, FOUND)
+        if names is not None:
+            found = found.join(names, "surrounding").select(F.col("whole").alias("surrounding"), "low", "high")
+        settled.append(stored(found, "settled"))
+        many = sizes.where(F.col("n") > TOGETHER).select("run")
+        if many.isEmpty():
+            break
+        # one start at a time at the end, whose surroundings are all one: rounds are at most as many as halvings
+        parts = kinds.join(many, "run", "left_semi").select("run", "surrounding", "copies", "low", "high", "frame", "first", "last")
+        parts = stored(parts.mapInArrow(halved, KINDS), "halves")
+        step = parts.select("surrounding", "whole").distinct()
+        if names is not None:
+            step = step.join(names.toDF("whole", "outer"), "whole").select("surrounding", F.col("outer").alias("whole"))
+        names = stored(step.distinct(), "parts")
+        kinds = parts.groupBy(*of_run).agg(*one)
+    settled = reduce(DataFrame.unionByName, settled)
     places = frames.select("surrounding", "key", "place").join(settled, "surrounding")
     start = F.col("place") - REACH
     spans = places.select("key", (start + F.col("low")).alias("start"), (start + F.col("high") + LENGTH).alias("end"))
