@@ -77,6 +77,35 @@ def test_edited_passages(spark):
     assert got == plain(docs, items) and len({i for _, i in got}) >= 11
 
 
+def test_items_that_share_an_id_or_have_none(spark):
+    rnd = random.Random(8)
+    say = lambda n: [f"w{rnd.randrange(10_000)}" for _ in range(n)]
+    docs, items, want = [], [], {}
+    for i in range(60):
+        own = say(80)
+        near = own[:-12] + say(12)
+        items += [(i if i % 3 else None, " ".join(x)) for x in rnd.sample([own, near], 2)]
+        docs.append((i, " ".join(say(10) + own + say(10))))
+    items += [(7, items[0][1]), (7, items[0][1])]  # one text under two ids
+    for d, i, s in ((d, i, s) for d, t in docs for i, s in plain([(d, t)], [(k, x[1]) for k, x in enumerate(items)]).items()):
+        key = d, items[i[1]][0]
+        want[key] = max(want.get(key, 0), s)
+    got, rows = found(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert got == want and len(rows) == len(want) >= 60
+
+
+def test_a_shingle_that_is_everywhere(spark):
+    line = "this very line is in all of them"
+    docs = [(i, f"{line} " + " ".join(f"d{i}x{k}" for k in range(30))) for i in range(300)]
+    items = [(i, f"{line} " + " ".join(f"i{i}x{k}" for k in range(20))) for i in range(50)]
+    docs += [(1000 + i, f"before {items[i][1]} after") for i in range(10)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert found(d, b)[0] == plain(docs, items)
+    own = deco.items_of(b).cache()
+    spans = deco.windows(deco.shared_places(d, own, [5]), own, 0.8)
+    assert spans.select("item", "key").distinct().count() == 10  # the line alone makes no window
+
+
 def test_odd_rows(spark, odd, none, benchmark):
     item = spark.createDataFrame([(1, "hello hello hello"), (2, None), (3, "")], "item_id long, text string").withColumn("n", F.lit(1))
     got = deco.contaminated(odd, item)
