@@ -145,19 +145,51 @@ def mixed(docs: DataFrame, shards: int = SHARDS, weights: tuple = WEIGHTS, seed:
     return placed.withColumn("pieces", pieces()).withColumn("taken", taken)
 
 
+def copies(seed: int) -> Column:
+    """Of each pass that takes words of a document: pass, the shard of its first block, and a random order there."""
+
+    def of_pass(p: Column) -> Column:
+        own = F.filter("pieces", lambda x: x["pass"] == p)
+        order = F.xxhash64(F.lit(seed + 2), "key", "doc_id", p)
+        return F.when(F.size(own) > 0, F.struct(p.alias("pass"), F.get(own, F.lit(0))["shard"].alias("shard"), order.alias("order")))
+
+    return F.array_compact(F.transform(F.array(*[F.lit(p) for p in range(CAP)]), of_pass))
+
+
+def dealt(placed: DataFrame, seed: int = SEED) -> DataFrame:
+    """Rows of `mixed` with shard and place: where the document's first copy lies in the shuffled shards.
+
+    A shard is shuffled by a seeded hash. Places are counted from 0 per shard over all first copies,
+    in buckets of the hash; documents that are not taken have neither.
+    """
+    first = F.get(copies(seed), F.lit(0))
+    rows = stored(placed.withColumns({"shard": first["shard"], "order": first["order"]}).drop("pieces"), "mix-copies")
+    some = rows.where("shard is not null").withColumn("one", F.lit(1))
+    some = running_start(some, ["shard"], ["order", "doc_id", "size"], "one", "place", F.shiftright("order", 52))
+    return some.drop("one").unionByName(rows.where("shard is null").withColumn("place", F.lit(None).cast("long")))
+
+
 def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, seed: int = SEED) -> DataFrame:
     """Whole documents in the mixture's proportions, repeated ones as repeated rows; same columns.
 
-    A document is taken in a pass if half of its words lie before the end of the target. Order
-    within a source is that of the hash, so one limit per source decides, and texts are not moved.
+    A document is taken in a pass if half of its words lie before the end of the target. Its copies go
+    to the shards that the splitting tree deals their blocks to, and rows of a shard follow its seeded
+    order within their partition; texts move once to meet their copies and once to their shards.
+    Null texts have no words and go, as do empty ones; null is a source and null ids are rows like
+    others. Rows that repeat source, id and text are all taken where one is. Empty tables stay empty.
     """
     size, key = keyed(docs, seed)
     placed = mixed(docs, weights=weights, seed=seed)
     middle = lambda p: p * F.col("source_size") + F.col("start") + F.col("size") / 2 <= F.col("take")
-    last = [F.max(F.when(middle(p) & (F.col("size") > 0), F.col("key"))).alias(f"__last{p}") for p in range(CAP)]
-    limits = stored(placed.groupBy("source").agg(*last), "mix-limits").withColumnRenamed("source", "__source")
-    rows = docs.withColumns({"__size": size, "__key": key})
-    rows = rows.join(limits, rows["source"].eqNullSafe(limits["__source"]))
-    copies = sum(F.coalesce((F.col("__key") <= F.col(f"__last{p}")).cast("int"), F.lit(0)) for p in range(CAP))
-    rows = rows.where(F.col("__size") > 0).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies)))
-    return rows.select(*[docs[c] for c in docs.columns])
+    taken = F.filter(copies(seed), lambda c: middle(c["pass"]))
+    mine = ["__source", "__none", "__id", "__key"]
+    named = {"__source": F.concat(F.lit("="), "source"), "__none": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0))}
+    named["__source"] = F.coalesce(named["__source"], F.lit("-"))
+    rows = placed.where("size > 0").withColumns(named | {"__key": F.col("key"), "__copies": taken}).where("size(__copies) > 0")
+    # rows alike lie side by side in the order and go where the first of them goes
+    each = rows.select(*mine, F.explode("__copies").alias("c")).groupBy(*mine, "c.pass").agg(F.min(F.struct("c.shard", "c.order")).alias("at"))
+    each = stored(each.groupBy(*mine).agg(F.collect_list("at").alias("__copies")), "mix-copies")
+    rows = docs.withColumns(named | {"__key": key}).join(each.hint("shuffle_merge"), mine)
+    rows = rows.withColumn("__copy", F.explode("__copies")).withColumns({"__shard": F.col("__copy.shard"), "__order": F.col("__copy.order")})
+    rows = rows.repartition("__shard", F.shiftright("__order", 54)).sortWithinPartitions("__shard", "__order")
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

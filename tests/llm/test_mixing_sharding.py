@@ -90,6 +90,39 @@ def test_whole_documents_near_targets(documents, odd, none):
     assert mixing.mixed_documents(odd).columns == odd.columns and mixing.mixed_documents(none).count() == 0
 
 
+def test_the_tree_deals_shards_and_places(documents, odd, none):
+    def rows_of(seed):
+        return mixing.dealt(mixing.mixed(documents, block_words=64, seed=seed), seed).collect()
+
+    rows = rows_of(mixing.SEED)
+    places = defaultdict(list)
+    for r in rows:
+        assert (r["shard"] is None) == (r["taken"] == 0) == (r["place"] is None)
+        if r["taken"]:
+            places[r["shard"]].append(r["place"])
+    assert all(sorted(v) == list(range(len(v))) for v in places.values()) and len(places) == 16
+    other = {r["doc_id"]: r["shard"] for r in rows_of(7)}
+    assert sum(other[r["doc_id"]] != r["shard"] for r in rows) > len(rows) / 2
+    assert {r["doc_id"]: (r["shard"], r["place"]) for r in rows} == {r["doc_id"]: (r["shard"], r["place"]) for r in rows_of(mixing.SEED)}
+    assert mixing.dealt(mixing.mixed(odd)).count() == odd.count() and mixing.dealt(mixing.mixed(none)).count() == 0
+
+
+def test_documents_lie_in_the_order_of_their_shards(documents):
+    out = mixing.mixed_documents(documents)
+    want = {}
+    placed = mixing.mixed(documents)
+    for r in placed.select("doc_id", F.explode(mixing.copies(mixing.SEED)).alias("c")).select("doc_id", "c.*").collect():
+        want.setdefault(r["doc_id"], []).append((r["shard"], r["order"]))
+    got = out.select("doc_id", F.spark_partition_id().alias("p")).collect()
+    runs = defaultdict(list)
+    for r in got:
+        runs[r["p"]].append(r["doc_id"])
+    for ids in runs.values():  # a partition's rows can be read as rising (shard, order)
+        last = (-1, 0)
+        for i in ids:
+            last = min(x for x in want[i] if x >= last)
+
+
 def check_shards(df):
     rows = sharding.assignment(df).collect()
     want = Counter((r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in df.collect())
