@@ -31,6 +31,9 @@ UNKNOWN_SHARE = 0.01
 #: Documents are rejected if their best language is less likely than this.
 ACCEPT = 0.5
 
+#: Second-level names below country suffixes that anybody can register under.
+SECOND_LEVEL = ("co", "com", "org", "net", "gov", "edu", "ac", "or", "ne", "go", "gob", "gouv", "nom", "asso")
+
 UNKNOWN = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: Languages of country suffixes.
@@ -211,17 +214,23 @@ def of_documents(docs: DataFrame, labelled: DataFrame | None = None) -> DataFram
 
 
 def of_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
-    """judged() for web pages (page_id, url, html): markup language, address suffix, host and domain."""
+    """judged() for web pages (page_id, url, html): markup language, address suffix, host and domain.
+
+    The domain is what is registered: one label before the suffix, or before a public second-level
+    name of a country. Null addresses share a prior, null and empty pages are rejected as unknown; of
+    equally likely languages the first by name is taken; repeated rows get equal results, and an empty
+    table gives none.
+    """
     found = lambda c, p: F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), p, 1), F.lit(""))
     html = F.coalesce(pages["html"], F.lit(""))
     visible = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>|&[#\w]+;", " ")
     host = F.lower(found(pages["url"], r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)"))
-    domain = found(host, r"([^.]+\.[^.]+)$")
+    domain = found(host, rf"([^.]+\.(?:(?:{'|'.join(SECOND_LEVEL)})\.[a-z][a-z]|[^.]+))$")
     return judged(pages, fitted(labelled), visible, found(html, r"""(?is)<html\b[^>]*?\slang\s*=\s*["']?([A-Za-z-]+)"""), found(host, r"\.([^.]+)$"), domain, host)
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The documents in a known language, with their columns."""
+    """The documents in a known language, with their columns; null, empty and letterless texts go, repeated rows alike."""
     return of_documents(docs).where("__accepted").select(*[f"`{c}`" for c in docs.columns])
 
 

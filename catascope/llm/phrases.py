@@ -29,7 +29,7 @@ from catascope.session import scratch
 LEAST = 100
 LONGEST = 5
 FIRST = 2000
-SHARDS = 4
+SHARDS = 2
 #: Places of the map, one byte each.
 PLACES = 1 << 22
 #: Words of a block, about; a document is never cut.
@@ -260,36 +260,41 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, fi
 
 
 ORACLE = r"""
-with pieces as (
-  select coalesce(lang, 'und') as lang,
-    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) as piece
-  from documents
-), w as (
-  select lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), x -> x <> '') as words from pieces
-), starts as (
-  select lang, words, unnest(range(1, len(words) + 1)) as i from w
-), f as (
-  select lang, m, array_to_string(words[i : i + m - 1], ' ') as phrase, count(*) as f
-  from starts, range(1, 6) t(m) where i + m - 1 <= len(words) group by all
-), total as (
-  select lang, sum(f) as n from f where m = 1 group by lang
-), c as (
-  select lang, m, phrase, string_split(phrase, ' ') as words, f as a from f where m > 1 and f >= 100
-), cuts as (
-  select c.lang, c.m, c.phrase, c.a, k, l.f as l, r.f as r, n, (1000::hugeint * a * n::hugeint) // (l.f::hugeint * r.f) as score
-  from c join range(1, 5) t(k) on k < m join total using (lang)
-  join f l on l.lang = c.lang and l.phrase = array_to_string(words[1 : k], ' ')
-  join f r on r.lang = c.lang and r.phrase = array_to_string(words[k + 1 : m], ' ')
-), best as (
-  select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1
-), inner_ as (
-  select lang, array_to_string(words[i : j], ' ') as phrase, max(a) as longer
-  from c, range(1, 6) t(i), range(1, 6) u(j) where j > i and j <= m and j - i + 1 < m group by all
+with pieces as materialized (
+  select row_number() over () as no, lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') as words from (
+    select coalesce(lang, 'und') as lang,
+      unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+    from documents) p
+), w as materialized (
+  select no, lang, unnest(words) as w1, generate_subscripts(words, 1) as i from pieces
+), w5 as materialized (
+  select lang, w1, lead(w1, 1) over o as w2, lead(w1, 2) over o as w3, lead(w1, 3) over o as w4, lead(w1, 4) over o as w5 from w window o as (partition by no order by i)
+), f as materialized (
+  select lang, 1 as m, w1 as phrase, count(*) as f from w5 group by all
+  union all select lang, 2, concat_ws(' ', w1, w2), count(*) from w5 where w2 is not null group by all having count(*) >= 100
+  union all select lang, 3, concat_ws(' ', w1, w2, w3), count(*) from w5 where w3 is not null group by all having count(*) >= 100
+  union all select lang, 4, concat_ws(' ', w1, w2, w3, w4), count(*) from w5 where w4 is not null group by all having count(*) >= 100
+  union all select lang, 5, concat_ws(' ', w1, w2, w3, w4, w5), count(*) from w5 where w5 is not null group by all having count(*) >= 100
+), total as materialized (
+  select lang, cast(sum(f) as hugeint) as n from f where m = 1 group by lang
+), c as materialized (
+  select lang, m, phrase, string_split(phrase, ' ') as words, f as a from f where m > 1
+), cuts as materialized (
+  select lang, m, phrase, a, k, array_to_string(words[1 : k], ' ') as first, array_to_string(words[k + 1 : m], ' ') as rest
+  from (select *, unnest(range(1, m)) as k from c) x
+), scored as materialized (
+  select cuts.lang, cuts.phrase, cuts.a, k, l.f as l, r.f as r, n, (cast(1000 as hugeint) * cuts.a * n) // (cast(l.f as hugeint) * r.f) as score
+  from cuts join f l on l.lang = cuts.lang and l.phrase = cuts.first join f r on r.lang = cuts.lang and r.phrase = cuts.rest join total on total.lang = cuts.lang
+), best as materialized (
+  select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), parts as materialized (
+  select lang, a, array_to_string(words[i : j], ' ') as phrase from (select *, unnest(range(i + 1, m + 1)) as j from (select *, unnest(range(1, m)) as i from c) x) y where j - i + 1 < m
+), longer as materialized (
+  select lang, phrase, max(a) as longer from parts group by all
 )
 select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from (
-  select lang, phrase, a, l, r, n, score, row_number() over (partition by lang order by score desc, a desc, phrase) as rank
-  from best left join inner_ using (lang, phrase) where longer is null or 100 * longer < 100 * a
+  select b.lang, b.phrase, a, l, r, n, score, row_number() over (partition by b.lang order by score desc, a desc, b.phrase) as rank
+  from best b left join longer g on g.lang = b.lang and g.phrase = b.phrase where longer is null or 100 * longer < 100 * a
 ) where rank <= 2000
 """
 

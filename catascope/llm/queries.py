@@ -57,8 +57,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.mixed(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "size", "source_size", "target", "taken")
+    rows = mixing.dealt(mixing.mixed(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "shard", "place")
 
 
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,5 +106,6 @@ SQL: dict[str, str] = {
     "op4_suffix_dedup": suffixes.ORACLE,
     "op5_decontamination": decontamination.ORACLE,
     "op10_exact_dedup": exact.ORACLE,
+    "op12_spelling_variants": spelling.ORACLE,
     "op13_collocations": phrases.ORACLE,
 }

@@ -349,4 +349,36 @@ def spelling_variants(docs: DataFrame) -> DataFrame:
     return variants(vocabulary(docs))
 
 
+#: Checksums byte by byte; neighbours by the words with one letter left out, at one place or as a word.
+ORACLE = """
+with recursive tab as (
+  select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t
+), found as (
+  select doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents
+), runs as (
+  select doc_id, run, count(*) as n, hex(encode(concat(coalesce(cast(doc_id as varchar), ''), ':', run))) as x from found where length(run) >= 7 group by all
+), sums as (
+  select run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2), lambda i: cast('0x' || x[2 * i + 1 : 2 * i + 2] as bigint))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) as h from runs, tab
+), words as (
+  select word, sum(n) as n from (select case when h % 31 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, n from sums) x
+  where length(word) >= 7 group by word having sum(n) >= 2
+), less as (
+  select word, n, i, substr(word, 1, i) || substr(word, i + 2) as v from (select word, n, unnest(range(length(word))) as i from words) x
+), pairs as (
+  select a.word, b.word as near, b.n as near_n from less a join less b on a.v = b.v and a.i = b.i and a.word <> b.word
+  union select w.word, l.word, l.n from words w join less l on w.word = l.v
+  union select l.word, w.word, w.n from words w join less l on w.word = l.v
+), best as (
+  select word, count(*) as n_near, arg_min(near, (-near_n, near)) as near, max(near_n) as near_n from pairs group by word
+), forms as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when near_n >= 10 * w.n then near end as form, case when near_n >= 10 * w.n then near_n end as form_n from words w left join best using (word)
+), steps as (
+  select word, coalesce(form, word) as root, 1 as step from forms
+  union all select s.word, f.form, step + 1 from steps s join forms f on f.word = s.root where f.form is not null
+)
+select f.word, form, arg_max(root, step) as root, cast(n as bigint) as n, cast(n_near as bigint) as n_near, cast(form_n as bigint) as form_n
+from forms f join steps s on s.word = f.word group by all
+"""
+
 ship(__name__)

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from catascope.llm.common import bounded_batches, n_bytes, ship
 
-#: A batch holds texts of about so many characters; longer texts are split into parts of that size.
-BATCH_CHARS = 1 << 18
+#: A batch holds parts of about so many bytes; longer texts are split into parts of so many characters.
+BATCH_BYTES = 1 << 18
 PART_CHARS = 1 << 14
 LIMIT = 4096
 
@@ -31,17 +31,17 @@ def parts(text: str, size: int = PART_CHARS) -> list[str]:
     return out
 
 
-def batches(texts: list[str | None], size: int = BATCH_CHARS) -> Iterator[tuple[list[int], list[str]]]:
-    """Parts with the numbers of their texts, dealt into batches of about equal length."""
-    rows, held, chars = [], [], 0
+def batches(texts: list[str | None], size: int = BATCH_BYTES) -> Iterator[tuple[list[int], list[str]]]:
+    """Parts with the numbers of their texts, dealt into batches of about equal numbers of bytes."""
+    rows, held, done = [], [], 0
     for i, text in enumerate(texts):
         for part in parts(text or ""):
             rows.append(i)
             held.append(part)
-            chars += len(part)
-            if chars >= size:
+            done += len(part) if part.isascii() else len(part.encode())
+            if done >= size:
                 yield rows, held
-                rows, held, chars = [], [], 0
+                rows, held, done = [], [], 0
     if held:
         yield rows, held
 

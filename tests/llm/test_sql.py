@@ -22,7 +22,7 @@ def test_query_equals_sql(spark, sf, name):
 def test_one_query_per_operator_and_the_pipeline():
     names = entry.queries()
     assert "pipeline" in names and "pipeline" not in entry.oracle_sql()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
 
 
@@ -35,6 +35,9 @@ COLUMNS = {
     "op8_mixture": {"doc_id", "size", "source_size", "target", "taken"},
     "op9_shards": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"},
     "op10_exact_dedup": {"doc_id", "keep_id", "group_size", "kept", "text_sha256"},
+    "op11_packing": {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"},
+    "op12_spelling_variants": {"word", "form", "root", "n", "n_near", "form_n"},
+    "op13_collocations": {"lang", "rank", "phrase", "a", "l", "r", "n", "score"},
 }
 
 
