@@ -77,10 +77,10 @@ def data_gouv_fr_records(c: Catalogue):
 
 
 def _landed(c: Catalogue, software: str):
-    """The pages of a software written as a crawler lands them, one file each, and read back."""
+    """The pages of a software written as a crawler lands them, a line each, and read back."""
     path = scratch(c.spark, "pages")
-    rawdocs.pages(c, software).select("portalid", "snapshot", "page", F.col("body").alias("value")).write.partitionBy("portalid", "snapshot", "page").text(path)
-    return ha.read_pages(c.spark, path)
+    ha.write_pages(rawdocs.pages(c, software), path)
+    return ha.read_pages(c.spark, path, lines=True)
 
 
 PAGES_SQL = """

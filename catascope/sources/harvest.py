@@ -17,8 +17,20 @@ from catascope.session import staged
 RUN = ["portalid", "snapshot"]
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Responses below portalid=<id>/snapshot=<YYWW>/, as <page>.json or in page=<page> folders."""
+def write_pages(pages: DataFrame, path: str) -> None:
+    """Responses (portalid, snapshot, page, body) below portalid=<id>/snapshot=<YYWW>/, many to a file, one per line."""
+    pages.select(*RUN, "page", "body").write.partitionBy(*RUN).json(path)
+
+
+def read_pages(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Responses below portalid=<id>/snapshot=<YYWW>/, as <page>.json or in page=<page> folders.
+
+    With lines, files hold many of them, a line {page, body} each: a crawl of any size lands in few
+    files, and listing them costs the driver nothing that grows with the number of pages.
+    """
+    if lines:
+        rows = spark.read.schema("portalid string, snapshot int, page int, body string").option("maxStringLen", 2**31 - 1).json(path)
+        return rows.select(*RUN, "page", "body")
     file = F.input_file_name()
     number = F.coalesce(F.nullif(F.regexp_extract(file, "/page=([0-9]+)/", 1), F.lit("")), F.regexp_extract(file, r"([0-9]+)\.[^./]*$", 1))
     return spark.read.text(path, wholetext=True).select(

@@ -34,6 +34,17 @@ def test_ckan_pages_and_single_records(spark):
     assert set(got) == {"a", "b", "c"} and got["a"]["v"] == 1
 
 
+def test_landed_pages_share_files(spark, tmp_path):
+    bodies = [json.dumps({"data": [{"id": f"d{i}", "title": 'a\nb "c" \u2028ü'}, {"id": f"d{i + 1}"}]}) for i in range(300)] + ["{", ""]
+    rows = [(p, 1601, i, b) for p in ("007", "q") for i, b in enumerate(bodies)]
+    listed = spark.createDataFrame(rows, "portalid string, snapshot int, page int, body string").repartition(2)
+    ha.write_pages(listed, str(tmp_path / "pages"))
+    again = ha.read_pages(spark, str(tmp_path / "pages"), lines=True)
+    assert sorted(map(tuple, again.collect())) == sorted(rows)
+    assert len(list((tmp_path / "pages").rglob("*.json"))) <= 4
+    assert ha.data_gouv_fr_records(again).count() == 602 and ha.rejected_pages(again, "DataGouvFr").count() == 4
+
+
 def test_socrata_keeps_tabular_views(spark):
     listed = pages(spark, [[{"id": "a"}, {"id": "b", "viewType": "geo"}, {"viewType": "tabular"}, {"id": "c", "viewType": "tabular"}]])
     dcat = spark.createDataFrame([("p", 1601, "a", '<x a="1"/>')], "portalid string, snapshot int, id string, dcat string")
