@@ -110,6 +110,14 @@ def test_cell_types(spark):
     assert values(spark, list(CELLS), cells.cell_type) == list(CELLS.values())
 
 
+def test_strict_dates(spark):
+    rows = ["2011-01-31", "20110131", "1999/12/01", "12/31/2010", "12/31/2010 noon", "1.2.2011", "31.12.99", "2011-01", "3011-01-01", "13/01/2010x", "", None]
+    assert values(spark, rows, cells.is_strict_date) == [True, True, True, True, True, True, True, False, False, False, False, None]
+    from catascope.plans.registry import all_sql
+
+    assert " as strict_dates" in all_sql()["cell_predicates"]
+
+
 def test_cell_labels(spark):
     rows = ["1", " -1.5e3 ", "1d", "nan", "2011-01-01T00:00:00", "2011-13-01T00:00:00", "", None, "x"]
     assert values(spark, rows, cells.cell_label) == ["number", "number", "any", "number", "datetime", "any", "empty", "empty", "any"]
