@@ -45,7 +45,7 @@ def ckan_records(c: Catalogue):
 @query("ckan_completed_records", "select portalid, 2401 as snapshot, id from v_doc")
 def ckan_completed_records(c: Catalogue):
     """A listing that lost its first page, completed from single records of all documents."""
-    listed = rawdocs.pages(c, "CKAN").where("page > 0")
+    listed = _landed(c, "CKAN").where("page > 0")
     singles = rawdocs.records(c, "CKAN").select(
         "portalid", "snapshot", F.col("doc_id").cast("int").alias("page"), F.concat(F.lit('{"result":'), "raw", F.lit("}")).alias("body")
     )

@@ -83,31 +83,36 @@ def _exploded(pages: DataFrame, software: str) -> DataFrame:
     return parsed.select(*RUN, "page", F.posexplode(found).alias("pos", "item"))
 
 
-def _first_per_id(rows: DataFrame, key: Column, raw: Column) -> DataFrame:
-    """The first record of every id. Ids are counted without their documents; only of ids that come
-    again are records compared."""
-    named = rows.select(*RUN, key.alias("id"), F.struct("page", "pos").alias("_at"), raw.alias("raw")).where(filled(F.col("id")))
+def _first_per_id(rows: DataFrame, key: Column, raw: Column, *more: Column) -> DataFrame:
+    """The first record of every id, with more columns of it. Ids are counted without their documents; only
+    of ids that come again are records compared."""
+    named = rows.select(*RUN, key.alias("id"), F.struct("page", "pos").alias("_at"), raw.alias("raw"), *more).where(filled(F.col("id")))
     again = named.groupBy(*RUN, "id").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_first")).where("n > 1").drop("n")
     again = staged(again, "repeated-ids")
-    once = named.join(again.select(*RUN, "id"), [*RUN, "id"], "left_anti").select(*RUN, "id", "raw")
-    first = named.join(again, [*RUN, "id"]).where(F.col("_at") == F.col("_first")).select(*RUN, "id", "raw")
+    columns = [c for c in named.columns if c != "_at"]
+    once = named.join(again.select(*RUN, "id"), [*RUN, "id"], "left_anti").select(*columns)
+    first = named.join(again, [*RUN, "id"]).where(F.col("_at") == F.col("_first")).select(*columns)
     return once.unionByName(first)
 
 
 def ckan_records(pages: DataFrame, singles: DataFrame | None = None) -> DataFrame:
-    """Search results, completed by single records whose id and name were not in them."""
+    """Search results, completed by single records whose id and name were not in them.
+
+    Names are taken out before anything is joined, so that where documents are not asked for, none move.
+    """
     rows = _exploded(pages, "CKAN")
-    out = _first_per_id(rows, doc.get(F.col("item"), "id"), F.to_json("item"))
+    name = F.get_json_object(F.to_json("item"), "$.name").alias("name")
+    found = _first_per_id(rows, doc.get(F.col("item"), "id"), F.to_json("item"), name)
+    out = found.drop("name")
     if singles is None:
         return out
     one = singles.withColumn("_doc", F.try_parse_json("body"))
     result = F.coalesce(F.try_variant_get("_doc", "$.result", "variant"), F.col("_doc"))
     one = one.select(*RUN, "page", F.lit(0).alias("pos"), result.alias("item"))
-    extra = _first_per_id(one, doc.get(F.col("item"), "id"), F.to_json("item"))
-    name = lambda: F.get_json_object("raw", "$.name")
-    seen = out.select(*RUN, name().alias("name")).where(filled(F.col("name"))).distinct()
+    extra = _first_per_id(one, doc.get(F.col("item"), "id"), F.to_json("item"), name)
+    seen = found.select(*RUN, "name").where(filled(F.col("name"))).distinct()
     extra = extra.join(out.select(*RUN, "id"), [*RUN, "id"], "left_anti")
-    extra = extra.withColumn("name", name()).join(seen, [*RUN, "name"], "left_anti")
+    extra = extra.join(seen, [*RUN, "name"], "left_anti")
     return out.unionByName(extra.select(*out.columns))
 
 

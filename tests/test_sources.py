@@ -34,6 +34,14 @@ def test_ckan_pages_and_single_records(spark):
     assert set(got) == {"a", "b", "c"} and got["a"]["v"] == 1
 
 
+def test_completing_moves_no_documents_for_ids(spark):
+    listed = pages(spark, [{"result": {"results": [{"id": "a", "name": "an"}]}}])
+    singles = pages(spark, [{"result": {"id": "c", "name": "cn"}}, {"result": {"id": "z", "name": "an"}}, {"result": {"id": "y"}}])
+    ids = ha.ckan_records(listed, singles).select("portalid", "snapshot", "id")
+    assert {r.id for r in ids.collect()} == {"a", "c", "y"}
+    assert "raw#" not in ids._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_landed_pages_share_files(spark, tmp_path):
     bodies = [json.dumps({"data": [{"id": f"d{i}", "title": 'a\nb "c" \u2028ü'}, {"id": f"d{i + 1}"}]}) for i in range(300)] + ["{", ""]
     rows = [(p, 1601, i, b) for p in ("007", "q") for i, b in enumerate(bodies)]
