@@ -1,21 +1,25 @@
 """Catalogues as graphs: triples of files, what a dataset reaches, documents, hashes and trees.
 
 A graph is rows of (keys, s, p, o, o_kind, o_type, o_lang); keys say which graph a triple is in. What
-is reached, blank-node colours and trees are found in rounds of joins over all graphs at once, each
-round written to the shared folder. The number of rounds follows the depth of the graphs only.
+datasets reach in a catalogue is found in rounds of joins over all catalogues at once, each round written
+to the shared folder; the number of rounds follows the depth of the graphs only. What becomes one
+text (a hash, a document, a tree) is dealt by its graph once and put together there.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import chain, groupby
+from json.encoder import encode_basestring
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from catascope.functions import documents as doc
 from catascope.functions import rdfxml
@@ -28,44 +32,74 @@ RUN = ["portalid", "snapshot"]
 TERMS = ["s", "p", "o", "o_kind", "o_type", "o_lang"]
 TYPE = RDF + "type"
 ODS = "http://open-data-standards.github.com/2012/01/open-data-standards#"
-#: Triples that a task gives out at once.
-BATCH = 4096
+#: Triples that a task gives out at once, and letters of texts.
+BATCH, LETTERS = 4096, 4_000_000
 
 
-def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names)
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Files (file, content) to their triples; a file that breaks gives a last row with the reason as `error`."""
-    names = ["file", *TERMS, "error"]
-    for batch in batches:
-        for file, content in zip(batch.column(0), batch.column(1)):
-            file, rows = file.as_py(), []
-            blank = hashlib.sha1(file.encode()).hexdigest()[:12]
-            try:
-                for t in rdfxml.triples(content.as_py() or b"", blank):
-                    rows.append((file, *t, None))
-                    if len(rows) == BATCH:
-                        yield _batch(rows, names)
-                        rows = []
-            except rdfxml.ET.ParseError as e:
-                rows.append((file, *[None] * len(TERMS), str(e)))
-            if rows:
-                yield _batch(rows, names)
+def _parsed(schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Files (portalid, snapshot, file, content) to their triples, each once per BATCH; a file that breaks gives a
+    last row with the reason as `error`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for *head, content in zip(*batch.columns):
+                head, rows = [v.as_py() for v in head], {}
+                blank = hashlib.sha1(head[-1].encode()).hexdigest()[:12]
+                try:
+                    for t in rdfxml.triples(content.as_py() or b"", blank):
+                        rows[(*head, *t, None)] = None
+                        if len(rows) == BATCH:
+                            yield _batch([*rows], schema)
+                            rows = {}
+                except rdfxml.ET.ParseError as e:
+                    rows[(*head, *[None] * len(TERMS), str(e))] = None
+                if rows:
+                    yield _batch([*rows], schema)
+
+    return run
 
 
 def read_catalogues(spark: SparkSession, path: str) -> DataFrame:
     """Triples (portalid, snapshot, file, s, p, o, o_kind, o_type, o_lang, error) of RDF/XML files below
-    portalid=/snapshot= folders.
+    portalid=/snapshot= folders; what a file repeats may come once.
 
     A file is one response of a portal and is read by one task, piece by piece; blank nodes are its own.
     """
     files = spark.read.format("binaryFile").load(path)
-    where = files.select("path", "portalid", F.col("snapshot").cast("int").alias("snapshot"))
-    schema = ", ".join(f"{c} string" for c in ("file", *TERMS, "error"))
-    rows = files.select("path", "content").mapInArrow(_parsed, schema)
-    return rows.join(where, rows["file"] == where["path"]).select(*RUN, "file", *TERMS, "error")
+    files = files.select("portalid", F.col("snapshot").cast("int").alias("snapshot"), "path", "content")
+    schema = T.StructType([*files.schema[:2], *_struct(*[f"{c} string" for c in ("file", *TERMS, "error")])])
+    return files.mapInArrow(_parsed(to_arrow_schema(schema)), schema)
+
+
+def _struct(*fields: str) -> T.StructType:
+    return T.StructType.fromDDL(", ".join(fields))
+
+
+def by_group(rows: DataFrame, keys: list[str], work: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """(keys, schema): what `work` makes of each group's other columns. A group is held by one task, so it has to be
+    no larger than the text that comes out of it."""
+    full = T.StructType([*rows.select(*keys).schema, *_struct(schema)])
+    arrow, n = to_arrow_schema(full), len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, letters = [], 0
+        every = chain.from_iterable(zip(*(c.to_pylist() for c in b.columns)) for b in batches)
+        for key, group in groupby(every, lambda r: r[:n]):
+            for row in work([r[n:] for r in group]):
+                out.append((*key, *row))
+                letters += sum(len(v) for v in row if isinstance(v, str))
+            if letters > LETTERS or len(out) >= BATCH:
+                yield _batch(out, arrow)
+                out, letters = [], 0
+        if out:
+            yield _batch(out, arrow)
+
+    others = [c for c in rows.columns if c not in keys]
+    return rows.select(*keys, *others).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, full)
 
 
 def rejected_files(catalogues: DataFrame) -> DataFrame:
@@ -74,12 +108,14 @@ def rejected_files(catalogues: DataFrame) -> DataFrame:
 
 
 def graph_of(catalogues: DataFrame) -> DataFrame:
-    """One graph per portal and snapshot: the files' triples, each once."""
-    return staged(catalogues.where("error is null").select(*RUN, *TERMS).distinct(), "graph")
+    """One graph per portal and snapshot: the files' triples, in which some may come again."""
+    return staged(catalogues.where("error is null").select(*RUN, *TERMS), "graph")
 
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str], on: Column) -> Column:
-    return reduce(lambda a, k: a & left[k].eqNullSafe(right[k]), keys, on)
+def _at(keys: list[str], node: str) -> Column:
+    """A short name of a node of a graph, null where a key is: 16 bytes for (keys, node)."""
+    texts = [F.col(c).cast("string") for c in (*keys, node)]
+    return F.unhex(F.md5(F.concat(*[x for t in texts for x in (F.length(t).cast("string"), F.lit(" "), t)])))
 
 
 def of_type(graph: DataFrame, keys: list[str], kind: str) -> DataFrame:
@@ -88,126 +124,126 @@ def of_type(graph: DataFrame, keys: list[str], kind: str) -> DataFrame:
 
 
 def reachable(graph: DataFrame, roots: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, root, node, depth): every subject that links lead to from a root, by the shortest way.
+    """(keys, root, at, depth): every subject (by `_at`) that links lead to from a root, by the shortest way.
 
-    One round of joins per step of depth; a node is taken up once per root, so cycles end.
+    One round of joins per step of depth; a node is taken up once per root, so cycles end. Rounds move
+    short names only.
     """
-    subjects = graph.select(*keys, F.col("s").alias("o")).distinct()
-    edges = graph.where("o_kind <> 'literal'").select(*keys, "s", "o").distinct().join(subjects, [*keys, "o"], "left_semi")
-    edges = staged(edges, "edges").withColumnRenamed("s", "node")
-    found = [staged(roots.select(*keys, "root", F.col("root").alias("node"), F.lit(0).alias("depth")), "reached")]
+    subjects = graph.select(_at(keys, "s").alias("next")).distinct()
+    edges = graph.where("o_kind <> 'literal'").select(_at(keys, "s").alias("at"), _at(keys, "o").alias("next"))
+    edges = staged(edges.join(subjects, "next", "left_semi").distinct(), "edges")
+    roots = staged(roots.select(*keys, "root", _at(keys, "root").alias("from")), "roots")
+    found = [staged(roots.select("from", F.col("from").alias("at"), F.lit(0).alias("depth")).distinct(), "reached")]
     while True:
-        step = found[-1].join(edges, [*keys, "node"]).select(*keys, "root", F.col("o").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
-        for before in found:
-            step = step.join(before.select(*keys, "root", "node"), [*keys, "root", "node"], "left_anti")
-        step = staged(step, "reached")
+        step = found[-1].join(edges, "at").select("from", F.col("next").alias("at"), (F.col("depth") + 1).alias("depth")).distinct()
+        before = reduce(DataFrame.unionByName, found).select("from", "at")
+        step = staged(step.join(before, ["from", "at"], "left_anti"), "reached")
         if step.isEmpty():
-            return reduce(DataFrame.unionByName, found)
+            return reduce(DataFrame.unionByName, found).join(roots, "from").select(*keys, "root", "at", "depth")
         found.append(step)
 
 
 def subgraphs(graph: DataFrame, reached: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, root, depth, triples): the part of the graph that each root reaches."""
-    return staged(reached.withColumnRenamed("node", "s").join(graph, [*keys, "s"]), "subgraphs")
+    """(keys, root, depth, triples): the part of the graph that each root reaches, each triple once."""
+    rows = graph.withColumn("at", _at(keys, "s")).repartition("at").distinct()  # dealt once, for distinct() and the join
+    return staged(reached.select("at", "root", "depth").join(rows, "at").select(*keys, "root", "depth", *TERMS), "subgraphs")
 
 
-def _text(o: Column, kind: Column, o_type: Column, lang: Column) -> Column:
+def _text(o: str, kind: str, o_type: str | None, lang: str | None) -> str:
     """A term that is no blank node, told apart from all others."""
-    parts = [F.concat(F.lit(mark), part) for mark, part in (("^", o_type), ("@", lang))]
-    return F.when(kind == "literal", F.concat_ws(" ", F.lit("l"), *parts, F.concat(F.lit("="), o))).otherwise(F.concat(F.lit("u"), o))
+    if kind != "literal":
+        return "u" + o
+    return " ".join(["l", *(mark + part for mark, part in (("^", o_type), ("@", lang)) if part is not None), "=" + o])
 
 
-def _digest(lines: Column) -> Column:
-    return F.sha1(F.array_join(F.array_sort(F.collect_list(lines)), "\n"))
+def _digest(lines: list[str]) -> str:
+    return hashlib.sha1("\n".join(sorted(lines)).encode()).hexdigest()
 
 
-def colours(graph: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, node, colour): a colour for each blank node that depends on what it says and not on its name.
+def colours(triples: list[tuple]) -> dict[str, str]:
+    """A colour for each blank node of a graph that depends on what it says and not on its name.
 
     A node whose objects all have colours gets the hash of its properties, so colours rise from the
     leaves, one round per level. Nodes on cycles, or above them, are refined from one common colour,
-    also by what leads to them, until no graph's number of colours grows.
-    """
-    blank = F.col("s").startswith("_:")
-    own = graph.where(blank).select(*keys, F.col("s").alias("node")).distinct().withColumn("known", F.lit(True))
-    rows = graph.where(blank).select(*keys, F.col("s").alias("node"), *TERMS[1:])
-    inner = own.withColumnRenamed("node", "o")
-    rows = rows.join(inner, [*keys, "o"], "left")
-    term = F.when(F.col("known"), None).when(F.col("o_kind") == "bnode", "b").otherwise(_text(F.col("o"), F.col("o_kind"), F.col("o_type"), F.col("o_lang")))
-    rows = staged(rows.select(*keys, "node", "p", "o", term.alias("term")), "blank")
-    line = F.concat_ws(" ", "p", "term")
-    done: list[DataFrame] = []
-    while True:
-        ready = rows.groupBy(*keys, "node").agg(F.bool_and(F.col("term").isNotNull()).alias("ready"), _digest(line).alias("colour"))
-        ready = staged(ready.where("ready").drop("ready"), "colours")
-        if ready.isEmpty():
-            break
-        done.append(ready)
-        rest = rows.join(ready.select(*keys, "node"), [*keys, "node"], "left_anti")
-        rest = rest.join(ready.withColumnRenamed("node", "o"), [*keys, "o"], "left")
-        rows = staged(rest.select(*keys, "node", "p", "o", F.coalesce("term", F.concat(F.lit("c"), "colour")).alias("term")), "blank")
-    left = rows.select(*keys, "node").distinct().withColumn("colour", F.lit("x"))
-    kinds = staged(left.groupBy(*keys).agg(F.lit(1).alias("kinds"), F.lit(True).alias("on")), "kinds")
-    left = staged(left, "colours")
-    into = graph.where("o_kind = 'bnode'").join(left.select(*keys, F.col("node").alias("o")), [*keys, "o"], "left_semi")
-    from_ = F.when(~F.col("s").startswith("_:"), F.concat(F.lit("u"), "s"))
-    rows = rows.unionByName(into.select(*keys, F.col("o").alias("node"), F.concat(F.lit("<"), "p").alias("p"), F.col("s").alias("o"), from_.alias("term")))
-    while not kinds.where("on").isEmpty():
-        now = rows.join(kinds.where("on").select(*keys), keys, "left_semi").join(left.withColumnRenamed("node", "o"), [*keys, "o"], "left")
-        now = now.withColumn("term", F.coalesce("term", F.concat(F.lit("c"), "colour"))).groupBy(*keys, "node").agg(_digest(line).alias("new"))
-        left = staged(left.join(now, [*keys, "node"], "left").select(*keys, "node", F.coalesce("new", "colour").alias("colour")), "colours")
-        after = left.groupBy(*keys).agg(F.countDistinct("colour").cast("int").alias("now"))
-        kinds = kinds.join(after, keys)
-        kinds = staged(kinds.select(*keys, F.col("now").alias("kinds"), (F.col("on") & (F.col("now") > F.col("kinds"))).alias("on")), "kinds")
-    return reduce(DataFrame.unionByName, [*done, left])
-
-
-def renamed(graph: DataFrame, keys: list[str]) -> DataFrame:
-    """The graph with blank nodes named by their colours, equal ones numbered, and (s_colour, o_colour).
-
-    Graphs that differ in blank names only become the same rows.
+    also by what leads to them, until the number of colours does not grow.
     """
-    order = W.partitionBy(*keys, "colour").orderBy("node")
-    names = colours(graph, keys).withColumn("nr", F.row_number().over(order))
-    name = F.concat_ws("-", F.concat(F.lit("_:"), "colour"), F.when(F.col("nr") > 1, F.col("nr").cast("string")))
-    names = staged(names.select(*keys, "node", "colour", name.alias("name")), "names")
-    out = graph
-    for c in ("s", "o"):
-        out = out.join(names.toDF(*keys, c, f"{c}_colour", f"{c}_name"), [*keys, c], "left")
-        if c == "o":  # a literal may look like a blank node
-            link = F.col("o_kind") == "bnode"
-            out = out.withColumns({"o_name": F.when(link, F.col("o_name")), "o_colour": F.when(link, F.col("o_colour"))})
-        out = out.withColumn(c, F.coalesce(f"{c}_name", c)).drop(f"{c}_name")
+    rows: dict[str, list] = defaultdict(list)  # (predicate, object, its text if known)
+    blank = {t[0] for t in triples if t[0].startswith("_:")}
+    for s, p, o, kind, o_type, lang in triples:
+        if s in blank:
+            rows[s].append((p, o, None if o in blank else "b" if kind == "bnode" else _text(o, kind, o_type, lang)))
+    done: dict[str, str] = {}
+    line = lambda p, o, term, known: f"{p} {term if term is not None else 'c' + known[o]}"
+    while ready := [n for n in blank if n not in done and all(term is not None or o in done for _, o, term in rows[n])]:
+        done |= {n: _digest([line(*r, done) for r in rows[n]]) for n in ready}
+    left = {n: "x" for n in blank if n not in done}
+    for s, p, o, kind, *_ in triples:
+        if kind == "bnode" and o in left:
+            rows[o].append(("<" + p, s, None if s.startswith("_:") else "u" + s))
+    kinds, now = 0, min(1, len(left))
+    while now > kinds:
+        known = done | left
+        left = {n: _digest([line(*r, known) for r in rows[n]]) for n in left}
+        kinds, now = now, len(set(left.values()))
+    return done | left
+
+
+def _names(colour: dict[str, str]) -> dict[str, str]:
+    """Blank nodes named by their colours, equal ones numbered by their names."""
+    out, nr = {}, defaultdict(int)
+    for node in sorted(colour):
+        nr[colour[node]] += 1
+        out[node] = f"_:{colour[node]}" + (f"-{nr[colour[node]]}" if nr[colour[node]] > 1 else "")
     return out
 
 
+def _hash(triples: list[tuple], colour: dict[str, str]) -> str:
+    lines = []
+    for s, p, o, kind, o_type, lang in triples:
+        # a literal may look like a blank node
+        end = _text(o, kind, o_type, lang) if kind != "bnode" else "c" + colour[o] if o in colour else "b"
+        lines.append(f"{'c' + colour[s] if s in colour else 'u' + s} {p} {end}")
+    return _digest(lines)
+
+
 def graph_hash(graph: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, hash): the same for graphs that differ in the order of triples and the names of blank nodes only."""
-    return _hashed(renamed(graph, keys), keys)
+    return by_group(graph.select(*keys, *TERMS), keys, lambda rows: [(_hash(rows, colours(rows)),)], "hash string")
+
 
+#: How JSON writes letters that it cannot have as they are, where that is not as Python's does.
+ESCAPES = {i: f"\\u{i:04X}" for i in range(32)} | {ord(c): "\\" + e for c, e in zip('"\\\b\t\n\f\r', '"\\btnfr')}
 
-def _hashed(rows: DataFrame, keys: list[str]) -> DataFrame:
-    s = F.coalesce(F.concat(F.lit("c"), "s_colour"), F.concat(F.lit("u"), "s"))
-    text = _text(F.col("o"), F.col("o_kind"), F.col("o_type"), F.col("o_lang"))
-    o = F.coalesce(F.concat(F.lit("c"), "o_colour"), F.when(F.col("o_kind") == "bnode", "b"), text)
-    return rows.groupBy(*keys).agg(_digest(F.concat_ws(" ", s, "p", o)).alias("hash"))
 
+def _quoted(text: str) -> str:
+    out = encode_basestring(text)
+    return out if "\\u" not in out else f'"{text.translate(ESCAPES)}"'
 
-def quoted(text: Column) -> Column:
-    return F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]$", "")
 
+def _value(p: str, o: str, kind: str, o_type: str | None, lang: str | None) -> str:
+    """An object as JSON-LD, outside of types."""
+    if kind != "literal":
+        return '{"@id":' + _quoted(o) + "}"
+    return "{" + ",".join(f'"{k}":{_quoted(v)}' for k, v in (("@value", o), ("@type", o_type), ("@language", lang)) if v is not None) + "}"
 
-def _value() -> Column:
-    literal = F.to_json(F.struct(F.col("o").alias("@value"), F.col("o_type").alias("@type"), F.col("o_lang").alias("@language")))
-    return F.when(F.col("o_kind") == "literal", literal).otherwise(F.to_json(F.struct(F.col("o").alias("@id"))))
 
+def _node(s: str, props: dict[str, list[str]]) -> str:
+    """JSON text of a subject with the texts of its objects by predicate."""
+    pairs = sorted(f'{_quoted("@type" if p == TYPE else p)}:[{",".join(sorted(v))}]' for p, v in props.items())
+    return f'{{"@id":{_quoted(s)},{",".join(pairs)}}}'
 
-def _nodes(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, s, node): JSON text of each subject from rows (keys, s, p, v)."""
-    props = rows.groupBy(*keys, "s", "p").agg(F.array_join(F.array_sort(F.collect_list("v")), ",").alias("v"))
-    pair = F.concat(quoted(F.when(F.col("p") == TYPE, "@type").otherwise(F.col("p"))), F.lit(":["), "v", F.lit("]"))
-    node = F.concat(F.lit('{"@id":'), quoted(F.col("s")), F.lit(","), F.array_join(F.array_sort(F.collect_list(pair)), ","), F.lit("}"))
-    return props.groupBy(*keys, "s").agg(node.alias("node"))
+
+def _document(triples: list[tuple]) -> list[tuple]:
+    """(hash, own, raw) of a dataset from its triples, each with an identifier if it gives one."""
+    own = min((t[-1] for t in triples if t[-1] is not None), default=None)
+    triples = [t[:-1] for t in triples]
+    colour = colours(triples)
+    names = _names(colour)
+    nodes: dict[str, dict] = defaultdict(lambda: defaultdict(list))
+    for s, p, o, kind, *more in triples:
+        o = names.get(o, o) if kind == "bnode" else o
+        nodes[names.get(s, s)][p].append(_quoted(o) if p == TYPE else _value(p, o, kind, *more))
+    return [(_hash(triples, colour), own, "[" + ",".join(sorted(_node(s, props) for s, props in nodes.items())) + "]")]
 
 
 def datasets(catalogues: DataFrame) -> DataFrame:
@@ -216,10 +252,15 @@ def datasets(catalogues: DataFrame) -> DataFrame:
     return subgraphs(graph, reachable(graph, of_type(graph, RUN, DCAT + "Dataset"), RUN), RUN)
 
 
+def _identifier() -> Column:
+    """The identifier that a triple gives its dataset, or null."""
+    given = (F.col("s") == F.col("root")) & (F.col("p") == DCT + "identifier") & (F.col("o_kind") == "literal") & filled(F.trim("o"))
+    return F.when(given, F.trim("o"))
+
+
 def identifiers(parts: DataFrame) -> DataFrame:
     """(portalid, snapshot, root, own): a dataset's first identifier by text."""
-    given = (F.col("s") == F.col("root")) & (F.col("p") == DCT + "identifier") & (F.col("o_kind") == "literal") & filled(F.trim("o"))
-    return parts.where(given).groupBy(*RUN, "root").agg(F.min(F.trim("o")).alias("own"))
+    return parts.where(_identifier().isNotNull()).groupBy(*RUN, "root").agg(F.min(F.trim("o")).alias("own"))
 
 
 def documents(catalogues: DataFrame) -> DataFrame:
@@ -227,17 +268,15 @@ def documents(catalogues: DataFrame) -> DataFrame:
 
     Nodes are listed by name, blank ones named by what they say, so that the text does not depend on
     the order of a file. The id is the first identifier by text, else the hash of the graph; of
-    datasets with one id the first by address is kept.
+    datasets with one id the first by address is kept. Only of ids that come again are addresses compared.
     """
     keys = [*RUN, "root"]
-    parts = datasets(catalogues).drop("depth")
-    rows = staged(renamed(parts, keys), "renamed")
-    ids = _hashed(rows, keys).join(identifiers(parts), keys, "left").withColumn("id", F.coalesce("own", "hash"))
-    first = ids.groupBy(*RUN, "id").agg(F.min("root").alias("root"))
-    kept = rows.join(first, keys)
-    value = F.when(F.col("p") == TYPE, quoted(F.col("o"))).otherwise(_value())
-    nodes = _nodes(kept.withColumn("v", value), [*RUN, "id"])
-    return nodes.groupBy(*RUN, "id").agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("node")), ","), F.lit("]")).alias("raw"))
+    parts = datasets(catalogues).select(*keys, *TERMS, _identifier().alias("own"))
+    docs = by_group(parts, keys, _document, "hash string, own string, raw string")
+    docs = staged(docs.select(*keys, F.coalesce("own", "hash").alias("id"), "raw"), "documents")
+    again = docs.groupBy(*RUN, "id").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("first")).where("n > 1").drop("n")
+    docs = docs.join(staged(again, "repeated-ids"), [*RUN, "id"], "left")
+    return docs.where("first is null or root = first").select(*RUN, "id", "raw")
 
 
 def document_triples(records: DataFrame, keys: list[str], raw: str = "raw") -> DataFrame:
@@ -283,30 +322,49 @@ def document_triples(records: DataFrame, keys: list[str], raw: str = "raw") -> D
         nodes = inside.select(*keys, F.col("o").alias("s"), "m")
 
 
+def _trees(rows: list[tuple]) -> list[tuple]:
+    """(root, value) for each root of a graph; roots are rows without a predicate."""
+    triples: dict[str, list] = defaultdict(list)
+    for s, *rest in rows:
+        if rest[0] is not None:
+            triples[s].append(rest)
+    return [(root, _tree(triples, root)) for root, p, *_ in rows if p is None and root in triples]
+
+
+def _tree(triples: dict[str, list], root: str) -> str:
+    depth, level = {root: 0}, [root]
+    holder: dict[str, tuple] = {}
+    while level:
+        below: dict[str, int] = {}
+        for s in level:
+            for p, o, kind, *_ in triples[s]:
+                if kind != "literal" and o in triples and o not in depth:
+                    below[o] = depth[s] + 1
+                    holder[o] = min(holder.get(o, (s, p)), (s, p))
+        depth |= below
+        level = [*below]
+    texts: dict[str, str] = {}
+    for s in reversed(depth):
+        props: dict[str, list] = defaultdict(list)
+        for p, o, *more in triples[s]:
+            inside = holder.get(o) == (s, p)
+            props[p].append(texts[o] if inside else _quoted(o) if p == TYPE else _value(p, o, *more))
+        texts[s] = _node(s, props)
+        for o in {o for _, o, *_ in triples[s] if holder.get(o, (None,))[0] == s}:
+            del texts[o]
+    return texts[root]
+
+
 def trees(graph: DataFrame, roots: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, root, value): each root's JSON-LD document as one tree.
 
     A node stands inside the first triple, by subject and predicate, of those that lead to it by the
-    shortest way; everywhere else, and so on every cycle, it is a reference. Texts are folded from the
-    deepest level up, one round per level.
+    shortest way; everywhere else, and so on every cycle, it is a reference. A graph is one document and is
+    folded by one task, from the deepest level up.
     """
-    own = [*keys, "root"]
-    parts = subgraphs(graph, reachable(graph, roots, keys), keys)
-    depths = parts.select(*own, F.col("s").alias("o"), F.col("depth").alias("o_depth")).distinct()
-    links = parts.where("o_kind <> 'literal'").join(depths, [*own, "o"]).where("o_depth = depth + 1")
-    holders = links.groupBy(*own, "o").agg(F.min(F.struct("s", "p")).alias("held")).select(*own, "o", "held.*", F.lit(True).alias("inside"))
-    rows = staged(parts.join(holders, [*own, "o", "s", "p"], "left"), "tree-rows")
-    texts = None
-    for level in range(rows.agg(F.max("depth")).first()[0] or 0, -1, -1):
-        here = rows.where(F.col("depth") == level)
-        value = F.when((F.col("p") == TYPE) & ~F.coalesce("inside", F.lit(False)), quoted(F.col("o"))).otherwise(_value())
-        if texts is None:
-            here = here.withColumn("v", value)
-        else:
-            inner = texts.select(*own, F.col("s").alias("o"), F.col("node").alias("text"), F.lit(True).alias("inside"))
-            here = here.join(inner, [*own, "o", "inside"], "left").withColumn("v", F.coalesce("text", value))
-        texts = staged(_nodes(here, own), "tree-texts")
-    return texts.where(F.col("s") == F.col("root")).select(*own, F.col("node").alias("value"))
+    named = reduce(lambda a, k: a & F.col(k).isNotNull(), keys, F.lit(True))
+    marks = roots.select(*keys, F.col("root").alias("s"), *[F.lit(None).cast("string").alias(c) for c in TERMS[1:]])
+    return by_group(graph.where("p is not null").select(*keys, *TERMS).unionByName(marks).where(named), keys, _trees, "root string, value string")
 
 
 @F.arrow_udf(T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in TERMS])))

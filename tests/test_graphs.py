@@ -140,3 +140,31 @@ def test_many_datasets_of_one_publisher(spark, catalogue):
     rows = catalogue({"a.xml": body + '<foaf:Organization rdf:about="urn:org"><foaf:name>Office</foaf:name></foaf:Organization>'})
     docs = gr.documents(rows).collect()
     assert len(docs) == 300 and all("Office" in r.raw for r in docs)
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_hashes_and_trees_deal_their_triples_once(spark):
+    rows = [("p", "d", "urn:d", gr.TYPE, ma.DCAT + "Dataset", "uri", None, None), ("p", "d", "urn:d", "urn:a", "_:x", "bnode", None, None), ("p", "d", "_:x", "urn:t", "v", "literal", None, "de")]
+    graph = spark.createDataFrame(rows, "portalid string, md5 string, s string, p string, o string, o_kind string, o_type string, o_lang string")
+    roots = spark.createDataFrame([("p", "d", "urn:d"), ("p", "d", "urn:none")], "portalid string, md5 string, root string")
+    tree = gr.trees(graph, roots, ["portalid", "md5"])
+    assert exchanges(tree) == 1 and exchanges(gr.graph_hash(graph, ["portalid", "md5"])) == 1
+    assert [(r.root, json.loads(r.value)["urn:a"]) for r in tree.collect()] == [("urn:d", [{"@id": "_:x", "urn:t": [{"@value": "v", "@language": "de"}]}])]
+
+
+def test_triples_that_come_again_in_files_count_once(spark, catalogue):
+    org = '<foaf:Organization rdf:about="urn:org"><foaf:name>Office</foaf:name></foaf:Organization>'
+    link = '<dct:publisher rdf:resource="urn:org"/>'
+    rows = catalogue({"a.xml": dataset("a", link) + org * 3, "b.xml": dataset("b", link) + org})
+    assert rows.where("o = 'Office'").count() == 2  # one per file
+    docs = {r.id: json.loads(r.raw) for r in gr.documents(rows).collect()}
+    assert all([n["http://xmlns.com/foaf/0.1/name"] for n in d if n["@id"] == "urn:org"] == [[{"@value": "Office"}]] for d in docs.values()) and len(docs) == 2
+
+
+def test_json_texts_are_as_spark_writes_them(spark):
+    texts = [chr(i) for i in range(0x20)] + ['a"b\\c/d', "\\u0001", "\x7f\x85 ü😀", "", "\\\x1f\\u001f"]
+    rows = spark.createDataFrame([(t,) for t in texts], "v string").select("v", F.to_json(F.struct("v")).alias("j")).collect()
+    assert all(r.j == '{"v":' + gr._quoted(r.v) + "}" for r in rows)
