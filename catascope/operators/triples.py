@@ -137,12 +137,13 @@ def n_triples(triples: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def json_ld_nodes(triples: DataFrame, keys: list[str]) -> DataFrame:
     """JSON-LD text of the nodes: one row per subject with its properties.
 
-    A node is one document's share of a subject, so its size is bounded by the document.
+    A node is one document's share of a subject, so its size is bounded by the document. Triples are
+    dealt by their node once, for both steps.
     """
     value = F.when(
         F.col("o_kind") == "literal", F.to_json(F.struct(F.col("o").alias("@value"), F.col("o_type").alias("@type")))
     ).otherwise(F.to_json(F.struct(F.col("o").alias("@id"))))
-    props = triples.groupBy(*keys, "s", "p").agg(
+    props = triples.repartition(*keys, "s").groupBy(*keys, "s", "p").agg(
         F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(value)), ","), F.lit("]")).alias("v")
     )
     pair = F.concat(F.lit('"'), F.col("p"), F.lit('":'), F.col("v"))

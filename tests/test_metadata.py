@@ -191,3 +191,14 @@ def test_portal_quality_counts_only_judged(spark):
     ds = spark.createDataFrame([("p", 1, "a"), ("p", 1, "a"), ("p", 1, "b"), ("p", 1, "c")], "portalid string, snapshot int, md5 string")
     r = qu.portal_quality(ds, scores).first()
     assert (r.datasets, r.coac, r.coacN, r.exda, r.exdaN, r.opfo, r.opfoN) == (4, 0.67, 3, 0.42, 3, None, 0)
+
+
+def test_nodes_of_documents_are_dealt_once(spark):
+    from catascope.operators import triples as tr
+
+    rows = [("a", "urn:s", "urn:p", "2", "literal", None), ("a", "urn:s", "urn:p", "1", "literal", None), ("a", "urn:s", "urn:q", "urn:o", "uri", None), ("b", "urn:s", "urn:p", "1", "literal", None)]
+    nodes = tr.json_ld_nodes(spark.createDataFrame(rows, "md5 string, s string, p string, o string, o_kind string, o_type string"), ["md5"])
+    assert nodes._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert {(r.md5, r.node) for r in nodes.collect()} == {
+        ("a", '{"@id":"urn:s","urn:p":[{"@value":"1"},{"@value":"2"}],"urn:q":[{"@id":"urn:o"}]}'), ("b", '{"@id":"urn:s","urn:p":[{"@value":"1"}]}'),
+    }
