@@ -396,47 +396,58 @@ def socrata_triples(records: DataFrame, keys: list[str]) -> DataFrame:
         doc.get(doc_, "view.owner.displayName").alias("owner"), doc.get(doc_, "view.tableAuthor.displayName").alias("author"), xml_triples(doc.get(doc_, "dcat")).alias("t"),
     )
     rows = staged(rows.where("t is not null"), "socrata")
-    graph = rows.select(*keys, "uri", "view_id", F.inline("t"))
-    about = graph.where((F.col("p") == DCT + "identifier") & (F.col("o") == F.col("view_id"))).groupBy(*keys).agg(F.min("s").alias("about"))
-    graph = graph.join(about, keys, "left")
-    on_set = lambda c: F.when(F.col(c).eqNullSafe(F.col("about")), F.col("uri")).otherwise(F.col(c))
-    graph = graph.withColumns({"s": on_set("s"), "o": F.when(F.col("o_kind") != "literal", on_set("o")).otherwise(F.col("o"))})
+    named = reduce(lambda a, k: a & F.col(k).isNotNull(), keys, F.lit(True))
+    told = lambda x: (x["p"] == DCT + "identifier") & (x["o"] == F.col("view_id"))
+    rows = rows.withColumn("about", F.when(named, F.array_min(F.transform(F.filter("t", told), lambda x: x["s"]))))
+    on_set = lambda c: F.when(c.eqNullSafe(F.col("about")), F.col("uri")).otherwise(c)
     dates = {ODS + "created": DCT + "issued", ODS + "last_modified": DCT + "modified"}
-    p = F.coalesce(*[F.when(F.col("p") == a, b) for a, b in dates.items()], "p")
-    graph = staged(graph.select(*keys, "uri", "s", p.alias("p"), *TERMS[2:]), "socrata-graph")
-
-    downloads = graph.where(F.col("p") == DCAT + "distribution").select(*keys, F.col("o").alias("s"), node_id(angle(F.col("uri")), F.col("o")).alias("dist")).distinct()
-    graph = graph.join(downloads, [*keys, "s"], "left")
-    named = downloads.withColumnsRenamed({"s": "o", "dist": "o_dist"})
-    graph = staged(graph.join(named, [*keys, "o"], "left"), "socrata-dists")
-    is_format = F.col("dist").isNotNull() & (F.col("p") == DCT + "format") & (F.col("o_kind") != "literal")
-    is_kind = F.col("dist").isNotNull() & (F.col("p") == TYPE)
-    formats = graph.where(is_format).select(*keys, "dist", F.col("o").alias("format"))
-    told = graph.where(F.col("p").isin(RDFS + "label", RDF + "value")).select(*keys, F.col("s").alias("format"), "p", F.col("o").alias("text"))
-    formats = staged(formats.join(told, [*keys, "format"]), "socrata-formats")
-    plain = [F.lit("literal").alias("o_kind"), F.lit(None).cast("string").alias("o_type"), F.lit(None).cast("string").alias("o_lang")]
-    link = lambda kind: [F.lit(kind).alias("o_kind"), *plain[1:]]
-    kept = graph.where(~is_format & ~is_kind).select(
-        *keys, F.coalesce("dist", "s").alias("s"), "p", F.coalesce("o_dist", "o").alias("o"), F.when(F.col("o_dist").isNotNull(), "bnode").otherwise(F.col("o_kind")).alias("o_kind"), "o_type", "o_lang"
+    dated = lambda p: F.coalesce(*[F.when(p == a, b) for a, b in dates.items()], p)
+    of = lambda s, p, o, kind, o_type=None, lang=None: F.struct(
+        s.alias("s"), (F.lit(p) if isinstance(p, str) else p).alias("p"), o.alias("o"), (F.lit(kind) if isinstance(kind, str) else kind).alias("o_kind"),
+        *[(F.lit(None).cast("string") if v is None else v).alias(c) for c, v in (("o_type", o_type), ("o_lang", lang))],
+    )
+    own = lambda x: of(on_set(x["s"]), dated(x["p"]), F.when(x["o_kind"] != "literal", on_set(x["o"])).otherwise(x["o"]), x["o_kind"], x["o_type"], x["o_lang"])
+    rows = rows.withColumn("t", F.transform("t", own))
+
+    # a record's triples are looked up in its own row: its downloads, then the formats that these refer to
+    downloads = F.array_distinct(F.transform(F.filter("t", lambda x: x["p"] == DCAT + "distribution"), lambda x: x["o"]))
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("downloads", F.when(named, F.array_compact(downloads)).otherwise(none))
+    dist = lambda n: F.when(F.array_contains("downloads", n), node_id(angle(F.col("uri")), n))
+    placed = F.transform("t", lambda x: F.struct(x.alias("t"), dist(x["s"]).alias("dist"), dist(x["o"]).alias("o_dist")))
+    rows = rows.withColumn("t", placed)
+    is_format = lambda x: x["dist"].isNotNull() & (x["t"]["p"] == DCT + "format") & (x["t"]["o_kind"] != "literal")
+    is_kind = lambda x: x["dist"].isNotNull() & (x["t"]["p"] == TYPE)
+    rows = rows.withColumn("formats", F.transform(F.filter("t", is_format), lambda x: F.struct(x["dist"].alias("dist"), x["t"]["o"].alias("format"))))
+    kept = F.transform(
+        F.filter("t", lambda x: ~is_format(x) & ~is_kind(x)),
+        lambda x: of(
+            F.coalesce(x["dist"], x["t"]["s"]), x["t"]["p"], F.coalesce(x["o_dist"], x["t"]["o"]),
+            F.when(x["o_dist"].isNotNull(), "bnode").otherwise(x["t"]["o_kind"]), x["t"]["o_type"], x["t"]["o_lang"],
+        ),
     )
-    media = formats.where(F.col("p") == RDF + "value").select(*keys, F.col("dist").alias("s"), F.lit(DCAT + "mediaType").alias("p"), F.col("text").alias("o"), *plain)
-    label = formats.where(F.col("p") == RDFS + "label").select(*keys, F.col("text").alias("s"), F.lit(TYPE).alias("p"), F.lit(DCT + "MediaTypeOrExtent").alias("o"), *link("uri"))
-    dists = downloads.select(*keys, F.col("dist").alias("s"), F.lit(TYPE).alias("p"), F.lit(DCAT + "Distribution").alias("o"), *link("uri"))
-    sets = rows.where("view_id is not null").select(*keys, F.col("uri").alias("s"), F.lit(TYPE).alias("p"), F.lit(DCAT + "Dataset").alias("o"), *link("uri"))
 
-    def agent(who: str, predicate: str, prop: str, kind: str) -> list[DataFrame]:
+    def says(predicate: str, build: Callable[[Column, Column], Column]) -> Column:
+        about = lambda f: F.filter("t", lambda x: (x["t"]["s"] == f["format"]) & (x["t"]["p"] == predicate))
+        return F.flatten(F.transform("formats", lambda f: F.transform(about(f), lambda x: build(f["dist"], x["t"]["o"]))))
+
+    def agent(who: str, predicate: str, prop: str, kind: str) -> Column:
         node = node_id(angle(F.col("uri")), angle(F.lit(prop if who == "author" else predicate)), F.col(who))
-        some = rows.where(F.col(who).isNotNull() & F.col("view_id").isNotNull()).withColumn("node", node)
-        return [
-            some.select(*keys, F.col("uri").alias("s"), F.lit(predicate).alias("p"), F.col("node").alias("o"), *link("bnode")),
-            some.select(*keys, F.col("node").alias("s"), F.lit(TYPE).alias("p"), F.lit(kind).alias("o"), *link("uri")),
-            some.select(*keys, F.col("node").alias("s"), F.lit(prop).alias("p"), F.col(who).alias("o"), *plain),
-        ]
-
-    parts = [kept, media, label, dists, sets]
-    parts += agent("owner", DCT + "publisher", FOAF + "name", FOAF + "Organization")
-    parts += agent("author", DCAT + "contactPoint", VCARD + "fn", VCARD + "Organization")
-    return reduce(DataFrame.unionByName, parts).distinct()
+        some = F.array(of(F.col("uri"), predicate, node, "bnode"), of(node, TYPE, F.lit(kind), "uri"), of(node, prop, F.col(who), "literal"))
+        return F.when(F.col(who).isNotNull() & F.col("view_id").isNotNull(), some)
+
+    parts = [
+        kept,
+        says(RDF + "value", lambda dist, text: of(dist, DCAT + "mediaType", text, "literal")),
+        says(RDFS + "label", lambda _, text: of(text, TYPE, F.lit(DCT + "MediaTypeOrExtent"), "uri")),
+        F.transform("downloads", lambda n: of(dist(n), TYPE, F.lit(DCAT + "Distribution"), "uri")),
+        F.when(F.col("view_id").isNotNull(), F.array(of(F.col("uri"), TYPE, F.lit(DCAT + "Dataset"), "uri"))),
+        agent("owner", DCT + "publisher", FOAF + "name", FOAF + "Organization"),
+        agent("author", DCAT + "contactPoint", VCARD + "fn", VCARD + "Organization"),
+    ]
+    kind = "array<struct<" + ",".join(f"{c}:string" for c in TERMS) + ">>"
+    every = F.flatten(F.array_compact(F.array(*[part.cast(kind) for part in parts])))
+    return rows.select(*keys, F.inline(F.array_distinct(every))).distinct()
 
 
 ship(rdfxml.__name__)
