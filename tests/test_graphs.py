@@ -168,3 +168,17 @@ def test_json_texts_are_as_spark_writes_them(spark):
     texts = [chr(i) for i in range(0x20)] + ['a"b\\c/d', "\\u0001", "\x7f\x85 ü😀", "", "\\\x1f\\u001f"]
     rows = spark.createDataFrame([(t,) for t in texts], "v string").select("v", F.to_json(F.struct("v")).alias("j")).collect()
     assert all(r.j == '{"v":' + gr._quoted(r.v) + "}" for r in rows)
+
+
+def test_socrata_records_are_looked_up_in_their_rows(spark):
+    xml = HEAD[:-1] + ' xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#"><dcat:Dataset rdf:about="urn:v"><dct:identifier>v1</dct:identifier><dcat:distribution><dcat:Download rdf:about="urn:f"><dct:format>'
+    xml += '<rdf:Description rdf:about="urn:k"><rdfs:label>CSV</rdfs:label><rdf:value>text/csv</rdf:value></rdf:Description></dct:format></dcat:Download></dcat:distribution></dcat:Dataset></rdf:RDF>'
+    raw = json.dumps({"view": {"id": "v1", "owner": {"displayName": "Office"}}, "dcat": xml})
+    records = spark.createDataFrame([("p", "m", "http://h/api/", raw), ("p", "m", "http://h/api/", raw), ("p", "n", "http://h/api/", "{}")], "portalid string, md5 string, apiuri string, raw string")
+    graph = gr.socrata_triples(records, ["portalid", "md5"])
+    assert exchanges(graph) == 1
+    rows = {(r.s, r.p, r.o, r.o_kind) for r in graph.collect()}
+    uri = "http://h/api/dataset/v1"
+    dist = next(o for s, p, o, kind in rows if p == ma.DCAT + "distribution" and (s, kind) == (uri, "bnode"))
+    assert {(dist, ma.DCAT + "mediaType", "text/csv", "literal"), (dist, gr.TYPE, ma.DCAT + "Distribution", "uri"), ("CSV", gr.TYPE, ma.DCT + "MediaTypeOrExtent", "uri"), (uri, gr.TYPE, ma.DCAT + "Dataset", "uri")} <= rows
+    assert not any(p == ma.DCT + "format" or o.endswith("Download") or s == "urn:f" for s, p, o, _ in rows) and any(o == "Office" for _, _, o, _ in rows)
