@@ -11,12 +11,11 @@ carries the rest on. Windows go on across slices: a slice knows how many tokens
 from __future__ import annotations
 
 import bisect
-import itertools
 import os
 import re
 import sys
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,48 +33,61 @@ SLICE = 1 << 18
 #: The id behind every document.
 END = 2
 VOCABULARY = "word_bpe_49k.json"
-#: Encoded parts that a worker remembers as new, letters of texts that are encoded together, and words.
-REMEMBERED, AT_ONCE, TOGETHER = 1 << 18, 1 << 20, 2000
+#: Encoded units that a worker remembers as new, and letters of texts that are encoded together.
+REMEMBERED, AT_ONCE = 1 << 18, 1 << 20
 
 
 #: Letters and digits of Latin-1 as the vocabulary's pattern has them, on text in lower case.
 LETTER, DIGIT, SPACE = rb"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", rb"0-9\xb2\xb3\xb9\xbc-\xbe", rb" \t-\r\x85\xa0"
-#: The pattern that the vocabulary cuts texts with.
-UNIT = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[" + LETTER + rb"]+|[" + DIGIT + rb"]|[^" + SPACE + LETTER + DIGIT + rb"]+")
+#: The pattern that the vocabulary cuts texts with; words, which are most, are tried first.
+UNIT = re.compile(rb"[" + LETTER + rb"]+|'(?:s|t|re|ve|m|ll|d)|[" + DIGIT + rb"]|[^" + SPACE + LETTER + DIGIT + rb"]+")
 LOWER = bytes(c + 32 if 65 <= c <= 90 or 0xC0 <= c <= 0xDE and c != 0xD7 else 32 if c in (0x85, 0xA0) else c for c in range(256))
 WORD = re.compile(rb"[" + LETTER + rb"]+")
+#: The letters that the vocabulary writes bytes of UTF-8 in, where they are not the bytes' own.
+WRITTEN = {b: 256 + i for i, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 
 
-class Known:
-    """Encoded texts, of which those that were asked for lately are remembered."""
+class Known(dict):
+    """Encoded texts. One that is not here is taken from those known before, or is asked for and None until it is learned."""
 
-    def __init__(self):
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+    def __init__(self, before: dict[bytes, bytes]):
+        self.before, self.asked = before, []
 
-    def missing(self, keys: Iterable[bytes]) -> list[bytes]:
-        """The different keys that are not known; what is asked for again counts as new."""
-        out = []
-        for k in set(keys).difference(self.new):
-            if k in self.old:
-                self.new[k] = self.old[k]
-            else:
-                out.append(k)
+    def __missing__(self, key: bytes) -> bytes | None:
+        ids = self[key] = self.before.get(key)
+        if ids is None:
+            self.asked.append(key)
+        return ids
+
+    def wanted(self) -> list[bytes]:
+        """What was asked for since the last call."""
+        out, self.asked = self.asked, []
         return out
 
-    def forget(self) -> None:
-        if len(self.new) > REMEMBERED:
-            self.old, self.new = self.new, {}
+    def lately(self) -> Known:
+        """Itself, or once it is large a new one that knows what this one has."""
+        if len(self) <= REMEMBERED:
+            return self
+        self.before = {}
+        return Known(self)
+
+    def whole(self, keys: list[bytes], found: list[bytes | None]) -> bytes:
+        """What is found for the keys, one after the other; by now all are learned."""
+        i = -1
+        for _ in range(found.count(None)):
+            i = found.index(None, i + 1)
+            found[i] = self[keys[i]]
+        return b"".join(found)
 
 
 class Encoder:
     """Ids of texts by a vocabulary file of the tokenizers library, as bytes of little-endian unsigned integers.
 
     The vocabulary puts texts into lower case, cuts them by a pattern and drops white space, and no
-    token reaches across a cut. So a text's ids are those of its parts between white space one after
-    the other, these are those of their units, and the library encodes a unit once, many in one
-    call. Texts with letters beyond Latin-1, or with what may be a special token, are cut at white
-    space only.
+    token reaches across a cut. So a text's ids are those of its units one after the other, and a unit
+    is encoded once: words by the library's model, as the letters that the vocabulary writes their
+    bytes in, other units by the whole library, many in one call. Texts with letters beyond Latin-1,
+    or with what may be a special token, are cut at white space only.
     """
 
     def __init__(self, path: str | None):
@@ -86,11 +98,9 @@ class Encoder:
         self.library = Tokenizer.from_file(str(path or public_tokenizers.path(VOCABULARY)))
         self.library.no_truncation()
         self.library.no_padding()
-        size = self.library.get_vocab_size()
-        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.ends = np.zeros(size, bool)  # tokens that end a word
-        self.ends[[i for token, i in self.library.get_vocab().items() if token.endswith("</w>")]] = True
-        self.parts, self.units, self.others = Known(), Known(), Known()
+        self.model = self.library.model
+        self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.units, self.others = Known({}), Known({})
 
     @staticmethod
     def of_task(path: str | None) -> Encoder:
@@ -112,47 +122,34 @@ class Encoder:
         yield from self.some(held)
 
     def some(self, texts: list[str]) -> list[bytes]:
+        self.units, self.others = self.units.lately(), self.others.lately()
         cut = []
         for text in texts:
             try:
                 if "<|" in text:
                     raise UnicodeError
-                cut.append((self.parts, text.encode("latin-1").translate(LOWER).split()))
+                known, keys = self.units, UNIT.findall(text.encode("latin-1").translate(LOWER))
             except UnicodeError:
-                cut.append((self.others, text.encode().split()))
-        for known, learn in ((self.parts, self.learn_parts), (self.others, self.learn_others)):
-            known.forget()
-            learn(known.missing(itertools.chain.from_iterable(p for k, p in cut if k is known)))
-        return [b"".join(map(known.new.__getitem__, p)) for known, p in cut]
-
-    def learn_parts(self, new: list[bytes]) -> None:
-        cut = list(map(UNIT.findall, new))
-        self.units.forget()
-        self.learn_units(self.units.missing(itertools.chain.from_iterable(cut)))
-        ids = self.units.new.__getitem__
-        self.parts.new.update((part, b"".join(map(ids, units))) for part, units in zip(new, cut))
+                known, keys = self.others, text.encode().split()
+            cut.append((known, keys, list(map(known.__getitem__, keys))))
+        self.learn_units(self.units.wanted())
+        self.learn(self.others, self.others.wanted(), "utf-8")
+        return [known.whole(keys, found) for known, keys, found in cut]
 
     def learn_units(self, new: list[bytes]) -> None:
-        """Words are encoded as one text, in which their last tokens tell them apart; other units one by one."""
-        words = [w for w in new if WORD.fullmatch(w)]
-        rest = set(new).difference(words)
-        for k in range(0, len(words), TOGETHER):
-            own = words[k : k + TOGETHER]
-            ids = np.array(self.library.encode_batch_fast([b" ".join(own).decode("latin-1")], add_special_tokens=False)[0].ids, self.kind)
-            cut = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1))
-            if len(cut) == len(own) + 1 and cut[-1] == len(ids):
-                data, at = ids.tobytes(), (cut * self.kind.itemsize).tolist()
-                self.units.new.update(zip(own, [data[i:j] for i, j in zip(at, at[1:])]))
+        units, tokens, rest = self.units, self.model.tokenize, []
+        for unit in new:
+            if WORD.fullmatch(unit):
+                word = unit.decode("latin-1")
+                word = word if unit.isascii() else word.encode().decode("latin-1").translate(WRITTEN)
+                units[unit] = np.array([t.id for t in tokens(word)], self.kind).tobytes()
             else:
-                rest.update(own)
-        self.learn(self.units, list(rest), "latin-1")
-
-    def learn_others(self, new: list[bytes]) -> None:
-        self.learn(self.others, new, "utf-8")
+                rest.append(unit)
+        self.learn(units, rest, "latin-1")
 
     def learn(self, known: Known, new: list[bytes], code: str) -> None:
         found = self.library.encode_batch_fast([w.decode(code) for w in new], add_special_tokens=False)
-        known.new.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(new, found))
+        known.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(new, found))
 
 
 def encoded(path: str | None, schema: pa.Schema):

@@ -39,6 +39,16 @@ def test_forgotten_words_and_every_letter_of_latin_1(library, monkeypatch):
     assert [np.frombuffer(x, "<u2").tolist() for x in packing.Encoder(None).many(texts)] == wanted
 
 
+def test_words_go_to_the_model_and_are_looked_up_once(library, monkeypatch):
+    encoder, asked, lookups = packing.Encoder(None), [], Counter()
+    monkeypatch.setattr(packing.Known, "__missing__", lambda known, key, own=packing.Known.__missing__: (lookups.update([key]), own(known, key))[1])
+    encoder.learn = lambda known, new, code, own=encoder.learn: (asked.extend(new), own(known, new, code))
+    texts = ["Été, the été. ÿþß ª º µ", "the été , ¼ it's", "the " * 50]
+    assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.many(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not [w for w in asked if packing.WORD.fullmatch(w)]  # only other units take the whole library
+    assert set(lookups.values()) == {1} and b"the" in lookups and b"\xe9t\xe9" in lookups
+
+
 def pieces_of(df, library, **options):
     """Checks that the pieces are the documents and the sequences are full; returns (sequence -> source -> tokens, sizes)."""
     window = options.get("window", packing.WINDOW)
