@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from catascope.functions.cells import cell_label, cell_type
 from catascope.functions.ratios import node_id
-from catascope.sources.csvfiles import csv_fields, csv_heads
+from catascope.session import staged
+from catascope.sources.csvfiles import csv_fields, csv_heads, tasks_for
 
 # Local names of the column types.
 TYPE_NAMES = {"number": "number", "datetime": "datetime", "binary": "binary", "any": "anyAtomicType"}
@@ -52,14 +53,14 @@ def column_type(cell_rows: DataFrame) -> DataFrame:
     values = cell_rows.groupBy("file", "col", "value").agg(F.count(F.lit(1)).alias("n"))
     values = values.withColumn("label", label).where(F.col("label") != "empty")
     c = values.groupBy("file", "col").agg(
-        F.min("label").alias("lo"),
-        F.max("label").alias("hi"),
+        F.bool_and(F.col("label") == "number").alias("numbers"),
+        F.bool_and(F.col("label") == "datetime").alias("datetimes"),
         F.count(F.lit(1)).alias("distinct_values"),
         F.bool_and(~F.col("value").contains(" ")).alias("single"),
     )
     kind = (
-        F.when((F.col("lo") == "number") & (F.col("hi") == "number"), TYPE_NAMES["number"])
-        .when((F.col("lo") == "datetime") & (F.col("hi") == "datetime"), TYPE_NAMES["datetime"])
+        F.when(F.col("numbers"), TYPE_NAMES["number"])
+        .when(F.col("datetimes"), TYPE_NAMES["datetime"])
         .when((F.col("distinct_values") == 2) & F.col("single"), TYPE_NAMES["binary"])
         .otherwise(TYPE_NAMES["any"])
     )
@@ -105,12 +106,13 @@ def csvw(records: DataFrame, media: str = "text/csv") -> DataFrame:
 
     Delimiter, names and header come from the first record, types from all records.
     """
-    head = csv_heads(records)
+    head = staged(csv_heads(records), "csv-heads")
     told = records.groupBy("file").agg(F.count_if("comment").alias("comment_lines"))
     body = records.where("not comment").join(head.select("file", F.col("row").alias("head"), "header"), "file")
     body = body.where(~(F.col("header") & (F.col("row") == F.col("head"))))
     cells_ = body.select("file", F.posexplode(csv_fields(F.col("value"), F.col("delimiter"))).alias("pos", "value"))
-    types = column_type(cells_.select("file", F.col("pos").cast("string").alias("col"), "value"))
+    cells_ = cells_.select("file", F.col("pos").cast("string").alias("col"), "value").repartition(tasks_for(head), "file", "col", "value")
+    types = column_type(cells_)
     named = head.join(told, "file").select("file", "size", "encoding", "delimiter", "header", "comment_lines", F.posexplode("fields").alias("pos", "value")).withColumn(
         "name", F.when(F.col("header"), F.col("value")).otherwise(F.concat(F.lit("col"), (F.col("pos") + 1).cast("string")))
     )

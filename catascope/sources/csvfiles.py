@@ -25,6 +25,8 @@ DELIMITERS = [",", ";", "\t", "|"]
 CONTROLS = "".join(chr(b) for b in range(0x80, 0xA0))
 WINDOWS = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
 UNUSED = "".join(c for c, w in zip(CONTROLS, WINDOWS) if c == w)
+#: Bytes of files whose lines or cells one task takes behind an exchange, about.
+TASK_BYTES = 4 << 20
 #: A file in which every so many bytes one is zero or more holds UTF-16.
 ZEROS = 5
 
@@ -133,6 +135,12 @@ def _ends(start: int) -> Column:
     return quoted if start else F.when(value.startswith("#"), F.lit(0)).otherwise(quoted)
 
 
+def tasks_for(files: DataFrame) -> int:
+    """Tasks for what the files (file, size) hold, in proportion to their bytes: coalesced ones grow with the input."""
+    size = files.agg(F.sum("size")).first()[0] or 0
+    return max(files.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+
+
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
     """(file, size, encoding, delimiter, row, comment, value): the records of every file, numbered from 0.
 
@@ -142,8 +150,9 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = csv_lines(spark, path)
     told = lines.where((F.trim("value") != "") & ~F.col("value").startswith("#"))
-    heads = told.groupBy("file").agg(F.min(F.struct("block", "id", csv_delimiter(F.col("value")).alias("delimiter"))).alias("h"))
-    rows = lines.join(staged(heads.select("file", "h.delimiter"), "heads"), "file")
+    heads = told.groupBy("file").agg(F.min(F.struct("block", "id", "size", csv_delimiter(F.col("value")).alias("delimiter"))).alias("h"))
+    heads = staged(heads.select("file", "h.size", "h.delimiter"), "heads")
+    rows = lines.join(heads.drop("size"), "file").repartition(tasks_for(heads), "file", "block")
 
     # a line fixes the state, turns it round or leaves it
     out_, in_ = _ends(0), _ends(1)

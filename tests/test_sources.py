@@ -252,6 +252,20 @@ def test_column_types(spark):
     assert {r.col: r.datatype for r in pr.column_type(df).collect()} == {"n": "number", "b": "binary", "d": "datetime", "x": "anyAtomicType"}
 
 
+def test_tasks_follow_the_bytes_and_types_need_no_sort(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cf, "TASK_BYTES", 10)
+    files = spark.createDataFrame([("a", 1990), ("b", 6)], "file string, size long")
+    assert cf.tasks_for(files) == 200 and cf.tasks_for(files.limit(0)) == spark.sparkContext.defaultParallelism
+    (tmp_path / "a.csv").write_text("id,note\n" + "".join(f"{i},n{i}\n" for i in range(250)))
+    records = cf.csv_records(spark, str(tmp_path))
+    assert {r.name: r.datatype for r in pr.csvw(records).collect()} == {"id": "number", "note": "anyAtomicType"}
+    plan = pr.csvw(records)._jdf.queryExecution().executedPlan().toString()
+    size = (tmp_path / "a.csv").stat().st_size
+    assert f", {-(-size // 10)}), REPARTITION_BY_NUM" in plan
+    cells = spark.createDataFrame([("f", "c", "1")], "file string, col string, value string")
+    assert "SortAggregate" not in pr.column_type(cells)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_runs_show_rejected_pages(spark):
     pages = spark.createDataFrame([("p", 1, 0, '{"datasets":[]}'), ("p", 1, 1, '{"datasets":['), ("q", 1, 0, " "), ("r", 1, 0, None), ("s", 1, 0, '{"datasets":[{}]}')], "portalid string, snapshot int, page int, body string")
     rejects = ha.rejected_pages(pages, "OpenDataSoft")
