@@ -6,8 +6,10 @@ last, all but the first) have reached the threshold, it is counted too, from the
 it has seen every shard once. So lengths interleave, and no phrase waits for shorter ones to end.
 
 What has reached the threshold is known to the scans by a map of bounded size: a place per hash of a
-phrase says after which scan the first phrase there did. Places that phrases share only make some
-phrases be counted that need not be; every count is exact, as the phrase itself is its key.
+phrase says after which scan the first phrase there did. The scans count by hashes alone, in buckets of
+hashes whose number grows with the words; hashes that phrases share make counts larger, never smaller.
+So no frequent phrase is missed, and one more scan counts the phrases that can be frequent exactly, each
+phrase itself its key.
 """
 
 from __future__ import annotations
@@ -30,8 +32,10 @@ LEAST = 100
 LONGEST = 5
 FIRST = 2000
 SHARDS = 2
-#: Places of the map, one byte each.
-PLACES = 1 << 22
+#: Places of the map, one byte each, and of the map of phrases that are counted exactly, one bit each.
+PLACES, CHOSEN = 1 << 22, 1 << 25
+#: Words of the corpus per bucket of hashes, and hashes that a task holds before it hands them on.
+BUCKET, HELD = 1 << 19, 1 << 21
 #: Words of a block, about; a document is never cut.
 BLOCK = 1 << 19
 #: Candidates that one task ranks: so many times the number wanted.
@@ -80,18 +84,25 @@ def blocks(limit: int):
     return run
 
 
-def phrase_hashes(lang: str, words: list[bytes], ids: np.ndarray, longest: int) -> list[np.ndarray]:
-    """For each length, from 0, the hashes of the phrases that begin at each place."""
-    start = np.uint64(xxhash.xxh64_intdigest(lang.encode()))
-    own = np.array([xxhash.xxh64_intdigest(w) for w in words] + [0], np.uint64)
-    word = own[ids]
-    out = [np.full(len(ids) + 1, start, np.uint64)]
-    for m in range(longest):
-        out.append((out[-1][: len(ids) - m] ^ word[m:]) * TURN)
-        out[-1] ^= out[-1] >> np.uint64(29)
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """Hashes of the words, and one for MARK at the end."""
+    return np.array([xxhash.xxh64_intdigest(w) for w in words] + [0], np.uint64)
+
+
+def phrase_hashes(lang: str, word: np.ndarray, longest: int) -> list[np.ndarray]:
+    """For each length, from 0, the hashes of the phrases that begin at each place; `word` has the hash of the word there."""
+    out = [np.full(len(word) + 1, np.uint64(xxhash.xxh64_intdigest(lang.encode())))]
+    for m in range(min(longest, len(word))):
+        out.append(grown(out[-1][: len(word) - m], word[m:]))
     return out
 
 
+def grown(shorter: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of phrases with one word more."""
+    out = (shorter ^ word) * TURN
+    return out ^ out >> np.uint64(29)
+
+
 def same_phrases(ids: np.ndarray, places: np.ndarray, hashes: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     """A place of each different phrase of m words that begins at one of the places, and its count."""
     _, first, which, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
@@ -103,53 +114,114 @@ def same_phrases(ids: np.ndarray, places: np.ndarray, hashes: np.ndarray, m: int
     return places[first], count
 
 
-def scanned(step: int, shards: int, longest: int, since):
-    """Blocks of one shard to the counts (lang, phrase, words, hash, began, n) of the phrases that are counted in this scan.
+def summed(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The different hashes in order, each with the sum of its counts."""
+    hashes, counts = np.concatenate(hashes), np.concatenate(counts)
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+    return hashes[first], np.add.reduceat(counts[order], first)
+
+
+COUNTS = "bucket long, began int, longest boolean, hashes binary, counts binary"
+
+
+def scanned(step: int, shards: int, longest: int, buckets: int, since):
+    """Blocks of one shard to the counts of the phrases that are counted in this scan, by buckets of hashes.
 
     `since` is the map: the scan after which something at the place had reached the threshold, or 0.
+    A bucket is a range of the upper halves of hashes, and holds the lower halves.
     """
+    starts = np.array([-(-(k << 32) // buckets) << 32 for k in range(buckets)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = since.value
+        known, held = since.value, defaultdict(list)
         size = np.uint64(len(known) - 1)
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for (began, last), own in held.items():
+                hashes, counts = summed(*zip(*own))
+                cut = [*np.searchsorted(hashes, starts).tolist(), len(hashes)]
+                some = [k for k in range(buckets) if cut[k] < cut[k + 1]]
+                low, counts = hashes.astype("<u4"), counts.astype("<u8")
+                columns = [pa.array(some, pa.int64()), pa.array([began] * len(some), pa.int32()), pa.array([last] * len(some), pa.bool_())]
+                columns += [pa.array([x[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary()) for x in (low, counts)]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "began", "longest", "hashes", "counts"])
+            held.clear()
+
+        n = 0
         for batch in batches:
             for lang, words, ids in zip(*(batch.column(c).to_pylist() for c in ("lang", "words", "ids"))):
                 ids = np.frombuffer(ids, "<i4")
-                hashes = phrase_hashes(lang, words, ids, longest)
-                whole = np.ones(len(ids) + 1, bool)
-                for m in range(1, longest + 1):
-                    n = len(ids) - m + 1
-                    if n <= 0:
-                        break
-                    whole = whole[:n] & (ids[m - 1 :] != MARK)
-                    if m == 1:
-                        if step > shards:
-                            continue
-                        began = np.zeros(n, np.uint8)
-                        places = np.flatnonzero(whole)
-                    else:
-                        reached = known[(hashes[m - 1] & size).astype(np.int64)]
-                        began = np.maximum(reached[:n], reached[1 : n + 1])
-                        both = (reached[:n] > 0) & (reached[1 : n + 1] > 0)
-                        places = np.flatnonzero(whole & both & (began < step) & (step <= began.astype(np.int64) + shards))
+                own = word_hashes(words)
+                if step <= shards and words:
+                    held[0, longest == 1].append((phrase_hashes(lang, own[:-1], 1)[1], np.bincount(ids[ids >= 0], minlength=len(words))))
+                    n += len(words)
+                # a phrase of m words begins after m - 1 scans at least
+                own = own[ids]
+                hashes = phrase_hashes(lang, own, min(longest, step) - 1)
+                word = whole = ids != MARK
+                for m in range(2, min(longest, step, len(ids)) + 1):
+                    whole = whole[:-1] & word[m - 1 :]
+                    reached = known[(hashes[m - 1] & size).astype(np.int64)]
+                    began = np.maximum(np.maximum(reached[:-1], reached[1:]), m - 1)
+                    places = np.flatnonzero(whole & (reached[:-1] > 0) & (reached[1:] > 0) & (began < step) & (step - shards <= began.astype(np.int64)))
                     if not len(places):
                         continue
-                    first, count = same_phrases(ids, places, hashes[m][places], m)
-                    texts = [b" ".join([words[i] for i in ids[p : p + m].tolist()]).decode() for p in first.tolist()]
-                    columns = [
-                        pa.array([lang] * len(first), pa.string()),
-                        pa.array(texts, pa.string()),
-                        pa.array(np.full(len(first), m, np.int32)),
-                        pa.array(hashes[m][first].view(np.int64)),
-                        pa.array(began[first].astype(np.int32)),
-                        pa.array(count.astype(np.int64)),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "words", "hash", "began", "n"])
+                    found, began = grown(hashes[m - 1][places], own[places + m - 1]), began[places]
+                    for b in range(max(0, step - shards), step):
+                        some, count = np.unique(found[began == b], return_counts=True)
+                        if len(some):
+                            held[b, m == longest].append((some, count))
+                            n += len(some)
+                if n >= HELD:
+                    yield from done()
+                    n = 0
+        yield from done()
 
     return run
 
 
-COUNTS = "lang string, phrase string, words int, hash long, began int, n long"
+def merged(step: int, shards: int, least: int):
+    """Counts of a bucket to one row; what has been counted in every shard leaves but for what is in `often`, which has reached the threshold."""
+
+    def run(table: pa.Table) -> pa.Table:
+        column = lambda c, kind: [np.frombuffer(x, kind) for x in table.column(c).to_pylist()]
+        hashes, counts = summed(column("hashes", "<u4"), column("counts", "<u8"))
+        began = table.column("began")[0].as_py()
+        open_ = began + shards > step
+        row = {"bucket": table.column("bucket")[0].as_py(), "began": began, "longest": table.column("longest")[0].as_py()}
+        row |= {"hashes": hashes.tobytes() if open_ else b"", "counts": counts.tobytes() if open_ else b""}
+        row["often"] = hashes[counts >= least].astype(np.int64)
+        kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+        return pa.table({c: pa.array([v], k) for (c, v), k in zip(row.items(), kinds)})
+
+    return run
+
+
+def exactly(longest: int, chosen):
+    """Blocks to the counts (lang, phrase, words, n) of phrases whose bit is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = chosen.value
+        size = np.uint64(8 * len(bits) - 1)
+        for batch in batches:
+            for lang, words, ids in zip(*(batch.column(c).to_pylist() for c in ("lang", "words", "ids"))):
+                ids = np.frombuffer(ids, "<i4")
+                hashes = phrase_hashes(lang, word_hashes(words)[ids], longest)
+                word, whole = ids != MARK, np.ones(len(ids) + 1, bool)
+                for m in range(1, min(longest, len(ids)) + 1):
+                    whole = whole[: len(ids) - m + 1] & word[m - 1 :]
+                    at = (hashes[m][: len(whole)] & size).astype(np.int64)
+                    places = np.flatnonzero(whole & (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0))
+                    if not len(places):
+                        continue
+                    first, count = same_phrases(ids, places, hashes[m][places], m)
+                    texts = [b" ".join([words[i] for i in p]).decode() for p in ids[first[:, None] + np.arange(m)].tolist()]
+                    columns = [pa.array([lang] * len(first), pa.string()), pa.array(texts, pa.string()), pa.array(np.full(len(first), m, np.int32)), pa.array(count.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "words", "n"])
+
+    return run
 
 
 def phrase_counts(
@@ -169,30 +241,38 @@ def phrase_counts(
     path = scratch(spark, "blocks")
     rows.write.partitionBy("shard").parquet(path)
     rows = spark.read.schema(rows.schema).parquet(path)
-    since, counts, open_, step, last = np.zeros(places, np.uint8), None, None, 0, 0
-    while step < last + shards:
+    totals = stored(rows.groupBy("lang").agg(F.sum("n").alias("total")), "words-by-lang")
+    buckets = -(-(totals.agg(F.sum("total")).first()[0] or 1) // BUCKET)
+    since, chosen, open_, step, last = np.zeros(places, np.uint8), np.zeros(CHOSEN, bool), None, 0, 0
+
+    def places_of(often: DataFrame, size: int) -> np.ndarray:
+        """The places of hashes in a map: never more than the map has."""
+        hashes = often.select(F.explode("often").alias("hash"))
+        return hashes.select(F.col("hash").bitwiseAND(size - 1).cast("int").alias("at")).distinct().toArrow()["at"].to_numpy()
+
+    # what has a place that was set before begins after longest - 1 scans at the latest
+    while step < (max(last, longest - 1) if last else 0) + shards:
         step += 1
         shard = rows.where(F.col("shard") == (step - 1) % shards).select("lang", "words", "ids")
         known = spark.sparkContext.broadcast(since)
-        found = shard.mapInArrow(scanned(step, shards, longest, known), COUNTS)
+        found = shard.mapInArrow(scanned(step, shards, longest, buckets, known), COUNTS)
         found = found.unionByName(open_) if open_ else found
-        found = stored(found.groupBy("lang", "phrase", "words", "hash", "began").agg(F.sum("n").alias("n")), "counts")
+        found = stored(found.groupBy("bucket", "began", "longest").applyInArrow(merged(step, shards, least), COUNTS + ", often array<long>"), "counts")
         known.unpersist()
         # phrases that have seen every shard leave: the frequent ones are results
-        through, often = F.col("began") + shards <= step, F.col("n") >= least
-        done = found.where(through & often).select("lang", "phrase", "words", "n")
-        counts = counts.unionByName(done) if counts else done
-        open_ = found.where(~through)
-        # places that are newly set: never more than the map has
-        reached = found.where(often & (F.col("words") < longest))
-        new = reached.select(F.col("hash").bitwiseAND(places - 1).cast("int").alias("at")).distinct().toArrow()["at"].to_numpy()
+        through = F.col("began") + shards <= step
+        chosen[places_of(found.where(through), CHOSEN)] = True
+        open_ = found.where(~through).drop("often")
+        new = places_of(found.where(~F.col("longest")), places)
         new = new[since[new] == 0]
         if len(new):
             since = since.copy()
             since[new] = step
             last = step
-    totals = rows.groupBy("lang").agg(F.sum("n").alias("total"))
-    return stored(counts, "phrases"), stored(totals, "words-by-lang")
+    known = spark.sparkContext.broadcast(np.packbits(chosen, bitorder="little"))
+    counts = rows.select("lang", "words", "ids").mapInArrow(exactly(longest, known), "lang string, phrase string, words int, n long")
+    counts = counts.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return stored(counts, "phrases"), totals
 
 
 def part(first: Column | int, last: Column | int) -> Column:
