@@ -33,9 +33,11 @@ LONGEST = 5
 FIRST = 2000
 SHARDS = 2
 #: Places of the map, one byte each, and of the map of phrases that are counted exactly, one bit each.
-PLACES, CHOSEN = 1 << 22, 1 << 25
+PLACES, CHOSEN = 1 << 22, 1 << 26
 #: Words of the corpus per bucket of hashes, and hashes that a task holds before it hands them on.
 BUCKET, HELD = 1 << 19, 1 << 21
+#: Words of one lang that a task counts together by their letters, about.
+TOGETHER = 1 << 20
 #: Words of a block, about; a document is never cut.
 BLOCK = 1 << 19
 #: Candidates that one task ranks: so many times the number wanted.
@@ -175,6 +177,10 @@ def scanned(step: int, shards: int, longest: int, buckets: int, since):
                             held[b, m == longest].append((some, count))
                             n += len(some)
                 if n >= HELD:
+                    for key, parts in held.items():
+                        held[key] = [summed(*zip(*parts))]
+                    n = sum(len(x) for parts in held.values() for x, _ in parts)
+                if n >= HELD * 3 // 4:
                     yield from done()
                     n = 0
         yield from done()
@@ -200,26 +206,45 @@ def merged(step: int, shards: int, least: int):
 
 
 def exactly(longest: int, chosen):
-    """Blocks to the counts (lang, phrase, words, n) of phrases whose bit is set."""
+    """Blocks to the counts (lang, phrase, words, n) of phrases whose bits, and those of all phrases inside, are set.
+
+    Blocks of one lang are counted together, up to TOGETHER words.
+    """
+
+    def counted(lang: str, words: list[bytes], ids: np.ndarray, size: np.uint64, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+        hashes, whole = phrase_hashes(lang, word_hashes(words)[ids], longest), ids != MARK
+        for m in range(1, min(longest, len(ids)) + 1):
+            # marks are in no phrase of one word, and a phrase has no more occurrences than those inside
+            whole = whole if m == 1 else whole[:-1] & whole[1:]
+            places = np.flatnonzero(whole)
+            at = (hashes[m][places] & size).astype(np.int64)
+            places = places[bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0]
+            whole = np.zeros(len(whole), bool)
+            whole[places] = True
+            if not len(places):
+                break
+            first, count = same_phrases(ids, places, hashes[m][places], m)
+            texts = [b" ".join([words[i] for i in p]).decode() for p in ids[first[:, None] + np.arange(m)].tolist()]
+            columns = [pa.array([lang] * len(first), pa.string()), pa.array(texts, pa.string()), pa.array(np.full(len(first), m, np.int32)), pa.array(count.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "words", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = chosen.value
         size = np.uint64(8 * len(bits) - 1)
+        held, numbers = defaultdict(list), defaultdict(dict)
+
+        def done(lang: str) -> Iterator[pa.RecordBatch]:
+            yield from counted(lang, list(numbers.pop(lang)), np.concatenate(held.pop(lang)), size, bits)
+
         for batch in batches:
             for lang, words, ids in zip(*(batch.column(c).to_pylist() for c in ("lang", "words", "ids"))):
-                ids = np.frombuffer(ids, "<i4")
-                hashes = phrase_hashes(lang, word_hashes(words)[ids], longest)
-                word, whole = ids != MARK, np.ones(len(ids) + 1, bool)
-                for m in range(1, min(longest, len(ids)) + 1):
-                    whole = whole[: len(ids) - m + 1] & word[m - 1 :]
-                    at = (hashes[m][: len(whole)] & size).astype(np.int64)
-                    places = np.flatnonzero(whole & (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0))
-                    if not len(places):
-                        continue
-                    first, count = same_phrases(ids, places, hashes[m][places], m)
-                    texts = [b" ".join([words[i] for i in p]).decode() for p in ids[first[:, None] + np.arange(m)].tolist()]
-                    columns = [pa.array([lang] * len(first), pa.string()), pa.array(texts, pa.string()), pa.array(np.full(len(first), m, np.int32)), pa.array(count.astype(np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "words", "n"])
+                own = numbers[lang]
+                number = np.array([own.setdefault(w, len(own)) for w in words] + [MARK], np.int32)
+                held[lang].append(number[np.frombuffer(ids, "<i4")])
+                if sum(map(len, held[lang])) >= TOGETHER:
+                    yield from done(lang)
+        for lang in list(held):
+            yield from done(lang)
 
     return run
 

@@ -1,8 +1,10 @@
 import random
 import re
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 
 from catascope.llm import phrases
 
@@ -88,3 +90,21 @@ def test_products_beyond_64_bits(spark):
     totals = spark.createDataFrame([("en", 3 * 10**16)], "lang string, total long")
     got = phrases.scored(counts, totals).first()
     assert got["score"] == 1000 * 6 * 10**12 * 3 * 10**16 // (63 * 10**24)
+
+
+def test_scans_move_hashes_and_the_exact_scan_only_what_can_be_frequent(monkeypatch):
+    texts = ["a b c d e f g " * 30, "x y " + " ".join(f"w{i}" for i in range(400))]
+    blocks = list(phrases.blocks(100)(iter([pa.RecordBatch.from_pydict({"lang": ["en"] * 2, "text": texts})])))
+    since = SimpleNamespace(value=np.ones(1 << 10, np.uint8))
+    monkeypatch.setattr(phrases, "HELD", 50)
+    out = list(phrases.scanned(2, 1, 5, 3, since)(iter(blocks)))
+    assert out and not any(pa.types.is_string(f.type) for b in out for f in b.schema)
+    assert sum(len(x) // 8 for b in out for x in b.column("counts").to_pylist()) >= 400
+    # bits of "a", "b" and "a b", and of "b c" whose second word has none
+    bits = np.zeros(1 << 26, bool)
+    word = phrases.word_hashes([b"a", b"b", b"c"])[:3]
+    one, two = phrases.phrase_hashes("en", word, 2)[1:]
+    bits[(np.concatenate((one[:2], two)) & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    chosen = SimpleNamespace(value=np.packbits(bits, bitorder="little"))
+    rows = [r for b in phrases.exactly(5, chosen)(iter(blocks)) for r in b.to_pylist()]
+    assert sorted((r["phrase"], r["n"]) for r in rows) == [("a", 30), ("a b", 30), ("b", 30)]  # one row each over all blocks
