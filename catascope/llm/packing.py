@@ -13,9 +13,10 @@ from __future__ import annotations
 import bisect
 import os
 import re
+import struct
 import sys
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,61 +34,53 @@ SLICE = 1 << 18
 #: The id behind every document.
 END = 2
 VOCABULARY = "word_bpe_49k.json"
-#: Encoded units that a worker remembers as new, and letters of texts that are encoded together.
-REMEMBERED, AT_ONCE = 1 << 18, 1 << 20
+#: Encoded texts that a worker remembers as new, the bytes that one has at most, and letters of texts that are encoded together.
+REMEMBERED, LONG, AT_ONCE = 1 << 19, 64, 1 << 20
 
 
 #: Letters and digits of Latin-1 as the vocabulary's pattern has them, on text in lower case.
 LETTER, DIGIT, SPACE = rb"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", rb"0-9\xb2\xb3\xb9\xbc-\xbe", rb" \t-\r\x85\xa0"
 #: The pattern that the vocabulary cuts texts with; words, which are most, are tried first.
 UNIT = re.compile(rb"[" + LETTER + rb"]+|'(?:s|t|re|ve|m|ll|d)|[" + DIGIT + rb"]|[^" + SPACE + LETTER + DIGIT + rb"]+")
-LOWER = bytes(c + 32 if 65 <= c <= 90 or 0xC0 <= c <= 0xDE and c != 0xD7 else 32 if c in (0x85, 0xA0) else c for c in range(256))
+LOWER = bytes(c + 32 if 65 <= c <= 90 or 0xC0 <= c <= 0xDE and c != 0xD7 else 32 if 9 <= c <= 13 or c in (0x85, 0xA0) else c for c in range(256))
 WORD = re.compile(rb"[" + LETTER + rb"]+")
+#: What neither a letter, a digit nor a space is, written as a dot; letters and digits as an a.
+KIND = bytes(32 if c == 32 else 97 if re.match(rb"[" + LETTER + DIGIT + rb"]", bytes([c])) else 46 for c in range(256))
 #: The letters that the vocabulary writes bytes of UTF-8 in, where they are not the bytes' own.
 WRITTEN = {b: 256 + i for i, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 
 
 class Known(dict):
-    """Encoded texts. One that is not here is taken from those known before, or is asked for and None until it is learned."""
+    """Encoded texts. One that is not here is taken from those known before, or made."""
 
-    def __init__(self, before: dict[bytes, bytes]):
-        self.before, self.asked = before, []
+    def __init__(self, make: Callable[[bytes], bytes], before: dict[bytes, bytes]):
+        self.make, self.before = make, before
 
-    def __missing__(self, key: bytes) -> bytes | None:
-        ids = self[key] = self.before.get(key)
+    def __missing__(self, key: bytes) -> bytes:
+        ids = self.before.get(key)
         if ids is None:
-            self.asked.append(key)
+            ids = self.make(key)
+        if len(key) <= LONG:
+            self[key] = ids
         return ids
 
-    def wanted(self) -> list[bytes]:
-        """What was asked for since the last call."""
-        out, self.asked = self.asked, []
-        return out
-
     def lately(self) -> Known:
         """Itself, or once it is large a new one that knows what this one has."""
         if len(self) <= REMEMBERED:
             return self
         self.before = {}
-        return Known(self)
-
-    def whole(self, keys: list[bytes], found: list[bytes | None]) -> bytes:
-        """What is found for the keys, one after the other; by now all are learned."""
-        i = -1
-        for _ in range(found.count(None)):
-            i = found.index(None, i + 1)
-            found[i] = self[keys[i]]
-        return b"".join(found)
+        return Known(self.make, self)
 
 
 class Encoder:
     """Ids of texts by a vocabulary file of the tokenizers library, as bytes of little-endian unsigned integers.
 
     The vocabulary puts texts into lower case, cuts them by a pattern and drops white space, and no
-    token reaches across a cut. So a text's ids are those of its units one after the other, and a unit
-    is encoded once: words by the library's model, as the letters that the vocabulary writes their
-    bytes in, other units by the whole library, many in one call. Texts with letters beyond Latin-1,
-    or with what may be a special token, are cut at white space only.
+    token reaches across a cut. So a text's ids are those of what lies between its white space, one after
+    the other, and theirs are those of their units. Each is encoded once: words by the library's model, as
+    the letters that the vocabulary writes their bytes in, other units by the whole library. Texts with
+    letters beyond Latin-1, or with what may be a special token, are not cut further, and many of their
+    parts are encoded in one call.
     """
 
     def __init__(self, path: str | None):
@@ -98,9 +91,9 @@ class Encoder:
         self.library = Tokenizer.from_file(str(path or public_tokenizers.path(VOCABULARY)))
         self.library.no_truncation()
         self.library.no_padding()
-        self.model = self.library.model
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.units, self.others = Known({}), Known({})
+        self.pack, self.tokens = struct.Struct("<" + "HI"[self.kind.itemsize // 4]).pack, self.library.model.tokenize
+        self.units, self.others = Known(self.unit, {}), Known(self.other, {})
 
     @staticmethod
     def of_task(path: str | None) -> Encoder:
@@ -123,31 +116,47 @@ class Encoder:
 
     def some(self, texts: list[str]) -> list[bytes]:
         self.units, self.others = self.units.lately(), self.others.lately()
-        cut = []
+        units, out, later = self.units.__getitem__, [], []
         for text in texts:
             try:
                 if "<|" in text:
                     raise UnicodeError
-                known, keys = self.units, UNIT.findall(text.encode("latin-1").translate(LOWER))
+                data = text.encode("latin-1").translate(LOWER) + b" "
+                if b".. " not in data.translate(KIND):  # commas and full stops before spaces are units of their own
+                    data = data.replace(b", ", b" , ").replace(b". ", b" . ")
+                out.append(b"".join(map(units, data.split())))
             except UnicodeError:
-                known, keys = self.others, text.encode().split()
-            cut.append((known, keys, list(map(known.__getitem__, keys))))
-        self.learn_units(self.units.wanted())
-        self.learn(self.others, self.others.wanted(), "utf-8")
-        return [known.whole(keys, found) for known, keys, found in cut]
-
-    def learn_units(self, new: list[bytes]) -> None:
-        units, tokens, rest = self.units, self.model.tokenize, []
-        for unit in new:
-            if WORD.fullmatch(unit):
-                word = unit.decode("latin-1")
-                word = word if unit.isascii() else word.encode().decode("latin-1").translate(WRITTEN)
-                units[unit] = np.array([t.id for t in tokens(word)], self.kind).tobytes()
-            else:
-                rest.append(unit)
-        self.learn(units, rest, "latin-1")
-
-    def learn(self, known: Known, new: list[bytes], code: str) -> None:
+                later.append((len(out), text.encode().split()))
+                out.append(b"")
+        known = self.others
+        new = {key for _, keys in later for key in keys if key not in known and key not in known.before}
+        made = {}
+        self.learn(made, list(new), "utf-8")
+        known.update((key, ids) for key, ids in made.items() if len(key) <= LONG)
+        for i, keys in later:
+            out[i] = b"".join([made[key] if key in made else known[key] for key in keys])
+        return out
+
+    def unit(self, key: bytes) -> bytes:
+        """The ids of a unit, or of several without white space between them."""
+        if key.isalpha():
+            word = key.decode("latin-1")
+        elif len(units := UNIT.findall(key)) > 1:
+            return b"".join(map(self.units.__getitem__, units))
+        elif WORD.fullmatch(key):
+            word = key.decode("latin-1").encode().decode("latin-1").translate(WRITTEN)
+        else:
+            return self.other(key, "latin-1")
+        pack = self.pack
+        return b"".join([pack(t.id) for t in self.tokens(word)])
+
+    def other(self, key: bytes, code: str = "utf-8") -> bytes:
+        """The ids of a text by the whole library."""
+        made = {}
+        self.learn(made, [key], code)
+        return made[key]
+
+    def learn(self, known: dict[bytes, bytes], new: list[bytes], code: str) -> None:
         found = self.library.encode_batch_fast([w.decode(code) for w in new], add_special_tokens=False)
         known.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(new, found))
 

@@ -1,4 +1,5 @@
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -49,6 +50,19 @@ def test_words_go_to_the_model_and_are_looked_up_once(library, monkeypatch):
     assert set(lookups.values()) == {1} and b"the" in lookups and b"\xe9t\xe9" in lookups
 
 
+def test_known_texts_are_not_cut_by_the_pattern_again(library, monkeypatch):
+    encoder, cut, own = packing.Encoder(None), [], packing.UNIT
+    monkeypatch.setattr(packing, "UNIT", SimpleNamespace(findall=lambda data: (cut.append(data), own.findall(data))[1]))
+    texts = ["One, two. it's 3d, (four).  five?! six ,. seven.\n", "a.. b, c.,", "x" * 100 + ", y"]
+    for text in texts:
+        wanted = library.encode(text, add_special_tokens=False).ids
+        assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.many([text])] == [wanted]
+    cut.clear()
+    list(encoder.many([*texts, "two, one. two."]))
+    assert not [data for data in cut if len(data) <= packing.LONG]
+    assert len(b"".join(cut)) < 250  # long ones are cut anew, and nothing else
+
+
 def pieces_of(df, library, **options):
     """Checks that the pieces are the documents and the sequences are full; returns (sequence -> source -> tokens, sizes)."""
     window = options.get("window", packing.WINDOW)
