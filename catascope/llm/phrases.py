@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -206,7 +207,7 @@ def merged(step: int, shards: int, least: int):
 
 
 def exactly(longest: int, chosen):
-    """Blocks to the counts (lang, phrase, words, n) of phrases whose bits, and those of all phrases inside, are set.
+    """Blocks to the counts (lang, phrase, words, n, hash) of phrases whose bits, and those of all phrases inside, are set.
 
     Blocks of one lang are counted together, up to TOGETHER words.
     """
@@ -226,7 +227,7 @@ def exactly(longest: int, chosen):
             first, count = same_phrases(ids, places, hashes[m][places], m)
             texts = [b" ".join([words[i] for i in p]).decode() for p in ids[first[:, None] + np.arange(m)].tolist()]
             columns = [pa.array([lang] * len(first), pa.string()), pa.array(texts, pa.string()), pa.array(np.full(len(first), m, np.int32)), pa.array(count.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "words", "n"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(hashes[m][first])], ["lang", "phrase", "words", "n", "hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = chosen.value
@@ -249,6 +250,53 @@ def exactly(longest: int, chosen):
     return run
 
 
+TOLD = "lang string, bucket long, phrases array<string>, words array<int>, counts array<long>"
+
+
+def in_buckets(buckets: int, counted):
+    """What `counted` gives, with the counts of a lang and a bucket of hashes in one row, as often as a task has HELD / 4 of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = defaultdict(list), 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for lang, own in held.items():
+                rows = pa.Table.from_batches(own).combine_chunks()
+                bucket = (rows["hash"].to_numpy() >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+                rows = rows.take(pa.array(np.argsort(bucket, kind="stable"))).combine_chunks()
+                some, first = np.unique(np.sort(bucket), return_index=True)
+                ends = pa.array(np.append(first, len(bucket)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, rows[c].combine_chunks()) for c in ("phrase", "words", "n")]
+                lists = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in lists]
+                columns = [pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int64)), *lists]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "bucket", "phrases", "words", "counts"])
+            held.clear()
+
+        for batch in counted(batches):
+            held[batch.column(0)[0].as_py()].append(batch)
+            n += batch.num_rows
+            if n >= HELD // 4:
+                yield from done()
+                n = 0
+        yield from done()
+
+    return run
+
+
+def put_together(least: int):
+    """Counts of a lang and bucket to rows (lang, phrase, words, n) of what occurs often enough."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names = ["phrase", "words", "n"]
+        lists = [table.column(c).combine_chunks() for c in ("phrases", "words", "counts")]
+        lists = [x if isinstance(x, pa.Array) else x.chunk(0) for x in lists]
+        rows = pa.table([x.flatten() for x in lists], names).group_by(names[:2]).aggregate([("n", "sum")])
+        rows = rows.filter(pc.greater_equal(rows["n_sum"], least))
+        return pa.table([pa.array([table.column("lang")[0].as_py()] * len(rows), pa.string()), *(rows[c] for c in ("phrase", "words", "n_sum"))], ["lang", *names])
+
+    return run
+
+
 def phrase_counts(
     docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS, places: int = PLACES
 ) -> tuple[DataFrame, DataFrame]:
@@ -295,8 +343,8 @@ def phrase_counts(
             since[new] = step
             last = step
     known = spark.sparkContext.broadcast(np.packbits(chosen, bitorder="little"))
-    counts = rows.select("lang", "words", "ids").mapInArrow(exactly(longest, known), "lang string, phrase string, words int, n long")
-    counts = counts.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counts = rows.select("lang", "words", "ids").mapInArrow(in_buckets(buckets, exactly(longest, known)), TOLD)
+    counts = counts.groupBy("lang", "bucket").applyInArrow(put_together(least), "lang string, phrase string, words int, n long")
     return stored(counts, "phrases"), totals
 
 

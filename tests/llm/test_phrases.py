@@ -5,6 +5,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from catascope.llm import phrases
 
@@ -108,3 +109,23 @@ def test_scans_move_hashes_and_the_exact_scan_only_what_can_be_frequent(monkeypa
     chosen = SimpleNamespace(value=np.packbits(bits, bitorder="little"))
     rows = [r for b in phrases.exactly(5, chosen)(iter(blocks)) for r in b.to_pylist()]
     assert sorted((r["phrase"], r["n"]) for r in rows) == [("a", 30), ("a b", 30), ("b", 30)]  # one row each over all blocks
+
+
+def test_exact_counts_leave_a_task_as_one_row_per_bucket(monkeypatch):
+    texts = [" ".join(f"w{i * k % 97}" for i in range(300)) for k in (1, 2, 5, 1)]
+    blocks = list(phrases.blocks(100)(iter([pa.RecordBatch.from_pydict({"lang": ["en", "de", "en", "en"], "text": texts})])))
+    exact = phrases.exactly(3, SimpleNamespace(value=np.full(1 << 10, 255, np.uint8)))
+    rows = [r for b in exact(iter(blocks)) for r in b.to_pylist()]
+    want = {(r["lang"], r["phrase"], r["words"], r["n"]) for r in rows}
+    for held, parts in ((1 << 20, 1), (1, 2)):
+        monkeypatch.setattr(phrases, "HELD", held)
+        out = pa.Table.from_batches(list(phrases.in_buckets(4, exact)(iter(blocks)))).combine_chunks()
+        assert len(out) <= 8 if parts == 1 else len(out) > 8
+        got = []
+        for lang in ("de", "en"):
+            for k in range(4):
+                own = out.filter((pc.field("lang") == lang) & (pc.field("bucket") == k))
+                if len(own):
+                    got += phrases.put_together(2)(own).to_pylist()
+        assert len(got) == len({(r["lang"], r["phrase"]) for r in got}) > 100
+        assert {(r["lang"], r["phrase"], r["words"], r["n"]) for r in got} == {w for w in want if w[3] >= 2}
